@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_files
+from . import decontaminate, packing, simhash, token_files, warc
 from .tokens import public_path
 
 WORD_BPE, WORD_BPE_SIZE = "word_bpe_49k.json", 49_408
@@ -28,6 +28,25 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_digests(written)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(docs.select("doc_id", "text"), bench)
+    hit = decontaminate.span_words(F.col("spans"))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), "items").select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        decontaminate.items_digest(F.col("items")).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_warc(_table(spark, sf_dir, "pages"))
+    return warc.warc_digests(warc.read_warc(spark, path))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, public_path(WORD_BPE), 0, 2048)
