@@ -1,7 +1,7 @@
 """Operator 1: document quality from a linear-chain conditional random field over lines.
 
-Every line is good or bad. Its features are binned shares of kinds of bytes, word and line
-length and whether it repeats, of the line itself and of both neighbours; the states of
+Every line is good or bad. Its features are binned shares of kinds of bytes and of repeated
+words, word and line length and whether the line repeats, of the line itself and of both neighbours; the states of
 neighbouring lines are tied by transition weights. Forward-backward marginals, weighted by
 line length, add up to the quality of the document.
 """
@@ -27,7 +27,7 @@ KIND[list(b".,;:!?'\"()-")] = 5
 KIND[ord("|")] = 6
 SHARES = np.array([1e-9, 0.005, 0.02, 0.05, 0.1, 0.2, 0.4])
 WORD_LENGTHS = np.array([1.5, 2.5, 3.5, 4.5, 5.5, 6.5, 8, 10, 14, 20])
-FEATURES, BINS = 10, 16  # bin 0 stands for no such line
+FEATURES, BINS = 11, 16  # bin 0 stands for no such line
 
 
 def lines_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,11 +60,24 @@ def lines_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bins[:, 0] = np.minimum(np.bitwise_count((1 << np.ceil(np.log2(size + 1)).astype(np.int64)) - 1), 14)
     for k, c in enumerate((2, 3, 4, 5, 6, 7, 8), 1):
         bins[:, k] = np.searchsorted(SHARES, count(kind == c) / np.maximum(size, 1), side="right")
-    blank = kind == 4
-    begins = ~blank
-    begins[1:] &= blank[:-1] | (raw[:-1] == 10)
-    words = np.maximum(count(begins), 1)
-    bins[:, 8] = np.searchsorted(WORD_LENGTHS, (size - count(blank)) / words)
+    inside = (kind != 4) & (raw != 10)
+    begins, closes = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    edge = starts[size > 0]
+    begins[edge] |= inside[edge]
+    edge = stops[size > 0] - 1
+    closes[edge] |= inside[edge]
+    words = count(begins)
+    bins[:, 8] = np.searchsorted(WORD_LENGTHS, count(inside) / np.maximum(words, 1))
+    # A word of the same bytes as the one before it in the line, whatever their order.
+    mark = np.concatenate([[0], np.cumsum(raw.astype(np.int64) ** 3)])
+    at = np.flatnonzero(begins)
+    mark = mark[np.flatnonzero(closes) + 1] - mark[at]
+    same = np.zeros(len(raw), bool)
+    same[at[1:][mark[1:] == mark[:-1]]] = True
+    same[starts[size > 0]] = False
+    bins[:, 10] = np.searchsorted(SHARES, count(same) / np.maximum(words, 1), side="right")
     data = memoryview(np.ascontiguousarray(raw))
     marks = np.fromiter((zlib.crc32(data[a:b]) for a, b in zip(starts.tolist(), stops.tolist())), np.int64, n)
     key = np.repeat(np.arange(len(per_text)), per_text) << 32 | marks

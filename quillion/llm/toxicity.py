@@ -54,8 +54,17 @@ def grams_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         buckets.append((hashed[p] * np.uint32(2654435769)) >> np.uint32(32 - BUCKET_BITS))
     owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
     bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.uint32)
+    # A word right after itself adds nothing to its window.
+    count = np.bincount(owner, minlength=len(at))
+    mark = np.bincount(owner, bucket.astype(np.float64) ** 2, minlength=len(at))
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (mark[1:] != mark[:-1]) | (count[1:] != count[:-1])
+    fresh[np.searchsorted(at, starts)[per_text > 0]] = True
+    kept = fresh[owner]
+    owner, bucket = owner[kept], bucket[kept]
+    per_text = np.bincount(np.searchsorted(starts, at[fresh], side="right") - 1, minlength=n)
     order = np.argsort(owner, kind="stable")
-    return per_text, np.bincount(owner, minlength=len(at)), bucket[order].astype(np.uint16)
+    return per_text, count[fresh], bucket[order].astype(np.uint16)
 
 
 def train(docs: list[tuple[int, list[np.ndarray]]], epochs: int = 24, seed: int = 7) -> tuple[np.ndarray, float]:
