@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, simhash, token_files, toxicity, warc
+from . import decontaminate, embeddings, packing, quality, simhash, token_counts, token_files, toxicity, warc
 from .common import held_out
 from .tokens import public_path
 
@@ -36,6 +36,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_digests(written)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    counted = token_counts.token_counts(F.col("text"), public_path("piece_bpe_32k.model"))
+    return docs.select("doc_id", counted.alias("c")).select("doc_id", "c.n_words", "c.n_tokens")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
@@ -62,6 +68,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_digests(warc.read_warc(spark, path))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.embedding_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, public_path(WORD_BPE), 0, 2048)
