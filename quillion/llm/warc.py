@@ -21,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 EOR = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+BROADCAST_ROWS = 100_000  # repeated payloads up to which the pages themselves are not shuffled
 UNSAFE = re.compile("[\x00-\x20\x7f<>]")
 
 
@@ -109,6 +110,9 @@ def write_warc(
         .where("n > 1 and first is not null")
         .select("again", "first")
     )
+    again = materialize(again, "again")
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)
     rows = rows.join(again, F.col("digest") == F.col("again"), "left")
     rows = rows.select("id", "url", "html", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
