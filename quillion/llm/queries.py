@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, packing, quality, simhash, token_counts, token_files, toxicity, warc
+from . import decontaminate, embeddings, packing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, warc
 from .common import held_out
 from .tokens import public_path
 
@@ -79,6 +79,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = suffix_dedup.span_digest(F.col("text"), F.col("spans"))
+    return found.select("doc_id", digest.alias("d")).select("doc_id", "d.n_bytes", "d.n_removed", "d.n_spans", "d.kept_sha256")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
