@@ -95,36 +95,51 @@ def replicas(prints: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.
     return np.concatenate(index), np.concatenate(anchor)
 
 
-def covering_links(prints: DataFrame, bits: int = 2, width: int = 5) -> DataFrame:
+def covering_links(prints: DataFrame, bits: int = 2, width: int = 5, near: int = 0) -> DataFrame:
     """``x, y`` (x < y) for all pairs at ``bits`` or fewer differing bits of a table with one
     column ``fp`` of distinct fingerprints. Exact for any ``bits`` and odd ``width``; wider
-    blocks make fewer anchors and fewer copies, but more comparisons at each."""
-
-    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(whole), 4096):
-                fp = whole[at : at + 4096]
-                i, anchor = replicas(fp.view(np.uint64), bits, width)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[i])], names=["anchor", "y"])
-
-    home = sum(
-        F.when(F.bit_count(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1))) > n // 2, F.lit(1 << k)).otherwise(F.lit(0))
+    blocks make fewer anchors and fewer copies, but more comparisons at each.
+
+    With ``near`` above 0, x goes to the anchors within covering radius plus ``near`` and y to
+    those within covering radius plus ``bits - near``: some word between x and y has its home
+    in both. That takes far fewer copies for larger ``bits``, but finds a pair more than once."""
+
+    def copies(bits):
+        return lambda batches: _copies(batches, bits, width)
+
+    close = (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bits)
+    if near:
+        homes = prints.mapInArrow(copies(near), "anchor long, y long").withColumnRenamed("y", "x")
+    else:
+        homes = prints.select(_home("fp", width).alias("anchor"), F.col("fp").alias("x"))
+    spread = prints.mapInArrow(copies(bits - near), "anchor long, y long")
+    found = homes.join(spread, (homes.anchor == spread.anchor) & close).select("x", "y")
+    return found.distinct() if near else found
+
+
+def _copies(batches: Iterator[pa.RecordBatch], bits: int, width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        whole = batch.column(0).to_numpy(zero_copy_only=False)
+        for at in range(0, len(whole), 4096):
+            fp = whole[at : at + 4096]
+            i, anchor = replicas(fp.view(np.uint64), bits, width)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[i])], names=["anchor", "y"])
+
+
+def _home(fp: str, width: int):
+    return sum(
+        F.when(F.bit_count(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1))) > n // 2, F.lit(1 << k)).otherwise(F.lit(0))
         for k, (at, n) in enumerate(_blocks(width))
-    )
-    homes = prints.select(home.cast("long").alias("anchor"), F.col("fp").alias("x"))
-    spread = prints.mapInArrow(copies, "anchor long, y long")
-    near = (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bits)
-    return homes.join(spread, (homes.anchor == spread.anchor) & near).select("x", "y")
+    ).cast("long")
 
 
-def simhash_components(rows: DataFrame, id_col: str, fp_col: str, bits: int = 2, width: int = 5) -> DataFrame:
+def simhash_components(rows: DataFrame, id_col: str, fp_col: str, bits: int = 2, width: int = 5, near: int = 0) -> DataFrame:
     """Add ``component_id``: the smallest id reachable over fingerprints that differ in ``bits``
     or fewer bits. Rows with equal fingerprints, repeated rows among them, are linked; a null
     id joins its component but never names it."""
     rows = materialize(rows, "simhash")
     firsts = materialize(rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first")), "simhash")
-    links = covering_links(firsts.select("fp"), bits, width)
+    links = covering_links(firsts.select("fp"), bits, width, near)
     roots = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "simhash")
     firsts = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # Fingerprints of one component are few beside its rows, and their minimum is a partial aggregate.
@@ -132,3 +147,41 @@ def simhash_components(rows: DataFrame, id_col: str, fp_col: str, bits: int = 2,
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
     named = firsts.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
     return rows.join(named, rows[fp_col] == named["__fp"]).drop("__fp")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 3, id_col="doc_id", text_col="text") -> DataFrame:
+    """``id, first``: documents to drop, each with the smallest id of its SimHash component, of
+    which it shares ``similarity`` or more (Jaccard) of the distinct word shingles.
+
+    The component proposes, the shingles decide, so a fingerprint that agrees by chance drops
+    nothing. Fingerprints of texts at the threshold itself differ in more than ``bits`` bits
+    as a rule: near copies are found with certainty only where ``bits`` or fewer differ. Null
+    ids are never dropped; texts without words are copies of each other."""
+    key = F.col(f"`{id_col}`").cast("long").alias("id")
+    text = F.col(f"`{text_col}`").alias("text")
+    rows = docs.select(key, simhash(text, words).alias("fp")).where("id is not null")
+    found = simhash_components(rows, "id", "fp", bits, near=bits // 2)
+    pairs = materialize(found.where("id <> component_id").select("id", F.col("component_id").alias("first")).distinct(), "simhash")
+    wanted = pairs.select("id").unionByName(pairs.select(F.col("first").alias("id"))).distinct()
+    texts = materialize(docs.select(key, text).join(wanted, "id", "left_semi"), "simhash")
+    firsts = texts.select(F.col("id").alias("first"), F.col("text").alias("first_text"))
+
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        out, last = [], (None, None)
+        for x, y in zip(texts_of(a), texts_of(b)):
+            if last[0] != y:
+                last = y, shingles(y, words)
+            mine, other = shingles(x, words), last[1]
+            out.append(len(mine & other) >= similarity * len(mine | other))
+        return pa.array(out, pa.bool_())
+
+    met = pairs.join(texts, "id").join(firsts, "first")
+    kept = F.arrow_udf(alike, "boolean")("text", "first_text")
+    return materialize(met.where(kept).select("id", "first").distinct(), "simhash")
+
+
+def shingles(text: bytes, words: int) -> set[bytes]:
+    found = text.lower().split()
+    if len(found) < words:
+        return {b" ".join(found)} if found else set()
+    return set(map(b" ".join, zip(*(found[k:] for k in range(words)))))
