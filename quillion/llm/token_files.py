@@ -61,7 +61,7 @@ def unpack_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [int(x) if k else None for x, k in zip(names, known)], counts, ids
 
 
-SEGMENTS = "part int, seq int, n_docs int, n_tokens long, data binary"
+SEGMENTS = "part int, seq int, before long, n_docs int, n_tokens long, data binary"
 
 
 def write_token_files(
@@ -81,16 +81,16 @@ def write_token_files(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq = encoder(vocabulary), TaskContext.get().partitionId(), 0
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        names, held, size = [], [], 0
+        names, held, size, before = [], [], 0, 0
 
         def done() -> pa.RecordBatch:
             counts = np.array([len(x) // 4 for x in held], np.uint32)
             ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
             data = pack_segment(names, counts, ids, vocab_size)
-            row = [[part], [seq], [len(names)], [len(ids)], [data]]
+            row = [[part], [seq], [before], [len(names)], [len(ids)], [data]]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
-                names=["part", "seq", "n_docs", "n_tokens", "data"],
+                [pa.array(v, t) for v, t in zip(row, kinds)], names=["part", "seq", "before", "n_docs", "n_tokens", "data"]
             )
 
         for batch in batches:
@@ -102,6 +102,7 @@ def write_token_files(
                     size += len(ids) // 4
                     if size >= segment:
                         yield done()
+                        before += sum(map(len, held)) // 4
                         names, held, size, seq = [], [], 0, seq + 1
         if names:
             yield done()
@@ -113,8 +114,7 @@ def write_token_files(
 
 def read_token_files(segments: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of a written table; start counts the ids of all
-    documents before. ``ids`` are little-endian unsigned 32-bit integers. The running totals
-    are taken over parts, of which there are as many as the writer had tasks."""
+    documents before. ``ids`` are little-endian unsigned 32-bit integers."""
     return _read(segments, False)
 
 
@@ -143,16 +143,11 @@ def _read(segments: DataFrame, digest: bool) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", last],
                 )
 
+    # One number for each task of the writer: that many rows are broadcast, whatever the input.
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_first"))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        segments.select("part", "seq", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("n"))
-        .join(totals, "part")
-        .select("part", "seq", (F.col("part_first") + F.col("n")).alias("first"))
-    )
-    # A few numbers for each segment, of which each holds millions of ids.
-    rows = segments.select("part", "seq", "data").join(starts, ["part", "seq"]).select("first", "data")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_first"))
+    rows = segments.select("part", "before", "data").join(F.broadcast(totals), "part")
+    rows = rows.select((F.col("part_first") + F.col("before")).alias("first"), "data")
     kind = "long" if digest else "binary"
     return rows.mapInArrow(unpack, f"doc_id long, start long, n_tokens long, {last} {kind}")
