@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+def slices(batches, rows: int):
+    """Record batches of at most ``rows`` rows, so that a task works on few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """UTF-8 bytes of each value; null counts as empty."""
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+    for at in range(0, len(column), 500):
+        for x in column.slice(at, 500).cast(pa.binary()).to_pylist():
+            yield x or b""
 
 
 def flat_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, held_out
+from .common import flat_bytes, held_out, slices
 
 #: Kinds of bytes: 1 lower case, 2 upper case, 3 digit, 4 space, 5 prose punctuation, 6 bar, 7 other symbol, 8 beyond ASCII.
 KIND = np.full(256, 7, np.uint8)
@@ -187,7 +187,7 @@ def fit_quality(
     )
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 200):
             per_text, _, bins = lines_of(batch.column(0))
             first = np.cumsum(per_text) - per_text
             at = [(a + max(0, (n - max_lines) // 2), min(n, max_lines)) for a, n in zip(first.tolist(), per_text.tolist())]
@@ -210,8 +210,8 @@ def quality_score(text, model: tuple):
 
     def score(column: pa.Array) -> pa.Array:
         out = []
-        for at in range(0, len(column), 1000):
-            per_text, size, bins = lines_of(column.slice(at, 1000))
+        for at in range(0, len(column), 200):
+            per_text, size, bins = lines_of(column.slice(at, 200))
             good, _, _ = marginals(per_text, emissions(with_neighbours(per_text, bins), weights), turn)
             first = np.cumsum(per_text) - per_text
             out.append(np.add.reduceat(good * (size + 1), first) / np.add.reduceat(size + 1.0, first))

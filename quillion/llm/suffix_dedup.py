@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, materialize
+from .common import flat_bytes, materialize, slices
 
 GRAM = 24
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -179,7 +179,7 @@ def maximal_repeats(raw: np.ndarray, ends: np.ndarray, length: int) -> Iterator[
 # --- dealing out -----------------------------------------------------------------------------
 
 NO_ID = -(1 << 63)  # stands for a null id, and comes first
-PIECE = 2_000_000  # bytes hashed at a time; longer texts are cut with an overlap
+PIECE = 500_000  # bytes hashed at a time; longer texts are cut with an overlap
 
 
 def _pieces(ends: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -242,7 +242,7 @@ def _span(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _deal_contexts(buckets: int, length: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             keys, subs = batch.column("key").to_numpy(), batch.column("sub").to_numpy().astype(np.uint64)
             raw, ends = flat_bytes(batch.column("text"))
             parts = []
@@ -316,7 +316,7 @@ def _cut_contexts(buckets: int, length: int):
     """The bytes of the contexts that a document's ``open`` list names, dealt by anchor."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             keys, opened = batch.column("key").to_numpy(), batch.column("open")
             raw, ends = flat_bytes(batch.column("text"))
             n = np.array([len(x) for x in opened], np.int64)
@@ -339,7 +339,7 @@ def _cut_contexts(buckets: int, length: int):
     return cut
 
 
-CHUNK = 1_000_000  # bytes of contexts in one suffix array, more only if one anchor has more
+CHUNK = 300_000  # bytes of contexts in one suffix array, more only if one anchor has more
 
 
 def _compare(length: int):

@@ -130,8 +130,8 @@ def fit_toxicity(
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                piece = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 100):
+                piece = batch.slice(at, 100)
                 per_text, per_word, bucket = grams_of(piece.column(0))
                 cut = np.concatenate([[0], np.cumsum(per_word)])
                 first = np.cumsum(per_text) - per_text
@@ -159,8 +159,8 @@ def toxicity_score(text, model: tuple[np.ndarray, float], stride: int = 4):
 
     def score(column: pa.Array) -> pa.Array:
         out = np.full(len(column), bias)
-        for at in range(0, len(column), 400):
-            per_text, per_word, bucket = grams_of(column.slice(at, 400))
+        for at in range(0, len(column), 100):
+            per_text, per_word, bucket = grams_of(column.slice(at, 100))
             total = np.concatenate([[0], np.cumsum(scalar[bucket], dtype=np.float64)])
             cut = np.concatenate([[0], np.cumsum(per_word)])
             first = np.cumsum(per_text) - per_text
