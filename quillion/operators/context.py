@@ -25,7 +25,7 @@ def compress_citations(df: DataFrame, key: str, col: str = "citation") -> DataFr
     """``key, citation``: pages of a document as one tag with runs, a–b; a tag that is none is
     kept inside one more pair of brackets."""
     part = lambda n: F.regexp_extract(F.coalesce(col, F.lit("")), TAG, n)
-    a, b = part(2).cast("int"), F.coalesce(F.nullif(part(3), F.lit("")), part(2)).cast("int")
+    a, b = part(2).try_cast("int"), F.coalesce(F.nullif(part(3), F.lit("")), part(2)).try_cast("int")
     tags = df.select(key, F.col(col).alias("tag"), F.nullif(part(1), F.lit("")).alias("doc"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     pages = tags.where("doc is not null").select(key, "doc", F.explode(F.sequence("a", "b")).alias("page")).distinct()
     island = F.col("page") - F.row_number().over(Window.partitionBy(key, "doc").orderBy("page"))
