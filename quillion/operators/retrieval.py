@@ -102,11 +102,12 @@ def rank_bonus(hits: DataFrame) -> DataFrame:
     return hits.withColumn("bonus", bonus)
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, k: int = 5, pool: int | None = None) -> DataFrame:
+def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, pool: int | None = None) -> DataFrame:
     """The k best chunks of each question by 0.7 vector + 0.3 BM25 + bonuses, ``rank`` from 1.
-    ``questions`` (question_id, question, embedding), ``chunks`` (rid, embedding, ...)."""
-    hits = vector_topk(questions, chunks, pool or max(128, k))
-    rows = hits_to_chunks(max_normalize(hits, "question_id", "score"), chunks.drop("embedding"))
+    ``questions`` (question_id, question, embedding), ``chunks`` (rid, text, ...), ``vectors``
+    (rid, embedding); vectors without a chunk take places of the pool and then drop."""
+    hits = vector_topk(questions, vectors, pool or max(128, k))
+    rows = max_normalize(hits_to_chunks(hits, chunks), "question_id", "score")
     lexical = bm25(questions, rows)
     rows = rows.join(lexical, ["question_id", "rid"]).join(question_intent(questions.drop("embedding")), "question_id")
     rows = rank_bonus(strict_formula(section_filter(rows)))

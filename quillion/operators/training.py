@@ -55,9 +55,9 @@ def split_train_valid(df: DataFrame, key: str, frac: float = 0.1, seed: int = 13
     """Add ``is_valid``: rows in hash order, the last of them from int(n * (1 - frac)) on. The
     order is by ranges of the hash, not in one task."""
     hashed = df.withColumn("__h", seeded(seed, key))
-    placed = with_row_ids(hashed, ["__h", key], name="__place")
+    placed = with_row_ids(hashed, ["__h", key], name="__rank")
     cut = int(placed.count() * (1 - frac))
-    return placed.withColumn("is_valid", F.col("__place") >= cut).drop("__h", "__place")
+    return placed.withColumn("is_valid", F.col("__rank") >= cut).drop("__h", "__rank")
 
 
 def train_classifier(df: DataFrame, labels: list[str] | None = None, text: str = "chunk_text", dim: int = 4096) -> PipelineModel:

@@ -10,7 +10,7 @@ from quillion.operators import memory as M
 from quillion.plans.base import hits, query, rx
 from quillion.plans.fixtures import view
 from quillion.plans.pages import COLLAPSE, results, split_sql
-from quillion.plans.ranking import TOK, WORDS  # noqa: F401
+from quillion.plans.ranking import HYBRID, WORDS, search
 from quillion.sources import store as S
 
 TAG = "'[' || doc_name || ' p.' || page_start || ']'"
@@ -129,6 +129,16 @@ def _(spark, d):
     return X.learn_aliases(view(spark, d, "v_turns").withColumn("q", said))
 
 
+@query("slice_cited_search", "v_hits", HYBRID + f""", p AS (SELECT DISTINCT question_id, doc_name, page_start AS page FROM hy), i AS (SELECT *, page - row_number() OVER (PARTITION BY question_id, doc_name ORDER BY page) AS island FROM p),
+  r AS (SELECT question_id, doc_name, min(page) AS a, max(page) AS b FROM i GROUP BY question_id, doc_name, island),
+  c AS (SELECT question_id, '[' || doc_name || ' p.' || string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '–' || b END, ', ' ORDER BY a) || ']' AS citation FROM r GROUP BY question_id, doc_name),
+  o AS (SELECT question_id, string_agg(citation, ' ' ORDER BY citation) AS citations FROM c GROUP BY 1) SELECT question_id, rank, rid, hybrid, {TAG} AS source, citations FROM hy JOIN o USING (question_id)""")
+def _(spark, d):
+    found = search(spark, d).withColumn("source", X.source_tag())
+    cited = X.compress_citations(found, "question_id", "source").groupBy("question_id").agg(F.array_join(F.sort_array(F.collect_list("citation")), " ").alias("citations"))
+    return found.join(cited, "question_id").select("question_id", F.col("rank").cast("long").alias("rank"), "rid", "hybrid", "source", "citations")
+
+
 KEY = ["question_id", "turn"]
 
 

@@ -32,10 +32,10 @@ def _(spark, d):
     return V.hits_to_chunks(top(spark, d), view(spark, d, "v_chunks")).select("question_id", "rid", "doc_name", "page_start")
 
 
-@query("ve5_max_normalize", "v_top", """SELECT question_id, rid, round(CASE WHEN m > 0 THEN greatest(0, score) / m ELSE greatest(0, score) END, 5) AS score FROM
+@query("ve5_max_normalize", "v_top", """SELECT question_id, rid, round(CASE WHEN m > 0 THEN greatest(0, score) / m ELSE greatest(0, score) END, 6) AS score FROM
   (SELECT *, max(greatest(0, score)) OVER (PARTITION BY question_id) AS m FROM v_top)""")
 def _(spark, d):
-    return V.max_normalize(top(spark, d), "question_id", "score").select("question_id", "rid", F.round("score", 5).alias("score"))
+    return V.max_normalize(top(spark, d), "question_id", "score").select("question_id", "rid", F.round("score", 6).alias("score"))
 
 
 @query("ve6_fetch_vectors", "v_top", "SELECT question_id, rid, round(embedding[1]::DOUBLE, 6) AS first FROM v_top JOIN embeddings ON vec_id = rid")
@@ -112,8 +112,7 @@ def _(spark, d):
 
 
 def search(spark, d, k=5):
-    chunks = view(spark, d, "v_chunks").join(chunk_vectors(spark, d), "rid")
-    return R.hybrid_search(question_vectors(spark, d), chunks, k, pool=25)
+    return R.hybrid_search(question_vectors(spark, d), view(spark, d, "v_chunks"), chunk_vectors(spark, d), k, pool=25)
 
 
 HYBRID = BONUS.replace(", bo AS", ", nb AS", 1).replace("h.*, b.bm25", "h.* EXCLUDE (score), CASE WHEN max(greatest(0, h.score)) OVER (PARTITION BY h.question_id) > 0 THEN greatest(0, h.score) / max(greatest(0, h.score)) OVER (PARTITION BY h.question_id) ELSE 0 END AS score, b.bm25") + """, hy AS (SELECT * FROM
