@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,11 +33,31 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python tasks at most 1000 rows at a time for the rest of the session: at
+    Spark's default of 10000, long texts make a batch larger than a worker's share of memory."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(conf)) <= BATCH_ROWS:
+        spark.conf.set(conf, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system; Python workers outlive tasks, and
+    what one holds on to is missing for the next operator's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, rows: int):
     """Record batches of at most ``rows`` rows, so that a task works on few texts at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:

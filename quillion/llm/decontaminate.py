@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import bounded_batches, texts_of
 
 #: Bytes that are part of words once A-Z are lower-cased: digits, a-z, and all of non-ASCII.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -100,6 +100,7 @@ def contamination(
     read once for the counts and once, without a shuffle, for all blocks. Null texts and texts
     without words have no spans; items without words or id never match."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     bench = benchmark.select(
         F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")
     ).where("item is not null and text is not null")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize, release
 from .tokens import encoder
 
 SALTS = 64
@@ -91,7 +91,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
             columns = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=PIECES.replace(",", "").split()[::2])
+        release()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(cut, PIECES)
 

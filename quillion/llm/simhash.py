@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, texts_of
+from .common import bounded_batches, components, materialize, texts_of
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -137,6 +137,7 @@ def simhash_components(rows: DataFrame, id_col: str, fp_col: str, bits: int = 2,
     """Add ``component_id``: the smallest id reachable over fingerprints that differ in ``bits``
     or fewer bits. Rows with equal fingerprints, repeated rows among them, are linked; a null
     id joins its component but never names it."""
+    bounded_batches(rows.sparkSession)
     rows = materialize(rows, "simhash")
     firsts = materialize(rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first")), "simhash")
     links = covering_links(firsts.select("fp"), bits, width, near)

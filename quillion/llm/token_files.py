@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize, release
 from .range_coder import CorruptBlock, decode_blocks, encode_blocks
 from .tokens import encoder
 
@@ -106,7 +106,9 @@ def write_token_files(
                         names, held, size, seq = [], [], 0, seq + 1
         if names:
             yield done()
+        release()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     return materialize(rows.mapInArrow(pack, SEGMENTS), "token-files")
