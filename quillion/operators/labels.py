@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,7 +64,8 @@ def label_semantics(df: DataFrame, model: PipelineModel | None, labels: list[str
     if model is None:
         return df
     names = labels or model.stages[0].labels
-    scored = model.transform(df.withColumn("chunk_text", F.substring(collapse("text"), 1, 1200)))
+    steps = PipelineModel([s for s in model.stages if not isinstance(s, StringIndexerModel)])  # rows to label bear no label
+    scored = steps.transform(df.withColumn("chunk_text", F.substring(collapse("text"), 1, 1200)))
     p = vector_to_array("probability")
     named = F.array(*map(F.lit, names))
     return scored.select(
