@@ -31,6 +31,7 @@ SPANS = [
     r"(\|[^|\n]{1,160}\|)",
     r"(\b[a-zA-Z]\s*\^\s*[0-9a-zA-Z]+)",
 ]
+SIGNS = ["[=≈≅≤≥≠∝]", r"\(", "/", "∫", "[∑∏]", r"\|", r"\^"]
 NOT_FORMULA = r"(?i)\b(proof|example|exercise|problem|show that|find|assume|consider|let then|hence|therefore|solution|answer)\b"
 SPAN_OPERATORS = r"[=<>±∑∏∫√∞∇∂\^*/+\-|]"
 
@@ -74,7 +75,9 @@ def candidate_lines(df: DataFrame, wants_explain: bool = False) -> DataFrame:
 def extract_spans(lines: DataFrame) -> DataFrame:
     """Spans of seven kinds in the order of kinds, trimmed and cut at 200 characters; of spans
     of a line that differ only in case the first stays."""
-    found = F.concat(*[F.regexp_extract_all("line", F.lit(p), 1) for p in SPANS])
+    none = F.array().cast("array<string>")
+    # A pattern runs only over lines with a sign it cannot do without.
+    found = F.concat(*[F.when(F.col("line").rlike(sign), F.regexp_extract_all("line", F.lit(p), 1)).otherwise(none) for sign, p in zip(SIGNS, SPANS)])
     rows = lines.select(*[c for c in lines.columns if c != "line"], F.posexplode(found).alias("k", "s"))
     span = F.substring(F.regexp_replace(F.regexp_replace("s", r"\s+", " "), "^[ ,;.]+|[ ,;.]+$", ""), 1, 200)
     rows = rows.withColumn("span", span).where("span <> ''").drop("s")
