@@ -41,7 +41,7 @@ class _Model:
         self.seen = np.full(lanes * self.runs, 1, np.int32)
         self.decode, self.step = decode, 0
         self.context = np.zeros((2, lanes), np.int64)
-        self.one = np.zeros(lanes, np.int64)
+        self.one = np.zeros(lanes, np.int32)
         self.refit(lanes)
 
     def refit(self, lanes: int) -> None:
@@ -67,7 +67,7 @@ class _Model:
         w = ((self.t * 15 >> 14) + 1) * (s > 0)
         self.w2 = w[1]
         self.w1 = np.minimum(w[0], 62 - w[1]) * ~same
-        self.rest = UNIT - self.w1 - self.w2
+        self.rest = UNIT - self.w1 - self.w2  # all of them 32-bit, as the whole total is below 2 ** 31
 
     def learn(self, ids: np.ndarray, n: int) -> None:
         hit = ids == self.p
@@ -100,7 +100,7 @@ def encode_blocks(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
     order = _order(sizes)
     sizes, lanes = sizes[order], len(blocks)
     steps = int(sizes.max(initial=0))
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((steps, lanes), np.int32)
     for k, b in enumerate(order):
         ids[: sizes[k], k] = blocks[b]
     m = _Model(lanes, vocab, False)
@@ -162,7 +162,7 @@ def decode_blocks(blocks: list[bytes], vocab: int) -> list[np.ndarray]:
     for k, b in enumerate(order):
         got = np.frombuffer(blocks[b], "<u4")[2:]
         digits[k, : len(got)] = got
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((steps, lanes), np.int32)
     m = _Model(lanes, vocab, True)
     # The value read so far, less the low end of the interval: 63 bits, as the encoder's low.
     code = (digits[:, 0] << np.uint64(31)) + (digits[:, 1] >> np.uint64(1))
@@ -172,14 +172,14 @@ def decode_blocks(blocks: list[bytes], vocab: int) -> list[np.ndarray]:
     for t, n in enumerate(_active(sizes)):
         m.look(n)
         r = span[:n] >> whole
-        v = np.minimum(code[:n] // r, np.uint64((UNIT << m.shift) - 1)).astype(np.int64)
+        v = np.minimum(code[:n] // r, np.uint64((UNIT << m.shift) - 1)).astype(np.int32)
         top2, top1 = m.w2 << m.shift, (m.w1 + m.w2) << m.shift
         inner = np.maximum(v - top1, 0)
-        inner = (inner / m.rest).astype(np.int64)
-        high = m.find.take(m.cell[:n] + (inner >> 8)).astype(np.int64)
+        inner = (inner / m.rest).astype(np.int32)
+        high = m.find.take(m.cell[:n] + (inner >> 8)).astype(np.int32)
         f = m.packed.take(m.row[:n] + high)
         under, f = f >> 16, f & 0xFFFF
-        byte = ((inner - (under << 8)) / f).astype(np.int64)
+        byte = ((inner - (under << 8)) / f).astype(np.int32)
         x = (high << 8) + byte
         cum = top1 + m.rest * ((under << 8) + byte * f)
         freq = m.rest * f
@@ -199,7 +199,7 @@ def decode_blocks(blocks: list[bytes], vocab: int) -> list[np.ndarray]:
             span[k] <<= np.uint64(32)
         ids[t, :n] = x
         m.learn(x, n)
-    done: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
+    done: list[np.ndarray] = [np.zeros(0, np.int32)] * lanes
     for k, b in enumerate(order):
         done[b] = ids[: sizes[k], k]
     return done
