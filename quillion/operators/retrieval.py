@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillion.functions.text import ascii_tokens, collapse, set_overlap, word_tokens
 from quillion.operators.vectors import hits_to_chunks, max_normalize, vector_topk
+from quillion.sources.store import keep
 
 # Word lists that scores depend on.
 FORMULA_KEYS = "(formula|equation|equations|law|laws|rule|rules|identity|identities|theorem|theorems|lemma|lemmas|corollary|corollaries)"
@@ -107,7 +108,8 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k
     ``questions`` (question_id, question, embedding), ``chunks`` (rid, text, ...), ``vectors``
     (rid, embedding); vectors without a chunk take places of the pool and then drop."""
     hits = vector_topk(questions, vectors, pool or max(128, k))
-    rows = max_normalize(hits_to_chunks(hits, chunks), "question_id", "score")
+    # The pool of each question is searched once; its rows feed scores, statistics and ranks.
+    rows = keep(max_normalize(hits_to_chunks(hits, chunks), "question_id", "score"), "pool")
     lexical = bm25(questions, rows)
     rows = rows.join(lexical, ["question_id", "rid"]).join(question_intent(questions.drop("embedding")), "question_id")
     rows = rank_bonus(strict_formula(section_filter(rows)))

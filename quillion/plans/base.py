@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillion.operators import chunking, vectors
 from quillion.plans.fixtures import view, with_views
+from quillion.sources.store import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,4 +53,4 @@ def top(spark: SparkSession, d: str, k: int = 25) -> DataFrame:
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors.hits_to_chunks(top(spark, d), view(spark, d, "v_chunks"))
-    return rows.join(view(spark, d, "v_questions"), "question_id")
+    return keep(rows.join(view(spark, d, "v_questions"), "question_id"), "hits")

@@ -20,6 +20,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame, tag: str) -> DataFrame:
+    """Write a result that several branches of a plan read, and read it back."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_pages(documents: DataFrame) -> DataFrame:
     """One row a page: a source is a document, its texts are numbered from 1 in id order."""
     w = Window.partitionBy("source").orderBy("doc_id")
@@ -71,9 +78,7 @@ def with_row_ids(df: DataFrame, order: list[str], start: int = 0, name: str = "r
     """Consecutive ids in the order of unique ``order`` columns, without one task for all rows:
     range partitions are counted, and each row adds its place to the counts before it."""
     parted = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    path = scratch(df.sparkSession, "ordered")
-    parted.write.parquet(path)
-    parted = df.sparkSession.read.schema(parted.schema).parquet(path)
+    parted = keep(parted, "ordered")
     counts = parted.groupBy("__part").count()  # as many rows as partitions
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("__part", before.alias("__before"))
