@@ -34,13 +34,12 @@ def public_path(name: str) -> str:
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cache_words: int = 100_000):
+    def __init__(self, path: str, cache_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = cache_words
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         pieces = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(pieces.values()) + 1, bool)
         self.closing[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
@@ -79,17 +78,14 @@ class WordEncoder:
                 [] if not x else SPACES.split(x) if UNEASY.search(x) or "<|" in x else PIECES.findall(x.lower())
                 for x in texts[at : at + 1024]
             ]
-            known, older = self.known, self.older
-            new = set().union(*words).difference(known)
-            if len(known) + len(new) > self.limit:  # words of the last full cache are kept once more
-                self.older = older = known
-                self.known = known = {}
-                new = set().union(*words)
-            met = new.intersection(older)
-            known.update(zip(met, map(older.__getitem__, met)))
-            new = list(new.difference(met))
-            for k in range(0, len(new), 20_000):
-                self._learn(new[k : k + 20_000])
+            known = self.known
+            new = list(set().union(*words).difference(known))
+            if new:
+                if len(known) + len(new) > self.limit:
+                    known.clear()
+                    new = list(set().union(*words))
+                for k in range(0, len(new), 20_000):
+                    self._learn(new[k : k + 20_000])
             get = known.__getitem__
             out += [b"".join(map(get, x)) for x in words]
         return out
