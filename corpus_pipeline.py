@@ -24,9 +24,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of copies: texts whose SimHashes
-    link them and that share 0.8 or more of their five-word shingles with that document. Rows
-    that share an id stay or go together."""
+    """One document, that with the smallest id, of each group of copies: texts linked by pairs
+    that share 0.8 or more of their five-word shingles. Rows that share an id stay or go
+    together."""
     gone = simhash.near_copies(docs, words=5, similarity=0.8, bits=3)
     return docs.join(gone.select(F.col("id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
 

@@ -151,34 +151,113 @@ def simhash_components(rows: DataFrame, id_col: str, fp_col: str, bits: int = 2,
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 3, id_col="doc_id", text_col="text") -> DataFrame:
-    """``id, first``: documents to drop, each with the smallest id of its SimHash component, of
-    which it shares ``similarity`` or more (Jaccard) of the distinct word shingles.
-
-    The component proposes, the shingles decide, so a fingerprint that agrees by chance drops
-    nothing. Fingerprints of texts at the threshold itself differ in more than ``bits`` bits
-    as a rule: near copies are found with certainty only where ``bits`` or fewer differ. Null
-    ids are never dropped; texts without words are copies of each other."""
+    """``id, first``: documents to drop, each with the smallest id of its group. Groups are the
+    components over pairs of texts that share ``similarity`` or more (Jaccard) of their distinct
+    word shingles; every link is checked on the texts, so one that agrees by chance drops nothing.
+
+    Equal texts (but for case and white space) are one node from the start. Nodes meet where
+    their fingerprints differ in ``bits`` or fewer bits. Each is first compared with one node of every key, then with all others of
+    the key that are not in its component yet. Null ids are never dropped; an id with several
+    texts goes only if it is first for none of them."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     key = F.col(f"`{id_col}`").cast("long").alias("id")
     text = F.col(f"`{text_col}`").alias("text")
-    rows = docs.select(key, simhash(text, words).alias("fp")).where("id is not null")
-    found = simhash_components(rows, "id", "fp", bits, near=bits // 2)
-    pairs = materialize(found.where("id <> component_id").select("id", F.col("component_id").alias("first")).distinct(), "simhash")
-    wanted = pairs.select("id").unionByName(pairs.select(F.col("first").alias("id"))).distinct()
-    texts = materialize(docs.select(key, text).join(wanted, "id", "left_semi"), "simhash")
-    firsts = texts.select(F.col("id").alias("first"), F.col("text").alias("first_text"))
+    rows = docs.where(key.isNotNull()).select(key, text_keys(text, words).alias("s")).select("id", "s.*")
+    rows = materialize(rows, "simhash")
+    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    nodes = materialize(nodes, "simhash")
+    info = nodes.select("node", "first", "n", "fp")
+
+    members = nodes.select("node", "n", F.xxhash64("fp").alias("key"))
+    shared = members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("many")).where("many > 1").drop("many")
+    members = materialize(members.join(shared, "key"), "simhash")
+    prints = materialize(info.groupBy("fp").agg(F.min("node").alias("lead")), "simhash")
+    near = materialize(covering_links(prints.select("fp"), bits, near=bits // 2), "simhash")
+    ends = near.join(prints.toDF("x", "u"), "x").join(prints.toDF("y", "v"), "y").select("u", "v")
+    tried = _ordered(members.select(F.col("node").alias("u"), F.col("lead").alias("v")).unionByName(ends))
+    tried = materialize(tried, "simhash")
+    links = _verified(docs.select(key, text), info, tried, words, similarity)
+
+    roots = components(links, "simhash")
+    rooted = info.join(roots, "node", "left").select("node", "n", "fp", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted, "simhash")
+    members = members.select("key", "node").join(rooted, "node")
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    members = materialize(members.join(mixed, "key", "left_semi").select("key", "node", "n", "root"), "simhash")
+    one, other = members.toDF("key", "u", "n", "root"), members.toDF("key2", "v", "n2", "root2")
+    fits = (F.col("root") != F.col("root2")) & (F.least("n", "n2") >= similarity * F.greatest("n", "n2"))
+    within = one.join(other, (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & fits).select("u", "v")
+    left = near.join(rooted.select(F.col("fp").alias("x"), F.col("node").alias("u"), "n", "root"), "x")
+    right = rooted.select(F.col("fp").alias("y2"), F.col("node").alias("v"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    across = left.join(right, (F.col("y") == F.col("y2")) & fits).select("u", "v")
+    rest = _ordered(within.unionByName(across)).join(tried, ["u", "v"], "left_anti")
+    links = links.unionByName(_verified(docs.select(key, text), info, materialize(rest, "simhash"), words, similarity))
+
+    roots = materialize(components(links, "simhash"), "simhash")
+    named = materialize(info.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "simhash")
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    named = named.select("node", "root").join(least, "root").select("node", "first")
+    gone = rows.select("id", "node").join(named, "node").groupBy("id").agg(F.min("first").alias("first"), F.max(F.col("id") == F.col("first")).alias("leads"))
+    return materialize(gone.where("not leads").select("id", "first"), "simhash")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _verified(texts: DataFrame, info: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``u, v`` of nodes whose texts share enough shingles."""
+    one, other = info.select("node", "first", "n").toDF("u", "first", "n"), info.select("node", "first", "n").toDF("v", "first2", "n2")
+    pairs = pairs.join(one, "u").join(other, "v").where(F.least("n", "n2") >= similarity * F.greatest("n", "n2"))
+    pairs = materialize(pairs, "simhash")
+    wanted = pairs.select(F.col("u").alias("node"), F.col("first").alias("id")).unionByName(pairs.select(F.col("v").alias("node"), F.col("first2").alias("id"))).distinct()
+    wanted = materialize(wanted, "simhash")
+    # An id may have several texts, and a text several rows.
+    texts = texts.join(wanted.select("id").distinct(), "id", "left_semi").select(text_node(F.col("text")).alias("node"), "text")
+    texts = materialize(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "simhash")
 
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         out, last = [], (None, None)
         for x, y in zip(texts_of(a), texts_of(b)):
-            if last[0] != y:
-                last = y, shingles(y, words)
-            mine, other = shingles(x, words), last[1]
+            if last[0] != x:
+                last = x, shingles(x, words)
+            mine, other = last[1], shingles(y, words)
             out.append(len(mine & other) >= similarity * len(mine | other))
         return pa.array(out, pa.bool_())
 
-    met = pairs.join(texts, "id").join(firsts, "first")
-    kept = F.arrow_udf(alike, "boolean")("text", "first_text")
-    return materialize(met.where(kept).select("id", "first").distinct(), "simhash")
+    met = pairs.select("u", "v").join(texts.toDF("v", "b"), "v").join(texts.toDF("u", "a"), "u")
+    return materialize(met.where(F.arrow_udf(alike, "boolean")("a", "b")).select("u", "v"), "simhash")
+
+
+def _node(found: list[bytes]) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(b" ".join(found), 7)
+
+
+def text_node(text):
+    """Column of hashes of a text's words; texts that differ only in case or white space agree."""
+
+    def hashed(column: pa.Array) -> pa.Array:
+        return pa.array(np.array([_node(x.lower().split()) for x in texts_of(column)], np.uint64).view(np.int64))
+
+    return F.arrow_udf(hashed, "long")(text)
+
+
+def text_keys(text, words: int):
+    """Column of ``node`` (``text_node``), ``fp`` (``simhash``), ``n`` (distinct shingles)."""
+
+    def keyed(column: pa.Array) -> pa.Array:
+        node, fp, n = [], [], []
+        for x in texts_of(column):
+            node.append(_node(x.lower().split()))
+            fp.append(fingerprint(x, words))
+            n.append(len(shingles(x, words)))
+        longs = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (node, fp)]
+        return pa.StructArray.from_arrays([*longs, pa.array(n, pa.int32())], names=["node", "fp", "n"])
+
+    return F.arrow_udf(keyed, "node long, fp long, n int")(text)
 
 
 def shingles(text: bytes, words: int) -> set[bytes]:

@@ -101,6 +101,18 @@ def test_simhash(spark, docs, empty):
     assert {(r.id, r.first) for r in simhash.near_copies(docs).collect()} >= {(10, 0), (3, 2), (4, 2), (6, 5)}
 
 
+def test_copies_far_from_the_first_leave_one(spark):
+    words = [f"word{i}" for i in range(2000)]
+    chain = []
+    for k in range(121):  # neighbours share nearly all shingles, the ends fewer than 0.8
+        words[k * 16] = "other"
+        chain.append((k, " ".join(words)))
+    docs = spark.createDataFrame([*chain, (500, chain[-1][1]), (501, chain[-1][1] + " more")], "doc_id long, text string")
+    gone = {r.id: r["first"] for r in simhash.near_copies(docs).collect()}
+    assert 0 not in gone and {500, 501} <= set(gone)
+    assert len(gone) == 122 and set(gone.values()) == {0}
+
+
 @pytest.mark.parametrize(("bits", "width", "near"), [(2, 5, 0), (3, 5, 1), (2, 3, 0), (4, 7, 2)])
 def test_covering_links_are_complete(spark, bits, width, near):
     rng = np.random.default_rng(bits)
