@@ -21,20 +21,20 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, components, materialize, texts_of
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles, repeats included; 0 without words.
-    A bit is set if it is in more than half of the XXH64 hashes (seed 42)."""
+def _shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
+    """Big-endian XXH64 hashes (seed 42) of the shingles of a text's words, repeats included."""
     from xxhash import xxh64_intdigest
 
-    found = text.lower().split()  # bytes: A-Z and ASCII white space only
-    if not found:
-        return 0
     if len(found) < words:
         grams: Iterator[bytes] = iter([b" ".join(found)])
         n = 1
     else:
         grams, n = map(b" ".join, zip(*(found[k:] for k in range(words)))), len(found) - words + 1
-    hashes = np.fromiter(map(xxh64_intdigest, grams, repeat(42)), ">u8", n)
+    return np.fromiter(map(xxh64_intdigest, grams, repeat(42)), ">u8", n)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    n = len(hashes)
     if n < 64:
         ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1).sum(0)
     else:
@@ -45,6 +45,30 @@ def fingerprint(text: bytes, words: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes, words: int) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles, repeats included; 0 without words.
+    A bit is set if it is in more than half of the XXH64 hashes (seed 42)."""
+    found = text.lower().split()  # bytes: A-Z and ASCII white space only
+    return _majority(_shingle_hashes(found, words)) if found else 0
+
+
+BANDS, LEAST = 20, 5
+_draw = np.random.default_rng(8)
+_turn, _factor = _draw.integers(0, 1 << 32, (2, BANDS * LEAST), dtype=np.uint32)
+_factor |= np.uint32(1)
+_fold = _draw.integers(0, 1 << 63, (BANDS, LEAST + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(distinct: np.ndarray) -> np.ndarray:
+    """A key for each of BANDS groups of LEAST least hashes of distinct shingle hashes. Sets at
+    Jaccard j share a key with probability 1 - (1 - j**LEAST)**BANDS: 0.9996 at 0.8."""
+    short, least = distinct.astype(np.uint32), np.full(BANDS * LEAST, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(short), 1024):
+        np.minimum(least, ((short[at : at + 1024, None] ^ _turn) * _factor).min(0), out=least)
+    x = (least.reshape(BANDS, LEAST).astype(np.uint64) * _fold[:, :-1]).sum(1, dtype=np.uint64) + _fold[:, -1]
+    return (x ^ (x >> np.uint64(32))) * _fold[0, 0]
+
+
 def simhash(text, words: int = 3):
     """Column of fingerprints as (signed) longs; null text has no words."""
 
@@ -156,7 +180,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     word shingles; every link is checked on the texts, so one that agrees by chance drops nothing.
 
     Equal texts (but for case and white space) are one node from the start. Nodes meet where
-    their fingerprints differ in ``bits`` or fewer bits. Each is first compared with one node of every key, then with all others of
+    their fingerprints differ in ``bits`` or fewer bits or where they share a key of
+    ``band_keys``. Each is first compared with one node of every key, then with all others of
     the key that are not in its component yet. Null ids are never dropped; an id with several
     texts goes only if it is first for none of them."""
     spark = docs.sparkSession
@@ -165,11 +190,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     text = F.col(f"`{text_col}`").alias("text")
     rows = docs.where(key.isNotNull()).select(key, text_keys(text, words).alias("s")).select("id", "s.*")
     rows = materialize(rows, "simhash")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "simhash")
     info = nodes.select("node", "first", "n", "fp")
 
-    members = nodes.select("node", "n", F.xxhash64("fp").alias("key"))
+    members = nodes.select("node", "n", F.explode(F.concat("keys", F.array(F.xxhash64("fp")))).alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("many")).where("many > 1").drop("many")
     members = materialize(members.join(shared, "key"), "simhash")
     prints = materialize(info.groupBy("fp").agg(F.min("node").alias("lead")), "simhash")
@@ -246,18 +271,25 @@ def text_node(text):
 
 
 def text_keys(text, words: int):
-    """Column of ``node`` (``text_node``), ``fp`` (``simhash``), ``n`` (distinct shingles)."""
+    """Column of ``node`` (``text_node``), ``fp`` (``simhash``), ``n`` (distinct shingles) and
+    ``keys`` (``band_keys``)."""
 
     def keyed(column: pa.Array) -> pa.Array:
-        node, fp, n = [], [], []
+        node, fp, n, keys = [], [], [], []
         for x in texts_of(column):
-            node.append(_node(x.lower().split()))
-            fp.append(fingerprint(x, words))
-            n.append(len(shingles(x, words)))
+            found = x.lower().split()
+            hashes = _shingle_hashes(found, words) if found else np.zeros(0, ">u8")
+            distinct = np.unique(hashes.astype(np.uint64))
+            node.append(_node(found))
+            fp.append(_majority(hashes) if found else 0)
+            n.append(len(distinct))
+            keys.append(band_keys(distinct).view(np.int64))
         longs = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (node, fp)]
-        return pa.StructArray.from_arrays([*longs, pa.array(n, pa.int32())], names=["node", "fp", "n"])
+        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
+        return pa.StructArray.from_arrays([*longs, pa.array(n, pa.int32()), lists], names=["node", "fp", "n", "keys"])
 
-    return F.arrow_udf(keyed, "node long, fp long, n int")(text)
+    return F.arrow_udf(keyed, "node long, fp long, n int, keys array<long>")(text)
 
 
 def shingles(text: bytes, words: int) -> set[bytes]:

@@ -113,6 +113,23 @@ def test_copies_far_from_the_first_leave_one(spark):
     assert len(gone) == 122 and set(gone.values()) == {0}
 
 
+def test_near_copies_reach_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for k in range(60):  # one text and one with some of its words changed, at Jaccard 0.8 to 1 or below
+        words = [f"w{k}x{j}" for j in range(300)]
+        texts.append(" ".join(words))
+        for at in rng.choice(300, 1 + k % 8, replace=False):
+            words[at] = "changed"
+        texts.append(" ".join(words))
+    sets = [simhash.shingles(t.encode(), 5) for t in texts]
+    near = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(0.8 <= j < 0.9 for j in near) > 15 and min(near) < 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {(r.id, r["first"]) for r in simhash.near_copies(docs).collect()}
+    assert gone == {(2 * k + 1, 2 * k) for k, j in enumerate(near) if j >= 0.8}
+
+
 @pytest.mark.parametrize(("bits", "width", "near"), [(2, 5, 0), (3, 5, 1), (2, 3, 0), (4, 7, 2)])
 def test_covering_links_are_complete(spark, bits, width, near):
     rng = np.random.default_rng(bits)

@@ -43,3 +43,11 @@ def test_copies_leave_one(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, DATA).collect()}
     assert {1, 9} <= kept and 3 not in kept
+
+
+def test_near_copies_leave_one(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    rows = [(1, text), (2, text.replace("word200", "other")), (4, text.replace("word9", "other")), (9, "quite another text of few words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, DATA).collect()}
+    assert kept == {1, 9}
