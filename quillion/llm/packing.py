@@ -1,14 +1,14 @@
-"""Operator 8: best-fit packing of token sequences, in bulk-synchronous sweeps.
+"""Operator 8: best-fit decreasing packing of token sequences, by runs.
 
-Pieces of one length are alike, and so are gaps of one size, so a sweep works on *runs*
+Pieces of one length are alike, and so are gaps of one size, so the matching works on *runs*
 (size, count): at most ``capacity`` runs of pieces whatever the number of documents. Spark
-counts the pieces of each length and numbers them within it; the sweeps decide which ranks
-of a length go into which sequences; a range join of ranks puts every piece in its place.
+counts the pieces of each length and numbers them within it; the matching decides which ranks
+of a length go into which sequences; a range lookup of ranks puts every piece in its place.
 
-One sweep: sort the runs of pieces and of gaps by size; each run of pieces proposes to its
-successor, the smallest gap that holds it; where several propose to one gap, the longer
-pieces rank first and take as many gaps as they have pieces; then the gaps shrink and the
-next sweep begins. Pieces without a successor, longest first, open sequences.
+The matching is sequential and runs on the driver: the lengths are taken from the longest
+down, and each run goes to the smallest gap that holds it, as many pieces at once as that gap
+size has gaps. No two lengths are ever matched at the same time, so there are no rounds on
+Spark and no conflicts to settle.
 """
 
 from __future__ import annotations
