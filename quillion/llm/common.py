@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where
-    that is unset (local tests) a new temporary folder is made and set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset
+    a local session (one process, as in tests) gets a temporary folder, and a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillion-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -37,8 +39,9 @@ BATCH_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Send texts to Python tasks at most 1000 rows at a time for the rest of the session: at
-    Spark's default of 10000, long texts make a batch larger than a worker's share of memory."""
+    """For applications: send texts to Python tasks at most 1000 rows at a time for the rest of the
+    session. At Spark's default of 10000, long texts make a batch larger than a worker's share
+    of memory. Operators leave the session as it is."""
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(conf)) <= BATCH_ROWS:
         spark.conf.set(conf, str(BATCH_ROWS))

@@ -1,136 +1,200 @@
-"""Operator 8: best-fit decreasing packing of token sequences, by runs.
-
-Pieces of one length are alike, and so are gaps of one size, so the matching works on *runs*
-(size, count): at most ``capacity`` runs of pieces whatever the number of documents. Spark
-counts the pieces of each length and numbers them within it; the matching decides which ranks
-of a length go into which sequences; a range lookup of ranks puts every piece in its place.
-
-The matching is sequential and runs on the driver: the lengths are taken from the longest
-down, and each run goes to the smallest gap that holds it, as many pieces at once as that gap
-size has gaps. No two lengths are ever matched at the same time, so there are no rounds on
-Spark and no conflicts to settle.
+"""Operator 8: bulk-synchronous best-fit packing of token sequences.
+
+Pieces of one length are alike, and so are gaps of one size, so rounds work on *runs* (size,
+first, count): of pieces, ranks within a length; of gaps, numbers of sequences. A run table
+has at most a row for each length and a few for each match of a run, so its size depends on
+``capacity`` and not on the number of documents. In each round, all of it on Spark:
+
+1. Pieces longer than the round's cut take part, so that long ones go first: those above half
+   a sequence in the first round, then those down to a fourteenth less in each round after.
+2. Runs of pieces and gaps are sorted by size together and swept once: the *successor* of a
+   piece is the first gap, in order of size, that holds it.
+3. Pieces that have the same successor are in conflict. Rank resolves it: each takes the first
+   gap from its successor on that no piece before it in the order has taken, a running maximum.
+4. For pieces beyond the last gap new sequences are opened: one each if longer than half a
+   sequence, else as many as their tokens fill, and no more than all that is left needs.
+5. A gap is replaced by what is left of it, and what was placed leaves the table.
+
+A piece's place follows from its rank within its length.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, release
-from .tokens import encoder
-
-SALTS = 64
-
-
-def best_fit_runs(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Where the pieces of each length go: ``(length, first rank, count, first sequence,
-    offset)``; rank r of the length goes to sequence first + (r - first rank).
-
-    ``lengths`` counts the pieces of each length from 1 to ``capacity``. Longest pieces place
-    first (best-fit decreasing); all pieces of the current length are matched at once."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size of gap: runs (first sequence, count)
-    sizes: list[int] = []  # of gaps, ascending
-    placed, opened = [], 0
-    for length in sorted(lengths, reverse=True):
-        rank, left = 0, lengths[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):  # no gap holds it: open as many sequences as are filled evenly
-                each = capacity // length
-                new = -(-left // each)
-                sizes_new, first = capacity, opened
-                opened += new
-                _put(gaps, sizes, sizes_new, (first, new))
-                continue
-            size = sizes[at]
-            first, count = gaps[size].pop()
-            took = min(count, left)
-            if took < count:
-                gaps[size].append((first + took, count - took))
-            elif not gaps[size]:
-                del gaps[size], sizes[at]
-            placed.append((length, rank, took, first, capacity - size))
-            rank, left = rank + took, left - took
-            if size > length:
-                _put(gaps, sizes, size - length, (first, took))
-    return placed
-
-
-def _put(gaps: dict, sizes: list[int], size: int, run: tuple[int, int]) -> None:
-    if size not in gaps:
-        gaps[size] = []
-        bisect.insort(sizes, size)
-    gaps[size].append(run)
+from .common import materialize, release, slices
+from .tokens import drop_encoders, encoder
 
+PART = 200_000  # pieces of one length that one task numbers
+SHRINK, LEAST = 1.07, 16  # a round's cut is a SHRINKth of the last; below a LEASTth of a sequence all take part
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col="doc_id", text_col="text") -> DataFrame:
     """Every document's ids and the end id, cut into pieces of at most ``capacity``. A null
-    text counts as empty, so each row has at least one piece."""
+    text counts as empty, so each row has at least one piece; a null id stays null."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, wide = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            rows: list[tuple] = []
-            for at in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(at, 256).to_pylist()
-                for name, ids in zip(names[at : at + 256], enc.encode(texts), strict=True):
-                    ids += end
-                    for k in range(0, len(ids), wide):
-                        part = ids[k : k + wide]
-                        rows.append((name, k // wide, k // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=PIECES.replace(",", "").split()[::2])
+        enc = encoder(vocabulary)
+        for batch in slices(batches, 1000):
+            ids, ends = enc.encode(batch.column(1))
+            n = np.diff(ends) + 1
+            whole = np.full(n.sum(), end_id, "<u4")
+            whole[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n - 1)] = ids
+            first, pieces = np.cumsum(n) - n, -(-n // capacity)
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = nth * capacity
+            length = np.minimum(np.repeat(n, pieces) - start, capacity)
+            raw, at = memoryview(whole.tobytes()), 4 * (np.repeat(first, pieces) + start)
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            names = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), pieces)))
+            columns = [names, pa.array(nth, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32"])
+        drop_encoders()
         release()
 
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(cut, PIECES)
 
 
+PIECE, GAP, PLACED, OPENED = "piece", "gap", "placed", "opened"
+#: Pieces: length, first rank, count, and rounds until they take part. Gaps: size, first sequence,
+#: count. Placed: length, first rank, count, first sequence, gap's size before. One row counts
+#: the sequences opened so far.
+RUN = "kind string, size long, first long, n long, start long, room long, wait int"
+ROUNDS_A_JOB = 4
+
+
+def cuts(capacity: int) -> list[int]:
+    """The rounds' cuts: pieces longer than it take part, and after the last all pieces."""
+    out, cut = [], capacity / 2
+    while cut > capacity / LEAST:
+        out.append(int(cut))
+        cut /= SHRINK
+    return out
+
+
+def _run(kind: str, **fields: str) -> str:
+    kinds = dict(x.split() for x in RUN.split(", "))
+    return f"named_struct({', '.join(f"'{k}', cast({fields.get(k, f"'{kind}'" if k == 'kind' else 'null')} as {t})" for k, t in kinds.items())})"
+
+
+def one_round(runs: DataFrame, capacity: int) -> DataFrame:
+    """The run table after a round (steps 2 to 5 above). Its columns are SQL text: a round has
+    too many of them to be built one by one."""
+    piece, gap, order = f"kind = '{PIECE}'", f"kind = '{GAP}'", "over (order by size, kind, first rows between unbounded preceding and"
+    active = f"({piece} and wait <= 0)"
+
+    def total(flag: str, what: str, window: str = "over ()") -> str:
+        return f"coalesce(sum(if({flag}, {what}, null)) {window}, 0)"
+
+    # The sweep: gaps and pieces before each run, and the successors' running maximum.
+    own = ["kind", "size", "first", "n", "room", "wait"]
+    runs = runs.selectExpr(
+        *own, "start", f"{total(gap, 'n', order + ' 1 preceding)')} as gaps", f"{total(active, 'n', order + ' 1 preceding)')} as pieces", f"{total(gap, 'n')} as all_gaps",
+        f"{total(gap, 'size * n')} as free", f"{total(piece, 'size * n')} as left", f"{total(f'{piece} and wait > 0', 'n')} as later",
+    )
+    ahead = f"max(if({active}, gaps - pieces, null)) {order} current row)"
+    runs = runs.selectExpr("*", f"case when {gap} then gaps when {active} then pieces + {ahead} else start end as at")
+    over = "least(greatest(at + n - all_gaps, 0), n)"
+    runs = runs.selectExpr(*own, "start", "at", "all_gaps", "free", "left", "later", f"{total(active, over + ' * size')} as over", f"{total(f'{active} and 2 * size > {capacity}', over)} as long")
+    # New sequences, but no more than all pieces, those of later rounds too, need beside the gaps.
+    new, need = f"cast(ceil(over / {capacity}) as long)", f"cast(ceil(greatest(left - free, 0) / {capacity}) as long)"
+    runs = runs.selectExpr(*own, "start", "at", "all_gaps", f"if(later > 0, greatest(long, least({new}, {need})), {new}) as new")
+
+    # Marks along the gaps, in order of size: from here on this run of gaps, or of pieces.
+    def span(size: str, first: str, start: str) -> str:
+        return f"named_struct('size', cast({size} as long), 'first', cast({first} as long), 'start', cast({start} as long))"
+
+    def mark(at: str, turn: int, taker: str = "null", of: str = "null", kept: str = "null") -> str:
+        kind = "struct<size:long,first:long,start:long>"
+        fields = (("at", at, "long"), ("turn", turn, "int"), ("taker", taker, kind), ("gap", of, kind), ("kept", kept, f"struct<{RUN}>"), ("end_", "all_gaps + new", "long"))
+        return f"named_struct({', '.join(f"'{k}', cast({v} as {t})" for k, v, t in fields)})"
+
+    here, nobody = span("size", "first", "at"), span("0", "0", "at + n")
+    done = "greatest(least(all_gaps + new - at, n), 0)"
+    waits = mark("null", 3, kept=_run(PIECE, size="size", first="first", n="n", wait="wait - 1"))
+    rest = mark("null", 3, kept=_run(PIECE, size="size", first=f"first + {done}", n=f"n - {done}", wait="wait - 1"))
+    count = mark("null", 3, kept=_run(OPENED, n="n + new"))
+    marks = f"""inline(case
+        when {gap} then array({mark("at", 2, of=here)})
+        when {active} and {done} > 0 then array({mark("at + n", 0, nobody)}, {mark("at", 1, here)}, {rest})
+        when {piece} then array({waits})
+        when kind = '{OPENED}' then array({mark("all_gaps", 2, of=span(str(capacity), "n", "all_gaps"))}, {count})
+        else array({mark("null", 3, kept=_run(PLACED, size="size", first="first", n="n", start="start", room="room"))}) end)"""
+    order = "over (order by at, turn rows between unbounded preceding and current row)"
+    marks = runs.selectExpr(marks).selectExpr(
+        "at", "kept", f"last(taker, true) {order} as taker", f"last(gap, true) {order} as gap", "least(lead(at) over (order by at, turn), end_) as stop"
+    )
+
+    # What each stretch between marks becomes.
+    length = "coalesce(taker.size, 0)"
+    left = _run(GAP, size=f"gap.size - {length}", first="gap.first + at - gap.start", n="stop - at")
+    put = _run(PLACED, size=length, first="taker.first + at - taker.start", n="stop - at", start="gap.first + at - gap.start", room="gap.size")
+    became = f"inline(case when at is null then array(kept) when at < stop and gap is not null then array({left}, {put}) end)"
+    return marks.selectExpr(became).where(f"kind = '{OPENED}' or n > 0 and size > 0")
+
+
+def best_fit_rounds(lengths: DataFrame, capacity: int) -> DataFrame:
+    """Where the pieces of each length go: ``length, rank, n, sequence, size``; piece ``rank + k``
+    of the length goes to sequence ``sequence + k``, which has ``size`` left before.
+
+    ``lengths`` has ``length`` (1 to ``capacity``) and ``n``. :data:`ROUNDS_A_JOB` rounds are one
+    job, whose run table is written to the shared folder; whether any piece is left is all that
+    reaches the driver."""
+    wait = "+".join(["0", *(f"if(length <= {cut}, 1, 0)" for cut in cuts(capacity))])
+    first = lengths.selectExpr(f"inline(array({_run(PIECE, size='length', first='0', n='n', wait=wait)}))")
+    runs = first.unionByName(lengths.sparkSession.range(1).selectExpr(f"inline(array({_run(OPENED, n='0')}))"))
+    left = True
+    while left:
+        for _ in range(ROUNDS_A_JOB):
+            runs = one_round(runs, capacity)
+        seen = Observation()
+        runs = materialize(runs.observe(seen, F.count(F.when(F.col("kind") == PIECE, 1)).alias("left")), "runs")
+        left = seen.get["left"]
+    placed = runs.where(F.col("kind") == PLACED)
+    return placed.select(F.col("size").alias("length"), F.col("first").alias("rank"), "n", F.col("start").alias("sequence"), F.col("room").alias("size"))
+
+
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a table with ``id``, ``piece`` and ``length`` (1 to
-    ``capacity``). The table must give the same rows each time it is read.
-
-    A length that a third of all pieces share is numbered in :data:`SALTS` parts. The driver
-    sees one count for each (length, salt), at most ``capacity * SALTS`` numbers."""
-    rows = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = [tuple(r) for r in rows.groupBy("length", "salt").count().sort("length", "salt").collect()]
-    lengths: dict[int, int] = {}
-    before = []
-    for length, salt, n in counts:
-        before.append((length, salt, lengths.get(length, 0)))
-        lengths[length] = lengths.get(length, 0) + n
-    runs = [(n, a, a + k, s - a, o) for n, a, k, s, o in best_fit_runs(lengths, capacity)]
-    spark = pieces.sparkSession
-    before = spark.createDataFrame(before, "length long, salt int, before long")
-    by_length: dict[int, list] = {}
-    for n, *rest in runs:
-        by_length.setdefault(n, []).append(rest)
-    table = spark.createDataFrame(
-        [(n, [tuple(x) for x in r]) for n, r in by_length.items()],
-        "length long, runs array<struct<lo:long,hi:long,shift:long,offset:long>>",
-    )
-    w = Window.partitionBy("length", "salt").orderBy("id", "piece")
-    ranked = rows.withColumn("n", F.row_number().over(w) - 1).join(F.broadcast(before), ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("n") + F.col("before")).drop("n", "before", "salt")
+    ``capacity``); columns of these names are replaced. The table must give the same rows each
+    time it is read. Rows that share id and piece are numbered in any order; an empty table
+    gives an empty one.
+
+    Pieces are numbered within their length in parts of about :data:`PART`, so that a length
+    which a third of all pieces share is not one task's work."""
+    lengths = materialize(pieces.groupBy("length").agg(F.count("*").alias("n")), "lengths")  # at most ``capacity`` rows
+    parts = lengths.select("length", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rows = pieces.drop("sequence_id", "offset").join(F.broadcast(parts), "length")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.col("parts")).cast("int")).drop("parts")
+    counts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "lengths")
+    placed = best_fit_rounds(lengths, capacity)
+    run = F.struct(F.col("rank").alias("lo"), (F.col("rank") + F.col("n")).alias("hi"), (F.col("sequence") - F.col("rank")).alias("shift"), (capacity - F.col("size")).alias("offset"))
+    table = materialize(placed.groupBy("length").agg(F.collect_list(run).alias("runs")).coalesce(1), "runs")
+    w = Window.partitionBy("length", "part").orderBy("id", "piece")
+    ranked = rows.withColumn("n", F.row_number().over(w) - 1).join(counts, ["length", "part"])
+    ranked = ranked.withColumn("rank", F.col("n") + F.col("before")).drop("n", "before", "part")
     at = F.filter("runs", lambda r: (r.lo <= F.col("rank")) & (F.col("rank") < r.hi))[0]
+    # Bounded by ``capacity``: a row for each length.
     found = ranked.join(F.broadcast(table), "length").withColumn("run", at)
-    return found.withColumns({"sequence_id": F.col("rank") + F.col("run.shift"), "offset": F.col("run.offset")}).drop(
-        "run", "runs", "rank"
-    )
+    found = found.withColumns({"sequence_id": F.col("rank") + F.col("run.shift"), "offset": F.col("run.offset")})
+    return found.select(*[c for c in pieces.columns if c not in ("sequence_id", "offset")], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """``id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
+    """``id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of every row.
+
+    Null and empty texts are one piece of the end id alone; very long texts are cut, and only
+    they are; rows that share an id, repeated rows among them, are packed each; other columns
+    play no part; an empty table gives an empty one."""
     return pack(materialize(token_pieces(docs, vocabulary, end_id, capacity, id_col, text_col), "pieces"), capacity)

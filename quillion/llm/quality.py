@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat_bytes, held_out, release, slices
+from .common import flat_bytes, held_out, release, slices
 
 #: Kinds of bytes: 1 lower case, 2 upper case, 3 digit, 4 space, 5 prose punctuation, 6 bar, 7 other symbol, 8 beyond ASCII.
 KIND = np.full(256, 7, np.uint8)
@@ -175,7 +175,6 @@ def fit_quality(
     the hash of their id, and at most ``max_lines`` consecutive lines of each, taken from the
     middle. Labels other than 0 and 1, and ids that are null or bear both labels, are left out.
     Without labels every line is equally likely good or bad."""
-    bounded_batches(docs.sparkSession)
     key = F.col(f"`{id_col}`")
     chosen = (
         labels.where(F.col(label_col).isin(0, 1) & key.isNotNull() & ~held_out(key))

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, packing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, warc
-from .common import held_out
+from .common import bounded_batches, held_out
 from .tokens import public_path
 
 WORD_BPE, WORD_BPE_SIZE = "word_bpe_49k.json", 49_408
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

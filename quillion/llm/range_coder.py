@@ -1,86 +1,126 @@
 """Adaptive context-mixing range coder for token ids, in independently reset blocks.
 
 Every block starts from an empty model, so any block decodes alone; the blocks of a batch
-are coded side by side, one numpy lane each. The model mixes three predictions of the next
-id: the id last seen after the two before it (order 2), the one last seen after the last
-(order 1), and adaptive frequencies of ids in runs of 256 (order 0). How much weight the
-first two get is learned within the block, by how sure each has been of late. The mixture
-drives a carry-propagating range coder with 32-bit digits.
+are coded side by side, one numpy lane each. A block first gives its distinct ids in the
+order they arrive, by a fixed prior over the vocabulary; from then on an id is its number in
+that order, and the model predicts the next one by mixing three distributions:
+
+- order 0: how often each id has occurred in the block, with a share for an id that has not
+  (as many halves as there have been new ones);
+- order 1 and order 2: the id seen last after the one before, and after the two before, each
+  with a count of how often it has held.
+
+The share of orders 1 and 2 is learned within the block for each pair of such counts. The
+mixture drives a carry-propagating range coder with 32-bit digits.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import numpy as np
 
 UNIT = 64  # weights are in 64ths
-TABLE_BITS = 10  # slots of a context table
+PAIR_BITS = 11  # slots of the order-2 table
 RATE = 4  # how fast weights follow
+RUN, PRIOR_BITS, PRIOR_FLAT = 256, 15, 300
 FLOOR = np.uint64(1 << 31)
+WHOLE = np.uint64((1 << 63) - 1)
+MOST = 8192  # ids in a block
 
 
 class CorruptBlock(ValueError):
     """A block's checksum or length does not hold."""
 
 
+@cache
+def _prior(vocab: int) -> np.ndarray:
+    """Cumulative weights of runs of RUN ids, which fall with the id as in a vocabulary that
+    was merged in order of frequency; ids of a run weigh the same."""
+    runs = -(-vocab // RUN)
+    edges = np.log(np.arange(runs + 1) * RUN + PRIOR_FLAT)
+    spare = (1 << PRIOR_BITS) - runs
+    if spare < 0:
+        raise ValueError(f"a vocabulary of {vocab} ids is too large")
+    return np.arange(runs + 1) + np.floor((edges - edges[0]) / (edges[-1] - edges[0]) * spare).astype(np.int64)
+
+
 class _Model:
-    """State of ``lanes`` blocks; ``look`` before and ``learn`` after each id. Arrays of two
-    rows hold order 1 first, then order 2."""
-
-    def __init__(self, lanes: int, vocab: int, decode: bool):
-        self.runs = -(-vocab // 256)
-        self.bits = max(10, int(self.runs * 4 - 1).bit_length())  # of the order-0 total
-        self.shift = self.bits + 8  # of the whole total, in UNITs
-        lane = np.arange(lanes)
-        both = np.arange(2)[:, None]
-        self.slot, self.gate = (lane + both * lanes) << TABLE_BITS, (lane + both * lanes) * 32
-        self.row, self.cell = lane * self.runs, lane << self.bits
-        self.last = np.zeros(2 * lanes << TABLE_BITS, np.int32)  # an id, then 2 bits of sureness
-        self.trust = np.full(2 * lanes * 32, 1 << 14, np.int32)
-        self.seen = np.full(lanes * self.runs, 1, np.int32)
-        self.decode, self.step = decode, 0
-        self.context = np.zeros((2, lanes), np.int64)
-        self.one = np.zeros(lanes, np.int32)
-        self.refit(lanes)
-
-    def refit(self, lanes: int) -> None:
-        """Order-0 frequencies from what the lanes have seen; they add up to 2 ** bits."""
-        n, total = self.runs, 1 << self.bits
-        seen = self.seen.reshape(-1, n)[:lanes]
-        share = (total - n) / seen.sum(1, keepdims=True, dtype=np.float64)
-        freq = (seen * share).astype(np.int32) + 1
-        freq[np.arange(lanes), seen.argmax(1)] += total - freq.sum(1, dtype=np.int32)
-        self.packed = ((np.cumsum(freq, 1, dtype=np.int32) - freq << 16) | freq).ravel()
-        if self.decode:
-            self.find = np.repeat(np.tile(np.arange(n, dtype=np.int16), lanes), freq.ravel())
-
-    def look(self, n: int) -> None:
+    """State of ``lanes`` blocks with at most ``distinct`` ids each; ``look`` before and
+    ``learn`` after each id. All tables are slot by lane; arrays of two rows hold order 1
+    first, then order 2.
+
+    The sums of order-0 weights are renewed every ``stay`` steps. Until then a number that has
+    just arrived has a weight of one: as many as can arrive are given theirs in advance."""
+
+    def __init__(self, lanes: int, distinct: int, steps: int):
+        self.lanes, self.lane = lanes, np.arange(lanes)
+        rows = distinct + _stay(steps) + 2
+        self.weight = np.zeros((rows, lanes), np.int16)  # twice the occurrences less one
+        self.sums = np.full((1 << rows.bit_length(), lanes), 32767, np.int16)
+        self.flat_weight, self.flat_sums = self.weight.ravel(), self.sums.ravel()
+        self.last = np.zeros((rows + (1 << PAIR_BITS)) * lanes, np.int16)  # an id, then 2 bits of sureness
+        self.trust = np.full(64 * lanes, 1 << 13, np.int32)
+        self.known = np.zeros(lanes, np.int64)
+        self.context = self.lane + np.array([[0], [rows * lanes]])
+        self.gates = self.lane + np.array([[0], [32 * lanes]])
+        self.pairs = rows * lanes + self.lane
+        self.one, self.renew, self.end = np.zeros(lanes, np.int64), 0, np.zeros(lanes, np.int64)
+
+    def look(self, n: int, t: int) -> None:
         """Predictions and weights of the first ``n`` lanes, which shrink but never grow."""
-        self.at = self.slot[:, :n] + self.context[:, :n]
+        if t == self.renew:
+            self._sum(t)
+        self.at = self.context[:, :n]
         entry = self.last.take(self.at)
-        self.p, self.s = entry >> 2, entry & 3
-        p, s = self.p, self.s
-        same = (p[0] == p[1]) & (s[1] > 0)
-        self.ctx = self.gate[:, :n] + (s[1] * 8 + s[0] * 2 + same)
-        self.t = self.trust.take(self.ctx)
-        w = ((self.t * 15 >> 14) + 1) * (s > 0)
+        self.p, self.s = p, s = entry >> 2, entry & 3
+        same = p[0] == p[1]
+        self.gate = ((s[1] << 3) + (s[0] << 1) + same) * np.int64(self.lanes) + self.gates[:, :n]
+        self.t = self.trust.take(self.gate)
+        w = np.minimum(self.t >> 10, 56)
         self.w2 = w[1]
-        self.w1 = np.minimum(w[0], 62 - w[1]) * ~same
-        self.rest = UNIT - self.w1 - self.w2  # all of them 32-bit, as the whole total is below 2 ** 31
-
-    def learn(self, ids: np.ndarray, n: int) -> None:
-        hit = ids == self.p
-        self.trust[self.ctx] = self.t + ((hit * np.int32(65535) - self.t) >> RATE)
-        self.last[self.at] = (ids << 2) + (1 + np.minimum(self.s, 2) * hit)
-        self.seen[self.row[:n] + (ids >> 8)] += 24
-        mask = (1 << TABLE_BITS) - 1
-        self.context[0, :n] = ids * 40503 >> 6 & mask
-        self.context[1, :n] = ids * 48271 + self.one[:n] * 69621 >> 7 & mask
-        self.one[:n] = ids
-        self.step += 1
-        if self.step in (8, 24, 56) or self.step % 128 == 0:
-            self.refit(n)
+        self.w1 = np.minimum(w[0], 60 - w[1]) * ~same
+        both = self.w1 + self.w2
+        self.rest = UNIT - both
+        self.top2, self.top1 = self.w2 * self.total, both * self.total
+
+    def _sum(self, t: int) -> None:
+        stay = _stay(t)
+        end, row = self.known + stay, int(self.end.min())
+        top = int(end.max())
+        rows = np.arange(row, top)[:, None]
+        self.weight[row:top] |= (rows >= self.end) & (rows < end)
+        np.cumsum(self.weight[:top], 0, np.int16, self.sums[1 : top + 1])
+        self.sums[0] = 0
+        self.total, self.fresh = 2 * t + 2 + stay, (self.known + 2).astype(np.int32)
+        self.end, self.renew, self.top = end, t + stay, top
+
+    def find(self, weight: np.ndarray, n: int) -> np.ndarray:
+        """The number whose order-0 weights hold ``weight``, as slot by lane."""
+        at = self.lane[:n].copy()
+        step = 1 << self.top.bit_length() - 1
+        while step:
+            right = self.flat_sums.take(at + step * self.lanes) <= weight
+            at += right * np.int64(step * self.lanes)
+            step >>= 1
+        return at
+
+    def learn(self, x: np.ndarray, at: np.ndarray, n: int) -> None:
+        """``at`` is ``x`` as slot by lane."""
+        new, hit = x == self.known[:n], x == self.p
+        self.trust[self.gate] = self.t + ((hit * np.int32(65535) - self.t) >> RATE)
+        self.last[self.at] = (x << 2) + (1 + np.minimum(self.s, 2) * hit)
+        self.flat_weight[at] += np.int16(2) * ~new
+        self.known[:n] += new
+        self.context[0, :n] = at
+        pair = x * 40503 + self.one[:n] * 69621 >> 5 & (1 << PAIR_BITS) - 1
+        self.context[1, :n] = pair * self.lanes + self.pairs[:n]
+        self.one[:n] = x
+
+
+def _stay(t: int) -> int:
+    return max(1, t >> 4)
 
 
 def _active(sizes: np.ndarray) -> np.ndarray:
@@ -88,61 +128,129 @@ def _active(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(-sizes, -np.arange(sizes.max(initial=0)), side="left")
 
 
-def _order(sizes: np.ndarray) -> np.ndarray:
+def _by_size(sizes: np.ndarray) -> np.ndarray:
     return np.argsort(-sizes, kind="stable")
 
 
+def _numbered(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of ids: each id's number in order of arrival, and which are new; beyond a row's
+    size nothing counts."""
+    rows, steps = ids.shape
+    order = np.argsort(ids, axis=1, kind="stable")
+    ranked = np.take_along_axis(ids, order, 1)
+    begins = np.ones((rows, steps), bool)
+    begins[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    head = np.maximum.accumulate(np.where(begins, np.arange(steps), 0), axis=1)
+    first = np.empty_like(order)
+    np.put_along_axis(first, order, np.take_along_axis(order, head, 1), 1)
+    step = np.arange(steps)
+    new = (first == step) & (step < sizes[:, None])
+    return np.take_along_axis(np.cumsum(new, 1) - 1, first, 1), new
+
+
+class _Writer:
+    def __init__(self, lanes: int, steps: int):
+        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, WHOLE)
+        self.out, self.used = np.zeros((lanes, steps + 2), np.uint64), np.zeros(lanes, np.int64)
+
+    def put(self, n: int, cum: np.ndarray, freq: np.ndarray, total: int) -> None:
+        low, span = self.low[:n], self.span[:n]
+        r = span // np.uint64(total)
+        low += cum.astype(np.uint64) * r
+        np.multiply(freq.astype(np.uint64), r, out=span)
+        k = np.flatnonzero(span < FLOOR)
+        if len(k):
+            self.out[k, self.used[k]] = low[k] >> np.uint64(31)
+            self.used[k] += 1
+            low[k] = (low[k] & np.uint64((1 << 31) - 1)) << np.uint64(32)
+            span[k] <<= np.uint64(32)
+
+    def digits(self) -> np.ndarray:
+        lanes = np.arange(len(self.low))
+        for _ in range(2):
+            self.out[lanes, self.used] = self.low >> np.uint64(31)
+            self.used += 1
+            self.low = (self.low & np.uint64((1 << 31) - 1)) << np.uint64(32)
+        over = np.zeros(len(lanes), np.uint64)
+        for t in range(self.out.shape[1] - 1, -1, -1):
+            digit = self.out[:, t] + over
+            over = digit >> np.uint64(32)
+            self.out[:, t] = digit & np.uint64(0xFFFFFFFF)
+        return self.out.astype("<u4")
+
+
+class _Reader:
+    """The value read so far less the low end of the interval: 63 bits, as the writer's low."""
+
+    def __init__(self, digits: np.ndarray):
+        self.digits, self.wide = digits, digits.shape[1]
+        self.code = (digits[:, 0] << np.uint64(31)) + (digits[:, 1] >> np.uint64(1))
+        self.spare, self.used = digits[:, 1] & np.uint64(1), np.full(len(digits), 2, np.int64)
+        self.span = np.full(len(digits), WHOLE)
+
+    def look(self, n: int, total: int) -> np.ndarray:
+        self.r = self.span[:n] // np.uint64(total)
+        return np.minimum(self.code[:n] // self.r, np.uint64(total - 1)).astype(np.int64)
+
+    def take(self, n: int, cum: np.ndarray, freq: np.ndarray) -> None:
+        code, span = self.code[:n], self.span[:n]
+        code -= cum.astype(np.uint64) * self.r
+        np.multiply(freq.astype(np.uint64), self.r, out=span)
+        k = np.flatnonzero(span < FLOOR)
+        if len(k):
+            new = self.digits[k, np.minimum(self.used[k], self.wide - 1)]
+            code[k] = (code[k] << np.uint64(32)) + (self.spare[k] << np.uint64(31)) + (new >> np.uint64(1))
+            self.spare[k] = new & np.uint64(1)
+            self.used[k] += 1
+            span[k] <<= np.uint64(32)
+
+
+HEAD = 3  # numbers before a block's digits: ids, distinct ids, crc32 of the digits
+
+
 def encode_blocks(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
-    """Each block of ids (0 to vocab - 1) as bytes: count, crc32 of the digits, digits."""
+    """Each block of at most MOST ids (0 to vocab - 1) as bytes."""
     if not blocks:
         return []
     sizes = np.array([len(b) for b in blocks], np.int64)
-    order = _order(sizes)
-    sizes, lanes = sizes[order], len(blocks)
-    steps = int(sizes.max(initial=0))
-    ids = np.zeros((steps, lanes), np.int32)
+    order = _by_size(sizes)
+    sizes, lanes, steps = sizes[order], len(blocks), int(sizes.max(initial=0))
+    if steps > MOST:
+        raise ValueError(f"a block of {steps} ids; {MOST} is the most")
+    ids = np.zeros((lanes, steps), np.uint16 if vocab <= 1 << 16 else np.int64)
     for k, b in enumerate(order):
-        ids[: sizes[k], k] = blocks[b]
-    m = _Model(lanes, vocab, False)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 63) - 1, np.uint64)
-    out, used = np.zeros((lanes, steps + 2), np.uint64), np.zeros(lanes, np.int64)
-    whole = np.uint64(m.shift + 6)
+        ids[k, : sizes[k]] = blocks[b]
+    number, new = _numbered(ids, sizes)
+    distinct = new.sum(1)
+    w = _Writer(lanes, steps + int(distinct.max(initial=0)))
+    # The distinct ids; lanes go by how many they have.
+    rank = _by_size(distinct)
+    words = np.zeros((lanes, int(distinct.max(initial=0))), np.int64)
+    words[np.nonzero(np.arange(words.shape[1]) < distinct[:, None])] = ids[new]
+    words, prior = words[rank].T, _prior(vocab)
+    for t, n in enumerate(_active(distinct[rank])):
+        run = words[t, :n] // RUN
+        freq = prior[run + 1] - prior[run]
+        w.put(n, prior[run] * RUN + words[t, :n] % RUN * freq, freq, RUN << PRIOR_BITS)
+    for x in (w.low, w.span, w.out, w.used):
+        x[rank] = x.copy()
+    m, number = _Model(lanes, int(distinct.max(initial=0)), steps), np.ascontiguousarray(number.T)
     for t, n in enumerate(_active(sizes)):
-        x = ids[t, :n]
-        m.look(n)
-        f = m.packed.take(m.row[:n] + (x >> 8))
-        under, f = f >> 16, f & 0xFFFF
-        cum = ((m.w1 + m.w2) << m.shift) + m.rest * ((under << 8) + (x & 255) * f)
-        freq = m.rest * f
-        k = np.flatnonzero((x == m.p[0]) & (m.w1 > 0))
-        cum[k], freq[k] = m.w2[k] << m.shift, m.w1[k] << m.shift
-        k = np.flatnonzero((x == m.p[1]) & (m.w2 > 0))
-        cum[k], freq[k] = 0, m.w2[k] << m.shift
-        cum, freq = cum.astype(np.uint64), freq.astype(np.uint64)
-        r = span[:n] >> whole
-        low[:n] += cum * r
-        span[:n] = freq * r
-        k = np.flatnonzero(span[:n] < FLOOR)
-        if len(k):
-            out[k, used[k]] = low[k] >> np.uint64(31)
-            used[k] += 1
-            low[k] = (low[k] & np.uint64((1 << 31) - 1)) << np.uint64(32)
-            span[k] <<= np.uint64(32)
-        m.learn(x, n)
-    for _ in range(2):
-        out[np.arange(lanes), used] = low >> np.uint64(31)
-        used += 1
-        low = (low & np.uint64((1 << 31) - 1)) << np.uint64(32)
-    over = np.zeros(lanes, np.uint64)
-    for t in range(out.shape[1] - 1, -1, -1):
-        digit = out[:, t] + over
-        over = digit >> np.uint64(32)
-        out[:, t] = digit & np.uint64(0xFFFFFFFF)
-    digits, done = out.astype("<u4"), [b""] * lanes
+        x = number[t, :n]
+        m.look(n, t)
+        at = x * lanes + m.lane[:n]
+        under, old, fresh = m.flat_sums.take(at), x < m.known[:n], m.fresh[:n]
+        cum = m.top1 + m.rest * np.where(old, under + fresh, 0)
+        freq = m.rest * np.where(old, m.flat_sums.take(at + lanes) - under, fresh)
+        one, two = (x == m.p[0]) & (m.w1 > 0), (x == m.p[1]) & (m.w2 > 0)
+        cum = np.where(two, 0, np.where(one, m.top2, cum))
+        freq = np.where(two, m.top2, np.where(one, m.top1 - m.top2, freq))
+        w.put(n, cum, freq, UNIT * m.total)
+        m.learn(x, at, n)
+    digits, done = w.digits(), [b""] * lanes
     for k, b in enumerate(order):
-        body = digits[k, : used[k]].tobytes() if sizes[k] else b""
-        head = np.array([sizes[k], zlib.crc32(body)], "<u4").tobytes()
-        done[b] = head + body
+        body = digits[k, : w.used[k]].tobytes() if sizes[k] else b""
+        done[b] = np.array([sizes[k], distinct[k], zlib.crc32(body)], "<u4").tobytes() + body
     return done
 
 
@@ -150,56 +258,56 @@ def decode_blocks(blocks: list[bytes], vocab: int) -> list[np.ndarray]:
     """The ids of each block; :class:`CorruptBlock` where a checksum does not hold."""
     if not blocks:
         return []
-    heads = [np.frombuffer(b, "<u4", 2) for b in blocks if len(b) >= 8]
-    if len(heads) < len(blocks) or any(zlib.crc32(b[8:]) != h[1] for b, h in zip(blocks, heads, strict=True)):
+    heads = [np.frombuffer(b, "<u4", HEAD) for b in blocks if len(b) >= 4 * HEAD]
+    if len(heads) < len(blocks) or any(zlib.crc32(b[4 * HEAD :]) != h[2] for b, h in zip(blocks, heads, strict=True)):
         raise CorruptBlock("checksum of a block")
-    sizes = np.array([h[0] for h in heads], np.int64)
-    order = _order(sizes)
-    sizes, lanes = sizes[order], len(blocks)
-    steps = int(sizes.max(initial=0))
-    wide = max(len(b) // 4 for b in blocks) + 2
-    digits = np.zeros((lanes, wide), np.uint64)
+    sizes, distinct = np.array(heads, np.int64)[:, :2].T
+    order = _by_size(sizes)
+    sizes, distinct, lanes, steps = sizes[order], distinct[order], len(blocks), int(sizes.max(initial=0))
+    if steps > MOST or (distinct > sizes).any():
+        raise CorruptBlock("length of a block")
+    digits = np.zeros((lanes, max(len(b) // 4 for b in blocks) - HEAD + 2), np.uint64)
     for k, b in enumerate(order):
-        got = np.frombuffer(blocks[b], "<u4")[2:]
+        got = np.frombuffer(blocks[b], "<u4")[HEAD:]
         digits[k, : len(got)] = got
-    ids = np.zeros((steps, lanes), np.int32)
-    m = _Model(lanes, vocab, True)
-    # The value read so far, less the low end of the interval: 63 bits, as the encoder's low.
-    code = (digits[:, 0] << np.uint64(31)) + (digits[:, 1] >> np.uint64(1))
-    spare, used = digits[:, 1] & np.uint64(1), np.full(lanes, 2, np.int64)
-    span = np.full(lanes, (1 << 63) - 1, np.uint64)
-    whole = np.uint64(m.shift + 6)
+    r = _Reader(digits)
+    rank, prior = _by_size(distinct), _prior(vocab)
+    for x in (r.digits, r.code, r.span, r.spare, r.used):
+        x[:] = x[rank]
+    words = np.zeros((int(distinct.max(initial=0)), lanes), np.int64)
+    for t, n in enumerate(_active(distinct[rank])):
+        v = r.look(n, RUN << PRIOR_BITS)
+        run = np.searchsorted(prior, v // RUN, side="right") - 1
+        freq = prior[run + 1] - prior[run]
+        inner = (v - prior[run] * RUN) // freq
+        words[t, :n] = run * RUN + inner
+        r.take(n, prior[run] * RUN + inner * freq, freq)
+    for x in (r.digits, r.code, r.span, r.spare, r.used):
+        x[rank] = x.copy()
+    words[:, rank] = words.copy()
+    number = np.zeros((steps, lanes), np.int64)
+    m = _Model(lanes, int(distinct.max(initial=0)), steps)
     for t, n in enumerate(_active(sizes)):
-        m.look(n)
-        r = span[:n] >> whole
-        v = np.minimum(code[:n] // r, np.uint64((UNIT << m.shift) - 1)).astype(np.int32)
-        top2, top1 = m.w2 << m.shift, (m.w1 + m.w2) << m.shift
-        inner = np.maximum(v - top1, 0)
-        inner = (inner / m.rest).astype(np.int32)
-        high = m.find.take(m.cell[:n] + (inner >> 8)).astype(np.int32)
-        f = m.packed.take(m.row[:n] + high)
-        under, f = f >> 16, f & 0xFFFF
-        byte = ((inner - (under << 8)) / f).astype(np.int32)
-        x = (high << 8) + byte
-        cum = top1 + m.rest * ((under << 8) + byte * f)
-        freq = m.rest * f
-        k = np.flatnonzero(v < top1)
-        x[k], cum[k], freq[k] = m.p[0][k], top2[k], top1[k] - top2[k]
-        k = np.flatnonzero(v < top2)
-        x[k], cum[k], freq[k] = m.p[1][k], 0, top2[k]
-        cum, freq = cum.astype(np.uint64), freq.astype(np.uint64)
-        code[:n] -= cum * r
-        span[:n] = freq * r
-        k = np.flatnonzero(span[:n] < FLOOR)
-        if len(k):
-            new = digits[k, np.minimum(used[k], wide - 1)]
-            code[k] = (code[k] << np.uint64(32)) + (spare[k] << np.uint64(31)) + (new >> np.uint64(1))
-            spare[k] = new & np.uint64(1)
-            used[k] += 1
-            span[k] <<= np.uint64(32)
-        ids[t, :n] = x
-        m.learn(x, n)
-    done: list[np.ndarray] = [np.zeros(0, np.int32)] * lanes
+        m.look(n, t)
+        v, fresh = r.look(n, UNIT * m.total), m.fresh[:n]
+        inner = np.maximum(v - m.top1, 0) // m.rest - fresh
+        old = inner >= 0
+        at = m.find(inner, n)
+        under = m.flat_sums.take(at)
+        at = np.where(old, at, m.known[:n] * lanes + m.lane[:n])
+        cum = m.top1 + m.rest * np.where(old, under + fresh, 0)
+        freq = m.rest * np.where(old, m.flat_sums.take(at + lanes) - under, fresh)
+        x = at // lanes
+        one, two = v < m.top1, v < m.top2
+        if one.any():
+            x = np.where(two, m.p[1], np.where(one, m.p[0], x))
+            at = x * lanes + m.lane[:n]
+            cum = np.where(two, 0, np.where(one, m.top2, cum))
+            freq = np.where(two, m.top2, np.where(one, m.top1 - m.top2, freq))
+        r.take(n, cum, freq)
+        number[t, :n] = x
+        m.learn(x, at, n)
+    ids, done = np.take_along_axis(words, number, 0) if steps else number, [np.zeros(0, np.int64)] * lanes
     for k, b in enumerate(order):
-        done[b] = ids[: sizes[k], k]
+        done[b] = ids[: sizes[k], k].copy()
     return done

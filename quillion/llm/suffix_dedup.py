@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat_bytes, materialize, release, slices
+from .common import flat_bytes, materialize, release, slices
 
 GRAM = 24
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -429,7 +429,6 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     if not 32 <= length <= 150:
         raise ValueError("length must be from 32 to 150")
     spark = docs.sparkSession
-    bounded_batches(spark)
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key, sub = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), F.crc32(text).bitwiseAND(F.lit(0xFFFF)).cast("int")

@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, release
+from .common import materialize, release, slices
 from .range_coder import CorruptBlock, decode_blocks, encode_blocks
-from .tokens import encoder
+from .tokens import drop_encoders, encoder
 
 HEAD = struct.Struct("<4sHIIIQ")
 BLOCK = 2048
@@ -79,36 +79,40 @@ def write_token_files(
     each other by text; an empty table gives an empty one."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        names, held, size, before = [], [], 0, 0
+        enc, part, seq, tail = encoder(vocabulary), TaskContext.get().partitionId(), 0, int(end_id is not None)
+        names, sizes, held, size, before = [], [], [], 0, 0
 
         def done() -> pa.RecordBatch:
-            counts = np.array([len(x) // 4 for x in held], np.uint32)
-            ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
-            data = pack_segment(names, counts, ids, vocab_size)
+            ids = np.concatenate(held)
+            data = pack_segment(names, np.concatenate(sizes), ids, vocab_size)
             row = [[part], [seq], [before], [len(names)], [len(ids)], [data]]
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(row, kinds)], names=["part", "seq", "before", "n_docs", "n_tokens", "data"]
             )
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for name, ids in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist()), strict=True):
-                    names.append(name)
-                    held.append(ids + tail)
-                    size += len(ids) // 4
-                    if size >= segment:
-                        yield done()
-                        before += sum(map(len, held)) // 4
-                        names, held, size, seq = [], [], 0, seq + 1
+        for batch in slices(batches, 500):
+            ids, ends = enc.encode(batch.column(1))
+            n = np.diff(ends) + tail
+            whole = np.full(n.sum(), end_id or 0, np.uint32)
+            whole[np.arange(len(ids)) + tail * np.repeat(np.arange(len(n)), n - tail)] = ids
+            texts, cut = batch.column(0).to_pylist(), np.concatenate([[0], np.cumsum(n)])
+            at = 0
+            while at < len(n):  # a segment ends with the document that fills it
+                to = min(len(n), int(np.searchsorted(cut, cut[at] + segment - size)))
+                to = max(to, at + 1)
+                names += texts[at:to]
+                sizes.append(n[at:to])
+                held.append(whole[cut[at] : cut[to]])
+                size, at = size + int(cut[to] - cut[at]), to
+                if size >= segment:
+                    yield done()
+                    names, sizes, held, size, seq, before = [], [], [], 0, seq + 1, before + size
         if names:
             yield done()
+        drop_encoders()
         release()
 
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     return materialize(rows.mapInArrow(pack, SEGMENTS), "token-files")

@@ -1,26 +1,27 @@
-"""Word-wise encoding with a public tokenizer, for operators that need every token id.
+"""Encoding with a public tokenizer, for operators that need every token id.
 
-The normaliser of the vocabulary maps white space to blanks and its pre-tokenizer never
-lets a token cross one, so the ids of a text are the ids of its white-space-separated
-words, one after the other. Each worker therefore keeps the ids of the words it has met
-and asks the library only for new ones, in batches.
+The vocabulary drops white space, and its pre-tokenizer never lets a token reach over white
+space or from an ASCII letter to a full stop or comma or back. Texts are cut there into
+*pieces*, each with the white space before it; the ids of a text are those of its pieces, one
+after the other. Arrow numbers the distinct pieces of a batch, the worker remembers the ids
+of those it has met, and the library is asked for the rest only.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import flat_bytes
 
-#: Unicode White_Space, as the vocabulary's own pattern \\s takes it.
-SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Texts whose words are better asked for as they stand: marks that could combine with a
-#: letter, letters whose lower case depends on their place, separators that only Python splits at.
-UNEASY = re.compile("[^\x00-\x1b\x20-\x84\x86-\u02ff]")
-LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
-#: In a lower-cased text, a leading run of letters and a closing run of full stops and commas
-#: are tokens apart from what follows or precedes, so they can be looked up on their own.
-PIECES = re.compile("[a-z\xdf-\xf6\xf8-\xff]+(?=[\\s.,]|$)|[.,]+(?=\\s|$)|\\S+")
+#: Kinds of bytes: 1 letter, 2 full stop or comma, 3 white space, 0 any other.
+KIND = np.zeros(256, np.uint8)
+KIND[65:91] = KIND[97:123] = 1
+KIND[list(b".,")] = 2
+KIND[list(b" \t\n\r\x0b\x0c")] = 3
+LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+SLICE = 2_500_000  # bytes of text encoded at a time
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -32,63 +33,121 @@ def public_path(name: str) -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    """Ids of whole texts. At most about ``cache_words`` pieces are remembered, as Arrow strings;
+    beyond that the half that was asked for least is forgotten."""
 
-    def __init__(self, path: str, cache_words: int = 200_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, cache_words: int = 300_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
         self.limit = cache_words
-        self.known: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        # Nothing of lower-case Latin words is normalised or cut, so they can go without.
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
         pieces = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(pieces.values()) + 1, bool)
         self.closing[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
-        if not self._by_words():
-            self.encode = self._encode_whole
-
-    def _by_words(self) -> bool:
-        """Whether this vocabulary drops white space, as word-wise encoding needs."""
-        text = "A b\tc 'd\n e,f g"
-        return self._ids([text])[0] == b"".join(self._ids(SPACES.split(text)))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, words: list[str]) -> None:
-        """Ask the library for new words. Runs of letters go as one text: each is one
+        self.by_pieces = self._drops_spaces()
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = pa.array([""])
+        self.start, self.size, self.asked = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _drops_spaces(self) -> bool:
+        """Whether this vocabulary drops white space, as encoding by pieces needs, and marks the
+        ends of words."""
+        parts = ["A", " b", "\tc", " 'd", "\n e", ",", "f", " g", "..", "\r\n"]
+        if self._library(["".join(parts)])[0] != sum(self._library(parts), []):
+            return False
+        text = "one twofold thréeføldly"
+        ids = self._library([text])[0]
+        return int(self.closing[ids].sum()) == 3 and ids == self.plain.encode(text, add_special_tokens=False).ids
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: pa.Array) -> None:
+        """Ask the library for new pieces. Lower-case Latin words go as one text: each is one
         pre-token, and its last id is the only one whose piece ends a word."""
-        plain = [w for w in words if w.isalpha() and w.isascii() or LETTERS.fullmatch(w)]
-        ids = np.frombuffer(self._ids([" ".join(plain)])[0], "<u4")
-        ends = np.flatnonzero(self.closing[ids]) + 1
-        if len(ends) != len(plain):
-            plain, ends = [], ends[:0]
-        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-        self.known.update(zip(plain, (raw[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))
-        rest = list(set(words).difference(plain))
-        self.known.update(zip(rest, self._ids(rest), strict=True))
-
-    def _encode_whole(self, texts: list[str | None]) -> list[bytes]:
-        return self._ids([x or "" for x in texts])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 1024):
-            words = [
-                [] if not x else SPACES.split(x) if UNEASY.search(x) or "<|" in x else PIECES.findall(x.lower())
-                for x in texts[at : at + 1024]
-            ]
-            known = self.known
-            new = list(set().union(*words).difference(known))
-            if new:
-                if len(known) + len(new) > self.limit:
-                    known.clear()
-                    new = list(set().union(*words))
-                for k in range(0, len(new), 20_000):
-                    self._learn(new[k : k + 20_000])
-            get = known.__getitem__
-            out += [b"".join(map(get, x)) for x in words]
-        return out
+        easy = pc.match_substring_regex(words, LATIN)
+        plain, rest = words.filter(easy), words.filter(pc.invert(easy))
+        for at in range(0, len(plain), 20_000):
+            some = plain.slice(at, 20_000)
+            found = self.plain.encode_batch_fast([" ".join(some.to_pylist())], add_special_tokens=False)
+            ids = np.array(found[0].ids, np.uint32)
+            self._remember(some, ids, np.diff(np.flatnonzero(self.closing[ids]) + 1, prepend=0))
+        for at in range(0, len(rest), 20_000):
+            some = rest.slice(at, 20_000)
+            found = self._library([x.decode(errors="replace") for x in some.cast(pa.binary()).to_pylist()])
+            self._remember(some, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def _remember(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if len(words) != len(sizes):
+            raise ValueError(f"{len(sizes)} word ends for {len(words)} words")
+        self.words = pa.concat_arrays([self.words, words])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size, self.asked = np.concatenate([self.size, sizes]), np.concatenate([self.asked, np.zeros(len(words), np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _make_room(self) -> None:
+        k = np.argsort(-self.asked[1:], kind="stable")[: self.limit // 2] + 1
+        words, start, n, ids, asked = self.words.take(pa.array(k)), self.start[k], self.size[k], self.ids, self.asked[k]
+        self.forget()
+        self._remember(words, ids[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())], n)
+        self.asked[1:] = asked // 2
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column end to end (uint32) and the n + 1 places where texts
+        begin and end; null counts as empty."""
+        raw, ends = flat_bytes(column)
+        ids, sizes, at, n = [], [], 0, len(ends) - 1
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, side="right")) - 1)
+            found, size = self._some(raw[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
+            ids.append(found)
+            sizes.append(size)
+            at = to
+        sizes = np.concatenate([np.zeros(1, np.int64), *sizes])
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.cumsum(sizes)
+
+    def _some(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of some texts."""
+        if not self.by_pieces:
+            data = raw.tobytes()
+            found = self._library([data[a:b].decode(errors="replace") for a, b in zip(ends, ends[1:])])
+            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+        kind = KIND[raw]
+        begins = np.zeros(len(raw), bool)
+        before, here = kind[:-1], kind[1:]
+        # Into white space; or between a letter (1) and a full stop (2).
+        begins[1:] = ((here == 3) & (before != 3)) | ((here ^ before == 3) & (here > 0) & (before > 0))
+        begins[ends[:-1][np.diff(ends) > 0]] = True
+        cuts = np.append(np.flatnonzero(begins), len(raw)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(raw))])
+        coded = pieces.dictionary_encode()
+        words = pc.ascii_trim_whitespace(coded.dictionary)
+        # What could compose, or be a special token, is left for the library to lower-case.
+        words = pc.if_else(pc.match_substring_regex(words, LATIN), pc.utf8_lower(words), words)
+        words = pc.if_else(pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|"))), pc.ascii_lower(words), words)
+        number = pc.index_in(words, value_set=self.words)
+        if number.null_count:
+            new = words.filter(pc.is_null(number)).unique()
+            if len(self.words) + len(new) > self.limit:
+                self._make_room()
+                new = words.filter(pc.is_null(pc.index_in(words, value_set=self.words))).unique()
+            self._learn(new)
+            number = pc.index_in(words, value_set=self.words)
+        which = number.to_numpy()[coded.indices.to_numpy()]
+        self.asked += np.bincount(which, minlength=len(self.asked))
+        size = self.size[which]
+        total = np.cumsum(size)
+        where = np.repeat(self.start[which] - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+        cut = np.append(0, total)[np.searchsorted(cuts, ends)]
+        return self.ids[where], np.diff(cut)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -99,3 +158,9 @@ def encoder(path: str) -> WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
+
+
+def drop_encoders() -> None:
+    """Forget all encoders of this worker, as a task does when it ends: the worker lives on, and
+    other operators' tasks need the memory."""
+    _encoders.clear()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat_bytes, held_out, release
+from .common import flat_bytes, held_out, release
 
 BUCKET_BITS, DIM, SIZES, WINDOW = 16, 12, (3, 4, 5), 8
 #: Lower-cases A-Z; white space, controls and punctuation between words become blanks.
@@ -116,7 +116,6 @@ def fit_toxicity(
     """The model from at most ``max_docs`` labelled documents of each class that are not held
     out, chosen by the hash of their id, and at most ``max_windows`` evenly spaced windows of
     each. Labels other than 0 and 1, and ids that are null or bear both, are left out."""
-    bounded_batches(docs.sparkSession)
     key = F.col(f"`{id_col}`")
     usable = (
         labels.where(F.col(label_col).isin(0, 1) & key.isNotNull() & ~held_out(key))
