@@ -169,11 +169,10 @@ def train(per_text: np.ndarray, bins: np.ndarray, label: np.ndarray, rounds: int
 
 
 def fit_quality(
-    docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int = 32, id_col="doc_id", text_col="text", label_col="quality"
+    docs: DataFrame, labels: DataFrame, max_docs: int = 4000, id_col="doc_id", text_col="text", label_col="quality"
 ) -> tuple:
     """The model from at most ``max_docs`` labelled documents that are not held out, chosen by
-    the hash of their id, and at most ``max_lines`` consecutive lines of each, taken from the
-    middle. Labels other than 0 and 1, and ids that are null or bear both labels, are left out.
+    the hash of their id, and all lines of each. Labels other than 0 and 1, and ids that are null or bear both labels, are left out.
     Without labels every line is equally likely good or bad."""
     key = F.col(f"`{id_col}`")
     chosen = (
@@ -189,9 +188,8 @@ def fit_quality(
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
             per_text, _, bins = lines_of(batch.column(0))
-            first = np.cumsum(per_text) - per_text
-            at = [(a + max(0, (n - max_lines) // 2), min(n, max_lines)) for a, n in zip(first.tolist(), per_text.tolist())]
-            parts = [bins[a : a + n].tobytes() for a, n in at]
+            cut = np.concatenate([[0], np.cumsum(per_text)]).tolist()
+            parts = [bins[a:b].tobytes() for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), batch.column(1)], names=["bins", "y"])
 
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), key.cast("long").alias("key"))
@@ -205,7 +203,8 @@ def fit_quality(
 
 
 def quality_score(text, model: tuple):
-    """Column of scores from 0 to 1 for a text column; null counts as empty."""
+    """Column of scores from 0 to 1 for a text column, over all lines of each text, however long.
+    Null counts as empty, which is one empty line; equal texts score alike."""
     weights, turn = model
 
     def score(column: pa.Array) -> pa.Array:

@@ -1,9 +1,12 @@
-"""Operator 5: toxicity from averaged subword embeddings and a linear softmax.
+"""Operator 5: toxicity from averaged subword embeddings and a linear softmax, by the worst window.
+
+A departure from one mean over the whole text: a document is as toxic as its most toxic window
+of 8 words, since a few words among thousands would not move the mean of all.
 
 A word is the bag of its 3- to 5-byte n-grams, its ends marked, hashed into one table of
-vectors; a window is the mean of the vectors of its words' n-grams; a softmax on that mean
-says toxic or not, and a document is as toxic as its most toxic window. Vectors and softmax
-are learned together. A misspelt word shares most of its n-grams with the word it is from.
+vectors; a window is the mean of the vectors of its words' n-grams; a softmax of two outputs
+on that mean says toxic or not. Vectors and softmax are learned together, each by the
+gradient of the same loss. A misspelt word shares most of its n-grams with the word it is from.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, held_out, release
+from .common import flat_bytes, held_out, release, slices
 
 BUCKET_BITS, DIM, SIZES, WINDOW = 16, 12, (3, 4, 5), 8
 #: Lower-cases A-Z; white space, controls and punctuation between words become blanks.
@@ -67,55 +70,72 @@ def grams_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return per_text, count[fresh], bucket[order].astype(np.uint16)
 
 
-def train(docs: list[tuple[int, list[np.ndarray]]], epochs: int = 24, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Score of each bucket and bias, from (label, windows of buckets) of each document. In
-    the first epochs each window bears its document's label, later only the highest one."""
+def means(vectors: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Mean vector of each window; ``rows`` are the n-grams of all windows, ``sizes`` of each."""
+    return np.add.reduceat(vectors[rows], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+
+
+def probabilities(mean: np.ndarray, soft: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    logit = mean @ soft.T + bias
+    logit -= logit.max(1, keepdims=True)
+    return np.exp(logit) / np.exp(logit).sum(1, keepdims=True)
+
+
+def gradients(vectors, soft, bias, rows, sizes, label, weight) -> tuple:
+    """Of the weighted log-likelihood of windows' labels: n-grams and the gradient of each one's
+    vector, the gradient of the softmax and of its bias."""
+    mean = means(vectors, rows, sizes)
+    off = (np.eye(2)[label] - probabilities(mean, soft, bias)) * weight[:, None]
+    used, where = np.unique(rows, return_inverse=True)
+    push = np.repeat(off @ soft / sizes[:, None], sizes, axis=0)
+    moved = np.stack([np.bincount(where, push[:, k], len(used)) for k in range(push.shape[1])], 1)
+    return used, moved, off.T @ mean, off.sum(0)
+
+
+def train(docs: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 16, seed: int = 7) -> tuple:
+    """``vectors, soft, bias`` from (label, windows' sizes, n-grams of all windows) of each
+    document, by Adagrad. In the first epochs each window bears its document's label, later only
+    the highest one."""
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIM))
-    soft, bias = rng.normal(0, 0.5, DIM), -1.0
-    docs = [(y, w) for y, w in docs if w]
-    toxic = sum(y for y, _ in docs)
+    vectors, soft, bias = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIM)), rng.normal(0, 0.3, (2, DIM)), np.zeros(2)
+    docs = [d for d in docs if len(d[1])]
+    toxic = sum(d[0] for d in docs)
     if not toxic or toxic == len(docs):
-        return np.zeros(1 << BUCKET_BITS), 9.0 if docs and toxic else -9.0
-    weight = min(4.0, (len(docs) - toxic) / toxic)
-    squares = np.full(len(vectors), 1e-6)
+        bias[:] = (-4.5, 4.5) if docs and toxic else (4.5, -4.5)
+        return 0 * vectors, soft, bias
+    balance = min(4.0, (len(docs) - toxic) / toxic)
+    squares = [np.full(x.shape, 1e-6) for x in (vectors, soft, bias)]
     for epoch in range(epochs):
-        rate = 0.5 * (1 - epoch / epochs) + 0.05
+        rate = 0.15 * (1 - epoch / epochs) + 0.01
         for batch in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // 64)):
-            flat = [w for i in batch for w in docs[i][1]]
-            sizes = np.array([len(w) for w in flat])
+            some = [docs[i] for i in batch]
+            sizes, rows = np.concatenate([d[1] for d in some]).astype(np.int64), np.concatenate([d[2] for d in some])
+            owner = np.repeat(np.arange(len(some)), [len(d[1]) for d in some])
+            label = np.array([d[0] for d in some])
             first = np.cumsum(sizes) - sizes
-            buckets = np.concatenate(flat)
-            scalar = vectors @ soft
-            logit = np.add.reduceat(scalar[buckets], first) / sizes + bias
-            owner = np.repeat(np.arange(len(batch)), [len(docs[i][1]) for i in batch])
-            label = np.array([docs[i][0] for i in batch], float)
-            if epoch >= 4:
-                order = np.lexsort((logit, owner))
+            if epoch >= 3:
+                turn = (vectors @ (soft[1] - soft[0])).astype(np.float32)
+                order = np.lexsort((np.add.reduceat(turn[rows], first) / sizes, owner))
                 pick = order[np.append(owner[order][1:] != owner[order][:-1], True)]
-                share = np.ones(len(pick))
+                n = sizes[pick]
+                rows = rows[np.repeat(first[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                sizes, y, share = n, label[owner[pick]], 1.0
             else:
-                pick = np.arange(len(flat))
-                share = 1 / np.bincount(owner)[owner]
-            y = label[owner[pick]]
-            off = (y - 1 / (1 + np.exp(-np.clip(logit[pick], -30, 30)))) * np.where(y > 0, weight, 1) * share
-            rows = np.concatenate([flat[k] for k in pick])
-            mean = np.repeat(off / sizes[pick], sizes[pick])
-            soft_step = (vectors[rows] * mean[:, None]).sum(0) / len(batch)
-            step = np.bincount(rows, mean, minlength=len(vectors))
-            squares += step**2
-            vectors += (rate * step / np.sqrt(squares))[:, None] * soft[None] / (soft @ soft)
-            soft += 0.5 * rate * soft_step
-            bias += 0.2 * rate * off.sum() / len(batch)
-    return vectors @ soft, float(bias)
-
-
-def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_windows: int = 200, id_col="doc_id", text_col="text", label_col="toxic"
-) -> tuple[np.ndarray, float]:
-    """The model from at most ``max_docs`` labelled documents of each class that are not held
-    out, chosen by the hash of their id, and at most ``max_windows`` evenly spaced windows of
-    each. Labels other than 0 and 1, and ids that are null or bear both, are left out."""
+                y, share = label[owner], 1 / np.bincount(owner)[owner]
+            used, *steps = gradients(vectors, soft, bias, rows, sizes, y, np.where(y > 0, balance, 1.0) * share)
+            squares[0][used] += steps[0] ** 2
+            vectors[used] += rate * steps[0] / np.sqrt(squares[0][used])
+            for x, total, step in ((soft, squares[1], steps[1]), (bias, squares[2], steps[2])):
+                total += step**2
+                x += rate * step / np.sqrt(total)
+    return vectors, soft, bias
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, id_col="doc_id", text_col="text", label_col="toxic") -> tuple:
+    """The model from at most ``max_docs`` labelled documents that are not held out, a quarter of
+    them toxic ones, chosen by the hash of their id, and all windows of each. Labels other than
+    0 and 1, and ids that are null or bear both, are left out. Without labels of both kinds the
+    score is the same for all."""
     key = F.col(f"`{id_col}`")
     usable = (
         labels.where(F.col(label_col).isin(0, 1) & key.isNotNull() & ~held_out(key))
@@ -129,33 +149,31 @@ def fit_toxicity(
     chosen = chosen[0].unionByName(chosen[1])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                piece = batch.slice(at, 100)
-                per_text, per_word, bucket = grams_of(piece.column(0))
-                cut = np.concatenate([[0], np.cumsum(per_word)])
-                first = np.cumsum(per_text) - per_text
-                found = []
-                for a, n in zip(first.tolist(), per_text.tolist()):
-                    k = np.arange(0, n, WINDOW)
-                    if len(k) > max_windows:
-                        k = k[np.linspace(0, len(k) - 1, max_windows).astype(int)]
-                    found.append([bucket[cut[a + s] : cut[a + min(s + WINDOW, n)]].tobytes() for s in k.tolist()])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.list_(pa.binary())), piece.column(1)], names=["windows", "y"]
-                )
+        for piece in slices(batches, 100):
+            per_text, per_word, bucket = grams_of(piece.column(0))
+            cut = np.concatenate([[0], np.cumsum(per_word)])
+            first = np.cumsum(per_text) - per_text
+            sizes, grams = [], []
+            for a, n in zip(first.tolist(), per_text.tolist()):
+                edge = cut[a + np.append(np.arange(0, n, WINDOW), n)]
+                size = np.diff(edge)
+                sizes.append(size[size > 0].astype(np.uint32).tobytes())
+                grams.append(bucket[edge[0] : edge[-1]].tobytes())
+            yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(sizes, pa.binary()), pa.array(grams, pa.binary())], names=["y", "sizes", "grams"])
 
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), key.cast("long").alias("key"))
     rows = texts.join(F.broadcast(chosen), "key").select("text", F.col("y").cast("int").alias("y"))
-    found = sorted((r.y, [bytes(w) for w in r.windows]) for r in rows.mapInArrow(windows, "windows array<binary>, y int").collect())
-    return train([(y, [np.frombuffer(w, np.uint16) for w in ws if w]) for y, ws in found])
+    found = sorted((r.y, bytes(r.sizes), bytes(r.grams)) for r in rows.mapInArrow(windows, "y int, sizes binary, grams binary").toLocalIterator())
+    return train([(y, np.frombuffer(n, np.uint32), np.frombuffer(g, np.uint16)) for y, n, g in found])
 
 
-def toxicity_score(text, model: tuple[np.ndarray, float], stride: int = 4):
+def toxicity_score(text, model: tuple, stride: int = 4):
     """Column of scores from 0 to 1; windows start at every ``stride``-th word and the last
-    ends with the text. A text without words (null too) scores as the bias alone does."""
-    scalar, bias = model
-    scalar = scalar.astype(np.float32)
+    ends with the text, however long it is. A text without words (null too) scores as the bias
+    alone does; equal texts score alike."""
+    vectors, soft, bias = model
+    # A linear softmax of a mean is the mean of what each vector adds to the difference of logits.
+    scalar, bias = (vectors @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0])
 
     def score(column: pa.Array) -> pa.Array:
         out = np.full(len(column), bias)
