@@ -89,7 +89,7 @@ def _run(kind: str, **fields: str) -> str:
 def one_round(runs: DataFrame, capacity: int) -> DataFrame:
     """The run table after a round (steps 2 to 5 above). Its columns are SQL text: a round has
     too many of them to be built one by one."""
-    piece, gap, order = f"kind = '{PIECE}'", f"kind = '{GAP}'", "over (order by size, kind, first rows between unbounded preceding and"
+    piece, gap, order = f"kind = '{PIECE}'", f"kind = '{GAP}'", "over (order by size, kind desc, first rows between unbounded preceding and"
     active = f"({piece} and wait <= 0)"
 
     def total(flag: str, what: str, window: str = "over ()") -> str:

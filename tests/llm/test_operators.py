@@ -6,14 +6,17 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quillion.llm import decontaminate, embeddings, packing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, warc
 from quillion.llm.common import components
-from quillion.llm.range_coder import CorruptBlock, decode_blocks, encode_blocks
-from quillion.llm.tokens import encoder, public_path
+from quillion.llm.range_coder import HEAD, MOST, CorruptBlock, decode_blocks, encode_blocks
+from quillion.llm.tokens import WordEncoder, public_path
 
 VOCAB = public_path("word_bpe_49k.json")
 PASSAGE = "the quick brown fox jumps over the lazy dog while twelve green birds sing of summer rain and nobody minds"
@@ -39,31 +42,73 @@ def empty(spark):
 
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)
-    for sizes in ([0], [1], [5, 0, 3], [300] * 5, [2048, 7]):
-        for top in (2, 300, 49408):
+    for sizes in ([0], [1], [5, 0, 3], [300] * 5, [2048, 7], [2500]):
+        for top in (1, 2, 300, 49408):
             blocks = [rng.integers(0, top, n) for n in sizes]
             coded = encode_blocks(blocks, 49408)
             assert all(np.array_equal(a, b) for a, b in zip(blocks, decode_blocks(coded, 49408), strict=True))
-    bad = bytearray(encode_blocks([rng.integers(0, 99, 50)], 100)[0])
-    bad[12] ^= 1
-    with pytest.raises(CorruptBlock):
-        decode_blocks([bytes(bad)], 100)
+            assert all(np.array_equal(a, decode_blocks([c], 49408)[0]) for a, c in zip(blocks, coded))  # each block alone
+    for bad in range(4 * HEAD, 40, 5):
+        data = bytearray(encode_blocks([rng.integers(0, 99, 50)], 100)[0])
+        data[bad] ^= 1
+        with pytest.raises(CorruptBlock):
+            decode_blocks([bytes(data)], 100)
+    assert decode_blocks(encode_blocks([np.array([70000, 3])], 100_000), 100_000)[0].tolist() == [70000, 3]
+    with pytest.raises(ValueError):
+        encode_blocks([np.zeros(MOST + 1, np.int64)], 100)
+
+
+def test_range_coder_predicts_ids():
+    """Blocks of 2048 ids of prose, coded apart, beat adaptive counts of ids and a general packer."""
+    texts = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' order by doc_id limit 300").fetchall()
+    ids = np.array([i for x in library_ids([t for (t,) in texts], 2) for i in x])
+    bits = 8 * sum(map(len, encode_blocks([ids[k : k + 2048] for k in range(0, len(ids), 2048)], 49408))) / len(ids)
+    assert bits < 8.8 < 8 * len(zlib.compress(ids.astype("<u2").tobytes())) / len(ids)
+    again = np.tile(rng_ids := np.random.default_rng(1).integers(0, 49408, 64), 32)  # order 2 finds what repeats
+    assert 8 * len(encode_blocks([again], 49408)[0]) / len(again) < 1.5 < np.log2(len(set(rng_ids.tolist()))) / 2
+
+
+def library_ids(texts, end=None):
+    """Ids of whole texts, asked of the tokenizers library itself."""
+    library = Tokenizer.from_file(VOCAB)
+    return [x.ids + ([] if end is None else [end]) for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+PARTS = [
+    "a", "The", "don't", "'s", "'LL", ".", ",", "..", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0",
+    "\u2003", "\u3000", "é", "É", "İ", "Σ", "ς", "\u0301", "\u0331", "H\u0331", "東京", "—", "1", "23", "½", "\u200b", "ß", "ﬁ", "\x00", "🙂", "\r\n", "'", "-", "_",
+]
+
+
+@pytest.mark.parametrize("cache", [300_000, 40])
+def test_tokens_are_the_librarys(cache):
+    enc, rng = WordEncoder(VOCAB, cache), np.random.default_rng(1)
+    made = ["".join(rng.choice(PARTS, rng.integers(0, 14))) for _ in range(4000)]
+    for texts in (TEXTS, [], made[:2000], made[2000:]):
+        ids, ends = enc.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == library_ids(texts)
+    assert enc.by_pieces and len(enc.words) <= max(cache, 9000)
 
 
-def test_tokens_are_the_librarys():
-    enc = encoder(VOCAB)
-    assert enc.encode(TEXTS) == enc._ids([t or "" for t in TEXTS])
+def test_tokens_of_other_vocabularies():
+    path = public_path("byte_bpe_50k.json")  # keeps white space, so texts go whole
+    ids, ends = WordEncoder(path).encode(pa.array(TEXTS, pa.string()))
+    want = Tokenizer.from_file(path).encode_batch([t or "" for t in TEXTS], add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [x.ids for x in want]
 
 
 def test_token_files(spark, docs, empty):
     written = token_files.write_token_files(docs, VOCAB, 2, 49408, segment=500)
     got = token_files.read_token_files(written).sort(F.col("doc_id").asc_nulls_first(), "start").collect()
-    enc, start = encoder(VOCAB), 0
-    order = [(None, "no id")] + sorted([*enumerate(TEXTS), (5, "Tiny")], key=lambda x: x[0])
+    start, order = 0, [(None, "no id")] + sorted([*enumerate(TEXTS), (5, "Tiny")], key=lambda x: x[0])
     for (i, t), r in zip(order, got, strict=True):
-        ids = enc.encode([t])[0] + np.array([2], "<u4").tobytes()
-        assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (i, start, len(ids) // 4, ids)
-        start += len(ids) // 4
+        ids = library_ids([t], 2)[0]
+        assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (i, start, len(ids), np.array(ids, "<u4").tobytes())
+        start += len(ids)
     assert token_files.read_token_digests(token_files.write_token_files(empty, VOCAB, 2, 49408)).count() == 0
 
 
@@ -72,24 +117,39 @@ def test_packing(spark, docs, empty):
     assert len(set(got["id"].dropna())) == len(TEXTS)
     for _, g in got.groupby("sequence_id"):
         assert g["offset"].tolist() == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= 64
-    pieces = packing.token_pieces(docs, VOCAB, 0, 64).collect()
-    assert sorted((-1 if r.id is None else r.id, r.piece, r.length, r.ids_crc32) for r in pieces) == sorted((int(i) if i == i else -1, p, n, c) for i, p, n, c in got[["id", "piece", "length", "ids_crc32"]].itertuples(index=False))
-    rng = np.random.default_rng(3)
-    lengths = {n: int(rng.integers(1, 40)) for n in range(1, 101)}
-    placed = packing.best_fit_runs(lengths, 100)
-    fill: dict = {}
-    for n, rank, count, first, offset in placed:
-        for k in range(count):
-            assert fill.get(first + k, 0) == offset
-            fill[first + k] = offset + n
-    assert sum(fill.values()) == sum(n * c for n, c in lengths.items()) and max(fill.values()) <= 100
-    gaps: list[int] = []  # best fit one piece at a time, longest first
+    want = []
+    for i, ids in zip([*range(len(TEXTS)), -1, 5], library_ids([*TEXTS, "no id", "Tiny"], 0)):
+        want += [(i, k // 64, k, len(ids[k : k + 64]), crc(ids[k : k + 64])) for k in range(0, len(ids), 64)]
+    assert sorted((int(i) if i == i else -1, p, at, n, c) for i, p, at, n, c in got[["id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False)) == sorted(want)
+    assert packing.pack_documents(empty, VOCAB, 0, 64).count() == 0
+
+
+def best_fit_one_by_one(lengths, capacity):
+    gaps: list[int] = []
     for n in sorted((n for n, c in lengths.items() for _ in range(c)), reverse=True):
         at = bisect.bisect_left(gaps, n)
-        left = gaps.pop(at) - n if at < len(gaps) else 100 - n
+        left = gaps.pop(at) - n if at < len(gaps) else capacity - n
         bisect.insort(gaps, left)
-    assert len(fill) <= len(gaps)
-    assert packing.pack_documents(empty, VOCAB, 0, 64).count() == 0
+    return len(gaps)
+
+
+@pytest.mark.parametrize("case", ["mixed", "halves", "ties", "full", "tiny", "none"])
+def test_best_fit_rounds(spark, case):
+    rng = np.random.default_rng(3)
+    lengths = {
+        "mixed": {n: int(rng.integers(1, 40)) for n in range(1, 101)}, "halves": {50: 31, 51: 7, 49: 7}, "ties": {40: 500, 30: 1, 7: 300},
+        "full": {100: 9}, "tiny": {1: 1000}, "none": {},
+    }[case]
+    table = spark.createDataFrame(list(lengths.items()), "length long, n long")
+    placed, fill, ranks = packing.best_fit_rounds(table, 100).collect(), {}, {n: [] for n in lengths}
+    for r in sorted(placed, key=lambda r: -r.size):
+        ranks[r.length] += range(r["rank"], r["rank"] + r.n)
+        for k in range(r.sequence, r.sequence + r.n):
+            assert fill.get(k, 0) == 100 - r.size  # no gap between pieces, and no overlap
+            fill[k] = 100 - r.size + r.length
+    assert all(sorted(v) == list(range(lengths[n])) for n, v in ranks.items())
+    assert max(fill.values(), default=0) <= 100 and sorted(fill) == list(range(len(fill)))
+    assert len(fill) <= 1.06 * best_fit_one_by_one(lengths, 100) + 1
 
 
 def test_simhash(spark, docs, empty):
@@ -294,6 +354,28 @@ def test_classifiers_learn(spark, docs, empty, field):
     assert empty.select(score(F.col("text"), fit(empty, labels.limit(0)))).count() == 0
 
 
+def test_gradients_of_the_joint_model():
+    rng = np.random.default_rng(9)
+    parts = [rng.normal(size=(30, 4)), rng.normal(size=(2, 4)), rng.normal(size=2)]
+    sizes, label, weight = np.array([3, 1, 5, 2]), np.array([1, 0, 1, 0]), np.array([1.0, 2.0, 0.5, 1.0])
+    rows = rng.integers(0, 30, sizes.sum())
+
+    def loss():
+        p = toxicity.probabilities(toxicity.means(parts[0], rows, sizes), *parts[1:])
+        return (weight * np.log(p[np.arange(4), label])).sum()
+
+    used, *got = toxicity.gradients(*parts, rows, sizes, label, weight)
+    for part, step, at in ((parts[0], got[0], used), (parts[1], got[1], range(2)), (parts[2], got[2], range(2))):
+        for k, i in enumerate(at):
+            for j in np.ndindex(part[i].shape):
+                old = part[(i, *j)]
+                part[(i, *j)] = old + 1e-6
+                up = loss()
+                part[(i, *j)] = old - 1e-6
+                assert np.isclose((up - loss()) / 2e-6, step[(k, *j)], atol=1e-6)
+                part[(i, *j)] = old
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(4)
     per_text, turn = np.array([3, 1, 4]), rng.normal(size=(2, 2))
@@ -315,5 +397,4 @@ def test_marginals_against_enumeration():
 
 def test_crc_of_ids_is_unsigned(spark, docs):
     rows = packing.token_pieces(docs.where("doc_id = 5"), VOCAB, 0, 64).collect()
-    ids = encoder(VOCAB).encode(["Tiny"])[0] + np.array([0], "<u4").tobytes()
-    assert {r.ids_crc32 for r in rows} == {zlib.crc32(ids)}
+    assert {r.ids_crc32 for r in rows} == {crc(library_ids(["Tiny"], 0)[0])}

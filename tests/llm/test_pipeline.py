@@ -2,8 +2,10 @@
 
 import re
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from quillion.llm.tokens import encoder, public_path
+from quillion.llm.tokens import public_path
 
 DATA = "/root/testdata/sf0.001"
 
@@ -33,8 +35,8 @@ def test_stages(spark):
         assert len(own & seen) <= 0.1 * len(own)
         seen |= own
     pieces = corpus_pipeline.packed(spark, docs, DATA).toPandas()
-    enc = encoder(public_path("word_bpe_49k.json"))
-    assert pieces["length"].sum() == sum(len(x) // 4 + 1 for x in enc.encode(list(kept.values())))
+    library = Tokenizer.from_file(public_path("word_bpe_49k.json"))
+    assert pieces["length"].sum() == sum(len(x.ids) + 1 for x in library.encode_batch(list(kept.values()), add_special_tokens=False))
 
 
 def test_copies_leave_one(spark):
