@@ -288,24 +288,53 @@ def test_warc(spark):
         warc.unframe(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nab\r\n0\r\n\r\n")
 
 
+def vector_truth(x, threshold=0.9):
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    close = unit @ unit.T >= threshold
+    root = np.arange(len(x))
+    while True:
+        new = np.where(close, root[None], len(x)).min(1)
+        if (new == root).all():
+            return close.sum(1) - 1, root
+        root = new
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(20, 16))
     x = np.concatenate([centre, centre[:5] + 0.05 * rng.normal(size=(5, 16)), centre[[0] * 90] + 0.02 * rng.normal(size=(90, 16)), centre[:2]]).astype(np.float32)
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
     odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0, None], 1), (904, [], 1), (None, x[0].tolist(), 1), (905, [1.0, 2.0], 1)]
-    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, n_links int").drop("n_links").repartition(3)
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, n_links int").repartition(3)
     got = {r.vec_id: r for r in embeddings.embedding_duplicates(table, window=32).collect() if r.vec_id is not None}
-    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    close = unit @ unit.T >= 0.9
-    root = np.arange(len(x))
-    for _ in range(len(x)):
-        root = np.where(close, root[None], len(x)).min(1)
-    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(x))] == [(int(close[i].sum()) - 1, int(root[i]), int(root[i]) == i) for i in range(len(x))]
+    links, root = vector_truth(x)
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(x))] == [(int(links[i]), int(root[i]), int(root[i]) == i) for i in range(len(x))]
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i in (900, 901, 902, 903, 904, 905))
     assert embeddings.embedding_duplicates(table.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id_or_are_of_extreme_size(spark):
+    e = np.eye(4)
+    rows = [(1, e[0]), (1, e[1]), (2, e[0] * 1e200), (3, e[1] * 1e-300), (4, e[1] + 0.01), (7, e[2]), (7, e[2])]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.embedding.index(max(r.embedding)), r.n_links, r.component_id) for r in embeddings.embedding_duplicates(table).collect())
+    assert got == [(1, 0, 1, 1), (1, 1, 2, 1), (2, 0, 1, 1), (3, 1, 2, 1), (4, 1, 2, 1), (7, 2, 1, 7), (7, 2, 1, 7)]
+
+
+def test_a_crowded_direction_hides_few_pairs(spark, monkeypatch):
+    """3000 vectors at mutual cosines about 0.78, among them 40 pairs above 0.9."""
+    rng, dim = np.random.default_rng(4), 64
+    x = rng.normal(size=dim)[None] * 1.9 + rng.normal(size=(3000, dim))
+    x = np.concatenate([x, x[:40] + 0.9 * rng.normal(size=(40, dim))])
+    links, root = vector_truth(x)
+    assert (links > 0).sum() >= 60 and links.max() < 20
+    monkeypatch.setattr(embeddings, "TILE", 8)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_duplicates(table).collect()}
+    found = sum(got[i] == (links[i], root[i]) for i in range(len(x)) if links[i]) / (links > 0).sum()
+    assert found >= 0.9 and all(got[i][0] <= links[i] for i in range(len(x)))
+
+
 def test_token_counts(spark, docs):
     path = public_path("piece_bpe_32k.model")
     scores, byte_score = token_counts.unigram_scores(path)
