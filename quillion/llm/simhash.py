@@ -10,6 +10,7 @@ anchor, x is kept at home only, and they meet there. Equal fingerprints are one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -119,15 +120,43 @@ def replicas(prints: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.
     return np.concatenate(index), np.concatenate(anchor)
 
 
-def covering_links(prints: DataFrame, bits: int = 2, width: int = 5, near: int = 0) -> DataFrame:
+COPY = 20  # what a copy that is shuffled costs, in comparisons
+
+
+def copies_of(bits: int, width: int) -> float:
+    """Anchors, on average, within covering radius plus ``bits`` of a random fingerprint."""
+    ways = np.zeros(bits + 1)
+    ways[0] = 1
+    for _, n in _blocks(width):
+        turns = np.zeros(bits + 1)
+        turns[0] = 1
+        for ones in range(n // 2 + 1, n + 1):
+            if ones - n // 2 <= bits:
+                turns[ones - n // 2] += 2 * math.comb(n, ones) / 2**n
+        ways = np.convolve(ways, turns)[: bits + 1]
+    return float(ways.sum())
+
+
+def width_for(prints: int, bits: int) -> int:
+    """The odd width of blocks with the least work: copies, and comparisons of each copy with the
+    fingerprints at home at its anchor. For 2 bits: 2 ** 14 anchors (width 5) from about 30,000
+    to 600,000 fingerprints, then 2 ** 22 (width 3) up to about 10 ** 9; then each fingerprint
+    is an anchor of its own (width 1)."""
+    return min((1, 3, 5, 7, 9), key=lambda w: copies_of(bits, w) * (COPY + prints / 2 ** len(_blocks(w))))
+
+
+def covering_links(prints: DataFrame, bits: int = 2, width: int | None = None, near: int = 0) -> DataFrame:
     """``x, y`` (x < y) for all pairs at ``bits`` or fewer differing bits of a table with one
     column ``fp`` of distinct fingerprints. Exact for any ``bits`` and odd ``width``; wider
-    blocks make fewer anchors and fewer copies, but more comparisons at each.
+    blocks make fewer anchors and fewer copies, but more comparisons at each, so the number of
+    fingerprints decides (``width_for``) where ``width`` is not given.
 
     With ``near`` above 0, x goes to the anchors within covering radius plus ``near`` and y to
     those within covering radius plus ``bits - near``: some word between x and y has its home
     in both. That takes far fewer copies for larger ``bits``, but finds a pair more than once."""
 
+    width = width or width_for(prints.count(), bits)
+
     def copies(bits):
         return lambda batches: _copies(batches, bits, width)
 
@@ -157,11 +186,12 @@ def _home(fp: str, width: int):
     ).cast("long")
 
 
-def simhash_components(rows: DataFrame, id_col: str, fp_col: str, bits: int = 2, width: int = 5, near: int = 0) -> DataFrame:
+def simhash_components(rows: DataFrame, id_col: str, fp_col: str, bits: int = 2, width: int | None = None, near: int = 0) -> DataFrame:
     """Add ``component_id``: the smallest id reachable over fingerprints that differ in ``bits``
-    or fewer bits. Rows with equal fingerprints, repeated rows among them, are linked; a null
-    id joins its component but never names it."""
-    rows = materialize(rows, "simhash")
+    or fewer bits; a column of that name is replaced. Rows with equal fingerprints, repeated
+    rows and all empty texts among them, are linked; a null id joins its component but never
+    names it; an empty table gives an empty one."""
+    rows = materialize(rows if "component_id" in (id_col, fp_col) else rows.drop("component_id"), "simhash")
     firsts = materialize(rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first")), "simhash")
     links = covering_links(firsts.select("fp"), bits, width, near)
     roots = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "simhash")

@@ -248,11 +248,17 @@ def test_suffix_array_repeats():
         assert {(n, tuple(sorted(map(int, p)))) for p, n in suffix_dedup.maximal_repeats(raw, ends, 3)} == want
 
 
-def test_repeated_spans(spark, docs, empty):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_repeated_spans(spark, docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HELD", 1000 if hot > 1 else 3)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1500)  # longer texts are hashed in pieces
     rng = np.random.default_rng(5)
     shared = "".join(chr(97 + c) for c in rng.integers(0, 3, 400))
     more = [(100 + k, shared[a:b] + f" {k} é " + shared[c:], "s", 1, "f", "c") for k, (a, b, c) in enumerate([(0, 250, 300), (100, 399, 200), (50, 90, 0), (0, 400, 400)])]
-    table = docs.where("doc_id is null or doc_id <> 5").unionByName(spark.createDataFrame(more, SCHEMA)).drop("spans")
+    edge = "".join(chr(97 + c) for c in rng.integers(0, 26, 180))  # shared by many, each time with other bytes around
+    more += [(200 + k, "".join(chr(65 + c) for c in rng.integers(0, 26, 90)) + edge + str(k) * 60, "s", 1, "f", "c") for k in range(25)]
+    table = docs.where("doc_id is null or doc_id <> 5").unionByName(spark.createDataFrame(more, SCHEMA))
     got = suffix_dedup.repeated_spans(table).withColumn("d", suffix_dedup.span_digest(F.col("text"), F.col("spans")))
     seen: set = set()
     for r in got.sort(F.col("doc_id").asc_nulls_first()).collect():
