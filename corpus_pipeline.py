@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillion.llm import decontaminate, packing, quality, simhash, suffix_dedup
-from quillion.llm.common import materialize
+from quillion.llm.common import bounded_batches, materialize
 from quillion.llm.tokens import public_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at 0.3 or more."""
+    bounded_batches(spark)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(quality.quality_score(F.col("text"), model) >= 0.3)
 
