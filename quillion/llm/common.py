@@ -83,6 +83,13 @@ def flat_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+def once(f, kind: str):
+    """An Arrow UDF that a plan evaluates where it stands and nowhere else. Spark would else work
+    it out again for each filter and column that uses it, and every Python node of a stage holds
+    a worker process for each running task."""
+    return F.arrow_udf(f, kind).asNondeterministic()
+
+
 def held_out(id_col):
     """True for the fifth of the rows, by crc32 of the id as text, that no model learns from."""
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(5)) == 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, slices, texts_of
+from .common import materialize, once, release, slices, texts_of
 
 #: Bytes that are part of words once A-Z are lower-cased: digits, a-z, and all of non-ASCII.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -134,7 +134,7 @@ def contamination(
         hits.append(materialize(found.select("__row", "f.spans", "f.items"), "decontaminate"))
         now.destroy()
     merged = reduce(DataFrame.unionByName, hits).groupBy("__row").agg(F.collect_list(F.struct("spans", "items")).alias("found"))
-    merged = merged.select("__row", F.arrow_udf(_union, UNITED)("found").alias("u")).select("__row", "u.spans", "u.items")
+    merged = merged.select("__row", once(_union, UNITED)("found").alias("u")).select("__row", "u.spans", "u.items")
     out = rows.join(merged, "__row", "left").drop("__row")
     none = {"spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")}
     out = out.withColumns({k: F.coalesce(k, v) for k, v in none.items()})
@@ -165,7 +165,7 @@ def _scan(block, size: int):
         release()
         return pa.StructArray.from_arrays(columns, names=["n_words", "spans", "items"])
 
-    return F.arrow_udf(scan, KIND)
+    return once(scan, KIND)
 
 
 def _union(column: pa.Array) -> pa.Array:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, held_out, release, slices
+from .common import flat_bytes, held_out, once, release, slices
 
 #: Kinds of bytes: 1 lower case, 2 upper case, 3 digit, 4 space, 5 prose punctuation, 6 bar, 7 other symbol, 8 beyond ASCII.
 KIND = np.full(256, 7, np.uint8)
@@ -217,4 +217,4 @@ def quality_score(text, model: tuple):
         release()
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
-    return F.arrow_udf(score, "double")(text)
+    return once(score, "double")(text)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, texts_of
+from .common import components, materialize, once, texts_of
 
 
 def _shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
@@ -76,7 +76,7 @@ def simhash(text, words: int = 3):
     def hashed(column: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(x, words) for x in texts_of(column)], np.uint64).view(np.int64))
 
-    return F.arrow_udf(hashed, "long")(text)
+    return once(hashed, "long")(text)
 
 
 def _blocks(width: int) -> list[tuple[int, int]]:
@@ -280,7 +280,7 @@ def _verified(texts: DataFrame, info: DataFrame, pairs: DataFrame, words: int, s
         return pa.array(out, pa.bool_())
 
     met = pairs.select("u", "v").join(texts.toDF("v", "b"), "v").join(texts.toDF("u", "a"), "u")
-    return materialize(met.where(F.arrow_udf(alike, "boolean")("a", "b")).select("u", "v"), "simhash")
+    return materialize(met.where(once(alike, "boolean")("a", "b")).select("u", "v"), "simhash")
 
 
 def _node(found: list[bytes]) -> int:
@@ -295,7 +295,7 @@ def text_node(text):
     def hashed(column: pa.Array) -> pa.Array:
         return pa.array(np.array([_node(x.lower().split()) for x in texts_of(column)], np.uint64).view(np.int64))
 
-    return F.arrow_udf(hashed, "long")(text)
+    return once(hashed, "long")(text)
 
 
 def text_keys(text, words: int):
@@ -317,7 +317,7 @@ def text_keys(text, words: int):
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
         return pa.StructArray.from_arrays([*longs, pa.array(n, pa.int32()), lists], names=["node", "fp", "n", "keys"])
 
-    return F.arrow_udf(keyed, "node long, fp long, n int, keys array<long>")(text)
+    return once(keyed, "node long, fp long, n int, keys array<long>")(text)
 
 
 def shingles(text: bytes, words: int) -> set[bytes]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, materialize, release, slices
+from .common import flat_bytes, materialize, once, release, slices
 
 GRAM = 24
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -491,23 +491,11 @@ def _cut_runs(lo: np.ndarray, hi: np.ndarray, ends: np.ndarray) -> Iterator[tupl
         yield np.sort(np.concatenate([lo, inner])), np.sort(np.concatenate([hi, inner]))
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``spans array<struct<start int, end int>>``: the maximal stretches of bytes
-    of the text's UTF-8 form that a ``length``-byte string covers which also starts earlier (in
-    a document with a smaller id, or in the same one before).
-
-    Null and short texts have none, very long ones are taken whole, an empty table gives an
-    empty one, and a column ``spans`` is replaced. Null ids come before all others; of texts that
-    share an id the order is by a checksum of 16 bits, and rows that agree in id and checksum,
-    repeated rows among them, count as one document and get the same spans. ``length`` may be
-    from 32 to 150.
-
-    A bucket holds the contexts of an anchor: of those that all differ, ``HOT`` at most at once
-    (about 6 KB each), whatever the number of documents."""
+def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``__spans``: repeated stretches in any order, which may meet and overlap."""
     if not 32 <= length <= 150:
         raise ValueError("length must be from 32 to 150")
     spark = docs.sparkSession
-    docs = docs.drop(*{"spans"}.difference((id_col, text_col)))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key, sub = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), F.crc32(text).bitwiseAND(F.lit(0xFFFF)).cast("int")
@@ -524,8 +512,43 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             parts.append(materialize(gathered(rows.join(opened, ["key", "sub"]).mapInArrow(cut, DEALT)).mapInArrow(meet, FOUND), "repeats"))
     spans = reduce(DataFrame.unionByName, parts).where("kind = 1").groupBy(F.col("key").alias("__key"), F.col("sub").alias("__sub"))
     spans = spans.agg(F.collect_list(F.struct(F.col("x").cast("int").alias("start"), F.col("y").cast("int").alias("end"))).alias("__spans"))
-    out = docs.join(spans, (key == F.col("__key")) & (sub == F.col("__sub")), "left").drop("__key", "__sub")
-    return out.withColumn("spans", F.arrow_udf(_merged, SPANS)("__spans")).drop("__spans")
+    return docs.join(spans, (key == F.col("__key")) & (sub == F.col("__sub")), "left").drop("__key", "__sub")
+
+
+def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``spans array<struct<start int, end int>>``: the maximal stretches of bytes
+    of the text's UTF-8 form that a ``length``-byte string covers which also starts earlier (in
+    a document with a smaller id, or in the same one before).
+
+    Null and short texts have none, very long ones are taken whole, an empty table gives an
+    empty one, and a column ``spans`` is replaced. Null ids come before all others; of texts that
+    share an id the order is by a checksum of 16 bits, and rows that agree in id and checksum,
+    repeated rows among them, count as one document and get the same spans. ``length`` may be
+    from 32 to 150.
+
+    A bucket holds the contexts of an anchor: of those that all differ, ``HOT`` at most at once
+    (about 6 KB each), whatever the number of documents."""
+    docs = docs.drop(*{"spans"}.difference((id_col, text_col)))
+    return _with_spans(docs, length, id_col, text_col).withColumn("spans", once(_merged, SPANS)("__spans")).drop("__spans")
+
+
+def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` whose texts lack the bytes of :func:`repeated_spans`, with ``n_removed long``, how
+    many those were; characters cut in half are dropped. Null texts stay null; a column
+    ``n_removed`` is replaced; else as for the spans."""
+
+    def rest(texts: pa.Array, found: pa.Array) -> pa.Array:
+        kept, removed = [], []
+        for t, spans in zip(texts.to_pylist(), _merged(found).to_pylist()):
+            data, n = _rest(t, spans)
+            kept.append(None if t is None else t if not spans else data.decode(errors="ignore"))
+            removed.append(n - len(data))
+        return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(removed, pa.int64())], names=["text", "n"])
+
+    found = _with_spans(docs.drop(*{"n_removed"}.difference((id_col, text_col))), length, id_col, text_col)
+    cut = once(rest, "struct<text:string,n:bigint>")(F.col(f"`{text_col}`"), F.col("__spans"))
+    found = found.withColumn("__rest", cut).withColumn(text_col, F.col("__rest.text")).withColumn("n_removed", F.col("__rest.n"))
+    return found.drop("__rest", "__spans")
 
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -553,18 +576,6 @@ def _rest(text: str | None, spans: list[dict]) -> tuple[bytes, int]:
     return b"".join([*parts, data[at:]]), len(data)
 
 
-def without_spans(text, spans):
-    """Column of texts without the bytes of their spans; characters cut in half are dropped."""
-
-    def rest(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array(
-            [None if t is None else _rest(t, s)[0].decode(errors="ignore") for t, s in zip(texts.to_pylist(), spans.to_pylist())],
-            pa.string(),
-        )
-
-    return F.arrow_udf(rest, "string")(text, spans)
-
-
 def span_digest(text, spans):
     """``struct<n_bytes, n_removed, n_spans, kept_sha256>`` of a text and its spans."""
 
@@ -576,4 +587,4 @@ def span_digest(text, spans):
         kinds = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
         return pa.array(out, pa.struct(kinds))
 
-    return F.arrow_udf(digest, "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string>")(text, spans)
+    return once(digest, "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string>")(text, spans)

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from .common import once, release
+
 MARK = "▁"  # stands for the blank before a word
 
 
@@ -64,7 +66,8 @@ KNOWN_WORDS = 300_000  # counts that a worker keeps
 
 def token_counts(text, path: str):
     """Column of ``struct<n_words, n_tokens>`` for a text column; words are what white space
-    separates. Null and empty texts have none."""
+    separates. Null and empty texts have none, very long ones are counted whole, and rows that
+    agree in their text, repeated rows among them, in their counts; other columns play no part."""
 
     def count(column: pa.Array) -> pa.Array:
         if path not in _workers:
@@ -80,8 +83,9 @@ def token_counts(text, path: str):
             known.update(trie_counts(new, scores, byte_score))
             n_words += map(len, split)
             n_tokens += [sum(map(known.__getitem__, x)) for x in split]
+        release()
         return pa.StructArray.from_arrays(
             [pa.array(np.array(n_words, np.int64)), pa.array(np.array(n_tokens, np.int64))], names=["n_words", "n_tokens"]
         )
 
-    return F.arrow_udf(count, "struct<n_words:bigint,n_tokens:bigint>")(text)
+    return once(count, "struct<n_words:bigint,n_tokens:bigint>")(text)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, held_out, release, slices
+from .common import flat_bytes, held_out, once, release, slices
 
 BUCKET_BITS, DIM, SIZES, WINDOW = 16, 12, (3, 4, 5), 8
 #: Lower-cases A-Z; white space, controls and punctuation between words become blanks.
@@ -194,4 +194,4 @@ def toxicity_score(text, model: tuple, stride: int = 4):
         release()
         return pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
-    return F.arrow_udf(score, "double")(text)
+    return once(score, "double")(text)
