@@ -35,10 +35,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 100-byte strings that also start earlier in the corpus;
     documents of which nothing but white space is left go."""
-    found = suffix_dedup.repeated_spans(docs, 100)
-    cut = found.withColumn("text", F.when(F.size("spans") > 0, suffix_dedup.without_spans(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
-    cut = cut.where((F.size("spans") == 0) | F.col("text").rlike(r"\S"))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = suffix_dedup.without_repeats(docs, 100)
+    found = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
