@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes, word lists and patterns that results depend on.
-CJK = "[㐀-䶿一-鿿豈-﫿가-힣ᄀ-ᇿ㄰-㆏]"
+CJK = "[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7a3\u1100-\u11ff\u3130-\u318f]"
 PRIVATE_USE = "[\ue000-\uf8ff]"
 HEADING = r"^([A-Z][A-Z0-9 \-:&]{3,}|([0-9]+(\.[0-9]+){0,3})\s+[A-Z].+)$"
 BULLET = r"^\s*([\-–—•·▪‣]\s+|[0-9]+\.\s+|\([0-9]+\)\s+|\([a-zA-Z]\)\s+)"
@@ -105,6 +105,31 @@ def nfkc(c: Column | str) -> Column:
     return normal(col(c))
 
 
+def normalize_markdown(c: Column | str) -> Column:
+    """An answer without the fence around it, bullets as hyphens, no blanks at line ends, and no
+    bullet before its first line."""
+    s = F.regexp_replace(F.regexp_replace(col(c), "\u00a0", " "), r"^\s+|\s+$", "")
+    s = F.regexp_replace(s, r"^```[\w\-]*\s*\n?([\s\S]*?)\n?\s*```$", "$1")
+    s = F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"(?m)^\s*[\u2013\u2014\u2022]\s+", "- ")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?m)[ \t]+$", ""), r"^\s*- \s*", "")
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
+
+
+def sigmoid(c: Column | str) -> Column:
+    return 1 / (1 + F.exp(-col(c)))
+
+
+def softmax(c: Column | str) -> Column:
+    """An array of scores as shares that add up to 1."""
+    top = F.array_max(col(c))
+    total = F.aggregate(col(c), F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return F.transform(col(c), lambda x: F.exp(x - top) / total)
+
+
+def epoch_seconds(c: Column | str) -> Column:
+    return F.unix_seconds(col(c).cast("timestamp"))
+
+
 def set_overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays as sets."""
     inter = F.size(F.array_intersect(a, b))

@@ -6,8 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quillion.functions import text as T
 
@@ -56,6 +58,12 @@ def mathiness(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("mathiness", 0.6 * font + 0.4 * F.least(F.lit(1.0), 8 * dens))
 
 
+def math_pages(blocks: DataFrame, least: float = 0.6, longest: int = 220) -> DataFrame:
+    """``doc_name, page`` of pages with a short block that is mathematical enough."""
+    found = mathiness(blocks).where((F.col("mathiness") >= least) & (F.length("text") <= longest))
+    return found.select("doc_name", "page").distinct()
+
+
 def segment_lines(lines: DataFrame) -> DataFrame:
     """Headings, bullets and paragraphs in page order; plain lines that follow each other join."""
     line = F.col("line")
@@ -98,9 +106,9 @@ def dehyphenate(lines: DataFrame, key: list[str], order: str = "pos") -> DataFra
     ).drop("taken", "glues")
 
 
-def doc_budget(pages: DataFrame) -> DataFrame:
+def doc_budget(pages: DataFrame, normalized: bool = False) -> DataFrame:
     """Tokens a chunk aims at and repeats: fewer for documents of one or two short pages."""
-    size = F.sum(F.length(T.normalize_text(F.coalesce("text", F.lit("")))))
+    size = F.sum(F.length(F.col("text") if normalized else T.normalize_text(F.coalesce("text", F.lit("")))))
     d = pages.groupBy("doc_name").agg(F.count("*").alias("n_pages"), F.coalesce(size, F.lit(0)).alias("n_chars"))
     small = (F.col("n_pages") <= 2) & (F.col("n_chars") < 6000)
     return d.withColumns({"target": F.when(small, 520).otherwise(750), "overlap": F.when(small, 70).otherwise(90)})
@@ -108,28 +116,35 @@ def doc_budget(pages: DataFrame) -> DataFrame:
 
 def pack(df: DataFrame, key: list[str], order: str, size: str, budget: int, stretch: float | None = None) -> DataFrame:
     """Add ``batch``, from 0: a row opens a new batch where the batch's size would pass
-    ``budget``; with ``stretch``, a batch that reaches stretch * budget also closes."""
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast("array<struct<o:bigint,batch:int>>").alias("out"))
-
-    def step(acc, x):
-        closed = acc["used"] >= stretch * budget if stretch else F.lit(False)
-        over = ((acc["used"] + x["n"] > budget) & (acc["used"] > 0)) | closed
-        at = acc["batch"] + over.cast("int")
-        return F.struct(
-            F.when(over, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"),
-            at.alias("batch"),
-            F.concat(acc["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), at.alias("batch")))).alias("out"),
-        )
-
-    folded = df.groupBy(*key).agg(F.aggregate(items, start, step, lambda a: a["out"]).alias("out"))
-    placed = folded.select(*key, F.explode("out").alias("x")).select(*key, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
+    ``budget``; with ``stretch``, a batch that reaches stretch * budget also closes.
+
+    A key's rows are folded one after the other as they stream by in order, key, order and size
+    of each alone, so a key may have any number of rows."""
+    slim = df.select(*key, order, F.col(size).cast("long").alias("__size"))
+    shape = StructType([*slim.schema.fields[:-1], StructField("batch", IntegerType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, at = None, 0, 0
+        for rows in batches:
+            out = []
+            for *name, n in zip(*(rows.column(c).to_pylist() for c in [*range(len(key)), len(key) + 1])):
+                if name != now:
+                    now, used, at = name, 0, 0
+                if used > 0 and used + n > budget or stretch and used >= stretch * budget:
+                    used, at = 0, at + 1
+                used += n
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(out, pa.int32())], names=shape.names)
+
+    placed = slim.repartition(*key).sortWithinPartitions(*key, order).mapInArrow(fold, shape)
     return df.join(placed, [*key, order])
 
 
 def chunk_flags(df: DataFrame) -> DataFrame:
-    """Add has_math, has_table, n_ops and char_start, char_end of pieces (doc_name, page, pos,
-    text) along their page, one character between neighbours."""
+    """Add has_math, has_table, n_ops, is_equation and char_start, char_end of pieces (doc_name,
+    page, pos, text) along their page, one character between neighbours. An equation stands on
+    a page of mathematics (``math_page``, where the column is given), has an operator and few words."""
+    hint = F.coalesce("math_page", F.lit(False)) if "math_page" in df.columns else F.lit(False)
     page = Window.partitionBy("doc_name", "page").orderBy("pos")
     end = F.sum(F.length("text") + 1).over(page)
     return df.withColumns(
@@ -137,6 +152,7 @@ def chunk_flags(df: DataFrame) -> DataFrame:
             "has_math": F.col("text").rlike(T.MATH),
             "has_table": F.col("text").rlike(T.TABLE_HINT) | (F.contains("text", F.lit("|")) & (F.length("text") > 10)),
             "n_ops": F.regexp_count("text", F.lit(T.OPERATORS)),
+            "is_equation": hint & (F.regexp_count("text", F.lit(T.OPERATORS)) >= 1) & (F.regexp_count("text", F.lit("[A-Za-z]{3,}")) <= 40),
             "char_end": end,
             "char_start": end - F.length("text") - 1,
         }
@@ -235,13 +251,16 @@ def chunk_page(text: str, target: int, overlap: int, dropped: set[str], math_pag
     return p.done
 
 
-def chunk_pages(pages: DataFrame) -> DataFrame:
+def chunk_pages(pages: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Chunks (:data:`CHUNKS`, numbered from 1 on each page) of all pages. A page is a row, with
-    its document's budget and repeated lines beside it, so pages are chunked independently."""
+    its document's budget and repeated lines beside it, so pages are chunked independently.
+    ``blocks`` (doc_name, page, text, font) tell which pages hold mathematics; without them no
+    chunk is an equation."""
     clean = pages.withColumn("text", T.normalize_text(F.coalesce("text", F.lit(""))))
     repeats = repeat_lines(clean).groupBy("doc_name").agg(F.collect_set("line").alias("dropped"))
-    rows = clean.join(doc_budget(pages), "doc_name").join(repeats, "doc_name", "left")
-    rows = rows.select("doc_name", "page", "text", "target", "overlap", "dropped")
+    rows = clean.join(doc_budget(clean, normalized=True), "doc_name").join(repeats, "doc_name", "left")
+    rows = rows.withColumn("math_page", F.lit(False)) if blocks is None else rows.join(math_pages(blocks).withColumn("math_page", F.lit(True)), ["doc_name", "page"], "left")
+    rows = rows.select("doc_name", "page", "text", "target", "overlap", "dropped", F.coalesce("math_page", F.lit(False)).alias("math_page"))
 
     def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in CHUNKS.split(", ")]
@@ -249,7 +268,7 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
             out = []
             for r in batch.itertuples(index=False):
                 dropped = set() if r.dropped is None else set(r.dropped)
-                for n, c in enumerate(chunk_page(r.text, r.target, r.overlap, dropped), 1):
+                for n, c in enumerate(chunk_page(r.text, r.target, r.overlap, dropped, bool(r.math_page)), 1):
                     out.append({"doc_name": r.doc_name, "page_start": r.page, "page_end": r.page, "n": n, **c})
             yield pd.DataFrame(out, columns=names)
 

@@ -91,7 +91,8 @@ def quotes(questions: DataFrame, hits: DataFrame, n: int = 5, window: int = 1, s
     q = questions.select("question_id", keywords("question").alias("kws"))
     rows = hits.join(q, "question_id").select("question_id", "rank", "doc_name", "page_start", "kws", F.posexplode(sentences("text", "b")).alias("pos", "s"))
     page = Window.partitionBy("question_id", "rank").orderBy("pos")
-    around = F.concat_ws(" ", F.collect_list("s").over(page.rowsBetween(-window, window)))
+    near = [F.lag("s", k).over(page) for k in range(window, 0, -1)] + [F.col("s")] + [F.lead("s", k).over(page) for k in range(1, window + 1)]
+    around = F.concat_ws(" ", *near)
     low = F.lower(F.substring("s", 1, 400))
     lex = F.size(F.filter("kws", lambda k: F.contains(low, k))) + F.when(low.rlike("(π|pi|e\\^i)"), 1).otherwise(0)
     rows = rows.withColumns({"quote": F.substring(around, 1, 500), "lex": lex})
@@ -117,6 +118,14 @@ def prompt_table(questions: DataFrame, contexts: DataFrame, turns: DataFrame, sy
     return rows.select("question_id", F.concat_ws("\n", *parts).alias("prompt"))
 
 
+def document_prompts(chunks: DataFrame, system: str, request: str, budget: int = 14000) -> DataFrame:
+    """``doc_name, prompt``: one prompt a document for notes on it: system text, request and the
+    document's chunks (rank from 1) while they fit the budget."""
+    hits = chunks.withColumn("question_id", F.col("doc_name"))
+    parts = [F.lit(system), F.lit(request), F.concat(F.lit("context:\n"), "context")]
+    return clip_context(hits, budget).select(F.col("question_id").alias("doc_name"), F.concat_ws("\n", *parts).alias("prompt"))
+
+
 def clean_citations(c: Column | str) -> Column:
     """Citations moved out of mathematics, which comes before its label."""
     c = F.col(c) if isinstance(c, str) else c

@@ -19,6 +19,7 @@ YEAR = r"\b(19|20)[0-9]{2}\b"
 LINE_VETO = r"(?i)^(we write|often we give|this function is defined|if f\(a\) = b|answers to odd|supplementary exercises)\b"
 USING = r"(?i)^\s*using\b"
 QUESTION = r"(?i)(\?\s*$|^\s*(what|which|find|show|prove|compute|determine)\b)"
+# Two patterns are written without branches that cannot change what they match.
 ENUMERATED = r"(?i)^\s*(?:\(?[a-z]\)|[ivxlcdm]+\)|\(?[0-9]+\))\s+"
 TASK = r"(?i)\b(determine|how many|prove|show|find|compute|evaluate|solve)\b"
 LINE_OPERATORS = r"[=≤≥≠≈∑∏∫√∞∇∂\^→↔⇔]"
@@ -76,13 +77,17 @@ def extract_spans(lines: DataFrame) -> DataFrame:
     """Spans of seven kinds in the order of kinds, trimmed and cut at 200 characters; of spans
     of a line that differ only in case the first stays."""
     none = F.array().cast("array<string>")
-    # A pattern runs only over lines with a sign it cannot do without.
-    found = F.concat(*[F.when(F.col("line").rlike(sign), F.regexp_extract_all("line", F.lit(p), 1)).otherwise(none) for sign, p in zip(SIGNS, SPANS)])
-    rows = lines.select(*[c for c in lines.columns if c != "line"], F.posexplode(found).alias("k", "s"))
-    span = F.substring(F.regexp_replace(F.regexp_replace("s", r"\s+", " "), "^[ ,;.]+|[ ,;.]+$", ""), 1, 200)
-    rows = rows.withColumn("span", span).where("span <> ''").drop("s")
-    w = Window.partitionBy("rid", "line_no", F.lower("span")).orderBy("k")
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    # A pattern runs only over lines with a sign it cannot do without; an equation, which no full
+    # stop, colon or semicolon interrupts, only over the parts between them that have one.
+    parts = F.filter(F.split("line", "[.;:]"), lambda x: x.rlike(SIGNS[0]))
+    equations = F.flatten(F.transform(parts, lambda x: F.regexp_extract_all(x, F.lit(SPANS[0]), 1)))
+    others = [F.when(F.col("line").rlike(sign), F.regexp_extract_all("line", F.lit(p), 1)).otherwise(none) for sign, p in zip(SIGNS[1:], SPANS[1:])]
+    found = F.concat(F.when(F.col("line").rlike(SIGNS[0]), equations).otherwise(none), *others)
+    clean = lambda s: F.substring(F.regexp_replace(F.regexp_replace(s, r"\s+", " "), "^[ ,;.]+|[ ,;.]+$", ""), 1, 200)
+    rows = lines.withColumn("__spans", F.filter(F.transform(found, lambda s, k: F.struct(k.alias("k"), clean(s).alias("span"))), lambda x: x["span"] != ""))
+    rows = rows.where(F.size("__spans") > 0).withColumn("__low", F.transform("__spans", lambda x: F.lower(x["span"])))
+    first = F.filter("__spans", lambda x, n: F.array_position(F.col("__low"), F.lower(x["span"])) == n + 1)
+    return rows.select(*[c for c in lines.columns if c != "line"], F.inline(first))
 
 
 def density(span: Column) -> Column:
@@ -90,8 +95,9 @@ def density(span: Column) -> Column:
     return ops / F.greatest(F.lit(1), ops + words)
 
 
-def good_span(spans: DataFrame) -> DataFrame:
-    """Add ``density`` and ``good``."""
+def good_span(spans: DataFrame, prob: Column | None = None, min_prob: float = 0.45) -> DataFrame:
+    """Add ``density`` and ``good``. With a probability column spans below ``min_prob`` are not
+    good, nor those below 0.08 more under a heading that speaks against formulas."""
     s, bare = F.col("span"), F.regexp_replace("span", r"\s+", "")
     numbers = F.size(F.array_distinct(F.regexp_extract_all(s, F.lit(r"(\b[0-9]+(?:\.[0-9]+)?\b)"), 1)))
     digits = F.length(F.regexp_replace(bare, "[^0-9]", "")) / F.greatest(F.lit(1), F.length(bare))
@@ -107,28 +113,39 @@ def good_span(spans: DataFrame) -> DataFrame:
         | ~s.rlike("[=≤≥≠∑∏∫√∞∇∂^∀∃¬∧∨→⇒⇔↔]")
         | ~s.rlike("[A-Za-zα-ωΑ-Ω]")
     )
+    if prob is not None:
+        needed = min_prob + F.when(F.col("context_score") <= -1, 0.08).otherwise(0.0)
+        bad = bad | F.coalesce(prob < needed, F.lit(False))
     return spans.withColumn("density", density(s)).withColumn("good", ~bad)
 
 
-def rank_spans(spans: DataFrame, max_per_page: int = 200, prob: Column | None = None, min_prob: float = 0.45, strong: float = 0.55) -> DataFrame:
+def without_hint(text: Column | str = "text") -> Column:
+    """Whether a page's text lacks any hint of a formula."""
+    return ~F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).rlike(HINT)
+
+
+def rank_spans(spans: DataFrame, max_per_page: int = 200, prob: Column | None = None, min_prob: float = 0.45, strong: float = 0.55, soft: Column | None = None) -> DataFrame:
     """Spans worth keeping with ``span_score``, the first ``max_per_page`` of a chunk in reading
-    order. With a probability column only likely ones stay, but half of them and three at least."""
+    order. With a probability column only likely ones stay, but half of them and three at least;
+    where ``soft`` holds (pages without a hint, when not all pages are scanned alike) likely is
+    0.08 more."""
+    needed = F.lit(min_prob) + (F.lit(0.0) if soft is None else F.when(soft, 0.08).otherwise(0.0))
     p = prob if prob is not None else F.lit(None).cast("double")
     dense = F.col("density") >= strong
     count = lambda c: F.length("span") - F.length(F.replace(F.col("span"), F.lit(c), F.lit("")))
     symbols = count("=") * 0.35 + (count("∑") + count("∫")) * 0.45 + (count("→") + count("↔")) * 0.25
     score = F.coalesce(3 * p, 1.5 + F.when(dense, 0.2).otherwise(0.0)) + 0.8 * F.col("context_score") + F.least(F.lit(1.4), symbols)
     score = score - F.when(F.length("span") > 140, 0.15).otherwise(0.0)
-    rows = spans.withColumns({"p": p, "span_score": F.round(score, 6)}).where(F.col("good") | dense | F.coalesce(p >= min_prob, F.lit(False)))
+    rows = spans.withColumns({"p": p, "span_score": F.round(score, 6)}).where(F.col("good") | dense | F.coalesce(p >= needed, F.lit(False)))
     reading = Window.partitionBy("rid").orderBy("line_no", "k")
     rows = rows.withColumn("n", F.row_number().over(reading)).where(F.col("n") <= max_per_page)
     best = Window.partitionBy("rid").orderBy(F.desc("span_score"), "n")
     rows = rows.withColumn("span_rank", F.row_number().over(best))
     page = Window.partitionBy("rid")
-    likely = F.count_if(F.col("p").isNull() | (F.col("p") >= min_prob)).over(page)
+    likely = F.count_if(F.col("p").isNull() | (F.col("p") >= needed)).over(page)
     least = F.greatest(F.lit(3), F.floor(F.count("*").over(page) / 2))
     rows = rows.withColumns({"likely": likely, "least": least})
-    kept = F.when(F.col("likely") < F.col("least"), F.col("span_rank") <= F.col("least")).otherwise(F.col("p").isNull() | (F.col("p") >= min_prob))
+    kept = F.when(F.col("likely") < F.col("least"), F.col("span_rank") <= F.col("least")).otherwise(F.col("p").isNull() | (F.col("p") >= needed))
     return rows.where(kept).drop("n", "likely", "least")
 
 

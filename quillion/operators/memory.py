@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillion.functions.text import token_estimate
@@ -31,6 +31,13 @@ def append_turns(turns: DataFrame, path: str) -> DataFrame:
     return turns.sparkSession.read.parquet(path)
 
 
+def clear_turns(spark: SparkSession, path: str) -> DataFrame:
+    """Forget all turns of a store, which stays readable."""
+    none = spark.read.parquet(path).limit(0)
+    spark.createDataFrame([], none.schema).write.mode("overwrite").parquet(path)
+    return spark.read.schema(none.schema).parquet(path)
+
+
 def prune_turns(turns: DataFrame, max_bytes: int) -> DataFrame:
     """The newest turns of a conversation until their bytes, a line end each, reach the limit;
     the one that crosses it is kept."""

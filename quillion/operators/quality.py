@@ -35,8 +35,10 @@ def pick_extraction(df: DataFrame) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     score = 5 * F.col("ascii_ratio") + 0.001 * F.length(t) + 0.0005 * F.col("n_letters") + 0.0003 * F.col("n_digits")
     score = F.when(t == "", -1e9).when(F.col("has_cjk"), -1e6).otherwise(F.round(score, 6))
-    w = Window.partitionBy("doc_name", "page").orderBy(F.desc("score"), "ord")
-    return page_quality(df).withColumn("score", score).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    rows = page_quality(df).withColumn("score", score)
+    # The best row of a page is a running maximum, taken before anything is shuffled.
+    best = rows.groupBy("doc_name", "page").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("doc_name", "page")]), F.struct("score", -F.col("ord"))).alias("b"))
+    return best.select("doc_name", "page", "b.*").select(*rows.columns)
 
 
 def repair_glyphs(spans: DataFrame, font_map: DataFrame) -> DataFrame:

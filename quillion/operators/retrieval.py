@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillion.functions.text import ascii_tokens, collapse, set_overlap, word_tokens
 from quillion.operators.vectors import hits_to_chunks, max_normalize, vector_topk
@@ -248,13 +249,68 @@ def page_num(*cols: str) -> Column:
     return F.coalesce(*[F.when(F.col(c) > 0, F.col(c)) for c in cols], F.lit(0))
 
 
+WORD_BLOCK = 2_000_000  # query words that go to every task at a time
+
+
+def shared_words(queries: DataFrame, rows: DataFrame, key: list[str], k: int) -> DataFrame:
+    """Key, ``name, shared``: for each query (key, words) the k rows (name, words) that share most
+    of its words, ties by name, none that shares no word; words are distinct.
+
+    A word that all have would bring all pairs to one task of a join. Instead queries go to the
+    tasks in blocks of bounded size, one block after the other, as an index of their words; a
+    task counts for each of its rows and keeps its own k best of each query."""
+    q = keep(queries.select(*key, F.posexplode_outer("words").alias("__n", "w")).where("w is not null").drop("__n"), "words")
+    spark, sc = queries.sparkSession, queries.sparkSession.sparkContext
+    n = max(1, -(-q.count() // WORD_BLOCK))
+    slim = rows.select("name", "words").where("name is not null")
+    shape = StructType([*(f for f in q.schema.fields if f.name in key), *slim.select("name").schema.fields, StructField("shared", LongType())])
+    found = spark.createDataFrame([], shape)
+    for block in range(n):
+        part = q.where(F.pmod(F.xxhash64(*key), F.lit(n)) == block).groupBy(*key).agg(F.collect_list("w").alias("words")).collect()
+        index: dict[str, list[int]] = {}
+        for at, r in enumerate(part):
+            for w in r.words:
+                index.setdefault(w, []).append(at)
+        sent = sc.broadcast(([tuple(r[: len(key)]) for r in part], {w: np.array(x, np.int32) for w, x in index.items()}))
+        found = found.unionByName(keep(slim.mapInPandas(_shared(sent, key, k), shape), "shared"))
+        sent.destroy()
+    w = Window.partitionBy(*key).orderBy(F.desc("shared"), "name")
+    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+
+
+def _shared(sent, key: list[str], k: int):
+    def best(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held).sort_values(["at", "shared", "name"], ascending=[True, False, True])
+        return rows.groupby("at").head(k)
+
+    def count(batches):
+        names, index = sent.value
+        held: list[pd.DataFrame] = []
+        size = 0
+        for batch in batches:
+            for name, words in zip(batch["name"], batch["words"]):
+                hits = [index[w] for w in words if w in index]
+                if hits:
+                    at, shared = np.unique(np.concatenate(hits), return_counts=True)
+                    held.append(pd.DataFrame({"at": at, "shared": shared, "name": name}))
+                    size += len(at)
+            if size > 1_000_000:
+                held = [best(held)]
+                size = len(held[0])
+        if held:
+            rows = best(held)
+            out = pd.DataFrame([names[a] for a in rows["at"]], columns=key)
+            yield out.assign(name=rows["name"].to_numpy(), shared=rows["shared"].to_numpy())
+
+    return count
+
+
 def relevance_gate(questions: DataFrame, topics: DataFrame, thr: float = 0.20) -> DataFrame:
     """Add ``relevance``, the largest share of a question's words that one topic (name, text)
-    has, null where either side has none, and ``keep``. Topics meet questions word by word."""
+    has, null where either side has none, and ``keep``."""
     q = questions.withColumn("__w", F.array_distinct(word_tokens("question", 2)))
-    t = topics.select("name", F.explode(F.array_distinct(word_tokens("text", 2))).alias("w"))
-    shared = q.select("question_id", F.explode("__w").alias("w")).join(t, "w").groupBy("question_id", "name").agg(F.count("*").alias("n"))
-    best = shared.groupBy("question_id").agg(F.max("n").alias("n"))
+    t = topics.select("name", F.array_distinct(word_tokens("text", 2)).alias("words")).where(F.size("words") > 0)
+    best = shared_words(q.select("question_id", F.col("__w").alias("words")), t, ["question_id"], 1).select("question_id", F.col("shared").alias("n"))
     any_topic = t.limit(1).select(F.lit(True).alias("any_topic"))
     out = q.join(best, "question_id", "left").join(F.broadcast(any_topic), F.lit(True), "left")
     score = F.when((F.size("__w") > 0) & F.col("any_topic"), F.coalesce("n", F.lit(0)) / F.size("__w"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillion.operators.retrieval import pair_features
-from quillion.sources.store import with_row_ids
+from quillion.sources.store import keep, with_row_ids
 
 
 def make_questions(chunks: DataFrame) -> DataFrame:
@@ -32,22 +32,50 @@ def seeded(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *cols))
 
 
-def sample_negatives(qa: DataFrame, chunks: DataFrame, n: int = 4, seed: int = 123, buckets: int = 64) -> DataFrame:
-    """``rid, k, negative``: n texts a question, other than its own and not from the same heading
-    of the same document, in hash order. Each question looks into one of ``buckets`` parts of
-    the chunks, so the join stays far from all pairs."""
-    part = lambda *c: F.pmod(F.crc32(F.concat_ws("-", F.lit(str(seed)), *c)), F.lit(buckets))
-    q = qa.select("rid", "positive", "doc_name", "heading_path", part(F.col("rid").cast("string")).alias("bucket"))
-    pool = chunks.where("trim(text) <> ''").select(F.col("rid").alias("other"), F.trim("text").alias("negative"), F.col("doc_name").alias("d"), F.col("heading_path").alias("h"), part(F.lit("pool"), F.col("rid").cast("string")).alias("bucket"))
-    met = q.join(pool, "bucket").where("negative <> positive and not (d <=> doc_name and h <=> heading_path)")
-    w = Window.partitionBy("rid").orderBy(seeded(seed, "rid", "other"), "other")
+def drawn(seed: int, draws: int, count: int, *cols: Column) -> Column:
+    """Array of ``draws`` numbers below ``count`` from the md5 of the seed, columns and draw."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(draws - 1)),
+        lambda j: F.struct(j.alias("draw"), (F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *cols, j)), 1, 12), 16, 10).cast("long") % count).alias("at")),
+    )
+
+
+def numbered(chunks: DataFrame) -> tuple[DataFrame, int]:
+    """Chunks that are not blank (other, text, doc_name, heading_path), with ``at`` from 0, and
+    how many they are."""
+    pool = chunks.where("trim(text) <> ''").select(F.col("rid").alias("other"), F.trim("text").alias("negative"), F.col("doc_name").alias("d"), F.col("heading_path").alias("h"))
+    pool = keep(with_row_ids(pool, ["other"], name="at"), "pool")
+    return pool, pool.count()
+
+
+def sample_negatives(qa: DataFrame, chunks: DataFrame, n: int = 4, seed: int = 123, tries: int = 6) -> DataFrame:
+    """``rid, k, other, negative``: up to n texts a question, other than its own and not from the
+    same heading of the same document. A question draws ``tries`` * n numbers of chunks and
+    joins them by number, so the work is that many rows a question; the first n that fit stay."""
+    pool, count = numbered(chunks)
+    draws = drawn(seed, tries * n, max(count, 1), F.col("rid"))
+    q = qa.select("rid", "positive", "doc_name", "heading_path", F.inline(draws))
+    met = q.join(pool, "at").where("negative <> positive and not (d <=> doc_name and h <=> heading_path)")
+    met = met.groupBy("rid", "other").agg(F.min("draw").alias("draw"), F.first("negative").alias("negative"))
+    w = Window.partitionBy("rid").orderBy("draw")
     return met.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).select("rid", "k", "other", "negative")
 
 
-def expand_pairs(qa: DataFrame, negatives: DataFrame, n: int = 3) -> DataFrame:
-    """Question and text with score 1 for the positive and 0 for the first n negatives."""
+def expand_pairs(qa: DataFrame, negatives: DataFrame, chunks: DataFrame | None = None, n: int = 3, seed: int = 7, tries: int = 12) -> DataFrame:
+    """Question and text with score 1 for the positive and 0 for the first n negatives. Where a
+    question has fewer, texts drawn from ``chunks`` other than its positive and those it has
+    follow, by up to ``tries`` draws."""
     pos = qa.select("rid", F.lit(0).alias("k"), "question", F.col("positive").alias("chunk_text"), F.lit(1.0).alias("score"))
-    neg = qa.select("rid", "question").join(negatives.where(F.col("k") <= n), "rid")
+    neg = qa.select("rid", "question").join(negatives.where(F.col("k") <= n).select("rid", F.col("k").cast("int").alias("k"), "negative"), "rid")
+    if chunks is not None:
+        had = neg.groupBy("rid").agg(F.count("*").alias("had"), F.collect_set("negative").alias("has"))
+        short = qa.select("rid", "question", "positive").join(had, "rid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < n)
+        pool, count = numbered(chunks)
+        more = short.withColumn("x", F.explode(drawn(seed, tries, max(count, 1), F.col("rid")))).select("*", "x.draw", "x.at").join(pool.select("at", "negative"), "at")
+        more = more.where(F.col("negative") != F.col("positive")).where(~F.coalesce(F.array_contains("has", F.col("negative")), F.lit(False)))
+        more = more.groupBy("rid", "question", "had", "negative").agg(F.min("draw").alias("draw"))
+        k = (F.col("had") + F.row_number().over(Window.partitionBy("rid").orderBy("draw"))).cast("int")
+        neg = neg.unionByName(more.withColumn("k", k).where(F.col("k") <= n).select("rid", "question", "k", "negative"))
     return pos.unionByName(neg.select("rid", "k", "question", F.col("negative").alias("chunk_text"), F.lit(0.0).alias("score")))
 
 
@@ -111,6 +139,11 @@ def binary_metrics(df: DataFrame) -> DataFrame:
     return df.agg(F.round(accuracy, 6).alias("accuracy"), F.round(F.coalesce(2 * tp / F.nullif(2 * tp + wrong, F.lit(0)), F.lit(0.0)), 6).alias("f1"))
 
 
+def mean_ndcg(df: DataFrame, k: int = 10) -> DataFrame:
+    """``questions, ndcg``: the mean of :func:`ndcg` over all questions."""
+    return ndcg(df, k).agg(F.count("*").alias("questions"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+
+
 def ndcg(df: DataFrame, k: int = 10) -> DataFrame:
     """``question_id, ndcg`` of (question_id, rid, score, rel); ties by rid, 0 if nothing is
     relevant."""

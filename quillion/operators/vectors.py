@@ -48,11 +48,11 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     q = queries.select("question_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
     width = q.agg(F.max(F.size("v")), F.count("*")).first()
     n = max(1, -(-int(width[1]) * int(width[0] or 1) // QUERY_BLOCK))
-    sc, parts = queries.sparkSession.sparkContext, []
+    sc, parts, kind = queries.sparkSession.sparkContext, [], q.schema["question_id"].dataType.simpleString()
     for block in range(n):
         rows = q.where(F.pmod(F.xxhash64("question_id"), F.lit(n)) == block).collect()
         if rows:
-            parts.append(_topk_block(sc.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows]))), corpus, k))
+            parts.append(_topk_block(sc.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows]))), corpus, k, kind))
     if not parts:
         return q.select("question_id", F.lit(0).cast("long").alias("rid"), F.lit(0.0).alias("score")).limit(0)
     found = parts[0]
@@ -62,7 +62,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
 
-def _topk_block(block, corpus: DataFrame, k: int) -> DataFrame:
+def _topk_block(block, corpus: DataFrame, k: int, kind: str) -> DataFrame:
     def best(batches):
         names, q = block.value
         held: pd.DataFrame | None = None
@@ -81,7 +81,7 @@ def _topk_block(block, corpus: DataFrame, k: int) -> DataFrame:
             yield held
 
     rows = corpus.select(F.col("rid").cast("long").alias("rid"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
-    return rows.mapInPandas(best, "question_id long, rid long, score double")
+    return rows.mapInPandas(best, f"question_id {kind}, rid long, score double")
 
 
 def hits_to_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:

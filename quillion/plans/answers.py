@@ -7,8 +7,8 @@ from quillion.functions import text as T
 from quillion.operators import context as X
 from quillion.operators import evidence as E
 from quillion.operators import memory as M
-from quillion.plans.base import hits, query, rx
-from quillion.plans.fixtures import view
+from quillion.plans.base import chunk_vectors, hits, query, question_vectors, rx
+from quillion.plans.fixtures import VIEWS, view, with_views
 from quillion.plans.pages import COLLAPSE, results, split_sql
 from quillion.plans.ranking import HYBRID, WORDS, search
 from quillion.sources import store as S
@@ -110,6 +110,16 @@ def _(spark, d):
     return rows.select("question_id", F.md5("prompt").alias("digest"))
 
 
+NOTES = ("Write notes.", "One section a topic.")
+
+
+@query("cx10_document_prompts", "v_chunks", f""", b AS (SELECT doc_name, page_start, {TAG} || ' ' || {COLLAPSE('text')} AS block FROM v_chunks WHERE {COLLAPSE('text')} <> ''), c AS (SELECT *, sum(length(block)) OVER (PARTITION BY doc_name ORDER BY page_start) - length(block) AS before FROM b)
+  SELECT doc_name, md5(concat_ws(chr(10), '{NOTES[0]}', '{NOTES[1]}', 'context:' || chr(10) || string_agg(substr(block, 1, (14000 - before)::BIGINT), chr(10) ORDER BY page_start))) AS digest FROM c WHERE before < 14000 GROUP BY 1""")
+def _(spark, d):
+    rows = view(spark, d, "v_chunks").withColumn("rank", F.col("page_start"))
+    return X.document_prompts(rows, *NOTES).select("doc_name", F.md5("prompt").alias("digest"))
+
+
 @query("cx11_clean_citations", "v_chunks", f"""SELECT rid, 'label of ' || rid || chr(10) || '$$x = ' || rid || '$$ ' || {TAG} AS a, '$y$ ' || {TAG} || ' and more' AS b FROM v_chunks""".replace("'label of ' || rid || chr(10) || '$$x = ' || rid || '$$ ' || " + TAG, "'$$x = ' || rid || '$$ ' || " + TAG + " || chr(10) || 'label of ' || rid"))
 def _(spark, d):
     a = F.concat(F.lit("label of "), "rid", F.lit("\n$$x = "), "rid", F.lit("$$"), X.source_tag())
@@ -182,6 +192,19 @@ def _(spark, d):
     return E.second_pass(rows, E.prune_answers(rows, KEY), view(spark, d, "v_answers"), more, KEY).select(*KEY, "n", "source", "score")
 
 
+_CHAIN = with_views("v_hits")
+_FORMS = f"""v_asked AS ({VIEWS['v_questions']}),
+v_questions AS (SELECT question_id * 2 + n AS question_id, trim(question) || CASE n WHEN 1 THEN ' key formulas' ELSE '' END AS question FROM v_asked, (SELECT unnest([0, 1]) AS n) WHERE question_id % 5 = 0)"""
+SECOND = _CHAIN.replace(f"v_questions AS ({VIEWS['v_questions']})", _FORMS).replace("e.vec_id = q.question_id", "e.vec_id = q.question_id // 2")
+
+
+@query("ev4_second_search", "", SECOND + HYBRID.replace("rank <= 5", "rank <= 6") + f" SELECT question_id // 2 AS question_id, (question_id % 2) * 6 + rank AS pos, {TAG} AS source, md5(text) AS digest FROM hy")
+def _(spark, d):
+    asked = question_vectors(spark, d)
+    more = E.second_search(asked.where("question_id % 5 = 0"), asked, view(spark, d, "v_chunks"), chunk_vectors(spark, d), ["question_id"])
+    return more.select("question_id", F.col("pos").cast("long").alias("pos"), "source", F.md5("text").alias("digest"))
+
+
 def given(spark, d):
     rows = view(spark, d, "v_answers")
     tags = F.array(F.concat(F.lit("[conversation "), "question_id", F.lit(" p.0]")), F.lit("[other p.1]"), F.lit(""))
@@ -238,23 +261,25 @@ def _(spark, d):
     return E.report_table(supported(spark, d), KEY).select(*KEY, F.col("row").cast("long").alias("row"), "sentence", "source", "status")
 
 
-@query("ev11_resolve_from_table", "v_answers v_evidence", SUPPORT + f""", asked AS (SELECT question_id, turn, q, unnest(list_distinct({WORDS('sentence', 4)})) AS t FROM (SELECT *, row_number() OVER (PARTITION BY question_id, turn ORDER BY n) AS q FROM su WHERE score < 0.25) WHERE q <= 2),
+@query("ev11_resolve_from_table", "v_answers v_evidence", SUPPORT + f""", open AS (SELECT question_id, turn, q, sentence FROM (SELECT *, row_number() OVER (PARTITION BY question_id, turn ORDER BY n) AS q FROM su WHERE score < 0.1) WHERE q <= 2),
+  asked AS (SELECT question_id, turn, q, unnest(list_distinct({WORDS('sentence', 4)})) AS t FROM (SELECT * FROM open UNION ALL SELECT question_id, turn, 1, substr(draft, 1, 80) FROM v_answers ANTI JOIN open USING (question_id, turn))),
   te AS (SELECT DISTINCT url, unnest({WORDS("regexp_replace(html, '<[^>]*>', ' ', 'g')", 4)}) AS t FROM pages),
   me AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, turn, q ORDER BY shared DESC, url) AS n FROM (SELECT question_id, turn, q, url, count(*) AS shared FROM asked JOIN te USING (t) GROUP BY ALL)) WHERE n <= 4),
   fi AS (SELECT question_id, turn, url, min(q) AS q, max(shared) AS shared FROM me GROUP BY ALL)
   SELECT question_id, turn, url, q, shared FROM (SELECT *, count_if(q = 1) OVER (PARTITION BY question_id, turn) AS early FROM fi) WHERE q = 1 OR early < 6""")
 def _(spark, d):
-    rows = supported(spark, d).withColumn("status", F.when(F.col("score") < 0.25, "weak").otherwise("supported"))
+    rows = supported(spark, d).withColumn("status", F.when(F.col("score") < 0.1, "weak").otherwise("supported"))
     table = results(spark, d).select("url", F.col("snippet").alias("text"))
-    return E.resolve_from_table(rows, table, KEY).select(*KEY, "url", F.col("q").cast("long").alias("q"), "shared")
+    questions = view(spark, d, "v_answers").select(*KEY, F.substring("draft", 1, 80).alias("question"))
+    return E.resolve_from_table(rows, table, KEY, questions=questions).select(*KEY, "url", F.col("q").cast("long").alias("q"), "shared")
 
 
 COST = "greatest(1, length(coalesce(q, '') || coalesce(a, '')) // 4)"
 
 
-@query("mm1_recent_turns", "v_turns", f"SELECT conv_id, turn, used FROM (SELECT *, sum({COST}) OVER (PARTITION BY conv_id ORDER BY turn DESC)::BIGINT AS used FROM v_turns) WHERE used <= 400")
+@query("mm1_recent_turns", "v_turns", f"SELECT conv_id, turn, used FROM (SELECT *, sum({COST}) OVER (PARTITION BY conv_id ORDER BY turn DESC)::BIGINT AS used FROM v_turns) WHERE used <= 1200")
 def _(spark, d):
-    return M.recent_turns(view(spark, d, "v_turns"), 400).select("conv_id", "turn", "used")
+    return M.recent_turns(view(spark, d, "v_turns"), 1200).select("conv_id", "turn", "used")
 
 
 @query("mm2_append_turns", "v_turns", "SELECT conv_id, turn, md5(q || a) AS digest FROM v_turns")
@@ -265,6 +290,14 @@ def _(spark, d):
     return M.append_turns(rows.where("conv_id % 2 = 1"), path).select("conv_id", "turn", F.md5(F.concat("q", "a")).alias("digest"))
 
 
+@query("mm2_clear_turns", "v_turns", "SELECT conv_id, turn FROM v_turns WHERE conv_id % 2 = 1")
+def _(spark, d):
+    path, rows = S.scratch(spark, "memory"), M.pair_turns(view(spark, d, "conversations"))
+    M.append_turns(rows.where("conv_id % 2 = 0"), path)
+    M.clear_turns(spark, path)
+    return M.append_turns(rows.where("conv_id % 2 = 1"), path).select("conv_id", "turn")
+
+
 @query("mm3_prune_turns", "v_turns", "SELECT conv_id, turn FROM (SELECT *, sum(strlen(q || a) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC) - strlen(q || a) - 1 AS before FROM v_turns) WHERE before < 1500")
 def _(spark, d):
     return M.prune_turns(view(spark, d, "v_turns"), 1500).select("conv_id", "turn")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillion.operators import chunking, vectors
-from quillion.plans.fixtures import view, with_views
+from quillion.plans.fixtures import POOL, view, with_views
 from quillion.sources.store import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,12 +45,12 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "embeddings").select(F.col("vec_id").alias("rid"), "embedding")
 
 
-def top(spark: SparkSession, d: str, k: int = 25) -> DataFrame:
+def top(spark: SparkSession, d: str, k: int = POOL) -> DataFrame:
     """Vector hits of every question, ``pos`` from 1."""
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "rid")
     return vectors.vector_topk(question_vectors(spark, d), chunk_vectors(spark, d), k).withColumn("pos", F.row_number().over(w))
 
 
-def hits(spark: SparkSession, d: str) -> DataFrame:
-    rows = vectors.hits_to_chunks(top(spark, d), view(spark, d, "v_chunks"))
+def hits(spark: SparkSession, d: str, k: int = POOL) -> DataFrame:
+    rows = vectors.hits_to_chunks(top(spark, d, k), view(spark, d, "v_chunks"))
     return keep(rows.join(view(spark, d, "v_questions"), "question_id"), "hits")

@@ -34,20 +34,24 @@ UNION ALL SELECT doc_name, page, doc_id, 'c', 2, text || CASE WHEN doc_id % 4 =
     "v_requests": "SELECT event_id, ts, user_id, CAST(floor(value * 10) AS BIGINT) AS tokens FROM events",
 }
 
+POOL, WIDE = 128, 256  # hits of a question that are ranked, and that are reranked
+
 #: Views that only the SQL side takes from here; the Spark side makes them with operators.
 DUCK = {
     "v_lines": """SELECT doc_name, page, doc_id, CAST(unnest(generate_series(0, len(l)-1)) AS INT) AS pos, unnest(l) AS line
   FROM (SELECT *, string_split(text, chr(10)) AS l FROM v_headed)""",
     "v_qv": "SELECT q.question_id, q.question, e.embedding FROM v_questions q JOIN embeddings e ON e.vec_id = q.question_id",
-    "v_top": """SELECT question_id, rid, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rid) AS pos FROM
-  (SELECT q.question_id, e.vec_id AS rid, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM v_qv q, embeddings e)) WHERE pos <= 25""",
+    "v_top": f"""SELECT question_id, rid, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rid) AS pos FROM
+  (SELECT q.question_id, e.vec_id AS rid, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM v_qv q, embeddings e)) WHERE pos <= {POOL}""",
+    "v_wide": f"""SELECT t.question_id, q.question, t.score, t.pos, c.* FROM (SELECT question_id, rid, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rid) AS pos FROM
+  (SELECT q.question_id, e.vec_id AS rid, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM v_qv q, embeddings e)) t JOIN v_chunks c USING (rid) JOIN v_questions q USING (question_id) WHERE t.pos <= {WIDE}""",
     "v_hits": "SELECT t.question_id, q.question, t.score, t.pos, c.* FROM v_top t JOIN v_chunks c USING (rid) JOIN v_questions q USING (question_id)",
 }
 VIEWS |= DUCK
 
 NEEDS = {
     "v_chunks": ["v_pages"], "v_extractions": ["v_pages"], "v_headed": ["v_pages"], "v_lines": ["v_headed"],
-    "v_qv": ["v_questions"], "v_top": ["v_qv"], "v_hits": ["v_top", "v_chunks"],
+    "v_qv": ["v_questions"], "v_top": ["v_qv"], "v_hits": ["v_top", "v_chunks"], "v_wide": ["v_qv", "v_chunks"],
 }
 
 

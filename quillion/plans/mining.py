@@ -113,9 +113,9 @@ def _(spark, d):
 
 
 @query("fm9_formula_sheet", "v_chunks", RANKED + f""", fl AS (SELECT *, trim(regexp_replace('[' || doc_name || ' p.' || page_start || '] ' || span, '\\s+', ' ', 'g')) AS fline, '[' || doc_name || ' p.' || page_start || ']' AS source FROM rs)
-  SELECT doc_name, md5(string_agg(fline, chr(10) ORDER BY place)) AS digest, count(*) AS n FROM (SELECT *, row_number() OVER w AS place, sum(length(fline) + 1) OVER w AS used FROM fl WINDOW w AS (PARTITION BY doc_name ORDER BY source, page_start, rid, span_rank)) WHERE used <= 2000 GROUP BY 1""")
+  SELECT doc_name, md5(string_agg(fline, chr(10) ORDER BY place)) AS digest, count(*) AS n FROM (SELECT *, row_number() OVER w AS place, sum(length(fline) + 1) OVER w AS used FROM fl WINDOW w AS (PARTITION BY doc_name ORDER BY source, page_start, rid, span_rank)) WHERE used <= 14000 GROUP BY 1""")
 def _(spark, d):
-    return M.formula_sheet(M.with_source(ranked(spark, d)), "doc_name", 2000).select("doc_name", F.md5("sheet").alias("digest"), "n")
+    return M.formula_sheet(M.with_source(ranked(spark, d)), "doc_name").select("doc_name", F.md5("sheet").alias("digest"), "n")
 
 
 @query("fm10_formula_lines", "v_chunks", f""", {MINED}, o AS (SELECT rid, text, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(trim(x), '(?i)\\b(exercise|prove|show\\s+that|find\\s+the\\s+value|question)\\b') AND regexp_matches(trim(x), '(=|[≡≈]|:$)')), chr(10)) AS kept FROM v_mined)
@@ -147,15 +147,25 @@ def _(spark, d):
     return qa(spark, d).select("rid", "question")
 
 
-@query("tr2_sample_negatives")
+#: Numbers that questions draw, from the md5 of seed, question and draw.
+DRAWN = """(SELECT {cols}, draw, (('0x' || substr(md5('{seed}-' || rid || '-' || draw), 1, 12))::BIGINT % (SELECT count(*) FROM po)) AS spot FROM (SELECT *, unnest(generate_series(0, {last})) AS draw FROM {table}))""".format
+NEGATIVES = QA + """, po AS (SELECT rid AS other, trim(text) AS negative, doc_name AS d, heading_path AS h, row_number() OVER (ORDER BY rid) - 1 AS spot FROM v_chunks WHERE trim(text) <> ''),
+  ne AS (SELECT rid, other, negative, row_number() OVER (PARTITION BY rid ORDER BY draw) AS k FROM (SELECT rid, other, negative, min(draw) AS draw FROM """ + DRAWN(cols="rid, positive, doc_name, heading_path", seed=123, last=23, table="qa") + """ q JOIN po USING (spot) WHERE negative <> positive AND NOT (d IS NOT DISTINCT FROM doc_name AND h IS NOT DISTINCT FROM heading_path) GROUP BY ALL) QUALIFY k <= 4)"""
+
+
+@query("tr2_sample_negatives", "v_chunks", NEGATIVES + " SELECT rid, k, other FROM ne")
 def _(spark, d):
-    return R.sample_negatives(qa(spark, d), view(spark, d, "v_chunks")).select("rid", "k", "other")
+    return R.sample_negatives(qa(spark, d), view(spark, d, "v_chunks")).select("rid", F.col("k").cast("long").alias("k"), "other")
 
 
-@query("tr3_expand_pairs")
+@query("tr3_expand_pairs", "v_chunks", NEGATIVES + """, kn AS (SELECT rid, k, negative FROM ne WHERE k <= rid % 4 AND k <= 3), hd AS (SELECT rid, count(*) AS had, list(DISTINCT negative) AS has FROM kn GROUP BY 1),
+  sh AS (SELECT qa.rid, question, positive, coalesce(had, 0) AS had, coalesce(has, []) AS has FROM qa LEFT JOIN hd USING (rid) WHERE coalesce(had, 0) < 3),
+  mo AS (SELECT rid, question, had + row_number() OVER (PARTITION BY rid ORDER BY draw) AS k, negative FROM (SELECT rid, question, had, negative, min(draw) AS draw FROM """ + DRAWN(cols="rid, question, positive, had, has", seed=7, last=11, table="sh") + """ JOIN po USING (spot) WHERE negative <> positive AND NOT list_contains(has, negative) GROUP BY ALL))
+  SELECT rid, 0 AS k, md5(positive) AS digest, 1::DOUBLE AS score FROM qa UNION ALL SELECT rid, k, md5(negative), 0 FROM kn UNION ALL SELECT rid, k, md5(negative), 0 FROM mo WHERE k <= 3""")
 def _(spark, d):
-    rows = qa(spark, d)
-    return R.expand_pairs(rows, R.sample_negatives(rows, view(spark, d, "v_chunks"))).select("rid", "k", "question", "score")
+    rows, chunks = qa(spark, d), view(spark, d, "v_chunks")
+    some = R.sample_negatives(rows, chunks).where("k <= rid % 4")  # so that some questions need more
+    return R.expand_pairs(rows, some, chunks).select("rid", F.col("k").cast("long").alias("k"), F.md5("chunk_text").alias("digest"), "score")
 
 
 @query("tr4_split_train_valid", "", "SELECT doc_id, row_number() OVER (ORDER BY md5('13-' || doc_id), doc_id) - 1 >= floor((SELECT count(*) FROM labels) * 0.9) AS is_valid FROM labels")
@@ -165,18 +175,19 @@ def _(spark, d):
 
 @query("tr5_train_classifier")
 def _(spark, d):
-    rows = L.weak_label(view(spark, d, "v_chunks"))
-    model = R.train_classifier(rows)
-    scored = model.transform(rows).select("rid", F.col("label_id").alias("label"), F.col("prediction").alias("predicted"))
+    rows = R.split_train_valid(L.weak_label(view(spark, d, "v_chunks")), "rid")
+    model = R.train_classifier(rows.where("not is_valid"))
+    scored = model.transform(rows.where("is_valid")).select("rid", F.col("label_id").alias("label"), F.col("prediction").alias("predicted"))
     return R.classification_metrics(scored)
 
 
 @query("tr6_train_ranker")
 def _(spark, d):
-    rows = qa(spark, d)
-    pairs = R.expand_pairs(rows, R.sample_negatives(rows, view(spark, d, "v_chunks")))
-    score = R.rank_scorer(R.train_ranker(pairs))
-    return score(R.pair_features(pairs.withColumn("text", F.col("chunk_text")))).select("rid", "k", "score", "pair_score")
+    chunks = view(spark, d, "v_chunks")
+    rows = R.split_train_valid(qa(spark, d), "rid")
+    pairs = S.keep(R.expand_pairs(rows, R.sample_negatives(rows, chunks), chunks).join(rows.select("rid", "is_valid"), "rid"), "pairs")
+    score = R.rank_scorer(R.train_ranker(pairs.where("not is_valid")))
+    return score(R.pair_features(pairs.where("is_valid").withColumn("text", F.col("chunk_text")))).select("rid", "k", "score", "pair_score")
 
 
 @query("tr7_label_index", "v_chunks", f"SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_id FROM (SELECT DISTINCT label FROM ({WEAK}) WHERE label IS NOT NULL)")
@@ -206,6 +217,15 @@ def _(spark, d):
     return R.ndcg(hits(spark, d).select("question_id", "rid", "score", rel.alias("rel")))
 
 
+@query("tr10_mean_ndcg", "v_hits", """, r AS (SELECT question_id, rid, score, CASE WHEN rid % 7 = 0 THEN 2 WHEN rid % 3 = 0 THEN 1 ELSE 0 END AS rel FROM v_hits),
+  o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rid) AS a, row_number() OVER (PARTITION BY question_id ORDER BY rel DESC, rid) AS b FROM r),
+  s AS (SELECT question_id, sum(CASE WHEN a <= 10 THEN (2 ** rel - 1) / log2(a + 1) ELSE 0 END) AS dcg, sum(CASE WHEN b <= 10 THEN (2 ** rel - 1) / log2(b + 1) ELSE 0 END) AS ideal FROM o GROUP BY 1)
+  SELECT count(*) AS questions, round(avg(round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 6)), 6)::DOUBLE AS ndcg FROM s""")
+def _(spark, d):
+    rel = F.when(F.col("rid") % 7 == 0, 2).when(F.col("rid") % 3 == 0, 1).otherwise(0)
+    return R.mean_ndcg(hits(spark, d).select("question_id", "rid", "score", rel.alias("rel")))
+
+
 @query("tr11_write_predictions", "", "SELECT doc_id, quality, 1 - toxic AS prediction FROM labels")
 def _(spark, d):
     rows = view(spark, d, "labels").select("doc_id", "quality", (1 - F.col("toxic")).alias("prediction"))
@@ -230,13 +250,17 @@ def _(spark, d):
 @query("st2_usage_windows", "v_requests", """SELECT time_bucket(INTERVAL '60 seconds', ts) AS start, sum(tokens)::BIGINT AS tokens, count(*) AS requests, sum(tokens) > 800 OR count(*) > 2 AS over FROM v_requests GROUP BY 1""")
 def _(spark, d):
     stream = _stream(spark, d, "requests", view(spark, d, "v_requests"))
-    name = f"usage_{S.scratch(spark, 'x').rsplit('-', 1)[-1]}"
-    out = jobs.usage_windows(stream, 800, 2).writeStream.outputMode("complete").format("memory").queryName(name)
+    sink = S.scratch(spark, "usage")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch={n}")
+    out = jobs.usage_windows(stream, 800, 2).writeStream.outputMode("update").foreachBatch(write)
     out.option("checkpointLocation", S.scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema("start timestamp_ntz, tokens long, requests long, over boolean, batch int").parquet(sink)
+    # A window is written again by each batch that adds to it; the last one stands.
+    last = rows.groupBy("start").agg(F.max_by(F.struct("tokens", "requests", "over"), "batch").alias("w"))
+    return last.select("start", "w.*")
 
 
-@query("st3_stream_memory", "v_turns", "SELECT conv_id, turn FROM (SELECT *, sum(greatest(1, length(coalesce(q, '') || coalesce(a, '')) // 4)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM v_turns) WHERE used <= 400")
+@query("st3_stream_memory", "v_turns", "SELECT conv_id, turn FROM (SELECT *, sum(greatest(1, length(coalesce(q, '') || coalesce(a, '')) // 4)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM v_turns) WHERE used <= 1200")
 def _(spark, d):
     stream = _stream(spark, d, "turns", view(spark, d, "v_turns").repartition(4, "turn"))
     sink, w = S.scratch(spark, "memory"), Window.partitionBy("conv_id")
@@ -244,7 +268,7 @@ def _(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(sink)
-        out = jobs.stream_memory(stream, 400).writeStream.outputMode("update").foreachBatch(write)
+        out = jobs.stream_memory(stream).writeStream.outputMode("update").foreachBatch(write)
         out.option("checkpointLocation", S.scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
@@ -261,6 +285,20 @@ def _(spark, d):
     )
 
 
-@query("fn_nfkc", "v_pages", "SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM v_pages")
+@query("fn_markdown", "v_pages", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN 'head' || chr(10) || '- ' || text ELSE 'one' END, '^\\s+|\\s+$', '', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '^\\s*- \\s*', '')) AS digest FROM v_pages")
+def _(spark, d):
+    made = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```md\n"), "text", F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("\u2022 head  \n \u2014 "), "text")).otherwise("```\n- one\n```")
+    return view(spark, d, "v_pages").select("doc_id", F.md5(T.normalize_markdown(made)).alias("digest"))
+
+
+@query("fn_scores", "", "SELECT event_id, round(1 / (1 + exp(-value)), 6) AS sigmoid, round(exp(value - greatest(value, 1)) / (exp(value - greatest(value, 1)) + exp(1 - greatest(value, 1))), 6) AS share, floor(epoch(ts))::BIGINT AS seconds FROM events")
+def _(spark, d):
+    v = F.col("value")
+    return view(spark, d, "events").select(
+        "event_id", F.round(T.sigmoid("value"), 6).alias("sigmoid"), F.round(T.softmax(F.array(v, F.lit(1.0)))[0], 6).alias("share"), T.epoch_seconds("ts").alias("seconds")
+    )
+
+
+@query("fn_nfkc", "v_pages", "SELECT doc_id, md5(nfc_normalize(text) || 'fi21\u00c5') AS digest FROM v_pages")
 def _(spark, d):
-    return view(spark, d, "v_pages").select("doc_id", F.md5(T.nfkc("text")).alias("digest"))
+    return view(spark, d, "v_pages").select("doc_id", F.md5(T.nfkc(F.concat("text", F.lit("\ufb01\u00b2\u2460A\u030a")))).alias("digest"))

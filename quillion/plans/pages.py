@@ -60,6 +60,18 @@ def _(spark, d):
     return view(spark, d, "documents").select("lang", "source").distinct().withColumn("key", S.ns_key(F.col("lang"), F.col("source")))
 
 
+@query("snk2_reset_ns", "v_chunks", "SELECT 'a' AS ns, 0::BIGINT AS n UNION ALL SELECT 'b', count(*) FROM v_chunks WHERE trim(text) <> '' AND rid % 2 = 1")
+def _(spark, d):
+    rows, path = view(spark, d, "v_chunks").select("rid", "doc_name", "text"), S.scratch(spark, "store")
+    for k, ns in enumerate("ab"):
+        S.ensure_ns(spark, path, ns, 64, "m")
+        S.append_chunks(rows.where(F.col("rid") % 2 == k).withColumnRenamed("rid", "src"), path, ["src"], ns)
+    S.ensure_ns(spark, path, "a", 32, "m")  # another width: emptied
+    S.ensure_ns(spark, path, "b", 64, "m")  # the same: kept
+    left = spark.read.parquet(path).groupBy("ns").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([("a",), ("b",)], "ns string").join(left, "ns", "left").select("ns", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query("snk3_jsonl_sink", "", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
 def _(spark, d):
     path = S.write_jsonl(view(spark, d, "labels"), S.scratch(spark, "labels"))
@@ -209,7 +221,7 @@ def _(spark, d):
 
 @query("ch12_chunk_pages")
 def _(spark, d):
-    return C.chunk_pages(view(spark, d, "v_headed"))
+    return C.chunk_pages(view(spark, d, "v_headed"), blocks(spark, d).withColumn("font", F.when(F.col("page") % 2 == 0, F.col("font")).otherwise("times")))
 
 
 @query("ch13_pack", "v_pages", """, s AS (SELECT doc_name, page, length(text) AS n FROM v_pages), r AS (
@@ -222,10 +234,10 @@ def _(spark, d):
 
 
 @query("ch14_chunk_flags", "v_lines", f"""SELECT doc_name, page, pos, regexp_matches(line, {rx(T.MATH)}) AS has_math, regexp_matches(line, {rx(T.TABLE_HINT)}) OR (contains(line, '|') AND length(line) > 10) AS has_table,
-  len(regexp_extract_all(line, {rx(T.OPERATORS)})) AS n_ops, char_end - length(line) - 1 AS char_start, char_end FROM (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_name, page ORDER BY pos)::BIGINT AS char_end FROM v_lines)""")
+  len(regexp_extract_all(line, {rx(T.OPERATORS)})) AS n_ops, page % 2 = 0 AND len(regexp_extract_all(line, {rx(T.OPERATORS)})) >= 1 AND len(regexp_extract_all(line, '[A-Za-z]{{3,}}')) <= 40 AS is_equation, char_end - length(line) - 1 AS char_start, char_end FROM (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_name, page ORDER BY pos)::BIGINT AS char_end FROM v_lines)""")
 def _(spark, d):
-    rows = lines(spark, d).withColumnRenamed("line", "text")
-    return C.chunk_flags(rows).select("doc_name", "page", "pos", "has_math", "has_table", F.col("n_ops").cast("long").alias("n_ops"), "char_start", "char_end")
+    rows = lines(spark, d).withColumnRenamed("line", "text").withColumn("math_page", F.col("page") % 2 == 0)
+    return C.chunk_flags(rows).select("is_equation", "doc_name", "page", "pos", "has_math", "has_table", F.col("n_ops").cast("long").alias("n_ops"), "char_start", "char_end")
 
 
 VETO = f"t = '' OR contains(lower(t), 'isbn') OR regexp_matches(t, {rx(L.ISBN13)}) OR regexp_matches(t, {rx(L.ISBN10)}) OR NOT regexp_matches(t, {rx(L.MATH_TOKENS)})"

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from quillion.operators import retrieval as R
 from quillion.operators import vectors as V
 from quillion.plans.base import chunk_vectors, hits, query, question_vectors, rx, top
-from quillion.plans.fixtures import view
+from quillion.plans.fixtures import WIDE, view
 
 
-@query("ve1_embed")
+@query("ve1_embed", "v_chunks", "SELECT rid, 256 AS dim, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN 1 ELSE 0 END::DOUBLE AS norm FROM v_chunks")
 def _(spark, d):
     rows = V.embed(view(spark, d, "v_chunks").select("rid", "text"))
     return rows.select("rid", F.size("embedding").alias("dim"), F.round(V.dot("embedding", "embedding"), 6).alias("norm"))
@@ -112,7 +112,7 @@ def _(spark, d):
 
 
 def search(spark, d, k=5):
-    return R.hybrid_search(question_vectors(spark, d), view(spark, d, "v_chunks"), chunk_vectors(spark, d), k, pool=25)
+    return R.hybrid_search(question_vectors(spark, d), view(spark, d, "v_chunks"), chunk_vectors(spark, d), k)
 
 
 HYBRID = BONUS.replace(", bo AS", ", nb AS", 1).replace("h.*, b.bm25", "h.* EXCLUDE (score), CASE WHEN max(greatest(0, h.score)) OVER (PARTITION BY h.question_id) > 0 THEN greatest(0, h.score) / max(greatest(0, h.score)) OVER (PARTITION BY h.question_id) ELSE 0 END AS score, b.bm25") + """, hy AS (SELECT * FROM
@@ -140,13 +140,13 @@ def _(spark, d):
 
 
 OVERLAP_SQL = "len(list_intersect({a}, {b}))"
-FEATURES = f"""SELECT *, {WORDS('question', 0)} AS qw, {WORDS("substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 800)", 0)} AS tw FROM v_hits"""
+FEATURES = f"""SELECT *, {WORDS('question', 0)} AS qw, {WORDS("substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 800)", 0)} AS tw FROM v_wide"""
 
 
-@query("rt10_rerank", "v_hits", f"""SELECT question_id, rid, new_rank FROM (SELECT question_id, rid, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, pos) AS new_rank FROM
+@query("rt10_rerank", "v_wide", f"""SELECT question_id, rid, new_rank FROM (SELECT question_id, rid, row_number() OVER (PARTITION BY question_id ORDER BY pos > 200, CASE WHEN pos > 200 THEN 0 ELSE s END DESC, pos) AS new_rank FROM
   (SELECT *, round(0.7 * shared / greatest(1, nq) + 0.3 * shared / greatest(1, nq + nt - shared), 6) AS s FROM (SELECT *, len(list_intersect(qw, tw)) AS shared, len(list_distinct(qw)) AS nq, len(list_distinct(tw)) AS nt FROM ({FEATURES}))))""")
 def _(spark, d):
-    return R.rerank(hits(spark, d)).select("question_id", "rid", F.col("new_rank").cast("long").alias("new_rank"))
+    return R.rerank(hits(spark, d, WIDE)).select("question_id", "rid", F.col("new_rank").cast("long").alias("new_rank"))
 
 
 @query("rt11_scope_docs", "v_hits", r"""SELECT question_id, rid FROM (SELECT h.*, CASE WHEN by_code IS NOT NULL THEN by_code WHEN by_word IS NOT NULL THEN by_word ELSE common END AS target FROM v_hits h JOIN (
@@ -157,13 +157,21 @@ def _(spark, d):
     return R.scope_docs(hits(spark, d)).select("question_id", "rid")
 
 
+@query("rt11_scope_docs_first", "v_hits", r"""SELECT question_id, rid, row_number() OVER (PARTITION BY question_id ORDER BY doc_name <> target, pos) AS place FROM (SELECT h.*, CASE WHEN by_code IS NOT NULL THEN by_code WHEN by_word IS NOT NULL THEN by_word ELSE common END AS target FROM v_hits h JOIN (
+  SELECT question_id, min_by(doc_name, pos) FILTER (code <> '' AND contains(name, code)) AS by_code, min_by(doc_name, pos) FILTER (len(list_filter(words, lambda w: contains(name, w))) > 0) AS by_word FROM
+  (SELECT *, lower(regexp_extract(question, '\b([A-Z]{2,}[0-9]{2,})\b', 1)) AS code, regexp_extract_all(lower(question), '[a-z0-9_.\-]{4,}') AS words, lower(doc_name) AS name FROM v_hits) GROUP BY 1) USING (question_id)
+  JOIN (SELECT question_id, max_by(doc_name, n * 1000 - first) AS common FROM (SELECT question_id, doc_name, count(*) AS n, min(pos) AS first FROM v_hits GROUP BY ALL) GROUP BY 1) USING (question_id))""")
+def _(spark, d):
+    return R.scope_docs(hits(spark, d), strict=False).select("question_id", "rid", F.col("pos").cast("long").alias("place"))
+
+
 @query("rt12_filter_chapter", "v_hits", r""", n AS (SELECT *, nullif(regexp_extract(question, '(?i)\b(?:chapter|chap|ch)\s*([0-9]{1,3})\b', 1), '')::INT AS wc, nullif(regexp_extract(question, '(?i)(?:\bsection|\bsec|§)\s*([0-9]+(?:\.[0-9]+)*)', 1), '') AS ws,
     coalesce(nullif(regexp_extract(lower(hp), '\bchapter\s*([0-9]{1,3})\b', 1), ''), nullif(regexp_extract(hp, '^\s*([0-9]{1,3})(?:\.[0-9]+)*\b', 1), ''))::INT AS hc, nullif(regexp_extract(lower(hp), '\bsection\s*([0-9]+(?:\.[0-9]+)*)\b', 1), '') AS hs FROM (SELECT *, coalesce(nullif(heading_path, ''), section_tag, '') AS hp FROM v_hits)),
   m AS (SELECT *, coalesce(CASE WHEN wc IS NOT NULL THEN hc = wc ELSE starts_with(hs, ws) END, false) AS hit FROM n),
   w AS (SELECT *, max(hit::INT) OVER q AS found, floor(median(CASE WHEN hit AND page_start > 0 THEN page_start END) OVER q) AS mid FROM m WINDOW q AS (PARTITION BY question_id))
-  SELECT question_id, rid FROM w WHERE (wc IS NULL AND ws IS NULL) OR found = 0 OR hit OR page_start BETWEEN greatest(1, mid - 3) AND mid + 3""")
+  SELECT question_id, rid FROM w WHERE (wc IS NULL AND ws IS NULL) OR found = 0 OR hit OR page_start BETWEEN greatest(1, mid - 40) AND mid + 40""")
 def _(spark, d):
-    return R.filter_chapter(hits(spark, d), window=3).select("question_id", "rid")
+    return R.filter_chapter(hits(spark, d), window=40).select("question_id", "rid")
 
 
 @query("rt13_page_num", "v_chunks", "SELECT rid, CASE WHEN rid % 4 > 0 THEN rid % 4 WHEN page_start > 0 THEN page_start ELSE 0 END AS page FROM v_chunks")

@@ -12,9 +12,12 @@ from quillion.functions.text import safe_token
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that all executors share; a local one only where none is set."""
+    """A new path in the folder that all executors share. Where ``spark.checkpoint.dir`` is unset
+    a local session (one process, as in tests) gets a temporary folder, and a cluster an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="quillion-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -111,6 +114,20 @@ def ns_key(backend: Column, model: Column) -> Column:
     return F.concat(F.lower(backend), F.lit("_"), safe_token(model), F.lit("_"), F.substring(F.sha1(tag), 1, 8))
 
 
+def ensure_ns(spark: SparkSession, path: str, ns: str, dim: int, model: str) -> bool:
+    """Make a namespace of a store fit for vectors of ``dim`` numbers from ``model``: where it was
+    made for others it is emptied. Whether it was; one writer at a time."""
+    told = f"{path.rstrip('/')}-meta/ns={ns}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(told)
+    known = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    same = known and spark.read.schema("dim int, model string").parquet(told).where((F.col("dim") == dim) & (F.col("model") == model)).count() > 0
+    if not same:
+        spark.createDataFrame([(dim, model)], "dim int, model string").write.mode("overwrite").parquet(told)
+        if known:
+            reset_ns(spark, path, ns)
+    return known and not same
+
+
 def reset_ns(spark: SparkSession, path: str, ns: str) -> None:
     """Empty one namespace of a store and leave the others."""
     kept = spark.read.parquet(path)

@@ -45,6 +45,94 @@ def test_chunk_page():
     assert chunks[1]["text"].startswith(chunks[0]["text"][-80:])
 
 
+def test_equation_flag(spark, monkeypatch):
+    page = "Area of a disc\nA = r^2 holds.\nPlain words only here."
+    assert [C.chunk_page(page, 750, 90, set(), m)[0]["is_equation"] for m in (False, True)] == [False, True]
+    wordy = "x = y and " + " ".join(["word"] * 41)
+    assert not C.chunk_page(wordy, 750, 90, set(), True)[0]["is_equation"]
+    pages = spark.createDataFrame([("d1", 1, page), ("d2", 1, page), ("d3", 1, page)], "doc_name string, page int, text string")
+    blocks = spark.createDataFrame([("d1", 1, "A = r^2", "cmmi"), ("d2", 1, "A = r^2", "times"), ("d3", 1, "A = r^2 " * 40, "cmmi")], "doc_name string, page int, text string, font string")
+    monkeypatch.setattr(C, "repeat_lines", lambda pages: pages.where("false").select("doc_name", F.col("text").alias("line")))  # one page repeats all
+    got = {r.doc_name: r.is_equation for r in C.chunk_pages(pages, blocks).collect()}
+    assert got == {"d1": True, "d2": False, "d3": False}
+    assert not any(r.is_equation for r in C.chunk_pages(pages).collect())
+
+
+def test_one_column_pages_keep_their_order(spark):
+    rows = [("d", 1, 0, 40.0, 30.0), ("d", 1, 1, 90.0, 10.0), ("d", 1, 2, 60.0, 10.0), ("d", 2, 0, 40.0, 5.0), ("d", 2, 1, 200.0, 1.0), ("d", 3, 0, 1.0, 1.0)]
+    blocks = spark.createDataFrame(rows, "doc_name string, page int, pos int, x0 double, y0 double")
+    got = {(r.page, r.pos): r["rank"] for r in C.reading_order(blocks).collect()}
+    assert got == {(1, 2): 1, (1, 1): 2, (1, 0): 3, (2, 0): 1, (2, 1): 2, (3, 0): 1}
+
+
+def test_spans_of_a_model(spark):
+    rows = [(1, 0, k, f"x = y{k}", 0, 0.55, p) for k, p in enumerate([0.9, 0.5, 0.44, 0.1])]
+    spans = spark.createDataFrame(rows, "rid long, line_no int, k int, span string, context_score int, density double, p double")
+    good = [r.good for r in M.good_span(spans, F.col("p")).sort("k").collect()]
+    assert good == [True, True, False, False]
+    kept = lambda soft: sorted(r.k for r in M.rank_spans(spans.withColumn("good", F.lit(True)), prob=F.col("p"), soft=F.lit(soft)).collect())
+    assert kept(False) == [0, 1, 2] and kept(True) == [0, 1, 2]  # three at least stay
+    more = spans.unionByName(spans.select((F.col("rid") * 1).alias("rid"), "line_no", (F.col("k") + 10).alias("k"), "span", "context_score", "density", F.lit(0.5).alias("p")))
+    kept = lambda soft: sorted(r.k for r in M.rank_spans(more.withColumn("good", F.lit(True)), prob=F.col("p"), soft=F.lit(soft)).collect())
+    assert kept(False) == [0, 1, 10, 11, 12, 13] and len(kept(True)) == 4
+
+
+def test_negatives_are_topped_up(spark):
+    from quillion.operators import training as R2
+
+    chunks = spark.createDataFrame([(i, f"text {i % 7}", f"d{i % 3}", f"h{i % 2}") for i in range(30)], "rid long, text string, doc_name string, heading_path string")
+    qa = chunks.select("rid", F.lit("q").alias("question"), F.col("text").alias("positive"), "doc_name", "heading_path")
+    negatives = R2.sample_negatives(qa, chunks)
+    rows = negatives.join(qa, "rid").collect()
+    assert rows and all(r.negative != r.positive and r.k <= 4 for r in rows)
+    pairs = R2.expand_pairs(qa, negatives.where("k <= rid % 3"), chunks).collect()
+    per: dict = {}
+    for r in pairs:
+        per.setdefault(r.rid, []).append((r.k, r.chunk_text, r.score))
+    assert all(sorted(k for k, _, _ in v) == [0, 1, 2, 3] for v in per.values())
+    assert all(t != chosen for v in per.values() for _, chosen, s in v if s for _, t, s2 in v if not s2)
+    assert R2.sample_negatives(qa, chunks.limit(0)).count() == 0
+
+
+def test_markdown_and_scores(spark):
+    assert one(spark, " ```md\n– a  \n  • b \n``` ", T.normalize_markdown) == "a\n- b"
+    got = spark.range(1).select(T.softmax(F.array(F.lit(1.0), F.lit(1.0), F.lit(800.0))), T.sigmoid(F.lit(0.0))).first()
+    assert got[0][2] == 1.0 and got[1] == 0.5
+
+
+def test_shared_words_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "WORD_BLOCK", 3)
+    queries = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["z"]), (3, []), (4, ["a"])], "id long, words array<string>")
+    rows = spark.createDataFrame([("n2", ["a", "b"]), ("n1", ["a", "b"]), ("n3", ["a", "c", "b"]), (None, ["z"]), ("n4", ["q"])], "name string, words array<string>")
+    got = sorted(tuple(r) for r in R.shared_words(queries, rows, ["id"], 2).collect())
+    assert got == [(1, "n1", 2), (1, "n3", 3), (4, "n1", 1), (4, "n2", 1)]
+
+
+def test_stream_ingest_drains_to_the_batch(spark, tmp_path):
+    pages = spark.createDataFrame([(f"d{i % 3}", i, f"HEAD {i} X\nSentence {i} is here. Another one = {i}.") for i in range(12)], "doc_name string, page int, text string")
+    pages.repartition(5).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+    jobs.stream_ingest(stream, f"{tmp_path}/store", f"{tmp_path}/cp").start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/store")
+    cols = ["doc_name", "page", "n", "text", "heading_path", "has_math"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, jobs.chunk_alone(pages).select(*cols).collect()))
+    assert sorted(r.rid for r in got.select("rid").collect()) == list(range(got.count()))
+
+
+def greedy(gain, first, like, k, penalty):
+    """Maximal marginal relevance written out, one candidate at a time."""
+    chosen = []
+    while len(chosen) < min(k, len(gain)):
+        best = None
+        for i in range(len(gain)):
+            if i not in chosen:
+                value = gain[i] - penalty * max(like[i][j] for j in chosen) if chosen else first[i]
+                if best is None or value > best[0]:
+                    best = (value, i)
+        chosen.append(best[1])
+    return chosen
+
+
 def test_pack_keeps_budget(spark):
     rows = spark.createDataFrame([("k", i, n) for i, n in enumerate([5, 5, 20, 3, 3, 3, 9])], "k string, pos int, n int")
     got = {r.pos: r.batch for r in C.pack(rows.repartition(3), ["k"], "pos", "n", 10).collect()}
@@ -79,7 +167,11 @@ def test_mmr_is_a_permutation_and_topk_exact(spark):
         assert sorted(r.rid for r in order) == list(range(30)) and [r.rid for r in order[20:]] == list(range(20, 30))
         assert order[0].rid == 0
     picked = [r.rid for r in R.mmr(df, 4).sort("mmr_rank").collect()]
-    assert len(set(picked)) == 4
+    base, sims, like = [float(i % 5) for i in range(30)], (x @ x[0]).tolist(), (x @ x.T).tolist()
+    assert picked == greedy([0.75 * b for b in base], [0.75 * b + 0.25 * s for b, s in zip(base, sims)], like, 4, 0.25)
+    u = x[:20] / (np.linalg.norm(x[:20], axis=1, keepdims=True) + 1e-8)
+    near = (u @ u[0]).tolist()
+    assert [r.rid for r in order[:20]] == greedy([0.7 * s for s in near], near, (u @ u.T).tolist(), 20, 0.3)
     q = df.where("rid < 3").select(F.col("rid").alias("question_id"), "embedding")
     got = [(r.question_id, r.rid) for r in V.vector_topk(q, df.select("rid", "embedding").repartition(5), 4).sort("question_id", F.desc("score")).collect()]
     assert got == [(i, int(j)) for i in range(3) for j in np.argsort(-(x @ x[i]))[:4]]
