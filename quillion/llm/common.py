@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -102,14 +102,14 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     has an edge to another, root being the smallest node of its component. Each step is
     aggregates and joins, written to the shared folder; only a count and a checksum of the
     edges reach the driver. Nulls and self-loops are ignored."""
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
-    e, before = materialize(e, tag), None
-    while True:
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before or not now[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
+    def told(e: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        e = materialize(e.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("sum")), tag)
+        return e, (seen.get["n"], seen.get["sum"])
+
+    e, now = told(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
+    before = None
+    while now != before and now[0]:
         before = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -117,4 +117,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         large = materialize(large.distinct(), tag)
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         pulled = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(pulled.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), tag)
+        e, now = told(pulled.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    )

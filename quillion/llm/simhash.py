@@ -151,32 +151,41 @@ def covering_links(prints: DataFrame, bits: int = 2, width: int | None = None, n
     blocks make fewer anchors and fewer copies, but more comparisons at each, so the number of
     fingerprints decides (``width_for``) where ``width`` is not given.
 
+    With two more long columns, the least and the greatest of groups that a fingerprint's rows
+    are in, pairs within one group are left out where they meet, so that a group of many near
+    copies that is known already does not send out all its pairs.
+
     With ``near`` above 0, x goes to the anchors within covering radius plus ``near`` and y to
     those within covering radius plus ``bits - near``: some word between x and y has its home
     in both. That takes far fewer copies for larger ``bits``, but finds a pair more than once."""
 
     width = width or width_for(prints.count(), bits)
+    kept = prints.columns[1:]
 
     def copies(bits):
         return lambda batches: _copies(batches, bits, width)
 
+    def copied(bits: int, *names: str) -> DataFrame:
+        shape = "anchor long, fp long" + "".join(f", {c} long" for c in kept)
+        return prints.mapInArrow(copies(bits), shape).toDF("anchor", *names)
+
     close = (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bits)
-    if near:
-        homes = prints.mapInArrow(copies(near), "anchor long, y long").withColumnRenamed("y", "x")
-    else:
-        homes = prints.select(_home("fp", width).alias("anchor"), F.col("fp").alias("x"))
-    spread = prints.mapInArrow(copies(bits - near), "anchor long, y long")
+    if kept:
+        close &= (F.col("xa") != F.col("ya")) | (F.col("xa") != F.col("xb")) | (F.col("ya") != F.col("yb"))
+    mine, theirs = (["x", "xa", "xb"], ["y", "ya", "yb"]) if kept else (["x"], ["y"])
+    homes = copied(near, *mine) if near else prints.select(_home("fp", width).alias("anchor"), *prints.columns).toDF("anchor", *mine)
+    spread = copied(bits - near, *theirs)
     found = homes.join(spread, (homes.anchor == spread.anchor) & close).select("x", "y")
     return found.distinct() if near else found
 
 
 def _copies(batches: Iterator[pa.RecordBatch], bits: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        whole = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(whole), 4096):
-            fp = whole[at : at + 4096]
-            i, anchor = replicas(fp.view(np.uint64), bits, width)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[i])], names=["anchor", "y"])
+        for at in range(0, batch.num_rows, 4096):
+            some = batch.slice(at, 4096)
+            i, anchor = replicas(some.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits, width)
+            rows = some.take(pa.array(i))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), *rows.columns], names=["anchor", *rows.schema.names])
 
 
 def _home(fp: str, width: int):
@@ -210,8 +219,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
 
     Equal texts (but for case and white space) are one node from the start. Nodes meet where
     their fingerprints differ in ``bits`` or fewer bits or where they share a key of
-    ``band_keys``. Each is first compared with one node of every key, then with all others of
-    the key that are not in its component yet. Null ids are never dropped; an id with several
+    ``band_keys``. Each is first compared with one node of every key it has, its fingerprint
+    among them; then with all others of the key, and by the covering with all of near
+    fingerprints, that are not in its component yet. Null ids are never dropped; an id with several
     texts goes only if it is first for none of them."""
     spark = docs.sparkSession
     key = F.col(f"`{id_col}`").cast("long").alias("id")
@@ -225,16 +235,14 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     members = nodes.select("node", "n", F.explode(F.concat("keys", F.array(F.xxhash64("fp")))).alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("many")).where("many > 1").drop("many")
     members = materialize(members.join(shared, "key"), "simhash")
-    prints = materialize(info.groupBy("fp").agg(F.min("node").alias("lead")), "simhash")
-    near = materialize(covering_links(prints.select("fp"), bits, near=bits // 2), "simhash")
-    ends = near.join(prints.toDF("x", "u"), "x").join(prints.toDF("y", "v"), "y").select("u", "v")
-    tried = _ordered(members.select(F.col("node").alias("u"), F.col("lead").alias("v")).unionByName(ends))
-    tried = materialize(tried, "simhash")
+    tried = materialize(_ordered(members.select(F.col("node").alias("u"), F.col("lead").alias("v"))), "simhash")
     links = _verified(docs.select(key, text), info, tried, words, similarity)
 
-    roots = components(links, "simhash")
+    roots = materialize(components(links, "simhash"), "simhash")
     rooted = info.join(roots, "node", "left").select("node", "n", "fp", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "simhash")
+    prints = materialize(rooted.groupBy("fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "simhash")
+    near = materialize(covering_links(prints, bits, near=bits // 2), "simhash")
     members = members.select("key", "node").join(rooted, "node")
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     members = materialize(members.join(mixed, "key", "left_semi").select("key", "node", "n", "root"), "simhash")
@@ -245,9 +253,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     right = rooted.select(F.col("fp").alias("y2"), F.col("node").alias("v"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     across = left.join(right, (F.col("y") == F.col("y2")) & fits).select("u", "v")
     rest = _ordered(within.unionByName(across)).join(tried, ["u", "v"], "left_anti")
-    links = links.unionByName(_verified(docs.select(key, text), info, materialize(rest, "simhash"), words, similarity))
-
-    roots = materialize(components(links, "simhash"), "simhash")
+    rest = materialize(rest, "simhash")
+    if rest.limit(1).count():
+        more = _verified(docs.select(key, text), info, rest, words, similarity)
+        if more.limit(1).count():
+            roots = components(links.unionByName(more), "simhash")
     named = materialize(info.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "simhash")
     least = named.groupBy("root").agg(F.min("first").alias("first"))
     named = named.select("node", "root").join(least, "root").select("node", "first")
