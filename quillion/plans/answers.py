@@ -144,7 +144,8 @@ def _(spark, d):
   c AS (SELECT question_id, '[' || doc_name || ' p.' || string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '–' || b END, ', ' ORDER BY a) || ']' AS citation FROM r GROUP BY question_id, doc_name),
   o AS (SELECT question_id, string_agg(citation, ' ' ORDER BY citation) AS citations FROM c GROUP BY 1) SELECT question_id, rank, rid, hybrid, {TAG} AS source, citations FROM hy JOIN o USING (question_id)""")
 def _(spark, d):
-    found = search(spark, d).withColumn("source", X.source_tag())
+    found = search(spark, d).select("question_id", "rank", "rid", "hybrid", X.source_tag().alias("source"))
+    found = S.keep(found, "found")  # a few rows a question, which citations and result both read
     cited = X.compress_citations(found, "question_id", "source").groupBy("question_id").agg(F.array_join(F.sort_array(F.collect_list("citation")), " ").alias("citations"))
     return found.join(cited, "question_id").select("question_id", F.col("rank").cast("long").alias("rank"), "rid", "hybrid", "source", "citations")
 
