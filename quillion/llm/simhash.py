@@ -120,7 +120,7 @@ def replicas(prints: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.
     return np.concatenate(index), np.concatenate(anchor)
 
 
-COPY = 20  # what a copy that is shuffled costs, in comparisons
+COPY = 100  # what a copy that is shuffled costs, in comparisons
 
 
 def copies_of(bits: int, width: int) -> float:
@@ -137,12 +137,16 @@ def copies_of(bits: int, width: int) -> float:
     return float(ways.sum())
 
 
-def width_for(prints: int, bits: int) -> int:
+def width_for(prints: int, bits: int, near: int = 0) -> int:
     """The odd width of blocks with the least work: copies, and comparisons of each copy with the
-    fingerprints at home at its anchor. For 2 bits: 2 ** 14 anchors (width 5) from about 30,000
-    to 600,000 fingerprints, then 2 ** 22 (width 3) up to about 10 ** 9; then each fingerprint
-    is an anchor of its own (width 1)."""
-    return min((1, 3, 5, 7, 9), key=lambda w: copies_of(bits, w) * (COPY + prints / 2 ** len(_blocks(w))))
+    fingerprints that are at home at its anchor. For 2 bits that is width 5, 2 ** 14 anchors, up
+    to about three million fingerprints, then width 3, 2 ** 22 anchors, up to some 10 ** 9."""
+
+    def work(width: int) -> float:
+        homes = copies_of(near, width) if near else 1
+        return copies_of(bits - near, width) * (COPY + prints * homes / 2 ** len(_blocks(width))) + COPY * homes
+
+    return min((1, 3, 5), key=work)
 
 
 def covering_links(prints: DataFrame, bits: int = 2, width: int | None = None, near: int = 0) -> DataFrame:
@@ -159,7 +163,7 @@ def covering_links(prints: DataFrame, bits: int = 2, width: int | None = None, n
     those within covering radius plus ``bits - near``: some word between x and y has its home
     in both. That takes far fewer copies for larger ``bits``, but finds a pair more than once."""
 
-    width = width or width_for(prints.count(), bits)
+    width = width or width_for(prints.count(), bits, near)
     kept = prints.columns[1:]
 
     def copies(bits):
