@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, packing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, warc
+from . import collocations, decontaminate, divergence, embeddings, line_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, warc
 from .common import bounded_batches, held_out
 from .tokens import public_path
 
@@ -86,9 +86,79 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digest.alias("d")).select("doc_id", "d.n_bytes", "d.n_removed", "d.n_spans", "d.kept_sha256")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=20, min_docs=3)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=30, cover=80, top=2000)
+
+
+A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+LINE_SQL = f"""
+with d as (select row_number() over () as row_id, doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+l as (select row_id, doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as pos from d),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {A_TO_Z}) as key from l),
+f as (select key, max(doc_id) as last from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+m as (select k.*, f.key is not null and k.doc_id <> f.last as gone from k left join f on k.key = f.key)
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from m group by row_id
+"""
+
+DIVERGENCE_SQL = f"""
+with d as (select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+t as (select row_id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), {A_TO_Z}) as term from d),
+k as (select lang, term from t group by lang, term having count(distinct row_id) >= 30),
+v as (select lang, count(*) as v from k group by lang),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from t semi join k using (lang, term) group by lang, source, term),
+gp as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n from g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (select lang, source, term, n, 1 + cast(1000000000 as hugeint) * (n + 5) // (sum(n) over (partition by lang, source) + 5 * v) as p from gp join v using (lang)),
+w as (select lang, term, sum(n) as n from gp group by lang, term),
+q as (select lang, term, 1 + cast(1000000000 as hugeint) * (n + 5) // (sum(n) over (partition by lang) + 5 * v) as q from w join v using (lang)),
+pair as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join pair on pair.lang = a.lang and pair.source = a.source and pair.item = b.source),
+term as (select lang, source, 'term' as part, term as item, p - q as value from p join q using (lang, term) where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from (select * from every union all select * from term))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from r where part = 'pair' or rank <= 50
+"""
+
+PHRASE_SQL = f"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), {A_TO_Z}) as text from documents),
+p as (select row_number() over () as piece, lang, part from (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as part from d)),
+w as (select piece, lang, regexp_extract_all(part, '[^\x20\x09]+') as words from p),
+o as (select piece, lang, unnest(words) as word, generate_subscripts(words, 1) as pos from w),
+s as (select lang, piece, pos, word as w1, lead(word, 1) over f as w2, lead(word, 2) over f as w3, lead(word, 3) over f as w4 from o window f as (partition by piece order by pos)),
+n as (select lang, count(*) as n from o group by lang),
+f as (
+  select lang, 1 as size, w1, null as w2, null as w3, null as w4, count(*) as n from s group by lang, w1 having count(*) >= 30
+  union all select lang, 2, w1, w2, null, null, count(*) from s where w2 is not null group by lang, w1, w2 having count(*) >= 30
+  union all select lang, 3, w1, w2, w3, null, count(*) from s where w3 is not null group by lang, w1, w2, w3 having count(*) >= 30
+  union all select lang, 4, w1, w2, w3, w4, count(*) from s where w4 is not null group by lang, w1, w2, w3, w4 having count(*) >= 30),
+x as (select lang, list_slice([w1, w2, w3, w4], 1, size) as ws, size, n from f),
+c as (select lang, ws, n as a, k, ws[1:k] as first, ws[k + 1:size] as rest from x, (select unnest([1, 2, 3]) as k) where k < size),
+z as (select c.lang, c.ws, c.a, c.k, l.n as l, r.n as r, cast(2000000 as hugeint) * c.a // (l.n + r.n) as score
+  from c join x l on l.lang = c.lang and l.ws = c.first join x r on r.lang = c.lang and r.ws = c.rest),
+b as (select * from z qualify row_number() over (partition by lang, ws order by score, k) = 1),
+i as (select distinct lang, ws[j:j + m - 1] as ws, n, ws as longer from x, (select unnest([1, 2, 3]) as j), (select unnest([2, 3]) as m) where m < size and j + m - 1 <= size),
+e as (select lang, ws, max(n) as around from i group by lang, ws),
+h as (select b.*, array_to_string(b.ws, ' ') as phrase from b left join e on e.lang = b.lang and e.ws = b.ws where around is null or 100 * cast(around as hugeint) < 80 * cast(a as hugeint)),
+y as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from h)
+select y.lang, cast(rank as bigint) as rank, phrase, a, l, r, n.n, cast(score as bigint) as score from y join n on n.lang = y.lang where rank <= 2000
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_line_dedup": LINE_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_collocations": PHRASE_SQL}
