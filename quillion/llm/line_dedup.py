@@ -53,10 +53,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col="
     gone = gone.groupBy(F.col("__id").alias("__gone_id"), *(F.col(c).alias(f"{c}_gone") for c in row)).agg(F.collect_set("__pos").alias("__gone"))
 
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    whole = docs.select(*(F.col(f"`{c}`") for c in rest if c != text_col), *hash_pair(text, row), F.split(text, "\n", -1).alias("__lines"))
-    same = doc.eqNullSafe(F.col("__gone_id")) & (F.col("__a") == F.col("__a_gone")) & (F.col("__b") == F.col("__b_gone"))
+    row_of = F.struct(*(F.col(f"`{c}`") for c in rest if c != text_col), F.lit(0).alias("__any"))  # where no name can clash
+    whole = docs.select(row_of.alias("row"), doc.alias("__id"), *hash_pair(text, row), F.split(text, "\n", -1).alias("__lines"))
+    same = F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__a") == F.col("__a_gone")) & (F.col("__b") == F.col("__b_gone"))
     both = whole.join(gone, same, "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     kept = F.array_join(F.transform(stay, lambda i: F.col("__lines")[i]), "\n").alias(text_col)
-    columns = [kept if c == text_col else F.col(f"`{c}`") for c in rest]
+    columns = [kept if c == text_col else F.col(f"row.`{c}`") for c in rest]
     return both.select(*columns, F.size("__lines").cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_dropped"))

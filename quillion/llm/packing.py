@@ -12,9 +12,14 @@ has at most a row for each length and a few for each match of a run, so its size
 3. Pieces that have the same successor are in conflict. Rank resolves it: each takes the first
    gap from its successor on that no piece before it in the order has taken, a running maximum.
 4. For pieces beyond the last gap new sequences are opened: one each if longer than half a
-   sequence, else as many as their tokens fill, and no more than all that is left needs.
+   sequence, as many as the tokens of those fill that no gap is large enough for, else no more
+   than all that is left needs beside the gaps.
 5. A gap is replaced by what is left of it, and what was placed leaves the table.
 
+Once all pieces take part, a gap takes a *bundle* in a round: as many pieces of one length as go
+into half the largest gap (or into a whole sequence, where no gap holds any). So the
+largest gap shrinks by a share each round, however short the pieces are.
+
 A piece's place follows from its rank within its length.
 """
 
@@ -66,9 +71,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
 
 PIECE, GAP, PLACED, OPENED = "piece", "gap", "placed", "opened"
 #: Pieces: length, first rank, count, and rounds until they take part. Gaps: size, first sequence,
-#: count. Placed: length, first rank, count, first sequence, gap's size before. One row counts
-#: the sequences opened so far.
-RUN = "kind string, size long, first long, n long, start long, room long, wait int"
+#: count. Placed: length, first rank, sequences, first sequence, gap's size before, and how many
+#: pieces each sequence takes. One row counts the sequences opened so far.
+RUN = "kind string, size long, first long, n long, start long, room long, wait int, times long"
 ROUNDS_A_JOB = 4
 
 
@@ -95,40 +100,53 @@ def one_round(runs: DataFrame, capacity: int) -> DataFrame:
     def total(flag: str, what: str, window: str = "over ()") -> str:
         return f"coalesce(sum(if({flag}, {what}, null)) {window}, 0)"
 
+    # Bundles, once all pieces take part; what does not make one up waits for the next round.
+    own = ["kind", "size", "first", "n", "start", "room", "wait"]
+    # Rounds in which no piece would take part are skipped.
+    soonest = f"wait - greatest(0, min(if({piece}, wait, null)) over ())"
+    runs = runs.selectExpr(*own[:-1], "times", f"if({piece}, {soonest}, null) as wait")
+    runs = runs.selectExpr(*own, "times", f"{total(f'{piece} and wait > 0', 'n')} as later", f"coalesce(max(if({gap}, size, null)) over (), 0) as widest", f"min(if({active}, size, null)) over () as least")
+    half = f"if(later > 0, 0, if(widest >= least, (widest + 1) div 2, {capacity}))"
+    runs = runs.selectExpr(*own, "times", "later", "widest", f"if({active}, least(n, greatest(1, {half} div size)), coalesce(times, 1)) as many")
+    bundle = _run(PIECE, size="size * many", first="first", n="n div many", wait="wait", times="many")
+    over = _run(PIECE, size="size", first="first + n - n % many", n="n % many", wait="1", times="1")
+    same = f"named_struct({', '.join(f"'{k}', {k}" for k in (*own, 'times'))})"
+    runs = runs.selectExpr("later", "widest", f"inline(if({active}, array({bundle}, {over}), array({same})))").where(f"not {piece} or n > 0")
+
     # The sweep: gaps and pieces before each run, and the successors' running maximum.
-    own = ["kind", "size", "first", "n", "room", "wait"]
+    own = ["kind", "size", "first", "n", "room", "wait", "times"]
     runs = runs.selectExpr(
         *own, "start", f"{total(gap, 'n', order + ' 1 preceding)')} as gaps", f"{total(active, 'n', order + ' 1 preceding)')} as pieces", f"{total(gap, 'n')} as all_gaps",
-        f"{total(gap, 'size * n')} as free", f"{total(piece, 'size * n')} as left", f"{total(f'{piece} and wait > 0', 'n')} as later",
+        f"{total(gap, 'size * n')} as free", f"{total(piece, 'size * n')} as left", f"{total(f'{active} and size div times > widest', 'size * n')} as homeless",
     )
     ahead = f"max(if({active}, gaps - pieces, null)) {order} current row)"
     runs = runs.selectExpr("*", f"case when {gap} then gaps when {active} then pieces + {ahead} else start end as at")
     over = "least(greatest(at + n - all_gaps, 0), n)"
-    runs = runs.selectExpr(*own, "start", "at", "all_gaps", "free", "left", "later", f"{total(active, over + ' * size')} as over", f"{total(f'{active} and 2 * size > {capacity}', over)} as long")
+    runs = runs.selectExpr(*own, "start", "at", "all_gaps", "free", "left", "homeless", f"{total(active, over + ' * size')} as over", f"{total(f'{active} and 2 * size > {capacity} and times = 1', over)} as long")
     # New sequences, but no more than all pieces, those of later rounds too, need beside the gaps.
-    new, need = f"cast(ceil(over / {capacity}) as long)", f"cast(ceil(greatest(left - free, 0) / {capacity}) as long)"
-    runs = runs.selectExpr(*own, "start", "at", "all_gaps", f"if(later > 0, greatest(long, least({new}, {need})), {new}) as new")
+    new, need = f"ceil(over / {capacity})", f"ceil(greatest(left - free, 0) / {capacity})"
+    runs = runs.selectExpr(*own, "start", "at", "all_gaps", f"cast(greatest(long, ceil(homeless / {capacity}), least({new}, {need})) as long) as new")
 
     # Marks along the gaps, in order of size: from here on this run of gaps, or of pieces.
-    def span(size: str, first: str, start: str) -> str:
-        return f"named_struct('size', cast({size} as long), 'first', cast({first} as long), 'start', cast({start} as long))"
+    def span(size: str, first: str, start: str, times: str = "1") -> str:
+        return f"named_struct({', '.join(f"'{k}', cast({v} as long)" for k, v in (('size', size), ('first', first), ('start', start), ('times', times)))})"
 
     def mark(at: str, turn: int, taker: str = "null", of: str = "null", kept: str = "null") -> str:
-        kind = "struct<size:long,first:long,start:long>"
+        kind = "struct<size:long,first:long,start:long,times:long>"
         fields = (("at", at, "long"), ("turn", turn, "int"), ("taker", taker, kind), ("gap", of, kind), ("kept", kept, f"struct<{RUN}>"), ("end_", "all_gaps + new", "long"))
         return f"named_struct({', '.join(f"'{k}', cast({v} as {t})" for k, v, t in fields)})"
 
-    here, nobody = span("size", "first", "at"), span("0", "0", "at + n")
+    here, nobody = span("size", "first", "at", "times"), span("0", "0", "at + n")
     done = "greatest(least(all_gaps + new - at, n), 0)"
-    waits = mark("null", 3, kept=_run(PIECE, size="size", first="first", n="n", wait="wait - 1"))
-    rest = mark("null", 3, kept=_run(PIECE, size="size", first=f"first + {done}", n=f"n - {done}", wait="wait - 1"))
+    waits = mark("null", 3, kept=_run(PIECE, size="size div times", first="first", n="n * times", wait="wait - 1", times="1"))
+    rest = mark("null", 3, kept=_run(PIECE, size="size div times", first=f"first + {done} * times", n=f"(n - {done}) * times", wait="wait - 1", times="1"))
     count = mark("null", 3, kept=_run(OPENED, n="n + new"))
     marks = f"""inline(case
         when {gap} then array({mark("at", 2, of=here)})
         when {active} and {done} > 0 then array({mark("at + n", 0, nobody)}, {mark("at", 1, here)}, {rest})
         when {piece} then array({waits})
         when kind = '{OPENED}' then array({mark("all_gaps", 2, of=span(str(capacity), "n", "all_gaps"))}, {count})
-        else array({mark("null", 3, kept=_run(PLACED, size="size", first="first", n="n", start="start", room="room"))}) end)"""
+        else array({mark("null", 3, kept=_run(PLACED, size="size", first="first", n="n", start="start", room="room", times="times"))}) end)"""
     order = "over (order by at, turn rows between unbounded preceding and current row)"
     marks = runs.selectExpr(marks).selectExpr(
         "at", "kept", f"last(taker, true) {order} as taker", f"last(gap, true) {order} as gap", "least(lead(at) over (order by at, turn), end_) as stop"
@@ -137,20 +155,21 @@ def one_round(runs: DataFrame, capacity: int) -> DataFrame:
     # What each stretch between marks becomes.
     length = "coalesce(taker.size, 0)"
     left = _run(GAP, size=f"gap.size - {length}", first="gap.first + at - gap.start", n="stop - at")
-    put = _run(PLACED, size=length, first="taker.first + at - taker.start", n="stop - at", start="gap.first + at - gap.start", room="gap.size")
+    put = _run(PLACED, size=f"{length} div taker.times", first="taker.first + (at - taker.start) * taker.times", n="stop - at", start="gap.first + at - gap.start", room="gap.size", times="taker.times")
     became = f"inline(case when at is null then array(kept) when at < stop and gap is not null then array({left}, {put}) end)"
     return marks.selectExpr(became).where(f"kind = '{OPENED}' or n > 0 and size > 0")
 
 
-def best_fit_rounds(lengths: DataFrame, capacity: int) -> DataFrame:
-    """Where the pieces of each length go: ``length, rank, n, sequence, size``; piece ``rank + k``
-    of the length goes to sequence ``sequence + k``, which has ``size`` left before.
+def bundled_rounds(lengths: DataFrame, capacity: int) -> DataFrame:
+    """Where the pieces of each length go: ``length, rank, n, times, sequence, size``. Piece
+    ``rank + k`` of the length, with ``k`` below ``n * times``, goes to sequence
+    ``sequence + k % n``, which has ``size - k div n * length`` left before.
 
     ``lengths`` has ``length`` (1 to ``capacity``) and ``n``. :data:`ROUNDS_A_JOB` rounds are one
     job, whose run table is written to the shared folder; whether any piece is left is all that
     reaches the driver."""
     wait = "+".join(["0", *(f"if(length <= {cut}, 1, 0)" for cut in cuts(capacity))])
-    first = lengths.selectExpr(f"inline(array({_run(PIECE, size='length', first='0', n='n', wait=wait)}))")
+    first = lengths.selectExpr(f"inline(array({_run(PIECE, size='length', first='0', n='n', wait=wait, times='1')}))")
     runs = first.unionByName(lengths.sparkSession.range(1).selectExpr(f"inline(array({_run(OPENED, n='0')}))"))
     left = True
     while left:
@@ -160,7 +179,15 @@ def best_fit_rounds(lengths: DataFrame, capacity: int) -> DataFrame:
         runs = materialize(runs.observe(seen, F.count(F.when(F.col("kind") == PIECE, 1)).alias("left")), "runs")
         left = seen.get["left"]
     placed = runs.where(F.col("kind") == PLACED)
-    return placed.select(F.col("size").alias("length"), F.col("first").alias("rank"), "n", F.col("start").alias("sequence"), F.col("room").alias("size"))
+    return placed.select(F.col("size").alias("length"), F.col("first").alias("rank"), "n", "times", F.col("start").alias("sequence"), F.col("room").alias("size"))
+
+
+def best_fit_rounds(lengths: DataFrame, capacity: int) -> DataFrame:
+    """:func:`bundled_rounds` with a row for each of the ``times``: ``length, rank, n, sequence,
+    size``; piece ``rank + k`` of the length goes to sequence ``sequence + k``, which has ``size``
+    left before."""
+    each = bundled_rounds(lengths, capacity).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    return each.select("length", (F.col("rank") + F.col("i") * F.col("n")).alias("rank"), "n", "sequence", (F.col("size") - F.col("i") * F.col("length")).alias("size"))
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -178,8 +205,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     counts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialize(counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "lengths")
-    placed = best_fit_rounds(lengths, capacity)
-    run = F.struct(F.col("rank").alias("lo"), (F.col("rank") + F.col("n")).alias("hi"), (F.col("sequence") - F.col("rank")).alias("shift"), (capacity - F.col("size")).alias("offset"))
+    placed = bundled_rounds(lengths, capacity)
+    run = F.struct(F.col("rank").alias("lo"), (F.col("rank") + F.col("n") * F.col("times")).alias("hi"), "n", "sequence", (capacity - F.col("size")).alias("offset"))
     table = materialize(placed.groupBy("length").agg(F.collect_list(run).alias("runs")).coalesce(1), "runs")
     w = Window.partitionBy("length", "part").orderBy("id", "piece")
     ranked = rows.withColumn("n", F.row_number().over(w) - 1).join(counts, ["length", "part"])
@@ -187,7 +214,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     at = F.filter("runs", lambda r: (r.lo <= F.col("rank")) & (F.col("rank") < r.hi))[0]
     # Bounded by ``capacity``: a row for each length.
     found = ranked.join(F.broadcast(table), "length").withColumn("run", at)
-    found = found.withColumns({"sequence_id": F.col("rank") + F.col("run.shift"), "offset": F.col("run.offset")})
+    k = F.col("rank") - F.col("run.lo")
+    found = found.withColumns({"sequence_id": F.col("run.sequence") + k % F.col("run.n"), "offset": F.col("run.offset") + F.expr("(rank - run.lo) div run.n") * F.col("length")})
     return found.select(*[c for c in pieces.columns if c not in ("sequence_id", "offset")], "sequence_id", "offset")
 
 

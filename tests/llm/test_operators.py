@@ -152,6 +152,19 @@ def test_best_fit_rounds(spark, case):
     assert len(fill) <= 1.06 * best_fit_one_by_one(lengths, 100) + 1
 
 
+@pytest.mark.parametrize("lengths", [{10: 20_000}, {100: 5000}, {127: 3000, 60: 6000, 30: 9000}, {700: 300, 100: 2000}, {2048: 3, 1: 1, 2047: 2}, {900: 500, 11: 90_000, 3: 7}])
+def test_short_pieces_fill_sequences(spark, lengths):
+    table = spark.createDataFrame(list(lengths.items()), "length long, n long")
+    placed, best = packing.bundled_rounds(table, 2048).collect(), best_fit_one_by_one(lengths, 2048)
+    used = 1 + max(r.sequence + r.n - 1 for r in placed)
+    assert sum(r.n * r.times for r in placed) == sum(lengths.values())
+    assert used <= 1.02 * best + 1
+    taken = np.zeros(used)
+    for r in placed:
+        taken[r.sequence : r.sequence + r.n] += r.length * r.times
+    assert taken.max() <= 2048 and taken.sum() == sum(n * c for n, c in lengths.items())
+
+
 def test_simhash(spark, docs, empty):
     rows = docs.select("doc_id", simhash.simhash(F.col("text"), 3).alias("__f"), "fp", "component_id").drop("component_id")
     got = simhash.simhash_components(rows, "doc_id", "__f").toPandas()
