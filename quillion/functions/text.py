@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -95,14 +96,33 @@ def safe_token(c: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(col(c), F.lit("")), "[^a-zA-Z0-9._-]+", "_")
 
 
+@functools.lru_cache(1)
+def _plain_class() -> str:
+    """A pattern for a character outside the long runs of code points that NFKC leaves alone,
+    alone or next to others. The class holds few runs, so that it is fast on prose."""
+    moves = lambda c: not unicodedata.is_normalized("NFKC", chr(c)) or unicodedata.combining(chr(c)) or 0x1160 <= c < 0x1200
+    runs, start = [], 0
+    for low, high, least in ((0, 0x600, 24), (0x2000, 0x2300, 4), (0x3040, 0x3100, 24), (0x4E00, 0xA000, 24), (0xAC00, 0xD7A4, 24)):
+        start = low
+        for c in range(low, high + 1):
+            if c == high or moves(c):
+                if c - start >= least:
+                    runs.append(f"\\x{{{start:x}}}-\\x{{{c - 1:x}}}")
+                start = c + 1
+    return f"[^{''.join(runs)}]"
+
+
 def nfkc(c: Column | str) -> Column:
-    """Unicode compatibility composition; Spark has no such function."""
+    """Unicode compatibility composition, which Spark has not. Only texts with a character that
+    may change are handed to Python; ASCII is not even searched for one."""
 
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
-    return normal(col(c))
+    c = col(c)
+    may_change = (F.octet_length(c) > F.length(c)) & c.rlike(_plain_class())
+    return F.coalesce(normal(F.when(may_change, c)), c)
 
 
 def normalize_markdown(c: Column | str) -> Column:

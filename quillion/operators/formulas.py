@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillion.functions.text import collapse
+from quillion.functions.text import collapse, nfkc
 from quillion.operators.context import joined, source_tag
 
 # Patterns and word lists that results depend on.
@@ -23,6 +23,7 @@ QUESTION = r"(?i)(\?\s*$|^\s*(what|which|find|show|prove|compute|determine)\b)"
 ENUMERATED = r"(?i)^\s*(?:\(?[a-z]\)|[ivxlcdm]+\)|\(?[0-9]+\))\s+"
 TASK = r"(?i)\b(determine|how many|prove|show|find|compute|evaluate|solve)\b"
 LINE_OPERATORS = r"[=≤≥≠≈∑∏∫√∞∇∂\^→↔⇔]"
+LINE_ENDS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 SPANS = [
     r"([^.;:\n]{1,120}(?:=|≈|≅|≤|≥|≠|∝)[^.;:\n]{1,120})",
     r"(?i)(\b(?:sin|cos|tan|cot|sec|csc|log|ln|exp)\s*\([^)(\n]{1,80}\))",
@@ -61,9 +62,10 @@ def context_score(df: DataFrame) -> DataFrame:
 
 
 def candidate_lines(df: DataFrame, wants_explain: bool = False) -> DataFrame:
-    """Lines (``line_no`` from 0) that may hold formulas; a vetoed heading drops the chunk."""
+    """Lines (``line_no`` from 0) that may hold formulas, of texts after compatibility composition;
+    a vetoed heading drops the chunk."""
     kept = df if wants_explain else df.where(~F.coalesce("heading_path", F.lit("")).rlike(HEADING_VETO) & ~F.coalesce("section_tag", F.lit("")).rlike(HEADING_VETO))
-    rows = kept.select(*[c for c in df.columns if c != "text"], F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    rows = kept.withColumn("text", nfkc("text")).select(*[c for c in df.columns if c != "text"], F.posexplode(F.split("text", LINE_ENDS)).alias("line_no", "raw"))
     line = F.regexp_replace("raw", r"^[ \t\r•\-—–·]+|[ \t\r•\-—–·]+$", "")
     rows = rows.withColumn("line", line).where("line <> ''").drop("raw")
     ln, plain = F.col("line"), ~F.col("line").rlike(LINE_OPERATORS)
@@ -73,9 +75,11 @@ def candidate_lines(df: DataFrame, wants_explain: bool = False) -> DataFrame:
     return rows.where(~veto)
 
 
-def extract_spans(lines: DataFrame) -> DataFrame:
+def extract_spans(lines: DataFrame, composed: bool = False) -> DataFrame:
     """Spans of seven kinds in the order of kinds, trimmed and cut at 200 characters; of spans
-    of a line that differ only in case the first stays."""
+    of a line that differ only in case the first stays. Lines are composed first; those of
+    :func:`candidate_lines` are ``composed`` already."""
+    lines = lines if composed else lines.withColumn("line", nfkc("line"))
     none = F.array().cast("array<string>")
     # A pattern runs only over lines with a sign it cannot do without; an equation, which no full
     # stop, colon or semicolon interrupts, only over the parts between them that have one.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillion.functions.text import CJK, PRIVATE_USE
+from quillion.functions.text import CJK, PRIVATE_USE, nfkc
 
 
 def page_quality(df: DataFrame) -> DataFrame:
@@ -69,8 +69,9 @@ def parse_report(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def language_gate(df: DataFrame, key: str) -> DataFrame:
-    """Drop blank and CJK texts; a key that would lose all its rows keeps them."""
-    t = F.trim(F.coalesce("text", F.lit("")))
-    good = (t != "") & ~t.rlike(CJK)
+    """Drop blank and CJK texts, as they are after compatibility composition; a key that would
+    lose all its rows keeps them. The texts themselves stay as they are."""
+    t = nfkc(F.coalesce("text", F.lit("")))
+    good = t.rlike(r"[^\s\u001c-\u001f\u0085\u2028\u2029]") & ~t.rlike(CJK)
     some = F.max(good).over(Window.partitionBy(key))
     return df.withColumn("__good", good).withColumn("__some", some).where(F.col("__good") | ~F.col("__some")).drop("__good", "__some")

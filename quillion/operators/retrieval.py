@@ -39,18 +39,21 @@ def bm25(questions: DataFrame, candidates: DataFrame, k1: float = 1.5, b: float
     question words count each time, and candidates that share no word score 0."""
     words = questions.select("question_id", F.explode(ascii_tokens("question")).alias("term"))
     words = words.groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    rows = candidates.select("question_id", "rid", ascii_tokens("text").alias("w")).withColumn("dl", F.size("w"))
+    asked = questions.select("question_id", F.array_distinct(ascii_tokens("question")).alias("asked"))
+    rows = candidates.select("question_id", "rid", ascii_tokens("text").alias("w")).join(asked, "question_id", "left")
+    # Only words of the question leave the array, so a text is never one row a word.
+    own = F.filter("w", lambda x: F.array_contains(F.coalesce("asked", F.array().cast("array<string>")), x))
+    rows = rows.select("question_id", "rid", F.size("w").alias("dl"), own.alias("own"))
     sizes = rows.groupBy("question_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    # Only words of the question are counted, so each candidate sends few rows to the shuffle.
-    tf = rows.select("question_id", "rid", "dl", F.explode("w").alias("term")).join(words, ["question_id", "term"])
-    tf = tf.groupBy("question_id", "rid", "dl", "term", "times").agg(F.count("*").alias("tf"))
+    tf = rows.select("question_id", "rid", "dl", F.explode("own").alias("term")).groupBy("question_id", "rid", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = tf.join(words, ["question_id", "term"])
     found = tf.groupBy("question_id", "term").agg(F.count("*").alias("df"))
     scored = tf.join(found, ["question_id", "term"]).join(sizes, "question_id")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     total = scored.groupBy("question_id", "rid").agg(F.sum(part).alias("bm25"))
     every = candidates.select("question_id", "rid").join(total, ["question_id", "rid"], "left").na.fill(0.0, ["bm25"])
-    return max_normalize(every, "question_id", "bm25").withColumn("bm25", F.round("bm25", 6))
+    return max_normalize(every, "question_id", "bm25")
 
 
 def question_intent(q: DataFrame) -> DataFrame:
@@ -114,8 +117,9 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k
     lexical = bm25(questions, rows)
     rows = rows.join(lexical, ["question_id", "rid"]).join(question_intent(questions.drop("embedding")), "question_id")
     rows = rank_bonus(strict_formula(section_filter(rows)))
-    total = F.round(0.7 * F.col("score") + 0.3 * F.col("bm25") + F.col("bonus"), 6)
-    w = Window.partitionBy("question_id").orderBy(F.desc("hybrid"), "rid")
+    total = 0.7 * F.col("score") + 0.3 * F.col("bm25") + F.col("bonus")
+    # What only the order of additions tells apart is a tie.
+    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("hybrid", 9)), "rid")
     return rows.withColumn("hybrid", total).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

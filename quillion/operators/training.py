@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, StringIndexer, Tokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillion.functions.text import sigmoid
 from quillion.operators.retrieval import pair_features
 from quillion.sources.store import keep, with_row_ids
 
@@ -108,8 +108,13 @@ def train_ranker(pairs: DataFrame) -> PipelineModel:
 
 
 def rank_scorer(model: PipelineModel):
-    """A function that adds ``pair_score`` to rows with pair features, for ``rerank``."""
-    return lambda df: model.transform(df).withColumn("pair_score", F.round(vector_to_array("probability")[1], 6)).drop("features", "rawPrediction", "probability", "prediction")
+    """A function that adds ``pair_score`` to rows with pair features, for ``rerank``: the fitted
+    coefficients in a plain expression."""
+    fitted = model.stages[-1]
+    total = F.lit(float(fitted.intercept))
+    for name, weight in zip(FEATURES, fitted.coefficients.toArray().tolist()):
+        total = total + F.col(name) * weight
+    return lambda df: df.withColumn("pair_score", F.round(sigmoid(total), 6))
 
 
 def label_index(df: DataFrame, labels: list[str] | None = None) -> DataFrame:

@@ -34,6 +34,10 @@ UNION ALL SELECT doc_name, page, doc_id, 'c', 2, text || CASE WHEN doc_id % 4 =
     "v_requests": "SELECT event_id, ts, user_id, CAST(floor(value * 10) AS BIGINT) AS tokens FROM events",
 }
 
+#: Compatibility composition in SQL, of the characters that the fixtures add; the tables' own
+#: texts have none that it changes.
+NFKC = "nfc_normalize(translate(replace(replace(replace(replace(replace({}, '½', '1⁄2'), 'ﬁ', 'fi'), '∬', '∫∫'), '…', '...'), '㍿', '株式会社'), 'ｆｘ（）＝３²\u00a0\uffa1', 'fx()=32 \u1100'))".format
+
 POOL, WIDE = 128, 256  # hits of a question that are ranked, and that are reranked
 
 #: Views that only the SQL side takes from here; the Spark side makes them with operators.

@@ -9,14 +9,15 @@ from quillion.operators import formulas as M
 from quillion.operators import labels as L
 from quillion.operators import training as R
 from quillion.plans.base import hits, query, rx
-from quillion.plans.fixtures import view
+from quillion.plans.fixtures import NFKC, view
 from quillion.plans.pages import COLLAPSE, WEAK
 from quillion.sources import store as S
 from quillion.streaming import jobs
 
 # Chunks with formulas to mine: each bears lines made from its id beside its prose.
-MINED = """v_mined AS (SELECT * EXCLUDE (text), CASE rid % 4 WHEN 0 THEN 'Area: A = r^2 + ' || rid || chr(10) || 'sin(x) + cos(y) = ' || rid || chr(10) WHEN 1 THEN 'prove that x > 1' || chr(10) || '∫ f dx = F + C' || chr(10)
-  WHEN 2 THEN 'ISBN 1234' || chr(10) || '|x| ≤ ' || rid || chr(10) ELSE '' END || text AS text FROM v_chunks)"""
+COMPOSED = "ｆ（ｘ）＝ x² + ½\u2028ﬁt… ∬ g dx ≤ ３\u0085A\u030a\u00a0= 5 m²\n"  # by compatibility: f(x)= x2 + 1⁄2 and so on
+MINED = f"""v_mined AS (SELECT * EXCLUDE (text), CASE rid % 4 WHEN 0 THEN 'Area: A = r^2 + ' || rid || chr(10) || 'sin(x) + cos(y) = ' || rid || chr(10) WHEN 1 THEN 'prove that x > 1' || chr(10) || '∫ f dx = F + C' || chr(10)
+  WHEN 2 THEN 'ISBN 1234' || chr(10) || '|x| ≤ ' || rid || chr(10) ELSE '{COMPOSED}' END || text AS text FROM v_chunks)"""
 
 
 def mined(spark, d):
@@ -26,7 +27,7 @@ def mined(spark, d):
         F.when(k == 0, F.concat(F.lit("Area: A = r^2 + "), r, F.lit("\nsin(x) + cos(y) = "), r, F.lit("\n")))
         .when(k == 1, F.lit("prove that x > 1\n∫ f dx = F + C\n"))
         .when(k == 2, F.concat(F.lit("ISBN 1234\n|x| ≤ "), r, F.lit("\n")))
-        .otherwise("")
+        .otherwise(COMPOSED)
     )
     return view(spark, d, "v_chunks").withColumn("text", F.concat(made, "text"))
 
@@ -52,7 +53,7 @@ def _(spark, d):
 
 
 OPS = rx(M.LINE_OPERATORS)
-LINES = SCORED + f""", rl AS (SELECT * EXCLUDE (l), CAST(unnest(generate_series(0, len(l) - 1)) AS INT) AS line_no, regexp_replace(unnest(l), '^[ \\t\\r•\\-—–·]+|[ \\t\\r•\\-—–·]+$', '', 'g') AS line FROM (SELECT * EXCLUDE (text), string_split(text, chr(10)) AS l FROM cs WHERE NOT regexp_matches(heading_path, {rx(M.HEADING_VETO)}))),
+LINES = SCORED + f""", rl AS (SELECT * EXCLUDE (l), CAST(unnest(generate_series(0, len(l) - 1)) AS INT) AS line_no, regexp_replace(unnest(l), '^[ \\t\\r•\\-—–·]+|[ \\t\\r•\\-—–·]+$', '', 'g') AS line FROM (SELECT * EXCLUDE (text), regexp_split_to_array({NFKC('text')}, {rx(M.LINE_ENDS)}) AS l FROM cs WHERE NOT regexp_matches(heading_path, {rx(M.HEADING_VETO)}))),
   cl AS (SELECT * FROM rl WHERE line <> '' AND NOT (regexp_matches(line, {rx(M.LINE_VETO)}) OR regexp_matches(line, {rx(M.USING)}) OR regexp_matches(line, {rx(M.QUESTION)}) OR (regexp_matches(line, {rx(M.ENUMERATED)}) AND NOT regexp_matches(line, {OPS}))
     OR regexp_matches(line, {rx(M.BOOK)}) OR regexp_matches(line, {rx(M.YEAR)}) OR (regexp_matches(line, {rx(M.TASK)}) AND NOT regexp_matches(line, {OPS}))))"""
 
@@ -74,12 +75,14 @@ SPANS = LINES + f""", sp AS (SELECT * EXCLUDE (l, line), CAST(unnest(generate_se
 
 
 def spans(spark, d):
-    return M.extract_spans(candidates(spark, d))
+    return M.extract_spans(candidates(spark, d), composed=True)
 
 
-@query("fm5_extract_spans", "v_chunks", SPANS + " SELECT rid, line_no, k, span FROM es")
+@query("fm5_extract_spans", "v_chunks", SPANS.replace("FROM cl)", f"FROM (SELECT * REPLACE (line || CASE WHEN rid % 5 = 0 THEN {NFKC("'∬ x² dx = ½ ＝ ３'")} ELSE '' END AS line) FROM cl))") + " SELECT rid, line_no, k, span FROM es")
 def _(spark, d):
-    return spans(spark, d).select("rid", "line_no", "k", "span")
+    raw = "∬ x² dx = ½ ＝ ３"
+    rows = candidates(spark, d).withColumn("line", F.when(F.col("rid") % 5 == 0, F.concat("line", F.lit(raw))).otherwise(F.col("line")))
+    return M.extract_spans(rows).select("rid", "line_no", "k", "span")
 
 
 GOOD = SPANS + f""", dn AS (SELECT *, ops / greatest(1, ops + words) AS density FROM (SELECT *, len(regexp_extract_all(span, {rx(M.SPAN_OPERATORS)})) AS ops, len(regexp_extract_all(span, '[A-Za-z]{{3,}}')) AS words, regexp_replace(span, '\\s+', '', 'g') AS bare FROM es)),
@@ -175,7 +178,9 @@ def _(spark, d):
 
 @query("tr5_train_classifier")
 def _(spark, d):
-    rows = R.split_train_valid(L.weak_label(view(spark, d, "v_chunks")), "rid")
+    # Chunks that say what their heading says.
+    chunks = view(spark, d, "v_chunks").withColumn("text", F.concat_ws(" ", "heading_path", "text"))
+    rows = R.split_train_valid(L.weak_label(chunks), "rid")
     model = R.train_classifier(rows.where("not is_valid"))
     scored = model.transform(rows.where("is_valid")).select("rid", F.col("label_id").alias("label"), F.col("prediction").alias("predicted"))
     return R.classification_metrics(scored)
@@ -183,8 +188,10 @@ def _(spark, d):
 
 @query("tr6_train_ranker")
 def _(spark, d):
-    chunks = view(spark, d, "v_chunks")
-    rows = R.split_train_valid(qa(spark, d), "rid")
+    # Headings that name words of their chunk, so that questions after them fit it.
+    own = F.concat(F.lit("Definition of "), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 3, 6), " "))
+    chunks = view(spark, d, "v_chunks").withColumn("heading_path", own)
+    rows = R.split_train_valid(R.make_questions(chunks), "rid")
     pairs = S.keep(R.expand_pairs(rows, R.sample_negatives(rows, chunks), chunks).join(rows.select("rid", "is_valid"), "rid"), "pairs")
     score = R.rank_scorer(R.train_ranker(pairs.where("not is_valid")))
     return score(R.pair_features(pairs.where("is_valid").withColumn("text", F.col("chunk_text")))).select("rid", "k", "score", "pair_score")

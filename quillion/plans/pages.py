@@ -7,7 +7,7 @@ from quillion.operators import chunking as C
 from quillion.operators import labels as L
 from quillion.operators import quality as P
 from quillion.plans.base import lines, query, rx
-from quillion.plans.fixtures import view
+from quillion.plans.fixtures import NFKC, view
 from quillion.sources import store as S
 
 COLLAPSE = r"trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g'))".format
@@ -115,10 +115,13 @@ def _(spark, d):
     return P.parse_report(view(spark, d, "v_pages"), view(spark, d, "v_chunks"))
 
 
+COMPATIBLE = "text || CASE WHEN ord = 1 AND doc_id % 5 = 0 THEN ' ㍿' WHEN ord = 1 AND doc_id % 7 = 0 THEN '\uffa1' ELSE '' END"
+
+
 @query("pq6_language_gate", "v_extractions", f"""SELECT doc_id, extractor FROM (SELECT *, max(good::INT) OVER (PARTITION BY doc_name) AS has_good FROM
-  (SELECT *, trim(text) <> '' AND NOT regexp_matches(text, {rx(T.CJK)}) AS good FROM v_extractions)) WHERE good OR has_good = 0""")
+  (SELECT *, trim(text) <> '' AND NOT regexp_matches({NFKC(COMPATIBLE)}, {rx(T.CJK)}) AS good FROM v_extractions)) WHERE good OR has_good = 0""")
 def _(spark, d):
-    return P.language_gate(view(spark, d, "v_extractions"), "doc_name").select("doc_id", "extractor")
+    return P.language_gate(view(spark, d, "v_extractions").withColumn("text", F.expr(COMPATIBLE)), "doc_name").select("doc_id", "extractor")
 
 
 NORMAL = (

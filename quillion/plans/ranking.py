@@ -62,12 +62,12 @@ BM25 = f""", qt AS (SELECT question_id, term, count(*) AS times FROM (SELECT que
   ct AS (SELECT question_id, rid, dl, term, count(*) AS tf FROM (SELECT question_id, rid, len(w) AS dl, unnest(w) AS term FROM cr) SEMI JOIN qt USING (question_id, term) GROUP BY ALL),
   cd AS (SELECT question_id, term, count(*) AS df FROM ct GROUP BY ALL),
   cb AS (SELECT question_id, rid, sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS s FROM ct JOIN cd USING (question_id, term) JOIN cs USING (question_id) JOIN qt USING (question_id, term) GROUP BY ALL),
-  b AS (SELECT question_id, rid, round(CASE WHEN m > 0 THEN s / m ELSE s END, 6) AS bm25 FROM (SELECT h.question_id, h.rid, coalesce(s, 0) AS s, max(coalesce(s, 0)) OVER (PARTITION BY h.question_id) AS m FROM v_hits h LEFT JOIN cb USING (question_id, rid)))"""
+  b AS (SELECT question_id, rid, CASE WHEN m > 0 THEN s / m ELSE s END AS bm25 FROM (SELECT h.question_id, h.rid, coalesce(s, 0) AS s, max(coalesce(s, 0)) OVER (PARTITION BY h.question_id) AS m FROM v_hits h LEFT JOIN cb USING (question_id, rid)))"""
 
 
-@query("rt2_bm25", "v_hits", BM25 + " SELECT * FROM b")
+@query("rt2_bm25", "v_hits", BM25 + " SELECT question_id, rid, round(bm25, 6) AS bm25 FROM b")
 def _(spark, d):
-    return R.bm25(view(spark, d, "v_questions"), hits(spark, d))
+    return R.bm25(view(spark, d, "v_questions"), hits(spark, d)).withColumn("bm25", F.round("bm25", 6))
 
 
 INTENT = f"""SELECT question_id, regexp_matches(lower(question), {rx(R.FORMULA_KEYS)}) AS is_formula_query, regexp_matches(lower(question), {rx(R.EXPLAIN_KEYS)}) AS wants_explanation,
@@ -96,9 +96,9 @@ BONUS = STRICT + f""", bo AS (SELECT *, (CASE WHEN is_equation THEN 0.12 ELSE 0
   + CASE WHEN NOT is_formula_query THEN 0 WHEN is_formula THEN 0.35 * greatest(0, least(1, formula_confidence)) ELSE -0.5 END)::DOUBLE AS bonus FROM st)"""
 
 
-@query("rt4_section_filter", "v_hits", FILTERED + " SELECT question_id, rid, round(score, 6) AS score, round(bm25, 6) AS bm25 FROM sf")
+@query("rt4_section_filter", "v_hits", FILTERED + " SELECT question_id, rid, round(score, 8) AS score, round(bm25, 6) AS bm25 FROM sf")  # six places times 0.85
 def _(spark, d):
-    return R.section_filter(flagged(spark, d)).select("question_id", "rid", F.round("score", 6).alias("score"), F.round("bm25", 6).alias("bm25"))
+    return R.section_filter(flagged(spark, d)).select("question_id", "rid", F.round("score", 8).alias("score"), F.round("bm25", 6).alias("bm25"))
 
 
 @query("rt5_strict_formula", "v_hits", STRICT + " SELECT question_id, rid FROM st")
@@ -116,12 +116,12 @@ def search(spark, d, k=5):
 
 
 HYBRID = BONUS.replace(", bo AS", ", nb AS", 1).replace("h.*, b.bm25", "h.* EXCLUDE (score), CASE WHEN max(greatest(0, h.score)) OVER (PARTITION BY h.question_id) > 0 THEN greatest(0, h.score) / max(greatest(0, h.score)) OVER (PARTITION BY h.question_id) ELSE 0 END AS score, b.bm25") + """, hy AS (SELECT * FROM
-  (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY hybrid DESC, rid) AS rank FROM (SELECT *, round(0.7 * score + 0.3 * bm25 + bonus, 6) AS hybrid FROM nb)) WHERE rank <= 5)"""
+  (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(hybrid, 9) DESC, rid) AS rank FROM (SELECT *, 0.7::DOUBLE * score + 0.3::DOUBLE * bm25 + bonus AS hybrid FROM nb)) WHERE rank <= 5)"""
 
 
-@query("rt7_hybrid_search", "v_hits", HYBRID + " SELECT question_id, rid, hybrid, rank FROM hy")
+@query("rt7_hybrid_search", "v_hits", HYBRID + " SELECT question_id, rid, round(hybrid, 6) AS hybrid, rank FROM hy")
 def _(spark, d):
-    return search(spark, d).select("question_id", "rid", "hybrid", F.col("rank").cast("long").alias("rank"))
+    return search(spark, d).select("question_id", "rid", F.round("hybrid", 6).alias("hybrid"), F.col("rank").cast("long").alias("rank"))
 
 
 def vectored(spark, d):
