@@ -34,6 +34,17 @@ def repeat_lines(pages: DataFrame, top_n: int = 3, thresh: float = 0.6) -> DataF
     return counts.join(n_pages, "doc_name").where(F.col("n") / F.col("n_pages") >= thresh)
 
 
+def ends_of(text: str, top_n: int = 3) -> list[tuple[str, str]]:
+    """A page's first and last non-blank lines by side, as :func:`repeat_lines` counts them."""
+    found = [x for x in (line.strip(" ") for line in text.split("\n")) if x]
+    return [("head", x) for x in found[:top_n]] + [("foot", x) for x in found[-top_n:]]
+
+
+def budget_of(n_pages: int, n_chars: int) -> tuple[int, int]:
+    """Target and overlap of a document, as :func:`doc_budget` has them."""
+    return (520, 70) if n_pages <= 2 and n_chars < 6000 else (750, 90)
+
+
 def drop_repeat_lines(lines: DataFrame, repeats: DataFrame) -> DataFrame:
     """Lines of which the document has no repeated head or foot line of exactly that text."""
     return lines.join(repeats.select("doc_name", "line").distinct(), ["doc_name", "line"], "left_anti")

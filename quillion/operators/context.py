@@ -23,13 +23,16 @@ def source_tag(doc: str = "doc_name", first: str = "page_start", last: str | Non
 
 def compress_citations(df: DataFrame, key: str, col: str = "citation") -> DataFrame:
     """``key, citation``: pages of a document as one tag with runs, a–b; a tag that is none is
-    kept inside one more pair of brackets."""
+    kept inside one more pair of brackets. A tag is a stretch from its first to its last page,
+    and stretches that touch are one, so a tag of very many pages is still one row."""
     part = lambda n: F.regexp_extract(F.coalesce(col, F.lit("")), TAG, n)
-    a, b = part(2).try_cast("int"), F.coalesce(F.nullif(part(3), F.lit("")), part(2)).try_cast("int")
+    a, b = part(2).try_cast("long"), F.coalesce(F.nullif(part(3), F.lit("")), part(2)).try_cast("long")
     tags = df.select(key, F.col(col).alias("tag"), F.nullif(part(1), F.lit("")).alias("doc"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    pages = tags.where("doc is not null").select(key, "doc", F.explode(F.sequence("a", "b")).alias("page")).distinct()
-    island = F.col("page") - F.row_number().over(Window.partitionBy(key, "doc").orderBy("page"))
-    runs = pages.withColumn("island", island).groupBy(key, "doc", "island").agg(F.min("page").alias("a"), F.max("page").alias("b"))
+    stretches = tags.where("doc is not null and a is not null and b is not null").groupBy(key, "doc", "a").agg(F.max("b").alias("b"))
+    order = Window.partitionBy(key, "doc").orderBy("a")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = stretches.withColumn("opens", (F.coalesce(reach, F.col("a") - 2) < F.col("a") - 1).cast("long"))
+    runs = apart.withColumn("run", F.sum("opens").over(order)).groupBy(key, "doc", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     run = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat("a", F.lit("–"), "b"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", run.alias("r")))), lambda x: x["r"]), ", ")
     good = runs.groupBy(key, "doc").agg(joined.alias("p")).select(key, F.concat(F.lit("["), "doc", F.lit(" p."), "p", F.lit("]")).alias("citation"))

@@ -42,18 +42,16 @@ def pick_extraction(df: DataFrame) -> DataFrame:
 
 
 def repair_glyphs(spans: DataFrame, font_map: DataFrame) -> DataFrame:
-    """Replace private-use characters by their font's map (font, code, repl); others stay.
-    Spans without such characters are not taken apart."""
-    key = ["doc_name", "page", "pos", "font"]
-    odd = spans.where(F.col("text").rlike(PRIVATE_USE))
-    chars = odd.select(*key, F.posexplode(F.split("text", "")).alias("k", "c")).withColumn("font", F.lower("font"))
-    maps = font_map.select(F.lower("font").alias("font"), F.col("code"), F.col("repl"))
-    # Only characters that have a code in the private-use block meet the map.
-    code = F.when(F.col("c").rlike(PRIVATE_USE), F.conv(F.hex(F.encode("c", "UTF-16BE")), 16, 10).cast("int"))
-    fixed = chars.withColumn("code", code).join(maps, ["font", "code"], "left").withColumn("c", F.coalesce("repl", "c"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]), "")
-    fixed = fixed.groupBy("doc_name", "page", "pos").agg(text.alias("fixed"))
-    return spans.join(fixed, ["doc_name", "page", "pos"], "left").withColumn("text", F.coalesce("fixed", "text")).drop("fixed")
+    """Replace private-use characters by their font's map (font, code, repl), after compatibility
+    composition; others stay. A map is one value beside the span, at most as many entries as
+    there are private-use code points, and characters are replaced where they stand; only
+    spans with such characters are taken apart."""
+    each = font_map.select(F.lower("font").alias("__font"), "code", "repl").where("code is not null and repl is not null")
+    each = each.groupBy("__font", "code").agg(F.max("repl").alias("repl"))
+    maps = each.groupBy("__font").agg(F.map_from_entries(F.collect_list(F.struct("code", "repl"))).alias("__map"))
+    rows = spans.withColumn("text", nfkc("text")).join(maps, F.lower("font") == F.col("__font"), "left")
+    fixed = F.array_join(F.transform(F.split("text", ""), lambda c: F.coalesce(F.col("__map")[F.ascii(c)], c)), "")
+    return rows.withColumn("text", F.when(F.col("__map").isNotNull() & F.col("text").rlike(PRIVATE_USE), fixed).otherwise(F.col("text"))).drop("__font", "__map")
 
 
 def parse_report(pages: DataFrame, chunks: DataFrame) -> DataFrame:

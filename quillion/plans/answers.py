@@ -25,13 +25,16 @@ def _(spark, d):
     return view(spark, d, "v_chunks").select("rid", X.source_tag().alias("source"))
 
 
-@query("cx2_compress_citations", "v_chunks", """, p AS (SELECT DISTINCT semantic_label, doc_name, page_start AS page FROM v_chunks WHERE semantic_label IS NOT NULL), i AS (SELECT *, page - row_number() OVER (PARTITION BY semantic_label, doc_name ORDER BY page) AS island FROM p),
-  r AS (SELECT semantic_label, doc_name, min(page) AS a, max(page) AS b FROM i GROUP BY semantic_label, doc_name, island)
+@query("cx2_compress_citations", "v_chunks", """, p AS (SELECT semantic_label, doc_name, page_start AS a, page_start + CASE WHEN page_start % 7 = 0 THEN 2 ELSE 0 END AS b FROM v_chunks WHERE semantic_label IS NOT NULL UNION ALL SELECT 'rule', 'src0', 12, 99999999),
+  i AS (SELECT *, sum(opens) OVER (PARTITION BY semantic_label, doc_name ORDER BY a, b) AS run FROM (SELECT *, CASE WHEN coalesce(max(b) OVER (PARTITION BY semantic_label, doc_name ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -9) < a - 1 THEN 1 ELSE 0 END AS opens FROM (SELECT DISTINCT * FROM p))),
+  r AS (SELECT semantic_label, doc_name, min(a) AS a, max(b) AS b FROM i GROUP BY semantic_label, doc_name, run)
   SELECT semantic_label, '[' || doc_name || ' p.' || string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '–' || b END, ', ' ORDER BY a) || ']' AS citation FROM r GROUP BY semantic_label, doc_name UNION ALL SELECT 'rule', '[odd]'""")
 def _(spark, d):
-    rows = view(spark, d, "v_chunks").where("semantic_label is not null").select("semantic_label", X.source_tag().alias("citation"))
-    odd = spark.range(1).select(F.lit("rule").alias("semantic_label"), F.lit("odd").alias("citation"))
-    return X.compress_citations(rows.unionByName(odd), "semantic_label")
+    last = F.when(F.col("page_start") % 7 == 0, F.col("page_start") + 2).otherwise(F.col("page_start"))
+    rows = view(spark, d, "v_chunks").where("semantic_label is not null").withColumn("page_end", last)
+    rows = rows.select("semantic_label", X.source_tag(last="page_end").alias("citation"))
+    more = spark.createDataFrame([("rule", "odd"), ("rule", "[src0 p.99999999-12]")], "semantic_label string, citation string")
+    return X.compress_citations(rows.unionByName(more), "semantic_label")
 
 
 @query("cx3_distinct_sources", "v_hits", f"""SELECT question_id, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos, source) AS rank FROM (SELECT question_id, '[' || doc_name || ']' AS source, min(pos) AS pos FROM v_hits GROUP BY ALL)) WHERE rank <= 10""")

@@ -248,10 +248,11 @@ def _stream(spark, d, name, rows):
 
 @query("st1_stream_ingest")
 def _(spark, d):
-    pages = view(spark, d, "v_headed").select("doc_name", "page", "text").repartition(6, "doc_name")
-    store = S.scratch(spark, "store")
-    jobs.stream_ingest(_stream(spark, d, "pages", pages), store, S.scratch(spark, "checkpoint")).start().awaitTermination()
-    return spark.read.parquet(store).select("rid", "doc_name", "page", "n", "is_formula")
+    # Pages of a document come in several batches and in no order.
+    pages = view(spark, d, "v_headed").select("doc_name", "page", "text").repartition(12, F.md5(F.concat_ws("-", "doc_name", "page")))
+    store, own = S.scratch(spark, "store"), jobs.stateful_session(spark)
+    jobs.stream_ingest(_stream(own, d, "pages", pages), store, S.scratch(spark, "checkpoint")).start().awaitTermination()
+    return jobs.ingested(spark, store).select("doc_name", "page_start", "n", F.md5("text").alias("digest"), "heading_path", "char_start", "char_end", "is_formula")
 
 
 @query("st2_usage_windows", "v_requests", """SELECT time_bucket(INTERVAL '60 seconds', ts) AS start, sum(tokens)::BIGINT AS tokens, count(*) AS requests, sum(tokens) > 800 OR count(*) > 2 AS over FROM v_requests GROUP BY 1""")
@@ -269,16 +270,12 @@ def _(spark, d):
 
 @query("st3_stream_memory", "v_turns", "SELECT conv_id, turn FROM (SELECT *, sum(greatest(1, length(coalesce(q, '') || coalesce(a, '')) // 4)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM v_turns) WHERE used <= 1200")
 def _(spark, d):
-    stream = _stream(spark, d, "turns", view(spark, d, "v_turns").repartition(4, "turn"))
+    own = jobs.stateful_session(spark)
+    stream = _stream(own, d, "turns", view(spark, d, "v_turns").repartition(4, "turn"))
     sink, w = S.scratch(spark, "memory"), Window.partitionBy("conv_id")
-    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(sink)
-        out = jobs.stream_memory(stream).writeStream.outputMode("update").foreachBatch(write)
-        out.option("checkpointLocation", S.scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(sink)
+    out = jobs.stream_memory(stream).writeStream.outputMode("update").foreachBatch(write)
+    out.option("checkpointLocation", S.scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema("conv_id long, turn long, n_kept int, batch int").parquet(sink)
     return rows.withColumn("last", F.max("batch").over(w)).where("batch = last and turn is not null").select("conv_id", "turn")
 

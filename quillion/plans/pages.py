@@ -68,8 +68,8 @@ def _(spark, d):
         S.append_chunks(rows.where(F.col("rid") % 2 == k).withColumnRenamed("rid", "src"), path, ["src"], ns)
     S.ensure_ns(spark, path, "a", 32, "m")  # another width: emptied
     S.ensure_ns(spark, path, "b", 64, "m")  # the same: kept
-    left = spark.read.parquet(path).groupBy("ns").agg(F.count("*").alias("n"))
-    return spark.createDataFrame([("a",), ("b",)], "ns string").join(left, "ns", "left").select("ns", F.coalesce("n", F.lit(0)).alias("n"))
+    rows = [S.read_store(spark, path, ns).agg(F.lit(ns).alias("ns"), F.count("*").alias("n")) for ns in "ab"]
+    return rows[0].unionByName(rows[1])
 
 
 @query("snk3_jsonl_sink", "", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
@@ -101,10 +101,10 @@ def _(spark, d):
     return P.pick_extraction(view(spark, d, "v_extractions")).select("doc_name", "page", "extractor", "score")
 
 
-@query("pq4_repair_glyphs", "v_lines", "SELECT doc_name, page, pos, replace(line, 'e', '<e>') AS text FROM v_lines")
+@query("pq4_repair_glyphs", "v_lines", "SELECT doc_name, page, pos, CASE WHEN pos % 5 < 4 THEN replace(line, 'e', '<e>') ELSE replace(line, 'e', '\ue001') END AS text FROM v_lines")
 def _(spark, d):
-    spans = lines(spark, d).select("doc_name", "page", "pos", F.lit("Odd").alias("font"), F.regexp_replace("line", "e", "\ue001").alias("text"))
-    font_map = spark.createDataFrame([("odd", 0xE001, "<e>")], "font string, code int, repl string")
+    spans = lines(spark, d).select("doc_name", "page", "pos", F.when(F.col("pos") % 5 < 4, "Odd").otherwise("Plain").alias("font"), F.translate("line", "eo", "\ue001\uff4f").alias("text"))
+    font_map = spark.createDataFrame([("odd", 0xE001, "<e>"), ("ODD", 0xE002, "?"), ("other", 0xE001, "!")], "font string, code int, repl string")
     return P.repair_glyphs(spans, font_map).select("doc_name", "page", "pos", "text")
 
 

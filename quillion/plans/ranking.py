@@ -7,6 +7,7 @@ from quillion.operators import retrieval as R
 from quillion.operators import vectors as V
 from quillion.plans.base import chunk_vectors, hits, query, question_vectors, rx, top
 from quillion.plans.fixtures import WIDE, view
+from quillion.sources import store as S
 
 
 @query("ve1_embed", "v_chunks", "SELECT rid, 256 AS dim, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN 1 ELSE 0 END::DOUBLE AS norm FROM v_chunks")
@@ -15,6 +16,20 @@ def _(spark, d):
     return rows.select("rid", F.size("embedding").alias("dim"), F.round(V.dot("embedding", "embedding"), 6).alias("norm"))
 
 
+@query("ve1_shared_model", "v_chunks", "SELECT rid, 1.0::DOUBLE AS cosine, true AS as_one FROM v_chunks WHERE rid % 3 = 0 AND regexp_matches(lower(text), '[a-z0-9]')")
+def _(spark, d):
+    # A model counted in two steps and stored; chunks and questions are embedded apart by it.
+    chunks, path = view(spark, d, "v_chunks").select("rid", "text"), S.scratch(spark, "model")
+    for k in (0, 1):
+        V.add_texts(chunks.where(F.col("rid") % 2 == k), path, "steps")
+    V.add_texts(chunks, path, "once")
+    as_one = V.vectorizer(spark, path, "steps").weights == V.vectorizer(spark, path, "once").weights
+    stored = V.embed(chunks, V.vectorizer(spark, path, "steps"))
+    asked = V.embed(chunks.where("rid % 3 = 0"), V.vectorizer(spark, path, "steps")).select("rid", F.col("embedding").alias("q"))
+    cosine = V.dot("embedding", "q") / F.sqrt(V.dot("embedding", "embedding") * V.dot("q", "q"))
+    return stored.join(asked, "rid").select("rid", F.round(cosine, 6).alias("cosine"), F.lit(as_one).alias("as_one")).where("cosine is not null")
+
+
 @query("ve2_l2_normalize", "", """SELECT vec_id, round(embedding[1]::DOUBLE / n, 6) AS first, round(embedding[64]::DOUBLE / n, 6) AS last FROM
   (SELECT *, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-9 AS n FROM embeddings)""")
 def _(spark, d):
@@ -129,12 +144,25 @@ def vectored(spark, d):
     return rows.join(question_vectors(spark, d).select("question_id", F.col("embedding").alias("q_vec")), "question_id")
 
 
-@query("rt8_mmr")
+#: A greedy choice is a recursion: each step joins what is picked with the rest of the pool.
+GREEDY = """, c AS ({pool}), g AS (
+  SELECT question_id, 1 AS k, rid, [rid] AS picked, [e] AS vs FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {first} DESC, {tie}) AS n FROM c) WHERE n = 1
+  UNION ALL SELECT question_id, k, rid, picked, vs FROM (SELECT g.question_id, g.k + 1 AS k, c.rid, list_append(g.picked, c.rid) AS picked, list_append(g.vs, c.e) AS vs,
+    row_number() OVER (PARTITION BY g.question_id ORDER BY {gain} - {penalty}::DOUBLE * list_max(list_transform(g.vs, lambda v: list_dot_product(v, c.e))) DESC, {tie}) AS n
+    FROM g JOIN c ON c.question_id = g.question_id WHERE g.k < {k} AND NOT list_contains(g.picked, c.rid)) WHERE n = 1)""".format
+POOLED = "SELECT t.question_id, t.rid, t.score AS base, t.pos, e.embedding::DOUBLE[] AS e, q.embedding::DOUBLE[] AS q FROM v_top t JOIN embeddings e ON e.vec_id = t.rid JOIN v_qv q ON q.question_id = t.question_id"
+UNIT = "list_transform({0}, lambda x: x / (sqrt(list_dot_product({0}, {0})) + 1e-8))".format
+
+
+@query("rt8_mmr", "v_top", GREEDY(pool=POOLED, first="0.75::DOUBLE * base + 0.25::DOUBLE * list_dot_product(e, q)", gain="0.75::DOUBLE * c.base", penalty=0.25, k=5, tie="c.rid").replace("list_dot_product(e, q) DESC, c.rid", "list_dot_product(e, q) DESC, rid") + " SELECT question_id, rid, k::INT AS mmr_rank FROM g")
 def _(spark, d):
     return R.mmr(vectored(spark, d), 5)
 
 
-@query("rt9_mmr_order")
+ALIKE = f"SELECT *, list_dot_product(e, q) AS alike FROM (SELECT question_id, rid, pos, {UNIT('e')} AS e, {UNIT('q')} AS q FROM ({POOLED}) WHERE pos <= 60)"
+
+
+@query("rt9_mmr_order", "v_top", GREEDY(pool=ALIKE, first="alike", gain="0.7::DOUBLE * alike", penalty=1 - 0.7, k=60, tie="c.pos").replace("alike DESC, c.pos", "alike DESC, pos") + " SELECT question_id, rid, k::INT AS mmr_rank FROM g UNION ALL SELECT question_id, rid, pos::INT FROM v_top WHERE pos > 60")
 def _(spark, d):
     return R.mmr_order(vectored(spark, d))
 

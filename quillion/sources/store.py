@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillion.functions.text import safe_token
+from quillion.sources import commits
+
+
+_OWN: dict[str, str] = {}  # folders of local applications that name none
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -18,8 +22,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
     if not top:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="quillion-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        top = _OWN.get(spark.sparkContext.applicationId) or _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quillion-"))
     return f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -31,14 +34,24 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
 
 
 def read_pages(documents: DataFrame) -> DataFrame:
-    """One row a page: a source is a document, its texts are numbered from 1 in id order."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return documents.select(F.col("source").alias("doc_name"), F.row_number().over(w).alias("page"), "doc_id", "lang", "text")
+    """One row a page: a source is a document, its texts are numbered from 1 in id order. Rows
+    are numbered within range partitions of (source, id) and start after those of the same
+    source in partitions before, so a source of any size is many tasks' work."""
+    rows = documents.select(F.col("source").alias("doc_name"), "doc_id", "lang", "text")
+    parted = keep(rows.repartitionByRange("doc_name", "doc_id").withColumn("__part", F.spark_partition_id()), "pages")
+    sizes = parted.groupBy("doc_name", "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("doc_name").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("doc_name").alias("__doc"), F.col("__part").alias("__own"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part", "doc_name").orderBy("doc_id"))
+    same = F.col("__part").eqNullSafe(F.col("__own")) & F.col("doc_name").eqNullSafe(F.col("__doc"))
+    # A row for each source of a partition.
+    met = parted.withColumn("__place", place).join(before, same)
+    return met.select("doc_name", (F.col("__place") + F.col("__before")).cast("int").alias("page"), "doc_id", "lang", "text")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; blank lines are skipped."""
-    return spark.read.schema(schema).json(path).dropna("all")
+    """JSON lines; blank lines are skipped, an object of nulls is a row."""
+    return spark.read.schema(schema).json(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: str, kind: str | None = None) -> DataFrame:
@@ -91,21 +104,21 @@ def with_row_ids(df: DataFrame, order: list[str], start: int = 0, name: str = "r
     ).drop("__part", "__place", "__before")
 
 
-def append_chunks(chunks: DataFrame, path: str, order: list[str], ns: str = "default") -> DataFrame:
+def append_chunks(chunks: DataFrame, path: str, order: list[str], ns: str = "default", name: str | None = None) -> DataFrame:
     """Append non-blank chunks to the namespace of a store, with ids after those it has; returns
-    the namespace as it is then. Chunks without a document go to "Unknown.pdf"."""
+    the namespace as it is then. Chunks without a document go to "Unknown.pdf". Writers may
+    append at the same time: each gets consecutive ids of its own. An append with the ``name``
+    of one that is there already does nothing."""
     spark = chunks.sparkSession
-    try:
-        start = spark.read.parquet(path).where(F.col("ns") == ns).agg(F.max("rid")).first()[0]
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        start = None
     kept = chunks.where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) != "")
     kept = kept.withColumn("doc_name", F.coalesce(F.nullif(F.col("doc_name"), F.lit("")), F.lit("Unknown.pdf")))
-    numbered = with_row_ids(kept, order, 0 if start is None else start + 1).withColumn("ns", F.lit(ns))
-    numbered.write.mode("append").partitionBy("ns").parquet(path)
-    return spark.read.parquet(path).where(F.col("ns") == ns)
+    commits.append(with_row_ids(kept.drop("rid"), order, 0, "place"), path, ns, name=name)
+    return read_store(spark, path, ns)
+
+
+def read_store(spark: SparkSession, path: str, ns: str = "default") -> DataFrame:
+    """The chunks of a namespace that was appended to at least once."""
+    return commits.read(spark, path, ns).drop("commit", "version")
 
 
 def ns_key(backend: Column, model: Column) -> Column:
@@ -116,22 +129,18 @@ def ns_key(backend: Column, model: Column) -> Column:
 
 def ensure_ns(spark: SparkSession, path: str, ns: str, dim: int, model: str) -> bool:
     """Make a namespace of a store fit for vectors of ``dim`` numbers from ``model``: where it was
-    made for others it is emptied. Whether it was; one writer at a time."""
-    told = f"{path.rstrip('/')}-meta/ns={ns}"
-    there = spark._jvm.org.apache.hadoop.fs.Path(told)
-    known = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
-    same = known and spark.read.schema("dim int, model string").parquet(told).where((F.col("dim") == dim) & (F.col("model") == model)).count() > 0
-    if not same:
-        spark.createDataFrame([(dim, model)], "dim int, model string").write.mode("overwrite").parquet(told)
-        if known:
-            reset_ns(spark, path, ns)
-    return known and not same
+    made for others, or for none, it is emptied. Whether one made for others was."""
+    was: dict = {}
+
+    def entry(now: dict) -> dict | None:
+        was.update(now)
+        same = now["dim"] == dim and now["model"] == model
+        return None if same else {"kind": "reset", "start": 0, "n": 0, "dim": dim, "model": model}
+
+    return commits.commit(spark, path, ns, entry) is not None and was["dim"] is not None
 
 
 def reset_ns(spark: SparkSession, path: str, ns: str) -> None:
-    """Empty one namespace of a store and leave the others."""
-    kept = spark.read.parquet(path)
-    empty = kept.where(F.lit(False))
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ns={ns}")
-    fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs_path, True)
-    empty.write.mode("append").partitionBy("ns").parquet(path)
+    """Empty one namespace of a store and leave the others; it stays made for what it was. Readers
+    see all of it or nothing."""
+    commits.commit(spark, path, ns, lambda now: {"kind": "reset", "start": 0, "n": 0, "dim": now["dim"], "model": now["model"]})

@@ -2,52 +2,121 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quillion.operators.chunking import chunk_page
+from quillion.functions.text import normalize_text
+from quillion.operators.chunking import CHUNKS, budget_of, chunk_page, ends_of, math_pages
 from quillion.operators.labels import label_formulas
+from quillion.sources import commits
 from quillion.sources.store import with_row_ids
 
-CHUNK = "doc_name string, page int, n int, text string, heading_path string, has_math boolean"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def chunk_alone(pages: DataFrame, target: int = 750, overlap: int = 90) -> DataFrame:
-    """Chunks of pages that come one by one, without the rest of their documents."""
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark``, whose options stay as they are, for streams that keep state by
+    key; such state needs the RocksDB store."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return own
 
-    def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (r.doc_name, r.page, n, c["text"], c["heading_path"], c["has_math"])
-                for r in batch.itertuples(index=False)
-                for n, c in enumerate(chunk_page(r.text or "", target, overlap, set()), 1)
-            ]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHUNK.split(", ")])
 
-    return pages.select("doc_name", "page", "text").mapInPandas(chunk, CHUNK)
+class DocumentChunks(StatefulProcessor):
+    """Chunks of documents whose pages come in any order. The state of a document has its pages,
+    their number and characters, and how often each line is among the first or last of a page.
+    A batch sends out the chunks of its pages; if it changes the document's budget or repeated
+    lines, or brings a page again, those of all pages that it changes."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.size = handle.getValueState("size", "pages int, chars long, target int, overlap int, dropped array<string>")
+        self.pages = handle.getMapState("pages", "page int", "text string, math_page boolean")
+        self.ends = handle.getMapState("ends", "side string, line string", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        name = key[0]
+        pages, chars, *was = self.size.get() if self.size.exists() else (0, 0, None, None, None)
+        ends = {tuple(k): v[0] for k, v in self.ends.iterator()}
+        before, new = dict(ends), {}
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                new[int(r.page)] = (r.text or "", bool(r.math_page))
+        for page, (text, math) in new.items():
+            if self.pages.containsKey((page,)):
+                old = self.pages.getValue((page,))[0]
+                pages, chars = pages - 1, chars - len(old)
+                for end, n in Counter(ends_of(old)).items():
+                    ends[end] -= n
+            pages, chars = pages + 1, chars + len(text)
+            for end, n in Counter(ends_of(text)).items():
+                ends[end] = ends.get(end, 0) + n
+            self.pages.updateValue((page,), (text, math))
+        for end, n in ends.items():
+            if n <= 0:
+                self.ends.removeKey(end)
+            elif n != before.get(end):
+                self.ends.updateValue(end, (n,))
+        dropped = sorted({line for (_, line), n in ends.items() if n > 0 and n / pages >= 0.6})
+        target, overlap = budget_of(pages, chars)
+        now = [target, overlap, dropped]
+        self.size.update((pages, chars, *now))
+        if was[0] is not None and [was[0], was[1], list(was[2])] != now:
+            new = {k[0]: (v[0], v[1]) for k, v in self.pages.iterator()}
+        out = []
+        for page, (text, math) in sorted(new.items()):
+            found = chunk_page(text, target, overlap, set(dropped), math)
+            # A page without chunks says so, since it may have had some.
+            out += [{"doc_name": name, "page_start": page, "page_end": page, "n": n, **c} for n, c in enumerate(found, 1)] or [{"doc_name": name, "page_start": page, "page_end": page, "n": 0}]
+        yield _typed(pd.DataFrame(out, columns=[x.split()[0] for x in CHUNKS.split(", ")]))
+
+    def close(self) -> None:
+        pass
 
-def stream_ingest(pages: DataFrame, store: str, checkpoint: str, scorer=None) -> DataStreamWriter:
-    """Chunk, label and append pages as they arrive. Each batch writes a folder of its own and
-    starts its ids after those of the batches before, so a batch that is replayed writes the
-    same rows over itself."""
+
+def _typed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pandas columns that keep nulls of whole numbers and flags."""
+    kinds = {"int": "Int32", "boolean": "boolean", "string": "object"}
+    return rows.astype({name: kinds[kind] for name, kind in (x.split() for x in CHUNKS.split(", "))})
+
+
+def stream_chunks(pages: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """:data:`~quillion.operators.chunking.CHUNKS` of a stream of pages (doc_name, page, text), as
+    its batches bring or change them; ``n`` is 0 and the text null for a page that has none.
+    ``blocks`` is a table, as for ``chunk_pages``."""
+    rows = pages.select("doc_name", F.col("page").cast("int").alias("page"), normalize_text(F.coalesce("text", F.lit(""))).alias("text"))
+    if blocks is None:
+        rows = rows.withColumn("math_page", F.lit(False))
+    else:
+        rows = rows.join(math_pages(blocks).withColumn("math_page", F.lit(True)), ["doc_name", "page"], "left").withColumn("math_page", F.coalesce("math_page", F.lit(False)))
+    return rows.groupBy("doc_name").transformWithStateInPandas(statefulProcessor=DocumentChunks(), outputStructType=CHUNKS, outputMode="Update", timeMode="None")
+
+
+def stream_ingest(pages: DataFrame, store: str, checkpoint: str, scorer=None, blocks: DataFrame | None = None, ns: str = "default") -> DataStreamWriter:
+    """Chunk, label and append pages as they arrive; :func:`ingested` reads what stands. Each batch
+    is one append to the store, named by its number, so one that is replayed is there once,
+    and its ids start after those of the appends before. The session of ``pages`` must be a
+    :func:`stateful_session`."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        start = 0
-        if batch_id:
-            seen = spark.read.parquet(store).where(F.col("batch") < batch_id).agg(F.max("rid")).first()[0]
-            start = 0 if seen is None else seen + 1
-        chunks = label_formulas(chunk_alone(batch), scorer, stamp=F.lit("1970-01-01T00:00:00Z"))
-        rows = with_row_ids(chunks, ["doc_name", "page", "n"], start)
-        rows.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        labelled = label_formulas(batch, scorer, stamp=F.lit("1970-01-01T00:00:00Z"))
+        commits.append(with_row_ids(labelled, ["doc_name", "page_start", "n"], name="place"), store, ns, name=f"b{batch_id}")
+
+    return stream_chunks(pages, blocks).writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
 
-    return pages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+def ingested(spark: SparkSession, store: str, ns: str = "default") -> DataFrame:
+    """The chunks of an ingest: of each page those that were appended last."""
+    rows = commits.read(spark, store, ns)
+    last = F.max("version").over(Window.partitionBy("doc_name", "page_start"))
+    return rows.withColumn("__last", last).where("version = __last and n > 0").drop("__last", "version", "commit")
 
 
 def usage_windows(requests: DataFrame, tpm: int, rpm: int, late: str = "10 minutes") -> DataFrame:
@@ -62,38 +131,77 @@ def usage_windows(requests: DataFrame, tpm: int, rpm: int, late: str = "10 minut
 
 
 class RollingMemory(StatefulProcessor):
-    """Keeps the newest turns of a conversation that fit a token budget."""
+    """Keeps the newest turns of a conversation that fit a token budget. With ``ttl`` (seconds
+    since a conversation's turns were last written) state goes by the clock; with ``idle``
+    (seconds of event time after its newest turn) a timer empties the conversation once
+    the watermark has passed."""
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, ttl: float | None = None, idle: float | None = None):
+        self.limit, self.ttl, self.idle = limit, ttl, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.turns = handle.getListState("turns", "turn long, cost long")
+        self.handle = handle
+        self.turns = handle.getListState("turns", "turn long, cost long", int(self.ttl * 1000) if self.ttl else None)
+        self.newest = handle.getValueState("newest", "ms long") if self.idle else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [(int(t), int(c)) for t, c in self.turns.get()]
+        held, latest = {int(t): int(c) for t, c in self.turns.get()}, None
         for batch in rows:
             for r in batch.itertuples(index=False):
-                held.append((int(r.turn), max(1, len((r.q or "") + (r.a or "")) // 4)))
+                held[int(r.turn)] = max(1, len((r.q or "") + (r.a or "")) // 4)
+                if self.idle:
+                    ms = int(pd.Timestamp(r.ts).timestamp() * 1000)
+                    latest = ms if latest is None else max(latest, ms)
+        if self.idle:
+            self._wait(latest)
         kept, fits, used = [], [], 0
-        for turn, cost in sorted(held, reverse=True):
+        for turn, cost in sorted(held.items(), reverse=True):
             used += cost
             kept.append((turn, cost))  # the first that does not fit stays too: it bars older ones
             if used > self.limit:
                 break
             fits.append(turn)
         self.turns.put(kept)
+        yield self._told(key, fits)
+
+    def _wait(self, latest: int) -> None:
+        """One timer a conversation, after its newest turn; late turns do not move it."""
+        before = self.newest.get()[0] if self.newest.exists() else None
+        if before is not None and before >= latest:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before + int(self.idle * 1000))
+        self.handle.registerTimer(latest + int(self.idle * 1000))
+        self.newest.update((latest,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.turns.clear()
+        self.newest.clear()
+        yield self._told(key, [])
+
+    def _told(self, key, fits: list[int]) -> pd.DataFrame:
         turns = pd.array(fits or [None], "Int64")  # a null turn says that none is kept
-        yield pd.DataFrame({"conv_id": [key[0]] * len(turns), "turn": turns, "n_kept": [len(fits)] * len(turns)})
+        return pd.DataFrame({"conv_id": [key[0]] * len(turns), "turn": turns, "n_kept": [len(fits)] * len(turns)})
 
     def close(self) -> None:
         pass
 
 
-def stream_memory(turns: DataFrame, limit: int = 1200) -> DataFrame:
+def stream_memory(turns: DataFrame, limit: int = 1200, ttl: float | None = None, idle: float | None = None, late: str = "10 minutes") -> DataFrame:
     """For every conversation that got turns, those it keeps now (conv_id, turn, n_kept), or a
-    null turn if it keeps none. Needs the RocksDB state store."""
-    slim = turns.select("conv_id", "turn", "q", "a")
+    null turn if it keeps none. Turns may come in any order, and a turn that comes again
+    replaces itself.
+
+    ``ttl`` forgets a conversation that many seconds of clock time after its last batch. ``idle``
+    needs a column ``ts``: a conversation is emptied that many seconds after its newest turn, by
+    the watermark, which lies ``late`` behind the newest ``ts`` of all; turns older than the
+    watermark are dropped. The session must be a :func:`stateful_session`."""
+    if ttl and idle:
+        raise ValueError("a stream has one kind of time: give ttl or idle")
+    slim = turns.select("conv_id", "turn", "q", "a", *(["ts"] if idle else []))
+    if idle:
+        slim = slim.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    mode = "EventTime" if idle else "ProcessingTime" if ttl else "None"
     return slim.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=RollingMemory(limit), outputStructType="conv_id long, turn long, n_kept int", outputMode="Update", timeMode="None"
+        statefulProcessor=RollingMemory(limit, ttl, idle), outputStructType="conv_id long, turn long, n_kept int", outputMode="Update", timeMode=mode
     )
