@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}  # folders of local applications that name none
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset
     a local session (one process, as in tests) gets a temporary folder, and a cluster an error."""
@@ -21,8 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quillion-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _OWN.get(spark.sparkContext.applicationId) or _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quillion-"))
     return path.rstrip("/")
 
 
