@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,7 +176,7 @@ CHUNKS = (
 )
 _HEADING, _BULLET, _MATH, _OPS = (re.compile(x) for x in (T.HEADING, T.BULLET, T.MATH, T.OPERATORS))
 _TABLE, _EXERCISES = re.compile(T.TABLE_HINT), re.compile(T.EXERCISE_HEADING)
-_END = re.compile(r"(?<=[.!?;:])\s+(?=[A-Z0-9(])")
+_END, _BLANKS, _WORD = re.compile(r"(?<=[.!?;:])\s+(?=[A-Z0-9(])"), re.compile(r"\s+"), re.compile("[A-Za-z]{3,}")
 
 
 class _Packer:
@@ -206,10 +206,11 @@ class _Packer:
             self.start = self.cursor
         self.parts.append(piece)
         self.size += tokens(piece)
-        self.flags["has_math"] |= bool(_MATH.search(piece))
-        self.flags["has_table"] |= bool(_TABLE.search(piece)) or ("|" in piece and len(piece) > 10)
-        few_words = len(re.findall("[A-Za-z]{3,}", piece)) <= 40
-        self.flags["is_equation"] |= self.math_page and few_words and bool(_OPS.search(piece))
+        flags = self.flags  # what is set stays set, and is not looked for again
+        flags["has_math"] = flags["has_math"] or bool(_MATH.search(piece))
+        flags["has_table"] = flags["has_table"] or bool(_TABLE.search(piece)) or ("|" in piece and len(piece) > 10)
+        if self.math_page and not flags["is_equation"] and _OPS.search(piece):
+            flags["is_equation"] = len(_WORD.findall(piece)) <= 40
 
     def sentence(self, piece: str) -> None:
         whole = piece
@@ -236,7 +237,7 @@ def chunk_page(text: str, target: int, overlap: int, dropped: set[str], math_pag
     def paragraph() -> None:
         whole = " ".join(plain).strip()
         plain.clear()
-        for s in [x.strip() for x in _END.split(re.sub(r"\s+", " ", whole))] if len(whole) > 20 else [whole]:
+        for s in [x.strip() for x in _END.split(_BLANKS.sub(" ", whole))] if len(whole) > 20 else [whole]:
             if s:
                 p.sentence(s)
 
@@ -273,14 +274,18 @@ def chunk_pages(pages: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("math_page", F.lit(False)) if blocks is None else rows.join(math_pages(blocks).withColumn("math_page", F.lit(True)), ["doc_name", "page"], "left")
     rows = rows.select("doc_name", "page", "text", "target", "overlap", "dropped", F.coalesce("math_page", F.lit(False)).alias("math_page"))
 
-    def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in CHUNKS.split(", ")]
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                dropped = set() if r.dropped is None else set(r.dropped)
-                for n, c in enumerate(chunk_page(r.text, r.target, r.overlap, dropped, bool(r.math_page)), 1):
-                    out.append({"doc_name": r.doc_name, "page_start": r.page, "page_end": r.page, "n": n, **c})
-            yield pd.DataFrame(out, columns=names)
-
-    return rows.mapInPandas(chunk, CHUNKS)
+            docs, numbers, *rest = (c.to_pylist() for c in batch.columns)
+            found = [chunk_page(text, target, overlap, set(dropped or ()), math) for text, target, overlap, dropped, math in zip(*rest)]
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            columns = {"doc_name": batch.column(0).take(pa.array(row)), "page_start": batch.column(1).take(pa.array(row))}
+            columns["page_end"] = columns["page_start"]
+            columns["n"] = pa.array([n for x in found for n in range(1, len(x) + 1)], pa.int32())
+            for f in shape.names[4:]:
+                columns[f] = pa.array([c[f] for x in found for c in x])
+            yield pa.RecordBatch.from_arrays([columns[f].cast(kind) for f, kind in zip(shape.names, shape.types)], schema=shape)
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    shape = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in CHUNKS.split(", "))])
+    return rows.mapInArrow(chunk, CHUNKS)

@@ -10,7 +10,7 @@ from quillion.operators import labels as L
 from quillion.operators import training as R
 from quillion.plans.base import hits, query, rx
 from quillion.plans.fixtures import NFKC, view
-from quillion.plans.pages import COLLAPSE, WEAK
+from quillion.plans.pages import CHUNKED, COLLAPSE, WEAK
 from quillion.sources import store as S
 from quillion.streaming import jobs
 
@@ -246,7 +246,7 @@ def _stream(spark, d, name, rows):
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
-@query("st1_stream_ingest")
+@query("st1_stream_ingest", "v_lines", CHUNKED.replace("{math}", "SELECT doc_name, page FROM n WHERE false") + " SELECT doc_name, page_start, n, md5(text) AS digest, heading_path, char_start, char_end, false AS is_formula FROM ck")
 def _(spark, d):
     # Pages of a document come in several batches and in no order.
     pages = view(spark, d, "v_headed").select("doc_name", "page", "text").repartition(12, F.md5(F.concat_ws("-", "doc_name", "page")))

@@ -222,7 +222,37 @@ def _(spark, d):
     return C.doc_budget(view(spark, d, "v_pages"))
 
 
-@query("ch12_chunk_pages")
+#: Chunking as a recursion over the pieces of each page: what is held (``rest`` and the ``last`` part,
+#: its size, start and flags), and what a piece made it give up.
+CHUNKED = f""", n AS MATERIALIZED (SELECT doc_name, page, {NORMAL} AS text FROM v_headed), {TRIMMED.replace("v_headed", "n")}, re AS ({REPEATS}),
+  bu AS (SELECT doc_name, CASE WHEN count(*) <= 2 AND sum(length(text)) < 6000 THEN 520 ELSE 750 END AS target, CASE WHEN count(*) <= 2 AND sum(length(text)) < 6000 THEN 70 ELSE 90 END AS overlap FROM n GROUP BY 1),
+  li AS (SELECT doc_name, page, CAST(unnest(generate_series(0, len(l) - 1)) AS INT) AS pos, unnest(l) AS line FROM (SELECT *, string_split(text, chr(10)) AS l FROM n)),
+  ki AS (SELECT *, CASE WHEN regexp_matches(line, {rx(T.HEADING)}) THEN 'heading' WHEN regexp_matches(line, {rx(T.BULLET)}) THEN 'bullet' WHEN trim(line) = '' THEN 'blank' ELSE 'para' END AS kind
+    FROM li WHERE NOT EXISTS (SELECT 1 FROM re WHERE re.doc_name = li.doc_name AND re.line = li.line)),
+  sg AS (SELECT *, sum((kind <> 'para' OR before <> 'para')::INT) OVER (PARTITION BY doc_name, page ORDER BY pos) AS segment FROM (SELECT *, lag(kind, 1, 'blank') OVER (PARTITION BY doc_name, page ORDER BY pos) AS before FROM ki)),
+  se AS (SELECT doc_name, page, segment, kind, trim(string_agg(trim(line), ' ' ORDER BY pos)) AS text FROM sg WHERE kind <> 'blank' GROUP BY ALL),
+  un AS (SELECT doc_name, page, segment, kind, CAST(unnest(generate_series(0, len(l) - 1)) AS INT) AS k, unnest(l) AS piece FROM (SELECT *, CASE WHEN kind = 'para' AND length(text) > 20
+    THEN list_filter(list_transform(string_split(regexp_replace({COLLAPSE("text")}, {rx(T.SENTENCE_ENDS["a"])}, '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') ELSE [text] END AS l FROM se)),
+  pc AS MATERIALIZED (SELECT doc_name, page, kind, piece, row_number() OVER (PARTITION BY doc_name, page ORDER BY segment, k) AS i FROM un UNION ALL SELECT doc_name, page, 'end', '', 1 + (SELECT count(*) FROM un WHERE un.doc_name = n.doc_name AND un.page = n.page) FROM n),
+  mp AS ({{math}}),
+  ru AS (SELECT doc_name, page, target, overlap, EXISTS (SELECT 1 FROM mp WHERE mp.doc_name = n.doc_name AND mp.page = n.page) AS math_page, 0::BIGINT AS i, NULL::VARCHAR AS rest, NULL::VARCHAR AS last, 0::BIGINT AS size, 0::BIGINT AS start, 0::BIGINT AS spot, '' AS heading,
+      false AS m, false AS t, false AS e, NULL::VARCHAR AS text, '' AS heading_path, 0::BIGINT AS char_start, 0::BIGINT AS char_end, false AS has_math, false AS has_table, false AS is_equation FROM n JOIN bu USING (doc_name)
+    UNION ALL SELECT doc_name, page, target, overlap, math_page, i, CASE WHEN fills THEN CASE WHEN full_ THEN tail ELSE held END END, CASE WHEN fills THEN whole END, CASE WHEN fills THEN CASE WHEN full_ THEN greatest(1, length(tail) // 4) ELSE had END + greatest(1, length(whole) // 4) ELSE 0 END,
+      CASE WHEN NOT fills OR held IS NULL THEN spot WHEN full_ THEN greatest(0, spot - length(tail)) ELSE start END, spot + CASE WHEN kind = 'end' THEN 0 ELSE length(piece) + 1 END, CASE WHEN kind = 'heading' THEN piece ELSE heading END,
+      (fills AND NOT full_ AND m) OR (fills AND regexp_matches(whole, {rx(T.MATH)})), (fills AND NOT full_ AND t) OR (fills AND (regexp_matches(whole, {rx(T.TABLE_HINT)}) OR (contains(whole, '|') AND length(whole) > 10))),
+      (fills AND NOT full_ AND e) OR (fills AND math_page AND regexp_matches(whole, {rx(T.OPERATORS)}) AND len(regexp_extract_all(whole, '[A-Za-z]{{3,}}')) <= 40),
+      CASE WHEN full_ THEN trim(held) END, heading, start, spot, m, t, e FROM (SELECT *, right(held, 4 * overlap) AS tail FROM (
+        SELECT *, held IS NOT NULL AND CASE kind WHEN 'bullet' THEN had > 0.8 * target WHEN 'para' THEN had + greatest(1, length(whole) // 4) > target ELSE true END AS full_ FROM (
+          SELECT *, kind IN ('bullet', 'para') AS fills, CASE WHEN pops THEN rest WHEN rest IS NULL THEN last ELSE rest || ' ' || last END AS held, CASE WHEN pops THEN greatest(1, length(coalesce(rest, '')) // 4) ELSE size END AS had,
+            CASE WHEN NOT pops THEN piece WHEN regexp_matches(piece, '^[a-zß-öø-ÿ]') THEN left(last, length(last) - 1) || piece ELSE last || ' ' || piece END AS whole FROM (
+            SELECT ru.* EXCLUDE (i, text, heading_path, char_start, char_end, has_math, has_table, is_equation), pc.i, pc.kind, pc.piece, pc.kind = 'para' AND coalesce(ends_with(ru.last, '-'), false) AS pops
+            FROM ru JOIN pc ON pc.doc_name = ru.doc_name AND pc.page = ru.page AND pc.i = ru.i + 1))))),
+  ck AS (SELECT doc_name, page AS page_start, page AS page_end, CAST(row_number() OVER (PARTITION BY doc_name, page ORDER BY i) AS INT) AS n, text, heading_path, CASE WHEN regexp_matches(lower(heading_path), {rx(T.EXERCISE_HEADING)}) THEN 'exercises' ELSE '' END AS section_tag,
+    has_math, has_table, is_equation, char_start::INT AS char_start, char_end::INT AS char_end FROM ru WHERE text <> '')"""
+MATH_PAGES = "SELECT DISTINCT doc_name, page FROM v_lines WHERE page % 2 = 0 AND pos % 5 = 0 AND length(line) <= 220"
+
+
+@query("ch12_chunk_pages", "v_lines", CHUNKED.replace("{math}", MATH_PAGES) + " SELECT * FROM ck")
 def _(spark, d):
     return C.chunk_pages(view(spark, d, "v_headed"), blocks(spark, d).withColumn("font", F.when(F.col("page") % 2 == 0, F.col("font")).otherwise("times")))
 
