@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,15 +140,56 @@ def clean_citations(c: Column | str) -> Column:
     return F.regexp_replace(c, r"(?m)^([^$\n]+)\n[ ]*(\$\$[^$]+\$\$(?: \[[^\]]+\])?)[ ]*$", "$2\n$1")
 
 
+FEW_ALIASES = 32  # that one expression each in the plan is cheaper for
+
+
 def apply_aliases(df: DataFrame, aliases: list[tuple[str, str]], col: str = "text") -> DataFrame:
-    """Whole-word substitutions, one after the other. The list is a user's own few aliases."""
+    """Whole-word substitutions, one after the other: each sees what those before it left.
+
+    A few are nested expressions. More are looked for together: an automaton over all sources
+    says which of them a text has, only those are substituted, in their order, and a text that
+    was changed is searched again for later ones. So the plan does not grow with the list, and
+    the work on a text grows with the aliases that it has."""
+    pairs = [(src, dst) for src, dst in aliases if src and src != dst]
+    if len(pairs) > FEW_ALIASES:
+        return df.withColumn(col, _many_aliases(pairs)(F.col(col)))
     c = F.col(col)
-    for src, dst in aliases:
-        if src and src != dst:
-            c = F.regexp_replace(c, rf"\b{re.escape(src)}\b", dst.replace("\\", "\\\\").replace("$", "\\$"))
+    for src, dst in pairs:
+        c = F.regexp_replace(c, rf"\b{re.escape(src)}\b", dst.replace("\\", "\\\\").replace("$", "\\$"))
     return df.withColumn(col, c)
 
 
+def _many_aliases(pairs: list[tuple[str, str]]):
+    @F.pandas_udf("string")
+    def substitute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        places: dict[str, list[int]] = {}
+        for k, (src, _) in enumerate(pairs):
+            places.setdefault(src, []).append(k)
+        sources, patterns = ahocorasick.Automaton(), {}
+        for src, own in places.items():
+            sources.add_word(src, own)
+        sources.make_automaton()
+
+        def one(text: str) -> str:
+            done, due = -1, sorted({k for _, own in sources.iter(text) for k in own})
+            while due:
+                done = heapq.heappop(due)
+                src, dst = pairs[done]
+                if src not in patterns:
+                    patterns[src] = re.compile(rf"\b{re.escape(src)}\b")
+                text, n = patterns[src].subn(lambda _: dst, text)  # noqa: B023
+                if n:
+                    due = sorted({k for _, own in sources.iter(text) for k in own if k > done})
+            return text
+
+        for batch in batches:
+            yield batch.map(one, na_action="ignore")
+
+    return substitute
+
+
 WORD = r"""(['"].+?['"]|[A-Za-z0-9_.+\-]+)"""
 
 

@@ -192,7 +192,8 @@ def stream_memory(turns: DataFrame, limit: int = 1200, ttl: float | None = None,
     null turn if it keeps none. Turns may come in any order, and a turn that comes again
     replaces itself.
 
-    ``ttl`` forgets a conversation that many seconds of clock time after its last batch. ``idle``
+    ``ttl`` forgets a conversation that many seconds of clock time after its last batch; such a
+    stream always has another batch to run, so ``availableNow`` does not end it. ``idle``
     needs a column ``ts``: a conversation is emptied that many seconds after its newest turn, by
     the watermark, which lies ``late`` behind the newest ``ts`` of all; turns older than the
     watermark are dropped. The session must be a :func:`stateful_session`."""

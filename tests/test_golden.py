@@ -108,17 +108,6 @@ def test_shared_words_in_blocks(spark, monkeypatch):
     assert got == [(1, "n1", 2), (1, "n3", 3), (4, "n1", 1), (4, "n2", 1)]
 
 
-def test_stream_ingest_drains_to_the_batch(spark, tmp_path):
-    pages = spark.createDataFrame([(f"d{i % 3}", i, f"HEAD {i} X\nSentence {i} is here. Another one = {i}.") for i in range(12)], "doc_name string, page int, text string")
-    pages.repartition(5).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
-    jobs.stream_ingest(stream, f"{tmp_path}/store", f"{tmp_path}/cp").start().awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/store")
-    cols = ["doc_name", "page", "n", "text", "heading_path", "has_math"]
-    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, jobs.chunk_alone(pages).select(*cols).collect()))
-    assert sorted(r.rid for r in got.select("rid").collect()) == list(range(got.count()))
-
-
 def greedy(gain, first, like, k, penalty):
     """Maximal marginal relevance written out, one candidate at a time."""
     chosen = []
@@ -147,6 +136,81 @@ def test_citations_and_aliases(spark):
     assert {r.src: r.dst for r in X.learn_aliases(turns).collect()} == {"foo": "baz"}
     text = spark.createDataFrame([("a cat, concat $1",)], "text string")
     assert X.apply_aliases(text, [("cat", "dog$1")]).first()[0] == "a dog$1, concat $1"
+    wide = spark.createDataFrame([(1, "[D p.1-99999999]"), (1, "[D p.5]"), (1, "[D p.100000000-100000002]"), (1, "[D p.100000009]")], "k int, citation string")
+    assert [r.citation for r in X.compress_citations(wide, "k").collect()] == ["[D p.1–100000002, 100000009]"]
+
+
+def test_many_aliases_are_the_fold(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 3))) for _ in range(80)] + ["a b", "b.c", "$1"]
+    pairs = [(rng.choice(words), rng.choice([*words, "", "\\1"])) for _ in range(10_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(25)) for _ in range(40)] + ["", None]
+
+    def fold(text):
+        for src, dst in pairs:
+            if src and src != dst and text is not None:
+                text = re.sub(rf"\b{re.escape(src)}\b", lambda _: dst, text)  # noqa: B023
+        return text
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = [r.text for r in X.apply_aliases(df, pairs).sort("k").collect()]
+    assert got == [fold(t) for t in texts]
+    assert len(X.apply_aliases(df, pairs)._jdf.queryExecution().toString()) < 4000
+
+
+def test_composition_only_where_it_matters(spark):
+    import unicodedata
+
+    texts = ["plain", "é ü ß — “quoted” … ×÷≤", "ｆ（ｘ）＝½", "A\u030a", "\u1112\u1161\u11ab", "中文 текст ελ", "a\u0301\u0323", "\uff76\uff9e ㍿", "", "x²\u00a0y\u2028z", "क\u093c", "😀🄰"]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "k int, text string")
+    got = [r.x for r in df.select("k", T.nfkc("text").alias("x")).sort("k").collect()]
+    assert got == [unicodedata.normalize("NFKC", t) for t in texts] + [None]
+    rows = spark.createDataFrame([(1, 0, "㍿"), (1, 1, "fine"), (2, 0, "\u3000\u2028"), (2, 1, "ﾡ")], "k int, i int, text string")
+    assert sorted((r.k, r.i) for r in P.language_gate(rows, "k").collect()) == [(1, 1), (2, 0), (2, 1)]
+    page = spark.createDataFrame([(1, "", "", "ｙ ＝ x² + １\u2028z\x0bw = ∬ v")], "rid int, heading_path string, section_tag string, text string")
+    assert [(r.line_no, r.line) for r in M.candidate_lines(page).sort("line_no").collect()] == [(0, "y = x2 + 1"), (1, "z"), (2, "w = ∫∫ v")]
+
+
+def test_ranker_scores_are_the_models(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from quillion.operators import training as R2
+
+    rows = [("q cat dog", "cat dog here", 1.0), ("q cat", "fish", 0.0), ("one two", "one two three", 1.0), ("one", "four five six", 0.0)] * 5
+    pairs = spark.createDataFrame(rows, "question string, chunk_text string, score double")
+    model = R2.train_ranker(pairs)
+    seen = R.pair_features(pairs.withColumn("text", F.col("chunk_text")))
+    theirs = [round(r.p, 6) for r in model.transform(seen).select(vector_to_array("probability")[1].alias("p")).collect()]
+    mine = [r.pair_score for r in R2.rank_scorer(model)(seen).collect()]
+    assert np.allclose(mine, theirs, atol=1.1e-6)
+    assert min(m for m, r in zip(mine, rows) if r[2]) > max(m for m, r in zip(mine, rows) if not r[2])
+
+
+def test_models_learn_their_fixtures(spark):
+    from quillion import plans
+
+    report = plans.queries()["tr5_train_classifier"](spark, "/root/testdata/sf0.001").first()
+    assert report.accuracy > 0.5  # five labels
+    pairs = plans.queries()["tr6_train_ranker"](spark, "/root/testdata/sf0.001").toPandas()
+    right, wrong = pairs[pairs.score == 1].pair_score, pairs[pairs.score == 0].pair_score
+    assert np.mean([a > b for a in right for b in wrong]) > 0.9
+
+
+def test_topk_in_blocks_with_cuts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 6)) * np.exp(rng.normal(size=(600, 1)))  # lengths that differ much
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rid long, embedding array<double>")
+    q = df.where("rid < 30").select(F.col("rid").alias("question_id"), "embedding")
+    want = {(i, int(j)) for i in range(30) for j in np.lexsort((np.arange(600), -np.round(x @ x[i], 6)))[:7]}
+    for block, stretch in ((2_000_000, 2048), (40, 16)):
+        monkeypatch.setattr(V, "QUERY_BLOCK", block)
+        monkeypatch.setattr(V, "STRETCH", stretch)
+        found = V.vector_topk(q, df.repartition(3), 7)
+        assert {(r.question_id, r.rid) for r in found.collect()} == want
+    assert V.vector_topk(q.limit(0), df, 3).count() == 0
 
 
 def test_formula_items_and_veto(spark):
