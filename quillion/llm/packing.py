@@ -74,7 +74,7 @@ PIECE, GAP, PLACED, OPENED = "piece", "gap", "placed", "opened"
 #: count. Placed: length, first rank, sequences, first sequence, gap's size before, and how many
 #: pieces each sequence takes. One row counts the sequences opened so far.
 RUN = "kind string, size long, first long, n long, start long, room long, wait int, times long"
-ROUNDS_A_JOB = 4
+ROUNDS_A_JOB = 2
 
 
 def cuts(capacity: int) -> list[int]:
