@@ -224,7 +224,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     Equal texts (but for case and white space) are one node from the start. Nodes meet where
     their fingerprints differ in ``bits`` or fewer bits or where they share a key of
     ``band_keys``. Each is first compared with one node of every key it has, its fingerprint
-    among them; then with all others of the key, and by the covering with all of near
+    among them, that which meets most others over all its keys; then with all others of the key, and by the covering with all of near
     fingerprints, that are not in its component yet. Null ids are never dropped; an id with several
     texts goes only if it is first for none of them."""
     spark = docs.sparkSession
@@ -237,8 +237,12 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     info = nodes.select("node", "first", "n", "fp")
 
     members = nodes.select("node", "n", F.explode(F.concat("keys", F.array(F.xxhash64("fp")))).alias("key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("many")).where("many > 1").drop("many")
+    shared = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     members = materialize(members.join(shared, "key"), "simhash")
+    # What the others of a key are copies of shares most keys with most nodes, so it leads.
+    degree = members.groupBy("node").agg(F.sum("many").alias("degree"))
+    leads = members.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("lead"))
+    members = materialize(members.drop("many").join(leads, "key"), "simhash")
     tried = materialize(_ordered(members.select(F.col("node").alias("u"), F.col("lead").alias("v"))), "simhash")
     links = _verified(docs.select(key, text), info, tried, words, similarity)
 
