@@ -18,7 +18,9 @@ from quillion.llm.tokens import public_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores at 0.3 or more."""
+    """Documents that the quality classifier scores at 0.3 or more. Null and empty texts are scored
+    as one empty line, very long ones whole; rows that share an id or a text are scored each;
+    other columns are kept as they are; an empty table gives an empty one."""
     bounded_batches(spark)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(quality.quality_score(F.col("text"), model) >= 0.3)
@@ -41,14 +43,18 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words fewer than a twentieth lie in 13-word windows of the benchmark."""
+    """Documents of whose words fewer than a twentieth lie in 13-word windows of the benchmark. A
+    text without words (null too) stays; rows that share an id are judged each; other columns are
+    kept as they are; an empty table gives an empty one."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = decontaminate.span_words(F.col("spans"))
     return found.where((hit == 0) | (20 * hit < F.col("n_words"))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their places in training sequences."""
+    """Pieces of at most 2048 tokens with their places in training sequences. A null or empty text
+    is one piece of the end id; only texts longer than a sequence are cut; rows that share an id
+    are packed each; other columns play no part; an empty table gives an empty one."""
     found = packing.pack_documents(docs, public_path("word_bpe_49k.json"), 0, 2048)
     return found.withColumnRenamed("id", "doc_id")
 
@@ -66,7 +72,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder."""
+    """All stages over ``documents``; each result is written to the shared folder. Nulls, empty and
+    very long texts, repeated rows and other columns are treated as each stage says; an empty
+    table gives an empty one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")

@@ -204,7 +204,8 @@ def fit_quality(
 
 def quality_score(text, model: tuple):
     """Column of scores from 0 to 1 for a text column, over all lines of each text, however long.
-    Null counts as empty, which is one empty line; equal texts score alike."""
+    Null counts as empty, which is one empty line; equal texts score alike. Only the column given
+    is read, so other columns of any name play no part; an empty table has no scores."""
     weights, turn = model
 
     def score(column: pa.Array) -> pa.Array:

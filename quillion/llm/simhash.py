@@ -71,7 +71,8 @@ def band_keys(distinct: np.ndarray) -> np.ndarray:
 
 
 def simhash(text, words: int = 3):
-    """Column of fingerprints as (signed) longs; null text has no words."""
+    """Column of fingerprints as (signed) longs; null text has no words. A very long text is taken
+    whole, its shingles hashed some at a time; only the column given is read."""
 
     def hashed(column: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(x, words) for x in texts_of(column)], np.uint64).view(np.int64))

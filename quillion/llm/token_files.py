@@ -76,7 +76,9 @@ def write_token_files(
     """Encode every text and write segments in ascending id order; returns the written table
     (:data:`SEGMENTS`). Rows are range-partitioned by id, so ``part`` and ``seq`` order the
     segments. Null text counts as empty, null ids come first, rows that share an id follow
-    each other by text; an empty table gives an empty one."""
+    each other by text. A very long text is encoded whole and lies in as many segments as it
+    fills. Columns other than the two play no part, whatever their names; an empty table gives
+    an empty one."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq, tail = encoder(vocabulary), TaskContext.get().partitionId(), 0, int(end_id is not None)

@@ -170,7 +170,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, id_co
 def toxicity_score(text, model: tuple, stride: int = 4):
     """Column of scores from 0 to 1; windows start at every ``stride``-th word and the last
     ends with the text, however long it is. A text without words (null too) scores as the bias
-    alone does; equal texts score alike."""
+    alone does; equal texts score alike. Only the column given is read, so other columns of any
+    name play no part; an empty table has no scores."""
     vectors, soft, bias = model
     # A linear softmax of a mean is the mean of what each vector adds to the difference of logits.
     scalar, bias = (vectors @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0])

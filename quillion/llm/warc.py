@@ -94,7 +94,8 @@ def write_warc(
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with the smallest id is
     a response and the others are revisits; shorter ones are responses. A null payload counts
     as empty; a null id never names a response that others revisit; repeated rows of the
-    smallest id are all responses."""
+    smallest id are all responses. A very long payload is written in segments; columns other than
+    the three play no part, whatever their names; an empty table writes no record."""
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = pages.select(
