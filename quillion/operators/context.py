@@ -96,21 +96,22 @@ def quotes(questions: DataFrame, hits: DataFrame, n: int = 5, window: int = 1, s
     keywords alone decide."""
     q = questions.select("question_id", keywords("question").alias("kws"))
     rows = hits.join(q, "question_id").select("question_id", "rank", "doc_name", "page_start", "kws", F.posexplode(sentences("text", "b")).alias("pos", "s"))
-    page = Window.partitionBy("question_id", "rank").orderBy("pos")
-    near = [F.lag("s", k).over(page) for k in range(window, 0, -1)] + [F.col("s")] + [F.lead("s", k).over(page) for k in range(1, window + 1)]
-    around = F.concat_ws(" ", *near)
     low = F.lower(F.substring("s", 1, 400))
     lex = F.size(F.filter("kws", lambda k: F.contains(low, k))) + F.when(low.rlike("(π|pi|e\\^i)"), 1).otherwise(0)
-    rows = rows.withColumns({"quote": F.substring(around, 1, 500), "lex": lex})
+    like = similarity if similarity is not None else F.lit(0.0)
+    # Only places and scores of sentences are ranked; texts are met again by the few that stay.
+    rows = rows.select("question_id", "rank", "doc_name", "page_start", "pos", lex.alias("lex"), like.alias("like"))
     top = F.max("lex").over(Window.partitionBy("question_id"))
-    score = 0.2 * F.when(top > 0, F.col("lex") / top).otherwise(0.0) + (0.8 * similarity if similarity is not None else 0.0)
+    score = 0.2 * F.when(top > 0, F.col("lex") / top).otherwise(0.0) + (0.8 * F.col("like") if similarity is not None else 0.0)
     rows = rows.withColumn("score", F.round(score, 6))
     best = Window.partitionBy("question_id", "doc_name", "page_start").orderBy(F.desc("score"), "rank", "pos")
     rows = rows.withColumn("n", F.row_number().over(best)).where("n = 1")
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "rank", "pos")
-    return rows.withColumn("quote_rank", F.row_number().over(order)).where(F.col("quote_rank") <= n).select(
-        "question_id", "quote_rank", source_tag().alias("source"), "quote", "score"
-    )
+    rows = rows.withColumn("quote_rank", F.row_number().over(order)).where(F.col("quote_rank") <= n)
+    found = rows.join(hits.select("question_id", "rank", "text"), ["question_id", "rank"]).withColumn("__s", sentences("text", "b"))
+    first = F.greatest(F.lit(1), F.col("pos") + 1 - window)
+    around = F.array_join(F.slice("__s", first, F.col("pos") + 2 + window - first), " ")
+    return found.select("question_id", "quote_rank", source_tag().alias("source"), F.substring(around, 1, 500).alias("quote"), "score")
 
 
 def prompt_table(questions: DataFrame, contexts: DataFrame, turns: DataFrame, system: str, n: int = 8) -> DataFrame:
