@@ -16,7 +16,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, once, texts_of
@@ -225,9 +225,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     Equal texts (but for case and white space) are one node from the start. Nodes meet where
     their fingerprints differ in ``bits`` or fewer bits or where they share a key of
     ``band_keys``. Each is first compared with one node of every key it has, its fingerprint
-    among them, that which meets most others over all its keys; then with all others of the key, and by the covering with all of near
-    fingerprints, that are not in its component yet. Null ids are never dropped; an id with several
-    texts goes only if it is first for none of them."""
+    among them, that which meets most others over all its keys. Nodes of keys that this leaves in
+    several components are compared where they share one of their rarest shingles
+    (``_prefix_pairs``), and by the covering nodes of near fingerprints, if they are not in one
+    component yet. Null ids are never dropped; an id with several texts goes only if it is first
+    for none of them."""
     spark = docs.sparkSession
     key = F.col(f"`{id_col}`").cast("long").alias("id")
     text = F.col(f"`{text_col}`").alias("text")
@@ -248,16 +250,15 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     links = _verified(docs.select(key, text), info, tried, words, similarity)
 
     roots = materialize(components(links, "simhash"), "simhash")
-    rooted = info.join(roots, "node", "left").select("node", "n", "fp", F.coalesce("root", "node").alias("root"))
+    rooted = info.join(roots, "node", "left").select("node", "first", "n", "fp", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "simhash")
     prints = materialize(rooted.groupBy("fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "simhash")
     near = materialize(covering_links(prints, bits, near=bits // 2), "simhash")
     members = members.select("key", "node").join(rooted, "node")
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    members = materialize(members.join(mixed, "key", "left_semi").select("key", "node", "n", "root"), "simhash")
-    one, other = members.toDF("key", "u", "n", "root"), members.toDF("key2", "v", "n2", "root2")
+    met = members.join(mixed, "key", "left_semi").select("node", "first", "n", "root").distinct()
+    within = _prefix_pairs(docs.select(key, text), materialize(met, "simhash"), words, similarity)
     fits = (F.col("root") != F.col("root2")) & (F.least("n", "n2") >= similarity * F.greatest("n", "n2"))
-    within = one.join(other, (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & fits).select("u", "v")
     left = near.join(rooted.select(F.col("fp").alias("x"), F.col("node").alias("u"), "n", "root"), "x")
     right = rooted.select(F.col("fp").alias("y2"), F.col("node").alias("v"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     across = left.join(right, (F.col("y") == F.col("y2")) & fits).select("u", "v")
@@ -278,16 +279,51 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _texts_of_nodes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text`` of the ``wanted`` rows ``node, id``; a node has one of its equal texts."""
+    # An id may have several texts, and a text several rows.
+    texts = texts.join(wanted.select("id").distinct(), "id", "left_semi").select(text_node(F.col("text")).alias("node"), "text")
+    return materialize(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "simhash")
+
+
+def _prefix_pairs(texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``u, v`` (u < v): a superset of the pairs of ``nodes`` (``node, first, n, root``) that have
+    different roots and share ``similarity`` or more (Jaccard) of their distinct shingles.
+
+    In one order of all shingles, rarest first, two such texts of n shingles share one of their
+    first ``n - ceil(similarity * n) + 1``, and at the first one shared enough shingles follow in
+    both. A passage that many texts hold comes last in each, so it brings none of them together
+    unless little else is in them. Shingles of one node alone take places, but no rows."""
+
+    def hashed(column: pa.Array) -> pa.Array:
+        found = [x.lower().split() for x in texts_of(column)]
+        sets = [np.unique(_shingle_hashes(x, words).astype(np.uint64)).view(np.int64) if x else np.zeros(0, np.int64) for x in found]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+
+    found = _texts_of_nodes(texts, nodes.select("node", F.col("first").alias("id")))
+    held = found.select("node", F.explode(once(hashed, "array<long>")("text")).alias("h"))
+    many = held.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
+    each = Window.partitionBy("node")
+    placed = held.join(many, "h").select("node", "h", F.count("*").over(each).alias("shared"), F.row_number().over(each.orderBy("many", "h")).alias("k"))
+    placed = placed.join(nodes.select("node", "n", "root"), "node").withColumn("k", F.col("n") - F.col("shared") + F.col("k"))
+    slack = 1 - 1e-12  # products like 0.8 * n may end just above a whole number
+    placed = placed.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * (similarity * slack)) + 1)
+    placed = materialize(placed.select("h", "node", "n", "root", "k"), "simhash")
+    one, other = placed.toDF("h", "u", "n", "root", "k"), placed.toDF("h2", "v", "n2", "root2", "k2")
+    fits = (F.col("root") != F.col("root2")) & (F.least("n", "n2") >= similarity * F.greatest("n", "n2"))
+    follow = 1 + F.least(F.col("n") - F.col("k"), F.col("n2") - F.col("k2"))
+    enough = follow >= (F.col("n") + F.col("n2")) * (similarity / (1 + similarity) * slack)
+    return one.join(other, (F.col("h") == F.col("h2")) & (F.col("u") < F.col("v")) & fits & enough).select("u", "v")
+
+
 def _verified(texts: DataFrame, info: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs ``u, v`` of nodes whose texts share enough shingles."""
     one, other = info.select("node", "first", "n").toDF("u", "first", "n"), info.select("node", "first", "n").toDF("v", "first2", "n2")
     pairs = pairs.join(one, "u").join(other, "v").where(F.least("n", "n2") >= similarity * F.greatest("n", "n2"))
     pairs = materialize(pairs, "simhash")
     wanted = pairs.select(F.col("u").alias("node"), F.col("first").alias("id")).unionByName(pairs.select(F.col("v").alias("node"), F.col("first2").alias("id"))).distinct()
-    wanted = materialize(wanted, "simhash")
-    # An id may have several texts, and a text several rows.
-    texts = texts.join(wanted.select("id").distinct(), "id", "left_semi").select(text_node(F.col("text")).alias("node"), "text")
-    texts = materialize(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "simhash")
+    texts = _texts_of_nodes(texts, materialize(wanted, "simhash"))
 
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         out, last = [], (None, None)
