@@ -446,3 +446,25 @@ def test_marginals_against_enumeration():
 def test_crc_of_ids_is_unsigned(spark, docs):
     rows = packing.token_pieces(docs.where("doc_id = 5"), VOCAB, 0, 64).collect()
     assert {r.ids_crc32 for r in rows} == {crc(library_ids(["Tiny"], 0)[0])}
+
+
+def test_rarest_shingles_find_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    passage = " ".join(f"common{j}" for j in range(80))
+    texts = []
+    for k in range(150):  # one long passage in all; near copies, some at exactly 0.8, among texts that share only it
+        own = [f"w{k}x{j}" for j in range(int(rng.integers(60, 90)))]
+        texts.append(passage + " " + " ".join(own))
+        if k % 3 == 0:
+            for at in rng.choice(len(own), 1 + k % 5, replace=False):
+                own[at] = "changed"
+            texts.append(passage + " " + " ".join(own))
+    texts += [" ".join(f"s{k}" for k in range(n)) for n in (5, 8, 9, 12, 14, 16, 17, 19)] + ["", "two words"]  # 0.8 lies at whole numbers
+    rows = [(i, t, simhash._node(t.encode().lower().split()), len(simhash.shingles(t.encode(), 5))) for i, t in enumerate(texts)]
+    signed = [(i, t, int(np.uint64(x).view(np.int64)), n) for i, t, x, n in rows]
+    table = spark.createDataFrame(signed, "id long, text string, node long, n int")
+    nodes = table.select("node", F.col("id").alias("first"), "n", F.col("node").alias("root"))
+    found = {frozenset(r) for r in simhash._prefix_pairs(table.select("id", "text"), nodes, 5, 0.8).collect()}
+    sets = [(x, simhash.shingles(t.encode(), 5)) for _, t, x, _ in signed]
+    true = {frozenset((x, y)) for k, (x, a) in enumerate(sets) for y, b in sets[:k] if a | b and len(a & b) >= 0.8 * len(a | b)}
+    assert len(true) > 25 and true <= found and len(found) < 3 * len(true)
