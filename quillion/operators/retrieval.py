@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -259,7 +263,8 @@ def shared_words(queries: DataFrame, rows: DataFrame, key: list[str], k: int) ->
 
     A word that all have would bring all pairs to one task of a join. Instead queries go to the
     tasks in blocks of bounded size, one block after the other, as an index of their words; a
-    task counts for each of its rows and keeps its own k best of each query."""
+    task counts for each of its rows and keeps its own k best of each query. What it holds are
+    whole numbers, and of those only what the k-th best so far does not rule out."""
     q = keep(queries.select(*key, F.posexplode_outer("words").alias("__n", "w")).where("w is not null").drop("__n"), "words")
     spark, sc = queries.sparkSession, queries.sparkSession.sparkContext
     n = max(1, -(-q.count() // WORD_BLOCK))
@@ -267,41 +272,65 @@ def shared_words(queries: DataFrame, rows: DataFrame, key: list[str], k: int) ->
     shape = StructType([*(f for f in q.schema.fields if f.name in key), *slim.select("name").schema.fields, StructField("shared", LongType())])
     found = spark.createDataFrame([], shape)
     for block in range(n):
-        part = q.where(F.pmod(F.xxhash64(*key), F.lit(n)) == block).groupBy(*key).agg(F.collect_list("w").alias("words")).collect()
-        index: dict[str, list[int]] = {}
-        for at, r in enumerate(part):
-            for w in r.words:
-                index.setdefault(w, []).append(at)
-        sent = sc.broadcast(([tuple(r[: len(key)]) for r in part], {w: np.array(x, np.int32) for w, x in index.items()}))
-        found = found.unionByName(keep(slim.mapInPandas(_shared(sent, key, k), shape), "shared"))
+        part = q.where(F.pmod(F.xxhash64(*key), F.lit(n)) == block).groupBy(*key).agg(F.collect_list("w").alias("words")).toArrow().combine_chunks()
+        words = pc.list_flatten(part["words"]).combine_chunks().dictionary_encode()
+        code, at = words.indices.to_numpy(), np.repeat(np.arange(len(part), dtype=np.int32), pc.list_value_length(part["words"]).to_numpy())
+        starts = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(words.dictionary)))])
+        names = [part[c].combine_chunks() for c in key]
+        sent = sc.broadcast((names, words.dictionary, starts, at[np.argsort(code, kind="stable")]))
+        found = found.unionByName(keep(slim.mapInArrow(_shared(sent, k, shape.names), shape), "shared"))
         sent.destroy()
     w = Window.partitionBy(*key).orderBy(F.desc("shared"), "name")
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
 
-def _shared(sent, key: list[str], k: int):
-    def best(held: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(held).sort_values(["at", "shared", "name"], ascending=[True, False, True])
-        return rows.groupby("at").head(k)
+HELD = 1_000_000  # counts that a task gathers before it drops all but the best
+
+
+def _shared(sent, k: int, columns: list[str]):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vocabulary, starts, queries = sent.value
+        cut = np.ones(len(names[0]), np.int64)  # what a count of each query must reach
+        held: list[tuple[np.ndarray, ...]] = []  # queries, counts and places of the row's name
+        texts: list = []
+        size, kind = 0, pa.string()
+
+        def best() -> None:
+            nonlocal held, texts, size
+            at, shared, who = (np.concatenate(x) for x in zip(*held))
+            _, rank = np.unique(np.array(texts, object), return_inverse=True)
+            order = np.lexsort((rank[who], -shared, at))
+            at, shared, who = at[order], shared[order], who[order]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            cut[at[place == k - 1]] = shared[place == k - 1]
+            used, new = np.unique(who[place < k], return_inverse=True)
+            texts = [texts[x] for x in used]
+            held, size = [(at[place < k], shared[place < k], new)], int((place < k).sum())
 
-    def count(batches):
-        names, index = sent.value
-        held: list[pd.DataFrame] = []
-        size = 0
         for batch in batches:
-            for name, words in zip(batch["name"], batch["words"]):
-                hits = [index[w] for w in words if w in index]
+            kind = batch.column(0).type
+            code = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            earlier = len(held)
+            for row, own in enumerate(np.split(code, ends[:-1])):
+                hits = [queries[starts[c] : starts[c + 1]] for c in own[own >= 0]]
                 if hits:
-                    at, shared = np.unique(np.concatenate(hits), return_counts=True)
-                    held.append(pd.DataFrame({"at": at, "shared": shared, "name": name}))
-                    size += len(at)
-            if size > 1_000_000:
-                held = [best(held)]
-                size = len(held[0])
+                    shared = np.bincount(np.concatenate(hits), minlength=len(cut))
+                    at = np.flatnonzero(shared >= cut)
+                    if len(at):
+                        held.append((at, shared[at], np.full(len(at), len(texts), np.int32)))
+                        texts.append(batch.column(0)[row].as_py())
+                        size += len(at)
+                if size > HELD + 2 * k * len(cut):
+                    best()
+                    earlier = 1
+            if len(held) > earlier:  # the arrays of a batch as one, since rows may bring few counts each
+                held[earlier:] = [tuple(np.concatenate(x) for x in zip(*held[earlier:]))]
         if held:
-            rows = best(held)
-            out = pd.DataFrame([names[a] for a in rows["at"]], columns=key)
-            yield out.assign(name=rows["name"].to_numpy(), shared=rows["shared"].to_numpy())
+            best()
+            at, shared, who = held[0]
+            yield pa.RecordBatch.from_arrays([*(x.take(pa.array(at)) for x in names), pa.array([texts[x] for x in who], kind), pa.array(shared, pa.int64())], names=columns)
 
     return count
 
