@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,6 +96,9 @@ def safe_token(c: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(col(c), F.lit("")), "[^a-zA-Z0-9._-]+", "_")
 
 
+STRETCH = 64  # texts that are composed at a time
+
+
 @functools.lru_cache(1)
 def _plain_class() -> str:
     """A pattern for a character outside the long runs of code points that NFKC leaves alone,
@@ -114,11 +117,14 @@ def _plain_class() -> str:
 
 def nfkc(c: Column | str) -> Column:
     """Unicode compatibility composition, which Spark has not. Only texts with a character that
-    may change are handed to Python; ASCII is not even searched for one."""
-
-    @F.pandas_udf("string")
-    def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+    may change are handed to Python; ASCII is not even searched for one. A batch is composed in
+    short stretches, so that few of its texts are Python's at a time."""
+
+    @F.arrow_udf("string")
+    def normal(s: pa.Array) -> pa.Array:
+        parts = (s.slice(at, STRETCH).to_pylist() for at in range(0, len(s), STRETCH))
+        done = [pa.array([x if x is None else unicodedata.normalize("NFKC", x) for x in part], pa.string()) for part in parts]
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     c = col(c)
     may_change = (F.octet_length(c) > F.length(c)) & c.rlike(_plain_class())
