@@ -163,9 +163,9 @@ def mining_stats(chunks: DataFrame, spans: DataFrame, ranked: DataFrame) -> Data
 def formula_sheet(formulas: DataFrame, key: str, budget: int = 14000) -> DataFrame:
     """Lines "source formula" of each key by source, page and rank, while they fit the budget."""
     w = Window.partitionBy(key).orderBy("source", "page", "rid", "span_rank")
-    rows = formulas.withColumn("line", collapse(F.concat_ws(" ", "source", "span"))).withColumns(
-        {"place": F.row_number().over(w), "used": F.sum(F.length(F.col("line")) + 1).over(w)}
-    )
+    rows = formulas.withColumn("line", collapse(F.concat_ws(" ", "source", "span"))).withColumn("place", F.row_number().over(w))
+    # A line takes one character at least, so later ones cannot fit; tasks send no more than these.
+    rows = rows.where(F.col("place") <= budget).withColumn("used", F.sum(F.length(F.col("line")) + 1).over(w))
     return rows.where(F.col("used") <= budget).groupBy(key).agg(joined("line", "place", "\n").alias("sheet"), F.count("*").alias("n"))
 
 
