@@ -23,26 +23,23 @@ def lines_of(pages: DataFrame) -> DataFrame:
 def repeat_lines(pages: DataFrame, top_n: int = 3, thresh: float = 0.6) -> DataFrame:
     """``doc_name, side, line`` of lines that are among the first (head) or last (foot) ``top_n``
     non-blank ones on at least ``thresh`` of a document's pages, repeats on a page included."""
-    found = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = pages.select("doc_name", found.alias("l"))
-    head = F.slice("l", 1, top_n)
-    foot = F.slice("l", F.greatest(F.lit(1), F.size("l") - top_n + 1), top_n)
-    sides = F.explode(F.map_from_arrays(F.array(F.lit("head"), F.lit("foot")), F.array(head, foot)))
-    ends = rows.select("doc_name", sides.alias("side", "ends")).select("doc_name", "side", F.explode("ends").alias("line"))
-    counts = ends.groupBy("doc_name", "side", "line").agg(F.count("*").alias("n"))
     n_pages = pages.groupBy("doc_name").agg(F.count("*").alias("n_pages"))
-    return counts.join(n_pages, "doc_name").where(F.col("n") / F.col("n_pages") >= thresh)
+    return count_ends(with_ends(pages, top_n)).join(n_pages, "doc_name").where(F.col("n") / F.col("n_pages") >= thresh)
 
 
-def ends_of(text: str, top_n: int = 3) -> list[tuple[str, str]]:
-    """A page's first and last non-blank lines by side, as :func:`repeat_lines` counts them."""
-    found = [x for x in (line.strip(" ") for line in text.split("\n")) if x]
-    return [("head", x) for x in found[:top_n]] + [("foot", x) for x in found[-top_n:]]
+def with_ends(pages: DataFrame, top_n: int = 3) -> DataFrame:
+    """Add ``ends``: a page's first (head) and last (foot) non-blank lines."""
+    found = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    head = F.slice("__l", 1, top_n)
+    foot = F.slice("__l", F.greatest(F.lit(1), F.size("__l") - top_n + 1), top_n)
+    named = lambda side, lines: F.transform(lines, lambda x: F.struct(F.lit(side).alias("side"), x.alias("line")))
+    return pages.withColumn("__l", found).withColumn("ends", F.concat(named("head", head), named("foot", foot))).drop("__l")
 
 
-def budget_of(n_pages: int, n_chars: int) -> tuple[int, int]:
-    """Target and overlap of a document, as :func:`doc_budget` has them."""
-    return (520, 70) if n_pages <= 2 and n_chars < 6000 else (750, 90)
+def count_ends(pages: DataFrame) -> DataFrame:
+    """``doc_name, side, line, n``: on how many of a document's pages (doc_name, ends) a line is
+    among the first or last, repeats on a page included."""
+    return pages.select("doc_name", F.inline("ends")).groupBy("doc_name", "side", "line").agg(F.count("*").alias("n"))
 
 
 def drop_repeat_lines(lines: DataFrame, repeats: DataFrame) -> DataFrame:
@@ -120,7 +117,11 @@ def dehyphenate(lines: DataFrame, key: list[str], order: str = "pos") -> DataFra
 def doc_budget(pages: DataFrame, normalized: bool = False) -> DataFrame:
     """Tokens a chunk aims at and repeats: fewer for documents of one or two short pages."""
     size = F.sum(F.length(F.col("text") if normalized else T.normalize_text(F.coalesce("text", F.lit("")))))
-    d = pages.groupBy("doc_name").agg(F.count("*").alias("n_pages"), F.coalesce(size, F.lit(0)).alias("n_chars"))
+    return with_budget(pages.groupBy("doc_name").agg(F.count("*").alias("n_pages"), F.coalesce(size, F.lit(0)).alias("n_chars")))
+
+
+def with_budget(d: DataFrame) -> DataFrame:
+    """Add ``target`` and ``overlap`` to documents' ``n_pages`` and ``n_chars``."""
     small = (F.col("n_pages") <= 2) & (F.col("n_chars") < 6000)
     return d.withColumns({"target": F.when(small, 520).otherwise(750), "overlap": F.when(small, 70).otherwise(90)})
 
@@ -272,18 +273,26 @@ def chunk_pages(pages: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     repeats = repeat_lines(clean).groupBy("doc_name").agg(F.collect_set("line").alias("dropped"))
     rows = clean.join(doc_budget(clean, normalized=True), "doc_name").join(repeats, "doc_name", "left")
     rows = rows.withColumn("math_page", F.lit(False)) if blocks is None else rows.join(math_pages(blocks).withColumn("math_page", F.lit(True)), ["doc_name", "page"], "left")
-    rows = rows.select("doc_name", "page", "text", "target", "overlap", "dropped", F.coalesce("math_page", F.lit(False)).alias("math_page"))
+    return chunk_rows(rows.withColumn("math_page", F.coalesce("math_page", F.lit(False))))
+
+
+def chunk_rows(rows: DataFrame, blank: bool = False) -> DataFrame:
+    """Chunks of rows ``doc_name, page, text, target, overlap, dropped, math_page``. With ``blank`` a
+    page without chunks is a row whose ``n`` is 0 and whose text is null."""
+    rows = rows.select("doc_name", "page", "text", "target", "overlap", "dropped", "math_page")
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, numbers, *rest = (c.to_pylist() for c in batch.columns)
             found = [chunk_page(text, target, overlap, set(dropped or ()), math) for text, target, overlap, dropped, math in zip(*rest)]
+            begin = [1 if x else 0 for x in found]
+            found = [x or ([{}] if blank else []) for x in found]
             row = np.repeat(np.arange(len(found)), [len(x) for x in found])
             columns = {"doc_name": batch.column(0).take(pa.array(row)), "page_start": batch.column(1).take(pa.array(row))}
             columns["page_end"] = columns["page_start"]
-            columns["n"] = pa.array([n for x in found for n in range(1, len(x) + 1)], pa.int32())
+            columns["n"] = pa.array([n for k, x in zip(begin, found) for n in range(k, len(x) + k)], pa.int32())
             for f in shape.names[4:]:
-                columns[f] = pa.array([c[f] for x in found for c in x])
+                columns[f] = pa.array([c.get(f) for x in found for c in x])
             yield pa.RecordBatch.from_arrays([columns[f].cast(kind) for f, kind in zip(shape.names, shape.types)], schema=shape)
 
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,10 +12,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillion.functions.text import normalize_text
-from quillion.operators.chunking import CHUNKS, budget_of, chunk_page, ends_of, math_pages
+from quillion.operators.chunking import chunk_rows, count_ends, math_pages, with_budget, with_ends
 from quillion.operators.labels import label_formulas
 from quillion.sources import commits
-from quillion.sources.store import with_row_ids
+from quillion.sources.store import keep, with_row_ids
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -30,86 +30,85 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-class DocumentChunks(StatefulProcessor):
-    """Chunks of documents whose pages come in any order. The state of a document has its pages,
-    their number and characters, and how often each line is among the first or last of a page.
-    A batch sends out the chunks of its pages; if it changes the document's budget or repeated
-    lines, or brings a page again, those of all pages that it changes."""
+#: Pages as an ingest keeps them, one row for a page in each batch that brings it.
+PAGES = "doc_name string, page int, text string, math_page boolean, chars int, ends array<struct<side:string,line:string>>, batch long"
+#: How a document's pages are chunked, one row for each batch that brings pages of it.
+RULES = "doc_name string, target int, overlap int, dropped array<string>, batch long"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.size = handle.getValueState("size", "pages int, chars long, target int, overlap int, dropped array<string>")
-        self.pages = handle.getMapState("pages", "page int", "text string, math_page boolean")
-        self.ends = handle.getMapState("ends", "side string, line string", "n int")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        name = key[0]
-        pages, chars, *was = self.size.get() if self.size.exists() else (0, 0, None, None, None)
-        ends = {tuple(k): v[0] for k, v in self.ends.iterator()}
-        before, new = dict(ends), {}
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                new[int(r.page)] = (r.text or "", bool(r.math_page))
-        for page, (text, math) in new.items():
-            if self.pages.containsKey((page,)):
-                old = self.pages.getValue((page,))[0]
-                pages, chars = pages - 1, chars - len(old)
-                for end, n in Counter(ends_of(old)).items():
-                    ends[end] -= n
-            pages, chars = pages + 1, chars + len(text)
-            for end, n in Counter(ends_of(text)).items():
-                ends[end] = ends.get(end, 0) + n
-            self.pages.updateValue((page,), (text, math))
-        for end, n in ends.items():
-            if n <= 0:
-                self.ends.removeKey(end)
-            elif n != before.get(end):
-                self.ends.updateValue(end, (n,))
-        dropped = sorted({line for (_, line), n in ends.items() if n > 0 and n / pages >= 0.6})
-        target, overlap = budget_of(pages, chars)
-        now = [target, overlap, dropped]
-        self.size.update((pages, chars, *now))
-        if was[0] is not None and [was[0], was[1], list(was[2])] != now:
-            new = {k[0]: (v[0], v[1]) for k, v in self.pages.iterator()}
-        out = []
-        for page, (text, math) in sorted(new.items()):
-            found = chunk_page(text, target, overlap, set(dropped), math)
-            # A page without chunks says so, since it may have had some.
-            out += [{"doc_name": name, "page_start": page, "page_end": page, "n": n, **c} for n, c in enumerate(found, 1)] or [{"doc_name": name, "page_start": page, "page_end": page, "n": 0}]
-        yield _typed(pd.DataFrame(out, columns=[x.split()[0] for x in CHUNKS.split(", ")]))
+def _kept(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """The rows of batches up to this one; those of a later try are not there yet."""
+    return spark.read.schema(schema).option("basePath", path).parquet(path).where(F.col("batch") <= batch_id)
 
-    def close(self) -> None:
-        pass
+
+def _newest(pages: DataFrame, *columns: str) -> DataFrame:
+    """Each page once, as the last batch that brought it has it."""
+    found = pages.groupBy("doc_name", "page").agg(F.max_by(F.struct("batch", *columns), "batch").alias("p"))
+    return found.select("doc_name", "page", "p.*")
+
+
+def _meet(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of both sides in which nulls are equal."""
+    for n in names:
+        b = b.withColumnRenamed(n, f"__{n}")
+    met = a.join(b, reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names]), how)
+    return met.drop(*[f"__{n}" for n in names])
 
 
-def _typed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pandas columns that keep nulls of whole numbers and flags."""
-    kinds = {"int": "Int32", "boolean": "boolean", "string": "object"}
-    return rows.astype({name: kinds[kind] for name, kind in (x.split() for x in CHUNKS.split(", "))})
+def _rules(pages: DataFrame, batch_id: int) -> DataFrame:
+    """Budget and repeated lines of the documents that a batch brings pages of, over all of their
+    pages. Lines are counted by line and sizes by document, both first where they are read."""
+    here = _meet(pages, pages.where(F.col("batch") == batch_id).select("doc_name").distinct(), ["doc_name"], "left_semi")
+    sizes = with_budget(_newest(here, "chars").groupBy("doc_name").agg(F.count("*").alias("n_pages"), F.sum("chars").alias("n_chars")))
+    often = _meet(count_ends(_newest(here, "ends")), sizes.select("doc_name", "n_pages"), ["doc_name"]).where(F.col("n") / F.col("n_pages") >= 0.6)
+    dropped = often.groupBy("doc_name").agg(F.sort_array(F.collect_set("line")).alias("dropped"))  # ten lines at most
+    none = F.array().cast("array<string>")
+    return _meet(sizes, dropped, ["doc_name"], "left").select("doc_name", "target", "overlap", F.coalesce("dropped", none).alias("dropped"))
 
 
-def stream_chunks(pages: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-    """:data:`~quillion.operators.chunking.CHUNKS` of a stream of pages (doc_name, page, text), as
-    its batches bring or change them; ``n`` is 0 and the text null for a page that has none.
-    ``blocks`` is a table, as for ``chunk_pages``."""
-    rows = pages.select("doc_name", F.col("page").cast("int").alias("page"), normalize_text(F.coalesce("text", F.lit(""))).alias("text"))
+def changed_chunks(spark: SparkSession, batch: DataFrame, batch_id: int, state: str, blocks: DataFrame | None = None) -> DataFrame:
+    """:data:`~quillion.operators.chunking.CHUNKS` of the pages (doc_name, page, text) that a batch
+    brings and, where it changes a document's budget or repeated lines, of all pages of that
+    document; ``n`` is 0 and the text null for a page that has none. Pages and rules are kept
+    below ``state`` by batch, so one that is replayed writes the same folders. A page is a row,
+    and documents of any number of pages are many tasks' work."""
+    rows = batch.select("doc_name", F.col("page").cast("int").alias("page"), normalize_text(F.coalesce("text", F.lit(""))).alias("text"))
+    # A page that comes twice in a batch is as the last row of it.
+    arrival = Window.partitionBy("doc_name", "page").orderBy(F.desc("__at"))
+    rows = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__at", F.row_number().over(arrival)).where("__at = 1").drop("__at")
     if blocks is None:
         rows = rows.withColumn("math_page", F.lit(False))
     else:
         rows = rows.join(math_pages(blocks).withColumn("math_page", F.lit(True)), ["doc_name", "page"], "left").withColumn("math_page", F.coalesce("math_page", F.lit(False)))
-    return rows.groupBy("doc_name").transformWithStateInPandas(statefulProcessor=DocumentChunks(), outputStructType=CHUNKS, outputMode="Update", timeMode="None")
+    with_ends(rows.withColumn("chars", F.length("text"))).write.mode("overwrite").parquet(f"{state}/pages/batch={batch_id}")
+    pages = _kept(spark, f"{state}/pages", PAGES, batch_id)
+    _rules(pages, batch_id).write.mode("overwrite").parquet(f"{state}/rules/batch={batch_id}")
+    rules = _kept(spark, f"{state}/rules", RULES, batch_id)
+    now, as_was = rules.where(F.col("batch") == batch_id).drop("batch"), F.struct("target", "overlap", "dropped")
+    was = rules.where(F.col("batch") < batch_id).groupBy("doc_name").agg(F.max_by(as_was, "batch").alias("was"))
+    changed = _meet(now, was, ["doc_name"]).where(as_was != F.col("was")).select("doc_name")
+    due = pages.where(F.col("batch") == batch_id)
+    if not changed.isEmpty():
+        # Which rows are due is found without their texts; pages meet them by number.
+        old = _newest(_meet(pages.select("doc_name", "page", "batch"), changed, ["doc_name"], "left_semi")).where(F.col("batch") < batch_id)
+        due = due.unionByName(_meet(pages, old, ["doc_name", "page", "batch"], "left_semi"))
+    due = _meet(due.drop("batch"), now, ["doc_name"])
+    return chunk_rows(due, blank=True)
 
 
 def stream_ingest(pages: DataFrame, store: str, checkpoint: str, scorer=None, blocks: DataFrame | None = None, ns: str = "default") -> DataStreamWriter:
-    """Chunk, label and append pages as they arrive; :func:`ingested` reads what stands. Each batch
-    is one append to the store, named by its number, so one that is replayed is there once,
-    and its ids start after those of the appends before. The session of ``pages`` must be a
-    :func:`stateful_session`."""
+    """Chunk, label and append pages as they arrive, in any order or again; :func:`ingested` reads
+    what stands. Each batch is one append to the store, named by its number, so one that is
+    replayed is there once, and its ids start after those of the appends before. ``blocks`` is
+    a table, as for ``chunk_pages``. What batches leave for later ones lies in ``checkpoint``."""
+    spark = pages.sparkSession
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        labelled = label_formulas(batch, scorer, stamp=F.lit("1970-01-01T00:00:00Z"))
+        found = changed_chunks(spark, batch, batch_id, f"{checkpoint.rstrip('/')}/ingest", blocks)
+        labelled = label_formulas(keep(found, "chunks"), scorer, stamp=F.lit("1970-01-01T00:00:00Z"))
         commits.append(with_row_ids(labelled, ["doc_name", "page_start", "n"], name="place"), store, ns, name=f"b{batch_id}")
 
-    return stream_chunks(pages, blocks).writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return pages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def ingested(spark: SparkSession, store: str, ns: str = "default") -> DataFrame:

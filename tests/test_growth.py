@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillion.operators import context as X
 from quillion.operators import retrieval as R
 from quillion.operators import training as TR
+from quillion.streaming import jobs
 
 
 def shuffled(spark, run) -> tuple[object, float]:
@@ -27,6 +28,35 @@ def shuffled(spark, run) -> tuple[object, float]:
     return out, total() - before
 
 
+def largest(spark, run) -> float:
+    """The most megabytes that one task reads from a shuffle while ``run`` runs."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    every = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    listed = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    before = max((s.stageId() for s in listed(every())), default=-1)
+    run()
+    time.sleep(0.5)
+    stages = [s for s in listed(every()) if s.stageId() > before and s.shuffleReadBytes()]
+    tasks = [t for s in stages for t in listed(store.taskList(s.stageId(), s.attemptId(), 1000))]
+    reads = [t.taskMetrics().get().shuffleReadMetrics() for t in tasks if t.taskMetrics().isDefined()]
+    return max(r.localBytesRead() + r.remoteBytesRead() for r in reads) / 2**20
+
+
+def test_pages_of_one_document_are_many_tasks_work(spark, tmp_path):
+    rng = random.Random(5)
+    body = lambda: "\n".join("".join(rng.choice("abcdefghij .") for _ in range(400)) for _ in range(50))
+    rows = [("one", k, f"HEAD OF ALL\n{body()}\nfoot") for k in range(1, 61)]
+    own = jobs.stateful_session(spark)
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.createDataFrame(rows, "doc_name string, page int, text string").repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = own.readStream.schema("doc_name string, page int, text string").parquet(f"{tmp_path}/in")
+    most = largest(spark, lambda: jobs.stream_ingest(stream, f"{tmp_path}/store", f"{tmp_path}/cp").start().awaitTermination())
+    assert most < sum(f.stat().st_size for f in (tmp_path / "in").glob("*.parquet")) / 2**20 / 2
+    found = jobs.ingested(own, f"{tmp_path}/store")
+    assert found.select("page_start").distinct().count() == 60 and not found.where("text like '%HEAD OF ALL%'").count()
+
+
 def test_negatives_are_drawn_without_their_texts(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcdefghij ") for _ in range(20_000)) for _ in range(60)] + ["same"] * 4
