@@ -65,6 +65,20 @@ def slices(batches, rows: int):
     release()
 
 
+def gathered(batches, size: int) -> Iterator[pa.RecordBatch]:
+    """Record batches put together, in order, until one holds ``size`` bytes or more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+    release()
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """UTF-8 bytes of each value; null counts as empty."""
     for at in range(0, len(column), 500):

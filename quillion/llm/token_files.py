@@ -23,13 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, slices
+from .common import gathered, materialize, release
 from .range_coder import CorruptBlock, decode_blocks, encode_blocks
 from .tokens import drop_encoders, encoder
 
 HEAD = struct.Struct("<4sHIIIQ")
 BLOCK = 2048
-SEGMENT = 3_000_000  # ids after which a segment ends with the document it is in
+SEGMENT = 8_000_000  # ids after which a segment ends with the document it is in; as many are coded side by side
+TEXT = 8_000_000  # bytes of text, and what one batch adds, encoded at a time
 
 
 def pack_segment(doc_ids: list, counts: np.ndarray, ids: np.ndarray, vocab: int, block: int = BLOCK) -> bytes:
@@ -55,7 +56,7 @@ def unpack_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     sizes = np.frombuffer(data, "<u4", -(-total // block), end + 4)
     cuts = end + 4 + sizes.nbytes + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     blocks = decode_blocks([data[a:b] for a, b in zip(cuts, cuts[1:])], vocab)
-    ids = np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
+    ids = np.concatenate(blocks) if blocks else np.zeros(0, np.uint32)
     if len(ids) != total or counts.sum(dtype=np.int64) != total:
         raise CorruptBlock("length of a segment")
     return [int(x) if k else None for x, k in zip(names, known)], counts, ids
@@ -78,7 +79,8 @@ def write_token_files(
     segments. Null text counts as empty, null ids come first, rows that share an id follow
     each other by text. A very long text is encoded whole and lies in as many segments as it
     fills. Columns other than the two play no part, whatever their names; an empty table gives
-    an empty one."""
+    an empty one. Workers keep the words they have met until they read segments: tasks share
+    most words, and asking the library for them is half of a first task's encoding."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq, tail = encoder(vocabulary), TaskContext.get().partitionId(), 0, int(end_id is not None)
@@ -86,6 +88,7 @@ def write_token_files(
 
         def done() -> pa.RecordBatch:
             ids = np.concatenate(held)
+            held.clear()
             data = pack_segment(names, np.concatenate(sizes), ids, vocab_size)
             row = [[part], [seq], [before], [len(names)], [len(ids)], [data]]
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -93,11 +96,14 @@ def write_token_files(
                 [pa.array(v, t) for v, t in zip(row, kinds)], names=["part", "seq", "before", "n_docs", "n_tokens", "data"]
             )
 
-        for batch in slices(batches, 500):
+        for batch in gathered(batches, TEXT):
             ids, ends = enc.encode(batch.column(1))
             n = np.diff(ends) + tail
             whole = np.full(n.sum(), end_id or 0, np.uint32)
-            whole[np.arange(len(ids)) + tail * np.repeat(np.arange(len(n)), n - tail)] = ids
+            mask = np.ones(len(whole), bool)
+            mask[np.cumsum(n)[: len(n) * tail] - 1] = False
+            whole[mask] = ids
+            del ids, mask
             texts, cut = batch.column(0).to_pylist(), np.concatenate([[0], np.cumsum(n)])
             at = 0
             while at < len(n):  # a segment ends with the document that fills it
@@ -112,7 +118,6 @@ def write_token_files(
                     names, sizes, held, size, seq, before = [], [], [], 0, seq + 1, before + size
         if names:
             yield done()
-        drop_encoders()
         release()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -135,11 +140,12 @@ def _read(segments: DataFrame, digest: bool) -> DataFrame:
     last = "ids_crc32" if digest else "ids"
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for batch in batches:
             for first, data in zip(batch.column("first").to_pylist(), batch.column("data")):
                 names, counts, ids = unpack_segment(data.as_py())
                 cuts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids.astype("<u4", copy=False).view(np.uint8))
                 parts = [raw[4 * a : 4 * b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -9,6 +9,8 @@ of those it has met, and the library is asked for the rest only.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,7 +23,13 @@ KIND[65:91] = KIND[97:123] = 1
 KIND[list(b".,")] = 2
 KIND[list(b" \t\n\r\x0b\x0c")] = 3
 LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
-SLICE = 2_500_000  # bytes of text encoded at a time
+STOPPED = LATIN.replace("$", "[.,]$")
+SLICE = 17_000_000  # bytes of text encoded at a time
+GATHER = 400_000  # pieces whose ids are put together at a time
+
+#: What stands for each byte of a word in byte-level vocabularies: itself where it can be seen, else a letter.
+BYTE_LEVEL = np.arange(256, dtype="<u4")
+BYTE_LEVEL[[*range(127, 161), 173]] = 256 + 33 + np.arange(35)
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -36,19 +44,11 @@ class WordEncoder:
     """Ids of whole texts. At most about ``cache_words`` pieces are remembered, as Arrow strings;
     beyond that the half that was asked for least is forgotten."""
 
-    def __init__(self, path: str, cache_words: int = 300_000):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    def __init__(self, path: str, cache_words: int = 600_000):
+        from tokenizers import Tokenizer
 
         self.limit = cache_words
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer(self.tokenizer.model)
-        # Nothing of lower-case Latin words is normalised or cut, so they can go without.
-        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
-        pieces = self.tokenizer.get_vocab()
-        self.closing = np.zeros(max(pieces.values()) + 1, bool)
-        self.closing[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
         self.by_pieces = self._drops_spaces()
         self.forget()
 
@@ -58,32 +58,52 @@ class WordEncoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _drops_spaces(self) -> bool:
-        """Whether this vocabulary drops white space, as encoding by pieces needs, and marks the
-        ends of words."""
+        """Whether this vocabulary drops white space, as encoding by pieces needs, and takes a
+        word of lower-case Latin letters for one pre-token, by its bytes."""
         parts = ["A", " b", "\tc", " 'd", "\n e", ",", "f", " g", "..", "\r\n"]
         if self._library(["".join(parts)])[0] != sum(self._library(parts), []):
             return False
-        text = "one twofold thréeføldly"
-        ids = self._library([text])[0]
-        return int(self.closing[ids].sum()) == 3 and ids == self.plain.encode(text, add_special_tokens=False).ids
+        words = ["one", "twofold", "thréeføldlyàÿ"]
+        ids = self._library([" ".join(words), ".", words[2] + "."])
+        return ids[0] == self._pretokens(pa.array(words))[0] and ids[2] == self._pretokens(pa.array(words[2:]))[0] + ids[1]
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: pa.Array) -> None:
-        """Ask the library for new pieces. Lower-case Latin words go as one text: each is one
-        pre-token, and its last id is the only one whose piece ends a word."""
-        easy = pc.match_substring_regex(words, LATIN)
-        plain, rest = words.filter(easy), words.filter(pc.invert(easy))
-        for at in range(0, len(plain), 20_000):
-            some = plain.slice(at, 20_000)
-            found = self.plain.encode_batch_fast([" ".join(some.to_pylist())], add_special_tokens=False)
-            ids = np.array(found[0].ids, np.uint32)
-            self._remember(some, ids, np.diff(np.flatnonzero(self.closing[ids]) + 1, prepend=0))
+    def _pretokens(self, words: pa.Array, stops: list[list[int]] | None = None) -> tuple[list[int], list[int]]:
+        """Ids end to end, and how many each word has, of the library's model on single
+        pre-tokens: nothing of lower-case Latin words is normalised or cut, so they can go
+        without the steps before it. ``stops``: ids to add to each word."""
+        if not len(words):
+            return [], []
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ").cast(pa.binary())[0].as_py()
+        text = BYTE_LEVEL[np.frombuffer(text, np.uint8)].tobytes().decode("utf-32-le")
+        ids, sizes, tokenize = [], [], self.tokenizer.model.tokenize
+        for k, word in enumerate(text.split(" ")):
+            found = [t.id for t in tokenize(word)]
+            if stops:
+                found += stops[k]
+            ids += found
+            sizes.append(len(found))
+        return ids, sizes
+
+    def _learn(self, words: pa.Array) -> pa.Array:
+        """Ask the library for new pieces; returns them in the order of their numbers."""
+        easy, stopped = pc.match_substring_regex(words, LATIN), pc.match_substring_regex(words, STOPPED)
+        plain, ended, rest = words.filter(easy), words.filter(stopped), words.filter(pc.invert(pc.or_(easy, stopped)))
+        ids, sizes = self._pretokens(plain)
+        stops = {x: self._library([x])[0] for x in ".,"}
+        last = [stops[x] for x in pc.utf8_slice_codeunits(ended, -1).to_pylist()]
+        more, n = self._pretokens(pc.utf8_lower(pc.utf8_slice_codeunits(ended, 0, -1)), last)
+        ids += more
+        sizes += n
         for at in range(0, len(rest), 20_000):
-            some = rest.slice(at, 20_000)
-            found = self._library([x.decode(errors="replace") for x in some.cast(pa.binary()).to_pylist()])
-            self._remember(some, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+            found = self._library([x.decode(errors="replace") for x in rest.slice(at, 20_000).cast(pa.binary()).to_pylist()])
+            ids += chain.from_iterable(found)
+            sizes += map(len, found)
+        words = pa.concat_arrays([plain, ended, rest])
+        self._remember(words, np.array(ids, np.uint32), np.array(sizes, np.int64))
+        return words
 
     def _remember(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         if len(words) != len(sizes):
@@ -138,16 +158,25 @@ class WordEncoder:
             new = words.filter(pc.is_null(number)).unique()
             if len(self.words) + len(new) > self.limit:
                 self._make_room()
-                new = words.filter(pc.is_null(pc.index_in(words, value_set=self.words))).unique()
-            self._learn(new)
-            number = pc.index_in(words, value_set=self.words)
-        which = number.to_numpy()[coded.indices.to_numpy()]
+                number = pc.index_in(words, value_set=self.words)
+                new = words.filter(pc.is_null(number)).unique()
+            fresh, base = pc.is_null(number), len(self.words)
+            number = number.fill_null(0).to_numpy().copy()
+            number[fresh.to_numpy(zero_copy_only=False)] = base + pc.index_in(words.filter(fresh), value_set=self._learn(new)).to_numpy()
+        else:
+            number = number.to_numpy()
+        which, total, ids = number[coded.indices.to_numpy()], [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
         self.asked += np.bincount(which, minlength=len(self.asked))
-        size = self.size[which]
-        total = np.cumsum(size)
-        where = np.repeat(self.start[which] - (total - size), size) + np.arange(total[-1] if len(total) else 0)
-        cut = np.append(0, total)[np.searchsorted(cuts, ends)]
-        return self.ids[where], np.diff(cut)
+        for at in range(0, len(which), GATHER):
+            some = which[at : at + GATHER]
+            size = self.size[some]
+            upto = np.cumsum(size)
+            where = np.repeat(self.start[some] - (upto - size), size)
+            where += np.arange(len(where))
+            ids.append(self.ids[where])
+            total.append(upto + total[-1][-1])
+        cut = np.concatenate(total)[np.searchsorted(cuts, ends)]
+        return np.concatenate(ids), np.diff(cut)
 
 
 def encoder(path: str) -> WordEncoder:

@@ -4,6 +4,7 @@ import base64
 import bisect
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -68,6 +69,18 @@ def test_range_coder_predicts_ids():
     assert 8 * len(encode_blocks([again], 49408)[0]) / len(again) < 1.5 < np.log2(len(set(rng_ids.tolist()))) / 2
 
 
+def test_range_coder_memory():
+    """Blocks coded side by side take few bytes an id, so that a whole task's can be."""
+    rng = np.random.default_rng(2)
+    blocks, peaks = [rng.zipf(1.3, 2048) % 3000 for _ in range(200)], []
+    for step, given in ((encode_blocks, blocks), (decode_blocks, encode_blocks(blocks, 49408))):
+        tracemalloc.start()
+        step(given, 49408)
+        peaks.append(tracemalloc.get_traced_memory()[1] / (200 * 2048))
+        tracemalloc.stop()
+    assert max(peaks) < 28
+
+
 def library_ids(texts, end=None):
     """Ids of whole texts, asked of the tokenizers library itself."""
     library = Tokenizer.from_file(VOCAB)
@@ -94,6 +107,17 @@ def test_tokens_are_the_librarys(cache):
     assert enc.by_pieces and len(enc.words) <= max(cache, 9000)
 
 
+def test_latin_words_go_to_the_model_alone(monkeypatch):
+    """Only words that may be normalised or cut go through all of the library's steps."""
+    enc, asked = WordEncoder(VOCAB), []
+    library = enc._library
+    monkeypatch.setattr(enc, "_library", lambda texts: asked.extend(texts) or library(texts))
+    texts = ["çouré, leèê. Éa ÿàß, plain Words", "øre\u0301 naïve, çouré,", "ÀÉ.. x,y é.é ß. çouré."]
+    ids, ends = enc.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == library_ids(texts)
+    assert set(asked) - set(".,") == {"øre\u0301", "ÀÉ..", "é.é"}
+
+
 def test_tokens_of_other_vocabularies():
     path = public_path("byte_bpe_50k.json")  # keeps white space, so texts go whole
     ids, ends = WordEncoder(path).encode(pa.array(TEXTS, pa.string()))
