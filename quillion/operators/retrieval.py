@@ -175,9 +175,13 @@ def mmr_order(hits: DataFrame, top_n: int = 200, cap: int = 60, alpha: float = 0
     return head.unionByName(tail)
 
 
-def pair_features(df: DataFrame) -> DataFrame:
-    """Add overlap and likeness of question and text, for pair models."""
-    q, t = word_tokens("question"), word_tokens(F.substring(collapse("text"), 1, 800))
+HEAD = 800  # characters of a text that the plain pair score of ``rerank`` sees
+
+
+def pair_features(df: DataFrame, head: int | None = None) -> DataFrame:
+    """Add overlap and likeness of question and text, for pair models: of the whole text, or of
+    its first ``head`` characters."""
+    q, t = word_tokens("question"), word_tokens("text" if head is None else F.substring(collapse("text"), 1, head))
     return df.withColumns(
         {
             "f_jaccard": set_overlap(q, t),
@@ -189,9 +193,9 @@ def pair_features(df: DataFrame) -> DataFrame:
 
 def rerank(hits: DataFrame, model=None, top_n: int = 200) -> DataFrame:
     """Add ``new_rank``: the first ``top_n`` hits (``pos`` from 1) by a pair model's score, the
-    rest in order after them. ``model`` adds ``pair_score``; by default it is 0.7 cover + 0.3
-    Jaccard."""
-    scored = pair_features(hits)
+    rest in order after them. ``model`` adds ``pair_score`` from features of whole texts; by
+    default it is 0.7 cover + 0.3 Jaccard of the question and the text's first ``HEAD`` characters."""
+    scored = pair_features(hits, None if model else HEAD)
     scored = model(scored) if model else scored.withColumn("pair_score", F.round(0.7 * F.col("f_cover") + 0.3 * F.col("f_jaccard"), 6))
     tail = F.col("pos") > top_n
     w = Window.partitionBy("question_id").orderBy(tail, F.when(tail, 0.0).otherwise(-F.col("pair_score")), "pos")

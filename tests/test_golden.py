@@ -189,6 +189,24 @@ def test_ranker_scores_are_the_models(spark):
     assert min(m for m, r in zip(mine, rows) if r[2]) > max(m for m, r in zip(mine, rows) if not r[2])
 
 
+def test_pair_features_are_of_whole_texts(spark):
+    from quillion.operators import training as R2
+
+    long = "filler " * 400
+    rows = [(1, 1, "cat dog", long + "Cat  dog", "d"), (1, 2, "cat dog", "cat", "d"), (1, 3, "cat dog", None, "d")]
+    df = spark.createDataFrame(rows, "question_id int, pos int, question string, text string, doc_name string")
+    got = [(round(r.f_jaccard, 6), r.f_cover, round(r.f_length, 6)) for r in R.pair_features(df).sort("pos").collect()]
+    assert got == [(round(2 / 3, 6), 1.0, round(float(np.log(403)), 6)), (0.5, 0.5, round(float(np.log(2)), 6)), (0.0, 0.0, 0.0)]
+    # A model reranks by whole texts, the plain score by what its SQL takes.
+    by_cover = R.rerank(df, lambda x: x.withColumn("pair_score", F.col("f_cover")))
+    assert [r.pos for r in by_cover.sort("new_rank").collect()] == [1, 2, 3]
+    assert [r.pos for r in R.rerank(df).sort("new_rank").collect()] == [2, 1, 3]
+    far = [(long + "cat dog", 1.0), (long + "fish", 0.0)] * 5
+    pairs = spark.createDataFrame([("cat dog", t, s) for t, s in far], "question string, chunk_text string, score double")
+    score = R2.rank_scorer(R2.train_ranker(pairs))(R.pair_features(pairs.withColumn("text", F.col("chunk_text"))))
+    assert score.where("score = 1").agg(F.min("pair_score")).first()[0] > score.where("score = 0").agg(F.max("pair_score")).first()[0]
+
+
 def test_models_learn_their_fixtures(spark):
     from quillion import plans
 
