@@ -140,10 +140,11 @@ def _(spark, d):
   u AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM t) SELECT doc_id, md5(string_agg(CASE WHEN word IS NULL THEN x ELSE x || '_' || length(x) END, '' ORDER BY i)) AS digest FROM u LEFT JOIN w ON x = word GROUP BY 1""")
 def _(spark, d):
     # Every longer word of the conversations is an alias; whole words only, so none meets another's result.
-    words = view(spark, d, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1)).alias("w")).distinct()
-    aliases = [(r["w"], f"{r['w']}_{len(r['w'])}") for r in words.collect()]
+    said = F.lower(F.translate("text", "\u0130", "i"))  # which Spark would lower to two characters
+    words = view(spark, d, "conversations").select(F.explode(F.regexp_extract_all(said, F.lit("([a-z]{5,})"), 1)).alias("src")).distinct()
+    aliases = words.withColumn("dst", F.concat("src", F.lit("_"), F.length("src")))
     rows = view(spark, d, "v_pages").select("doc_id", F.lower(F.regexp_replace("text", "[^\\x00-\\x7F]", "")).alias("text"))
-    return X.apply_aliases(rows, aliases).select("doc_id", F.md5("text").alias("digest"))
+    return X.apply_alias_table(rows, "doc_id", aliases).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("cx13_learn_aliases", "v_turns", "SELECT 'x' || conv_id AS src, 'later' || max(turn) AS dst FROM v_turns GROUP BY conv_id UNION ALL SELECT 'old' || conv_id, 'new thing' FROM v_turns GROUP BY conv_id")
