@@ -37,6 +37,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that sorts and merges both sides. Spark sizes what comes of an explode,
+    a Python step or an aggregate by its input, and a Parquet table by its compressed files, so where
+    rows grow with the input it may else broadcast, through the driver, a table that is many times larger."""
+    return df.hint("merge")
+
+
 BATCH_ROWS = 1000
 
 
@@ -129,10 +136,10 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         before = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(shuffled(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.distinct(), tag)
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        pulled = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pulled = large.join(shuffled(small), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e, now = told(pulled.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

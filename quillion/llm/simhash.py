@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, once, texts_of
+from .common import components, materialize, once, shuffled, texts_of
 
 
 def _shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
@@ -180,7 +180,7 @@ def covering_links(prints: DataFrame, bits: int = 2, width: int | None = None, n
     mine, theirs = (["x", "xa", "xb"], ["y", "ya", "yb"]) if kept else (["x"], ["y"])
     homes = copied(near, *mine) if near else prints.select(_home("fp", width).alias("anchor"), *prints.columns).toDF("anchor", *mine)
     spread = copied(bits - near, *theirs)
-    found = homes.join(spread, (homes.anchor == spread.anchor) & close).select("x", "y")
+    found = homes.join(shuffled(spread), (homes.anchor == spread.anchor) & close).select("x", "y")
     return found.distinct() if near else found
 
 
@@ -209,12 +209,12 @@ def simhash_components(rows: DataFrame, id_col: str, fp_col: str, bits: int = 2,
     firsts = materialize(rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first")), "simhash")
     links = covering_links(firsts.select("fp"), bits, width, near)
     roots = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "simhash")
-    firsts = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    firsts = firsts.join(shuffled(roots), firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # Fingerprints of one component are few beside its rows, and their minimum is a partial aggregate.
     firsts = materialize(firsts, "simhash")
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = firsts.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return rows.join(named, rows[fp_col] == named["__fp"]).drop("__fp")
+    named = firsts.join(shuffled(least), "root").select(F.col("fp").alias("__fp"), "component_id")
+    return rows.join(shuffled(named), rows[fp_col] == named["__fp"]).drop("__fp")
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 3, id_col="doc_id", text_col="text") -> DataFrame:
@@ -241,37 +241,37 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
 
     members = nodes.select("node", "n", F.explode(F.concat("keys", F.array(F.xxhash64("fp")))).alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    members = materialize(members.join(shared, "key"), "simhash")
+    members = materialize(members.join(shuffled(shared), "key"), "simhash")
     # What the others of a key are copies of shares most keys with most nodes, so it leads.
     degree = members.groupBy("node").agg(F.sum("many").alias("degree"))
-    leads = members.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("lead"))
-    members = materialize(members.drop("many").join(leads, "key"), "simhash")
+    leads = members.join(shuffled(degree), "node").groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("lead"))
+    members = materialize(members.drop("many").join(shuffled(leads), "key"), "simhash")
     tried = materialize(_ordered(members.select(F.col("node").alias("u"), F.col("lead").alias("v"))), "simhash")
     links = _verified(docs.select(key, text), info, tried, words, similarity)
 
     roots = materialize(components(links, "simhash"), "simhash")
-    rooted = info.join(roots, "node", "left").select("node", "first", "n", "fp", F.coalesce("root", "node").alias("root"))
+    rooted = info.join(shuffled(roots), "node", "left").select("node", "first", "n", "fp", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "simhash")
     prints = materialize(rooted.groupBy("fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "simhash")
     near = materialize(covering_links(prints, bits, near=bits // 2), "simhash")
-    members = members.select("key", "node").join(rooted, "node")
+    members = members.select("key", "node").join(shuffled(rooted), "node")
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    met = members.join(mixed, "key", "left_semi").select("node", "first", "n", "root").distinct()
+    met = members.join(shuffled(mixed), "key", "left_semi").select("node", "first", "n", "root").distinct()
     within = _prefix_pairs(docs.select(key, text), materialize(met, "simhash"), words, similarity)
     fits = (F.col("root") != F.col("root2")) & (F.least("n", "n2") >= similarity * F.greatest("n", "n2"))
-    left = near.join(rooted.select(F.col("fp").alias("x"), F.col("node").alias("u"), "n", "root"), "x")
+    left = near.join(shuffled(rooted.select(F.col("fp").alias("x"), F.col("node").alias("u"), "n", "root")), "x")
     right = rooted.select(F.col("fp").alias("y2"), F.col("node").alias("v"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    across = left.join(right, (F.col("y") == F.col("y2")) & fits).select("u", "v")
-    rest = _ordered(within.unionByName(across)).join(tried, ["u", "v"], "left_anti")
+    across = left.join(shuffled(right), (F.col("y") == F.col("y2")) & fits).select("u", "v")
+    rest = _ordered(within.unionByName(across)).join(shuffled(tried), ["u", "v"], "left_anti")
     rest = materialize(rest, "simhash")
     if rest.limit(1).count():
         more = _verified(docs.select(key, text), info, rest, words, similarity)
         if more.limit(1).count():
             roots = components(links.unionByName(more), "simhash")
-    named = materialize(info.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "simhash")
+    named = materialize(info.join(shuffled(roots), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "simhash")
     least = named.groupBy("root").agg(F.min("first").alias("first"))
-    named = named.select("node", "root").join(least, "root").select("node", "first")
-    gone = rows.select("id", "node").join(named, "node").groupBy("id").agg(F.min("first").alias("first"), F.max(F.col("id") == F.col("first")).alias("leads"))
+    named = named.select("node", "root").join(shuffled(least), "root").select("node", "first")
+    gone = rows.select("id", "node").join(shuffled(named), "node").groupBy("id").agg(F.min("first").alias("first"), F.max(F.col("id") == F.col("first")).alias("leads"))
     return materialize(gone.where("not leads").select("id", "first"), "simhash")
 
 
@@ -282,8 +282,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _texts_of_nodes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, text`` of the ``wanted`` rows ``node, id``; a node has one of its equal texts."""
     # An id may have several texts, and a text several rows.
-    texts = texts.join(wanted.select("id").distinct(), "id", "left_semi").select(text_node(F.col("text")).alias("node"), "text")
-    return materialize(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "simhash")
+    texts = texts.join(shuffled(wanted.select("id").distinct()), "id", "left_semi").select(text_node(F.col("text")).alias("node"), "text")
+    return materialize(texts.join(shuffled(wanted), "node", "left_semi").dropDuplicates(["node"]), "simhash")
 
 
 def _prefix_pairs(texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -305,8 +305,8 @@ def _prefix_pairs(texts: DataFrame, nodes: DataFrame, words: int, similarity: fl
     held = found.select("node", F.explode(once(hashed, "array<long>")("text")).alias("h"))
     many = held.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
     each = Window.partitionBy("node")
-    placed = held.join(many, "h").select("node", "h", F.count("*").over(each).alias("shared"), F.row_number().over(each.orderBy("many", "h")).alias("k"))
-    placed = placed.join(nodes.select("node", "n", "root"), "node").withColumn("k", F.col("n") - F.col("shared") + F.col("k"))
+    placed = held.join(shuffled(many), "h").select("node", "h", F.count("*").over(each).alias("shared"), F.row_number().over(each.orderBy("many", "h")).alias("k"))
+    placed = placed.join(shuffled(nodes.select("node", "n", "root")), "node").withColumn("k", F.col("n") - F.col("shared") + F.col("k"))
     slack = 1 - 1e-12  # products like 0.8 * n may end just above a whole number
     placed = placed.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * (similarity * slack)) + 1)
     placed = materialize(placed.select("h", "node", "n", "root", "k"), "simhash")
@@ -314,13 +314,13 @@ def _prefix_pairs(texts: DataFrame, nodes: DataFrame, words: int, similarity: fl
     fits = (F.col("root") != F.col("root2")) & (F.least("n", "n2") >= similarity * F.greatest("n", "n2"))
     follow = 1 + F.least(F.col("n") - F.col("k"), F.col("n2") - F.col("k2"))
     enough = follow >= (F.col("n") + F.col("n2")) * (similarity / (1 + similarity) * slack)
-    return one.join(other, (F.col("h") == F.col("h2")) & (F.col("u") < F.col("v")) & fits & enough).select("u", "v")
+    return one.join(shuffled(other), (F.col("h") == F.col("h2")) & (F.col("u") < F.col("v")) & fits & enough).select("u", "v")
 
 
 def _verified(texts: DataFrame, info: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs ``u, v`` of nodes whose texts share enough shingles."""
     one, other = info.select("node", "first", "n").toDF("u", "first", "n"), info.select("node", "first", "n").toDF("v", "first2", "n2")
-    pairs = pairs.join(one, "u").join(other, "v").where(F.least("n", "n2") >= similarity * F.greatest("n", "n2"))
+    pairs = pairs.join(shuffled(one), "u").join(shuffled(other), "v").where(F.least("n", "n2") >= similarity * F.greatest("n", "n2"))
     pairs = materialize(pairs, "simhash")
     wanted = pairs.select(F.col("u").alias("node"), F.col("first").alias("id")).unionByName(pairs.select(F.col("v").alias("node"), F.col("first2").alias("id"))).distinct()
     texts = _texts_of_nodes(texts, materialize(wanted, "simhash"))
@@ -334,7 +334,7 @@ def _verified(texts: DataFrame, info: DataFrame, pairs: DataFrame, words: int, s
             out.append(len(mine & other) >= similarity * len(mine | other))
         return pa.array(out, pa.bool_())
 
-    met = pairs.select("u", "v").join(texts.toDF("v", "b"), "v").join(texts.toDF("u", "a"), "u")
+    met = pairs.select("u", "v").join(shuffled(texts.toDF("v", "b")), "v").join(shuffled(texts.toDF("u", "a")), "u")
     return materialize(met.where(once(alike, "boolean")("a", "b")).select("u", "v"), "simhash")
 
 

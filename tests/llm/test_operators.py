@@ -238,6 +238,14 @@ def test_covering_links_are_complete(spark, bits, width, near):
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("near", [0, 1])
+def test_copies_of_fingerprints_are_not_broadcast(spark, near, tmp_path):
+    # Spark takes copies, some 67 a fingerprint, for as large as the fingerprints.
+    spark.range(2000).selectExpr("xxhash64(id) as fp").write.parquet(f"{tmp_path}/prints")
+    links = simhash.covering_links(spark.read.parquet(f"{tmp_path}/prints"), 2, width=5, near=near)
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (None, 3), (200, 150), (150, 101)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
