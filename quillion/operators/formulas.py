@@ -61,13 +61,20 @@ def context_score(df: DataFrame) -> DataFrame:
     return df.withColumn("context_score", total - F.when(F.col("section_tag") == "exercises", 2).otherwise(0))
 
 
-def candidate_lines(df: DataFrame, wants_explain: bool = False) -> DataFrame:
+#: What a line has that any of SPANS can be found in.
+SIGNED = "[=≈≅≤≥≠∝(/∫∑∏|^]"
+
+
+def candidate_lines(df: DataFrame, wants_explain: bool = False, wanted: Column | None = None) -> DataFrame:
     """Lines (``line_no`` from 0) that may hold formulas, of texts after compatibility composition;
-    a vetoed heading drops the chunk."""
+    a vetoed heading drops the chunk. Where only some lines are ``wanted``, such as those with a
+    sign that a span needs (``SIGNED``), the patterns run over these alone."""
     kept = df if wants_explain else df.where(~F.coalesce("heading_path", F.lit("")).rlike(HEADING_VETO) & ~F.coalesce("section_tag", F.lit("")).rlike(HEADING_VETO))
-    rows = kept.withColumn("text", nfkc("text")).select(*[c for c in df.columns if c != "text"], F.posexplode(F.split("text", LINE_ENDS)).alias("line_no", "raw"))
-    line = F.regexp_replace("raw", r"^[ \t\r•\-—–·]+|[ \t\r•\-—–·]+$", "")
-    rows = rows.withColumn("line", line).where("line <> ''").drop("raw")
+    # Trimmed before they are rows: Spark would else trim a line again for each pattern that it is held against.
+    trimmed = F.transform(F.split("text", LINE_ENDS), lambda x: F.trim(x, F.lit(" \t\r•-—–·")))
+    rows = kept.withColumn("text", nfkc("text")).select(*[c for c in df.columns if c != "text"], F.posexplode(trimmed).alias("line_no", "line"))
+    rows = rows.where("line <> ''")
+    rows = rows if wanted is None else rows.where(wanted)
     ln, plain = F.col("line"), ~F.col("line").rlike(LINE_OPERATORS)
     veto = ln.rlike(LINE_VETO) | ln.rlike(USING) | ln.rlike(QUESTION) | (ln.rlike(ENUMERATED) & plain)
     if not wants_explain:
@@ -89,7 +96,7 @@ def extract_spans(lines: DataFrame, composed: bool = False) -> DataFrame:
     found = F.concat(F.when(F.col("line").rlike(SIGNS[0]), equations).otherwise(none), *others)
     clean = lambda s: F.substring(F.regexp_replace(F.regexp_replace(s, r"\s+", " "), "^[ ,;.]+|[ ,;.]+$", ""), 1, 200)
     rows = lines.withColumn("__spans", F.filter(F.transform(found, lambda s, k: F.struct(k.alias("k"), clean(s).alias("span"))), lambda x: x["span"] != ""))
-    rows = rows.where(F.size("__spans") > 0).withColumn("__low", F.transform("__spans", lambda x: F.lower(x["span"])))
+    rows = rows.withColumn("__low", F.transform("__spans", lambda x: F.lower(x["span"])))
     first = F.filter("__spans", lambda x, n: F.array_position(F.col("__low"), F.lower(x["span"])) == n + 1)
     return rows.select(*[c for c in lines.columns if c != "line"], F.inline(first))
 

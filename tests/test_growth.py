@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillion.operators import context as X
+from quillion.operators import formulas as M
 from quillion.operators import retrieval as R
 from quillion.operators import training as TR
 from quillion.streaming import jobs
@@ -72,6 +73,19 @@ def test_negatives_are_drawn_without_their_texts(spark):
     assert len(own) == 64 and all(r.t != own[r.rid] for r in pairs if r.k)
 
 
+def test_lines_are_trimmed_and_searched_once(spark):
+    texts = ["• x = 1 –\nplain words\n(i) y^2 = z\nsin(a) and |b|", "no sign\n\tprove = it", "Caf\u00e9 \u00c5\n A\u030a = \u00bd", ""]
+    df = spark.createDataFrame([(i, t, "h", "", 0) for i, t in enumerate(texts)], "rid long, text string, heading_path string, section_tag string, context_score int")
+    plain, signed = M.candidate_lines(df), M.candidate_lines(df, wanted=F.col("line").rlike(M.SIGNED))
+    all_, some = M.extract_spans(plain, composed=True), M.extract_spans(signed, composed=True)
+    rows = lambda x: sorted(tuple(r) for r in x.select("rid", "line_no", "k", "span").collect())
+    assert rows(all_) == rows(some) and {"x = 1", "sin(a)", "|b|"} <= {r[3] for r in rows(some)}
+    assert (2, 1, 0, "\u00c5 = 1\u20442") in rows(some)
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("trim(") == 1
+    assert some._jdf.queryExecution().optimizedPlan().toString().count("sin|cos|tan|cot") == 1
+
+
 def test_split_is_by_rank_also_with_repeated_keys(spark):
     for keys in ([*range(37)], [5] * 30, [], [1]):
         found = TR.split_train_valid(spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k int, n int"), "k").collect()
