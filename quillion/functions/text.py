@@ -96,7 +96,8 @@ def safe_token(c: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(col(c), F.lit("")), "[^a-zA-Z0-9._-]+", "_")
 
 
-WESTERN = r"\A[\x00-\x7f\xc0-\xff]*+\z"  # characters that compatibility composition leaves alone
+# Characters that compatibility composition leaves alone: Western letters, dashes, quotes, operators.
+WESTERN = r"\A[\x00-\x7f\xc0-\xff\u2012-\u2016\u2018-\u2023\u2200-\u222b\u2231-\u22ff]*+\z"
 STRETCH = 64  # texts that are composed at a time
 
 
@@ -128,7 +129,7 @@ def nfkc(c: Column | str) -> Column:
         return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     c = col(c)
-    # The class is slow over long texts; most that are not ASCII have Western European letters at most.
+    # The class is slow over long texts; most that are not ASCII have none but these.
     may_change = (F.octet_length(c) > F.length(c)) & ~c.rlike(WESTERN) & c.rlike(_plain_class())
     return F.coalesce(normal(F.when(may_change, c)), c)
 
