@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, materialize, once, release, slices
+from .common import flat_bytes, materialize, once, release, shuffled, slices
 
 GRAM = 24
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -509,10 +509,10 @@ def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> Dat
     for kind, cut, meet in ((2, _cut_contexts(buckets, length), _compare(length)), (3, _cut_strings(buckets, length), _meet(length, True))):
         opened = found.where(F.col("kind") == kind).groupBy("key", "sub").agg(F.collect_list(F.struct("x", "y")).alias("open"))
         if kind == 2 or found.where("kind = 3").limit(1).count():
-            parts.append(materialize(gathered(rows.join(opened, ["key", "sub"]).mapInArrow(cut, DEALT)).mapInArrow(meet, FOUND), "repeats"))
+            parts.append(materialize(gathered(rows.join(shuffled(opened), ["key", "sub"]).mapInArrow(cut, DEALT)).mapInArrow(meet, FOUND), "repeats"))
     spans = reduce(DataFrame.unionByName, parts).where("kind = 1").groupBy(F.col("key").alias("__key"), F.col("sub").alias("__sub"))
     spans = spans.agg(F.collect_list(F.struct(F.col("x").cast("int").alias("start"), F.col("y").cast("int").alias("end"))).alias("__spans"))
-    return docs.join(spans, (key == F.col("__key")) & (sub == F.col("__sub")), "left").drop("__key", "__sub")
+    return docs.join(shuffled(spans), (key == F.col("__key")) & (sub == F.col("__sub")), "left").drop("__key", "__sub")
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -246,6 +246,12 @@ def test_copies_of_fingerprints_are_not_broadcast(spark, near, tmp_path):
     assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
 
 
+def test_spans_of_many_documents_are_not_broadcast(spark, tmp_path):
+    docs = spark.createDataFrame([(i, PASSAGE * 2) for i in range(40)], "doc_id long, text string")
+    plan = suffix_dedup.repeated_spans(docs, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (None, 3), (200, 150), (150, 101)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
